@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import cache
 
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -61,10 +64,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        folder = os.environ.get("TURNWISE_WORK_DIR") or tempfile.mkdtemp(prefix="turnwise-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"turnwise-{application}-")
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
@@ -72,6 +77,22 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/turnwise/{purpose}-{uuid.uuid4().hex}"
 
 
+@cache
+def _shipped(application: str) -> str:
+    """A zip of this package for the Python workers of one application."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix=f"turnwise-{application}-"), "turnwise_package")
+    parent, name = os.path.split(package)
+    path = shutil.make_archive(target, "zip", parent, name)
+    SparkContext.getOrCreate().addPyFile(path)
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, wherever they run. Once per application."""
+    _shipped(spark.sparkContext.applicationId)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)

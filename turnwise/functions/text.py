@@ -35,7 +35,8 @@ def stand_in(value: Column, salt: str, prefix: str) -> Column:
 
 def mask_patterns(text: Column) -> Column:
     """Blank out addresses, phone numbers and long digit runs."""
-    masked = F.regexp_replace(text, EMAIL_PATTERN, "[email]")
+    has_address = F.contains(text, F.lit("@"))
+    masked = F.when(has_address, F.regexp_replace(text, EMAIL_PATTERN, "[email]")).otherwise(text)
     masked = F.regexp_replace(masked, PHONE_PATTERN, "[phone]")
     return F.regexp_replace(masked, DIGITS_PATTERN, "[number]")
 

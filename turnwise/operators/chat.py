@@ -14,10 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnwise.config import work_folder
 from turnwise.functions.models import ModelFactory, infer
 from turnwise.functions.nested import all_but_last, fill_template, last_or_null
-from turnwise.operators.distribution import hash_slices, order_slices, spread_join
+from turnwise.operators.distribution import hash_slices, order_slices, spread_join, stored
 from turnwise.operators.index import CONTENT, PK, Index
 from turnwise.operators.search import (
     QUERY,
@@ -190,12 +189,9 @@ def search_queries(
     asked = last_questions(rows).select("conv_id", "question")
     if model is None:
         return asked.select("conv_id", F.col("question").alias("text"))
-    folder = work_folder(rows.sparkSession, "rewrites")
     prompts = rewrite_prompts(rows, max_turns=max_turns)
-    infer(prompts, "prompt", model, "rewritten", "problem", **options).select(
-        "conv_id", "rewritten"
-    ).write.parquet(folder)
-    rewritten = rows.sparkSession.read.parquet(folder)
+    answers = infer(prompts, "prompt", model, "rewritten", "problem", **options)
+    rewritten = stored(answers.select("conv_id", "rewritten"), "rewrites")
     return asked.join(rewritten, "conv_id", "left").select(
         "conv_id", F.coalesce("rewritten", "question").alias("text")
     )
@@ -313,6 +309,7 @@ def answer_chats(
 ) -> DataFrame:
     """(conv_id, answer, error, sources) for every conversation of the table."""
     queries = search_queries(rows, chat_model, max_turns, **options)
-    found = contexts(retrieve(queries, index, embedder, k, query_type), index, columns)
+    hits = retrieve(queries, index, embedder, k, query_type)
+    found = stored(contexts(hits, index, columns), "contexts")
     answers = generate(prompt_rows(rows, found), chat_model, max_turns, **options)
     return answers.join(found.select("conv_id", "sources"), "conv_id", "left")

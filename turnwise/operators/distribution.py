@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnwise.config import work_folder
+
 SPREAD = "_spread"
 
 
@@ -17,19 +19,27 @@ def spread_join(
     (key, slice) pairs, of which even a hot key has few, and the rows then join on key and slice, so
     their tasks hold a slice and not a key. No row is left out and no key is copied to a slice it
     does not have. Where ``facts`` turns out small, adaptive execution broadcasts it instead.
+    ``rows`` is read twice: pass a table or a cheap plan over one, or ``stored`` rows.
     """
     sliced = rows.withColumn(SPREAD, spread)
     pairs = sliced.select(*on, SPREAD).distinct()
     return sliced.join(pairs.join(facts, on), [*on, SPREAD], how).drop(SPREAD)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, where it would be computed more than once."""
+    folder = work_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def hash_slices(*columns: Column, slices: int = 1024) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(slices))
 
 
 def order_slices(order: Column, width: int = 1024) -> Column:
     """Slices of at most ``width`` rows where ``order`` is a whole number unique in its key."""
-    return F.floor(order / F.lit(width))
+    return F.coalesce(F.call_function("div", order.cast("long"), F.lit(width)), F.lit(0).cast("long"))
 
 
 def top_k(

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -22,7 +22,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from turnwise.config import work_folder
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
 from turnwise.functions.text import tokens
-from turnwise.operators.distribution import hash_slices, spread_join, top_k, use_all_cores
+from turnwise.operators.distribution import (
+    hash_slices,
+    spread_join,
+    stored,
+    top_k,
+    use_all_cores,
+)
 from turnwise.operators.index import CONTENT, EMBEDDING, PK, Index
 
 # Our choices: BM25 constants, the fusion constant, how many rows each side gives to the fusion,
@@ -32,8 +38,10 @@ FUSION_CONSTANT = 60
 FUSION_DEPTH = 50
 DECIMALS = 6
 
+# A block of queries: at most so many queries, and so many vector values or terms in all.
 BLOCK_QUERIES = 4096
 BLOCK_VALUES = 4_000_000
+BLOCK_TERMS = 200_000
 SCORED_ROWS = 1024
 PUSHED_TERMS = 1000  # up to this many terms also reach the parquet reader as an IN filter
 
@@ -83,11 +91,11 @@ class BestRows:
         return pd.DataFrame({"q": [], "score": [], PK: []})
 
 
-def _blocks(queries: DataFrame, size_of) -> Iterator[list]:
+def _blocks(queries: DataFrame, size_of: Column, max_size: int) -> Iterator[list]:
     """Bounded lists of query rows. ``size_of`` is the number of values a row holds."""
-    measured = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(size_of).alias("values")).first()
+    measured = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(size_of).alias("size")).first()
     n_blocks = max(
-        math.ceil(measured["n"] / BLOCK_QUERIES), math.ceil((measured["values"] or 0) / BLOCK_VALUES)
+        math.ceil(measured["n"] / BLOCK_QUERIES), math.ceil((measured["size"] or 0) / max_size)
     )
     if n_blocks <= 1:
         yield queries.collect()
@@ -170,7 +178,7 @@ def search_vector(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
         return candidates.mapInArrow(nearest, schema)
 
     valid = queries.filter(F.col(EMBEDDING).isNotNull()).select(QUERY, EMBEDDING)
-    parts = (scan(block) for block in _blocks(valid, F.size(EMBEDDING)) if block)
+    parts = (scan(block) for block in _blocks(valid, F.size(EMBEDDING), BLOCK_VALUES) if block)
     return _ranked(_union_of_blocks(queries.sparkSession, parts, schema), k)
 
 
@@ -195,7 +203,7 @@ def search_keyword(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
         if not terms:
             return spark.createDataFrame([], schema)
         queries_of = [np.array(asked[t]) for t in terms]
-        # At most BLOCK_VALUES terms, or those of a single query: small enough to broadcast.
+        # At most about BLOCK_TERMS terms, or those of a single query: small enough to broadcast.
         numbered = spark.createDataFrame(
             pd.DataFrame({"term": terms, "term_no": np.arange(len(terms), dtype=np.int32)})
         )
@@ -239,7 +247,7 @@ def search_keyword(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
 
     asked = queries.select(QUERY, F.array_distinct(tokens(F.col("text"))).alias("terms"))
     asked = asked.filter(F.size("terms") > 0)
-    parts = (scan(block) for block in _blocks(asked, F.size("terms")) if block)
+    parts = (scan(block) for block in _blocks(asked, F.size("terms"), BLOCK_TERMS) if block)
     return _ranked(_union_of_blocks(spark, parts, schema), k)
 
 
@@ -267,17 +275,14 @@ def embed_queries(
 ) -> DataFrame:
     """Questions get their vector from the model that embedded the rows.
 
-    The result is written before use, so that measuring and cutting it into blocks calls no model.
+    The result is stored, so that measuring and cutting it into blocks calls no model.
     """
-    folder = work_folder(queries.sparkSession, "questions")
     vectors = embed(F.col("text"), model, request_size)
-    use_all_cores(queries).withColumn(EMBEDDING, vectors).write.parquet(folder)
-    return queries.sparkSession.read.parquet(folder)
+    return stored(use_all_cores(queries).withColumn(EMBEDDING, vectors), "questions")
 
 
 def with_columns(hits: DataFrame, index: Index, columns: list[str]) -> DataFrame:
     """Hits with the caller's choice of index columns. A row may be a hit of very many queries."""
     payload = index.docs.select(PK, *[c for c in columns if c != PK])
-    slices = hash_slices(F.col(QUERY), slices=64)
-    joined = spread_join(hits, payload, [PK], slices)
+    joined = spread_join(stored(hits, "hits"), payload, [PK], hash_slices(F.col(QUERY), slices=64))
     return joined.select(QUERY, PK, "rank", "score", *[c for c in columns if c != PK])

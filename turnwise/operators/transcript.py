@@ -90,7 +90,7 @@ def transcript_parts(
     A conversation is one row as long as its order numbers stay below ``width``. Longer ones go on
     in rows with ``part`` 1, 2, ...: every line is kept, and no task gathers more than a part.
     """
-    part = order_slices(F.col(order), width).cast("long")
+    part = order_slices(F.col(order), width)
     ordered = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(line))))
     return (
         lines.groupBy(key, part.alias("part"))
@@ -134,11 +134,11 @@ def build_prompt(transcript: Column, template: str) -> Column:
 
 def talk_time(sentences: DataFrame) -> DataFrame:
     """Talk time in milliseconds per speaker and its share of the call, in percent."""
+    spoken = F.sum(F.col("end_time") - F.col("start_time"))
     speakers = sentences.groupBy("conversation_id", "recording_attendee_id").agg(
-        F.sum(F.col("end_time") - F.col("start_time")).alias("seconds"),
-        F.count(F.lit(1)).alias("n_sentences"),
+        spoken.alias("seconds"), F.count(F.lit(1)).alias("n_sentences")
     )
-    totals = speakers.groupBy("conversation_id").agg(F.sum("seconds").alias("call_seconds"))
+    totals = sentences.groupBy("conversation_id").agg(spoken.alias("call_seconds"))
     joined = spread_join(
         speakers, totals, ["conversation_id"], hash_slices(F.col("recording_attendee_id"))
     )

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.config import work_folder
+from turnwise.config import ship_package, work_folder
 from turnwise.functions import text
 from turnwise.functions.models import ExtractiveAssessor, HashEmbedder, LastMessageModel, embed
 from turnwise.functions.nested import (
@@ -50,7 +51,12 @@ EMBEDDER = HashEmbedder(DIM)
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        @wraps(function)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return function(spark, sf_dir)
+
+        QUERIES[function.__name__] = run
         if oracle is not None:
             ORACLES[function.__name__] = oracle
         return function
@@ -435,7 +441,8 @@ MASK_SALT = "turnwise"
 )
 def mask_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     masked = text.mask_patterns(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", masked.alias("text"))
+    documents = use_all_cores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", masked.alias("text"))
 
 
 @query(
