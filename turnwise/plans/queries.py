@@ -36,8 +36,16 @@ from turnwise.plans import derived
 from turnwise.plans.derived import table
 from turnwise.schemas import PARTICIPANT_KEYS, PARTICIPANT_TEXT_LISTS
 from turnwise.sources.calls import parse_calls, read_calls, sentence_rows
-from turnwise.sources.tables import append_batch, preview, read_batches, row_count, scan, stream_table
-from turnwise.streaming.embedding import append_stream, embed_stream
+from turnwise.sources.tables import (
+    append_batch,
+    preview,
+    read_batches,
+    replace_table,
+    row_count,
+    scan,
+    stream_table,
+)
+from turnwise.streaming.embedding import append_stream, embed_stream, participant_content as contents_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +116,24 @@ def merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_batches(spark, folder).select("doc_id", "quality", "toxic", "lang")
 
 
+@query(
+    """
+    SELECT o_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total
+    FROM orders GROUP BY o_custkey
+    """
+)
+def replaced_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table replaced by an aggregate of itself, with other columns."""
+    folder = work_folder(spark, "table")
+    name = "turnwise_" + folder.rsplit("-", 1)[1]
+    replace_table(table(spark, sf_dir, "orders"), name, folder)
+    totals = spark.table(name).groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("total")
+    )
+    replace_table(totals, name, folder)
+    return scan(spark, name)
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table read as a stream, drained into another; a second run finds nothing new."""
@@ -505,6 +531,13 @@ def _participant_sql(key: str) -> str:
     return pair
 
 
+def _parsed_sql(key: str) -> str:
+    missing = {"performance_score": "(3, 8)", "email_id": "(4)"}.get(key)
+    if missing is None:
+        return _participant_sql(key)
+    return f"CASE WHEN conv_id % 9 NOT IN {missing} THEN {_participant_sql(key)} END"
+
+
 PARTICIPANT_SQL = (
     "'{' || " + " || ',' || ".join(_participant_sql(k) for k in PARTICIPANT_KEYS) + " || '}'"
 )
@@ -535,14 +568,16 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PEOPLE_SQL = f"""
+    SELECT conv_id, role, count(*) AS n_turns, {derived.SPEAKER_ID_SQL} AS speaker,
+           CAST(to_json(arg_min(text, turn)) AS VARCHAR) AS first_text
+    FROM conversations GROUP BY conv_id, role
+"""
 RESPONSES_SQL = _sql(
     f"""
     SELECT conv_id AS conversation_id, {RESPONSE_SQL} AS response
     FROM (SELECT conv_id, string_agg({PARTICIPANT_SQL}, ',' ORDER BY role) AS participants
-          FROM (SELECT conv_id, role, count(*) AS n_turns, {derived.SPEAKER_ID_SQL} AS speaker,
-                       CAST(to_json(arg_min(text, turn)) AS VARCHAR) AS first_text
-                FROM conversations GROUP BY conv_id, role)
-          GROUP BY conv_id)
+          FROM ({PEOPLE_SQL}) GROUP BY conv_id)
     """
 )
 # In the checking engine a score that is not a whole number has no value.
@@ -608,6 +643,28 @@ def explode_participants_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(spark, sf_dir, outer=True)
 
 
+# The same participant without the values that have no place in the declared schema.
+PARSED_PARTICIPANT_SQL = (
+    "'{' || array_to_string(list_filter(["
+    + ", ".join(_parsed_sql(k) for k in PARTICIPANT_KEYS)
+    + "], lambda x: x IS NOT NULL), ',') || '}'"
+)
+
+
+@query(
+    _sql(
+        f"""
+        SELECT conv_id AS conversation_id, speaker AS name, {PARSED_PARTICIPANT_SQL} AS content
+        FROM ({PEOPLE_SQL}) WHERE conv_id % 9 IN (3, 4, 7, 8)
+        """
+    )
+)
+def participant_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text to embed of every participant: its parsed struct as JSON."""
+    parsed = assess.parse_assessment(_responses(spark, sf_dir))
+    return contents_of(assess.explode_participants(parsed, ["conversation_id"]))
+
+
 @query(
     f"""
     SELECT conversation_id, CASE
@@ -873,6 +930,17 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- chats ------------------------------------------------------------------------------------
 
+@query(
+    """
+    SELECT conv_id, turn, role, text FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS age FROM conversations)
+    WHERE age <= 3
+    """
+)
+def newest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.newest_turns(table(spark, sf_dir, "conversations"), 3)
+
+
 LAST_SQL = """
     SELECT conv_id, arg_max(text, turn) AS question, max(turn) AS last_turn, count(*) AS n_turns
     FROM conversations GROUP BY conv_id
@@ -995,9 +1063,17 @@ def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.prompt_rows(table(spark, sf_dir, "conversations"), _contexts(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""
+    SELECT conv_id, question AS answer, CAST(NULL AS VARCHAR) AS error, source_keys
+    FROM ({LAST_SQL}) LEFT JOIN ({CONTEXTS_SQL}) USING (conv_id)
+    """
+)
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rewrite, retrieval, prompt and answer for every conversation, with a stand-in for the model."""
+    """Rewrite, retrieval, prompt and answer for every conversation.
+
+    The stand-in for the model gives back the question it finds in its prompt.
+    """
     answers = chat.answer_chats(
         table(spark, sf_dir, "conversations"),
         document_index(spark, sf_dir),

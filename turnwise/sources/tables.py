@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,17 +35,21 @@ def stream_table(
     return (reader.option("pathGlobFilter", files) if files else reader).parquet(table)
 
 
-def replace_table(df: DataFrame, table: str) -> None:
-    """Overwrite contents and schema of a managed table. ``df`` may read the table itself.
+def replace_table(df: DataFrame, table: str, folder: str | None = None) -> None:
+    """Overwrite contents and schema of a table. ``df`` may read the table itself.
 
-    The new contents are complete in a second table before the old one is dropped.
+    The new contents are complete in a second table before the old one is dropped. Data go to a new
+    place below ``folder``, or where the catalog keeps its tables.
     """
     spark = df.sparkSession
+    writer = df.write.format("parquet")
+    if folder is not None:
+        writer = writer.option("path", f"{folder}/{uuid.uuid4().hex}")
     if not spark.catalog.tableExists(table):
-        df.write.format("parquet").saveAsTable(table)
+        writer.saveAsTable(table)
         return
     fresh = f"{table}__fresh"
-    df.write.format("parquet").mode("overwrite").saveAsTable(fresh)
+    writer.mode("overwrite").saveAsTable(fresh)
     spark.sql(f"DROP TABLE {table}")
     spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
 
