@@ -14,6 +14,7 @@ from turnwise.operators.index import (
     Index,
     build_index,
     check_dimension,
+    compact,
     create_or_sync,
     open_index,
     vector_norm,
@@ -231,6 +232,9 @@ def test_sync_follows_the_table(spark, folder):
             create_or_sync(df, f"{folder}/index", "id", "body", DIM, model=model)
         fresh = build_index(df, f"{folder}/fresh{number}", "id", "body", DIM, model=HashEmbedder(DIM))
         assert state_of(open_index(spark, f"{folder}/index")) == state_of(fresh)
+        if number == 1:
+            compact(spark, f"{folder}/index")
+            assert state_of(open_index(spark, f"{folder}/index")) == state_of(fresh)
     with open(f"{folder}/log") as file:
         sent = sorted(file.read().split("\n")[:-1])
     # Created: 3. Then two and four; then one (its place changed) and three; then nothing.

@@ -3,7 +3,8 @@
 Every write adds a numbered segment: ``docs/segment=N`` (pk, payload columns, vector, its length,
 token count, content hash), ``postings/segment=N`` (term, pk, tf, dl) and ``gone/segment=N`` (pk of
 rows deleted or replaced by that segment). ``commits/segment=N`` is written last; a segment without
-it is not read, so an interrupted write leaves nothing behind. Postings are sorted by term inside
+it is not read, so an interrupted write leaves nothing behind. A commit marked as base makes all
+earlier segments obsolete. Postings are sorted by term inside
 each file, so a search for a few terms skips most pages without any shuffle at build time.
 """
 
@@ -106,15 +107,18 @@ def _write_segment(docs: DataFrame, folder: str, segment: int) -> None:
     )
 
 
-def _commit(spark: SparkSession, folder: str, segment: int) -> None:
-    spark.range(1).write.mode("overwrite").parquet(f"{folder}/commits/segment={segment}")
+def _commit(spark: SparkSession, folder: str, segment: int, base: bool = False) -> None:
+    marker = spark.range(1).select(F.lit(base).alias("base"))
+    marker.write.mode("overwrite").parquet(f"{folder}/commits/segment={segment}")
 
 
 def _committed(spark: SparkSession, folder: str) -> list[int]:
+    """The segments to read, oldest first: the last base and all that follow it."""
     if not path_exists(spark, f"{folder}/commits"):
         return []
-    rows = spark.read.parquet(f"{folder}/commits").select("segment").distinct().collect()
-    return sorted(r["segment"] for r in rows)
+    commits = spark.read.parquet(f"{folder}/commits").select("segment", "base").collect()
+    base = max((r["segment"] for r in commits if r["base"]), default=None)
+    return sorted(r["segment"] for r in commits if base is not None and r["segment"] >= base)
 
 
 def _source_rows(df: DataFrame, pk: str, content: str, vector: str | None) -> DataFrame:
@@ -165,7 +169,7 @@ def create_or_sync(
     segments = _committed(spark, folder)
     if not segments:
         _write_segment(_with_vectors(rows, model, dim, request_size), folder, 0)
-        _commit(spark, folder, 0)
+        _commit(spark, folder, 0, base=True)
         return
     number = segments[-1] + 1
     present = open_index(spark, folder).docs.select(PK, F.col("content_hash").alias("old_hash"))
@@ -209,6 +213,22 @@ def open_index(spark: SparkSession, folder: str) -> Index:
     return Index(docs.drop("segment"), postings.drop("segment"))
 
 
+def compact(spark: SparkSession, folder: str) -> None:
+    """Write the present rows as one segment, so that searches need no look at deleted rows.
+
+    Calls no model. Old segments stay on disk for searches that have them open.
+    """
+    segments = _committed(spark, folder)
+    if len(segments) < 2:
+        return
+    index, number = open_index(spark, folder), segments[-1] + 1
+    index.docs.write.mode("overwrite").parquet(f"{folder}/docs/segment={number}")
+    index.postings.sortWithinPartitions("term", PK).write.mode("overwrite").parquet(
+        f"{folder}/postings/segment={number}"
+    )
+    _commit(spark, folder, number, base=True)
+
+
 def build_index(
     df: DataFrame,
     folder: str,

@@ -92,7 +92,11 @@ class BestRows:
 
 
 def _blocks(queries: DataFrame, size_of: Column, max_size: int) -> Iterator[list]:
-    """Bounded lists of query rows. ``size_of`` is the number of values a row holds."""
+    """Bounded lists of query rows. ``size_of`` is the number of values a row holds.
+
+    Queries are stored once, cut into one folder per block, so a block is read without the others.
+    """
+    queries = stored(queries, "queries")
     measured = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(size_of).alias("size")).first()
     n_blocks = max(
         math.ceil(measured["n"] / BLOCK_QUERIES), math.ceil((measured["size"] or 0) / max_size)
@@ -100,9 +104,13 @@ def _blocks(queries: DataFrame, size_of: Column, max_size: int) -> Iterator[list
     if n_blocks <= 1:
         yield queries.collect()
         return
+    folder = work_folder(queries.sparkSession, "blocks")
     block = F.pmod(F.xxhash64(QUERY), F.lit(n_blocks))
+    cut = queries.withColumn("block", block).repartition("block")
+    cut.write.partitionBy("block").parquet(folder)
+    cut = queries.sparkSession.read.parquet(folder)
     for number in range(n_blocks):
-        yield queries.filter(block == number).collect()
+        yield cut.filter(F.col("block") == number).drop("block").collect()
 
 
 def _union_of_blocks(spark: SparkSession, parts: Iterator[DataFrame], empty: T.StructType) -> DataFrame:
@@ -278,7 +286,7 @@ def embed_queries(
     The result is stored, so that measuring and cutting it into blocks calls no model.
     """
     vectors = embed(F.col("text"), model, request_size)
-    return stored(use_all_cores(queries).withColumn(EMBEDDING, vectors), "questions")
+    return stored(use_all_cores(queries).withColumn(EMBEDDING, vectors), "embedded")
 
 
 def with_columns(hits: DataFrame, index: Index, columns: list[str]) -> DataFrame:

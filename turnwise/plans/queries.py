@@ -20,7 +20,7 @@ from turnwise.functions.nested import (
     last_or_null,
 )
 from turnwise.operators import assess, changes, chat, search, transcript
-from turnwise.operators.distribution import use_all_cores
+from turnwise.operators.distribution import stored, use_all_cores
 from turnwise.operators.index import (
     EMBEDDING,
     PK,
@@ -701,7 +701,7 @@ def assess_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ExtractiveAssessor(
         derived.MARKER, transcript.TRANSCRIPT_MARK, transcript.TRANSCRIPT_END
     )
-    prompts = prompt_build(spark, sf_dir)
+    prompts = stored(prompt_build(spark, sf_dir), "prompts")
     good, _ = assess.assess_parts(spark, prompts, model, work_folder(spark, "answers"))
     return assess.explode_participants(good, ["conversation_id", "part"]).select(
         "conversation_id",
