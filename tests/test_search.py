@@ -86,6 +86,49 @@ def test_vector_search_equals_brute_force(spark, vectors, monkeypatch, block_que
     assert rows_of(hits) == best_cosines(vectors, queries.astype(float), 9, key)
 
 
+def clustered(n, seed):
+    generator = np.random.default_rng(seed)
+    directions = generator.normal(size=(12, DIM))
+    # A third of all rows point one way.
+    which = np.where(generator.random(n) < 1 / 3, 0, generator.integers(0, 12, size=n))
+    return (directions[which] + 0.05 * generator.normal(size=(n, DIM))).astype(np.float32)
+
+
+@pytest.mark.parametrize("block_queries", [4096, 5])
+@pytest.mark.parametrize("kind", ["clustered", "scattered"])
+def test_search_in_cells_equals_brute_force(spark, folder, monkeypatch, kind, block_queries):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", block_queries)
+    if kind == "clustered":
+        matrix = clustered(600, 5)
+    else:
+        matrix = np.random.default_rng(6).normal(size=(600, DIM)).astype(np.float32)
+    matrix[3] = 0
+    rows = vector_table(spark, matrix, "id").withColumn("body", F.lit(""))
+    create_or_sync(rows.filter("id < 550"), folder, "id", "body", DIM, vector="embedding")
+    compact(spark, folder, n_cells=12)
+    # Rows added later have no cell.
+    create_or_sync(rows, folder, "id", "body", DIM, vector="embedding")
+    index = open_index(spark, folder)
+    assert index.docs.filter("cell IS NULL AND norm > 0").count() == 50
+    queries = matrix[[0, 10, 20, 30, 40, 50, 60, 70, 599]].astype(float)
+    hits = search.search_vector(vector_table(spark, queries, "query_id"), index, 5)
+    assert rows_of(hits) == best_cosines(matrix, queries, 5, int)
+
+
+def test_a_question_reads_few_cells(spark, folder):
+    matrix = clustered(600, 7)
+    rows = vector_table(spark, matrix, "id").withColumn("body", F.lit(""))
+    create_or_sync(rows, folder, "id", "body", DIM, vector="embedding")
+    compact(spark, folder, n_cells=12)
+    cells = search.Cells.of(open_index(spark, folder).cells)
+    assert cells.n_rows.sum() == 600
+    unit = matrix[:1].astype(float) / np.linalg.norm(matrix[0].astype(float))
+    chosen = cells.first(unit, 5)
+    reached = np.sort((matrix @ unit[0]) / np.linalg.norm(matrix, axis=1))[-5]
+    possible = (cells.highest(unit)[0] >= reached - 1e-6) | chosen
+    assert possible.sum() <= len(cells.numbers) / 3
+
+
 def test_many_equal_scores(spark):
     rows = vector_table(spark, np.ones((3000, 2), dtype=np.float32), "pk")
     rows = rows.withColumn("norm", vector_norm(F.col("embedding"))).repartition(6)

@@ -13,8 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,14 +33,20 @@ PK = "pk"
 CONTENT = "content"
 EMBEDDING = "embedding"
 TEXTS_PER_COUNT = 256
+CLUSTER_SAMPLE = 200_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """The readable state of an index. ``docs`` holds pk, content, embedding, norm, dl and payload."""
+    """The readable state of an index.
+
+    ``docs`` holds pk, content, embedding, norm, dl and payload. With ``cells`` (cell, centroid,
+    radius, n_rows) it also holds the cell of each row, null for rows added since the clustering.
+    """
 
     docs: DataFrame
-    postings: DataFrame
+    postings: DataFrame | None
+    cells: DataFrame | None = None
 
 
 def check_dimension(df: DataFrame, dim: int, vector_col: str = EMBEDDING) -> tuple[DataFrame, DataFrame]:
@@ -133,9 +143,7 @@ def _with_vectors(
     rows: DataFrame, model: ModelFactory | None, dim: int, request_size: int
 ) -> DataFrame:
     if model is not None:
-        rows = use_all_cores(rows).withColumn(
-            EMBEDDING, embed(F.col(CONTENT), model, request_size)
-        )
+        rows = rows.withColumn(EMBEDDING, embed(F.col(CONTENT), model, request_size))
     wrong = F.raise_error(F.concat(F.lit(f"vector is not {dim} wide, pk: "), F.col(PK).cast("string")))
     size = F.size(EMBEDDING)
     return _document_rows(
@@ -165,7 +173,7 @@ def create_or_sync(
     if (vector is None) == (model is None):
         raise ValueError("give either a vector column or a model")
     spark = df.sparkSession
-    rows = _source_rows(df, pk, content, vector)
+    rows = _source_rows(use_all_cores(df), pk, content, vector)
     segments = _committed(spark, folder)
     if not segments:
         _write_segment(_with_vectors(rows, model, dim, request_size), folder, 0)
@@ -210,25 +218,79 @@ def open_index(spark: SparkSession, folder: str) -> Index:
             return rows.join(gone, dead, "left_anti")
 
         docs, postings = alive(docs), alive(postings)
-    return Index(docs.drop("segment"), postings.drop("segment"))
+    cells = f"{folder}/cells/segment={segments[0]}"
+    return Index(
+        docs.drop("segment"),
+        postings.drop("segment"),
+        spark.read.parquet(cells) if path_exists(spark, cells) else None,
+    )
 
 
-def compact(spark: SparkSession, folder: str) -> None:
+def compact(spark: SparkSession, folder: str, n_cells: int | None = None) -> None:
     """Write the present rows as one segment, so that searches need no look at deleted rows.
 
-    Calls no model. Old segments stay on disk for searches that have them open.
+    With ``n_cells`` the rows are also laid out by direction, so that a vector search can leave out
+    files and pages it need not read. Calls no model. Old segments stay on disk for searches that
+    have them open.
     """
-    segments = _committed(spark, folder)
-    if len(segments) < 2:
-        return
-    index, number = open_index(spark, folder), segments[-1] + 1
-    index.docs.write.mode("overwrite").parquet(f"{folder}/docs/segment={number}")
+    index, number = open_index(spark, folder), _committed(spark, folder)[-1] + 1
+    docs, target = index.docs.drop("cell", "angle"), f"{folder}/docs/segment={number}"
+    centroids = _centroids(docs, n_cells) if n_cells is not None else None
+    if centroids is None:
+        docs.write.mode("overwrite").parquet(target)
+    else:
+        placed = docs.select("*", *_placed(centroids))
+        placed = placed.repartitionByRange("cell", PK).sortWithinPartitions("cell", PK)
+        placed.write.mode("overwrite").parquet(target)
+        described = _describe_cells(spark.read.parquet(target), centroids)
+        described.write.mode("overwrite").parquet(f"{folder}/cells/segment={number}")
     index.postings.sortWithinPartitions("term", PK).write.mode("overwrite").parquet(
         f"{folder}/postings/segment={number}"
     )
     _commit(spark, folder, number, base=True)
 
 
+def _centroids(docs: DataFrame, n_cells: int) -> np.ndarray | None:
+    """Directions from k-means over a sample. A poor choice makes searches slower, not wrong."""
+    directed = docs.filter(F.col("norm") > 0).select(array_to_vector(EMBEDDING).alias("features"))
+    n_rows = directed.count()
+    if n_rows == 0:
+        return None
+    sampled = directed.sample(min(1.0, CLUSTER_SAMPLE / n_rows), seed=1)
+    means = KMeans(k=n_cells, distanceMeasure="cosine", seed=1, maxIter=10).fit(sampled)
+    centers = np.array(means.clusterCenters())
+    lengths = np.linalg.norm(centers, axis=1, keepdims=True)
+    return (centers / np.where(lengths > 0, lengths, 1))[lengths[:, 0] > 0]
+
+
+def _placed(centroids: np.ndarray) -> list[Column]:
+    """The number of the nearest centroid and the angle to it; null for a zero vector."""
+
+    @F.pandas_udf("cell int, angle double")
+    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vectors = np.stack(batch.to_numpy()).astype(np.float64)
+            lengths = np.linalg.norm(vectors, axis=1)
+            cosine = (vectors @ centroids.T) / np.where(lengths > 0, lengths, 1)[:, None]
+            angle = np.arccos(np.clip(cosine.max(axis=1), -1, 1))
+            yield pd.DataFrame({"cell": cosine.argmax(axis=1).astype("int32"), "angle": angle})
+
+    place = F.when(F.col("norm") > 0, nearest(F.col(EMBEDDING)))
+    return [place["cell"].alias("cell"), place["angle"].alias("angle")]
+
+
+def _describe_cells(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(cell, centroid, radius, n_rows), the radius being the largest angle of a row, rounded up."""
+    spark = docs.sparkSession
+    directions = spark.createDataFrame(
+        [(n, c.tolist()) for n, c in enumerate(centroids)], "cell int, centroid array<double>"
+    )
+    sizes = docs.groupBy("cell").agg(
+        (F.max("angle") + F.lit(1e-6)).alias("radius"), F.count(F.lit(1)).alias("n_rows")
+    )
+    return directions.join(sizes, "cell")
+
+
 def build_index(
     df: DataFrame,
     folder: str,

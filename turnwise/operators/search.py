@@ -91,10 +91,13 @@ class BestRows:
         return pd.DataFrame({"q": [], "score": [], PK: []})
 
 
-def _blocks(queries: DataFrame, size_of: Column, max_size: int) -> Iterator[list]:
+def _blocks(
+    queries: DataFrame, size_of: Column, max_size: int, cells: Cells | None = None
+) -> Iterator[list]:
     """Bounded lists of query rows. ``size_of`` is the number of values a row holds.
 
     Queries are stored once, cut into one folder per block, so a block is read without the others.
+    With ``cells`` a block holds queries of like direction, so that they read the same cells.
     """
     queries = stored(queries, "queries")
     measured = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(size_of).alias("size")).first()
@@ -105,12 +108,23 @@ def _blocks(queries: DataFrame, size_of: Column, max_size: int) -> Iterator[list
         yield queries.collect()
         return
     folder = work_folder(queries.sparkSession, "blocks")
-    block = F.pmod(F.xxhash64(QUERY), F.lit(n_blocks))
-    cut = queries.withColumn("block", block).repartition("block")
+    if cells is None:
+        cut = queries.repartition(n_blocks, QUERY)
+    else:
+        cut = queries.withColumn("cell", _nearest_cell(cells)).repartitionByRange(n_blocks, "cell", QUERY)
+    cut = cut.withColumn("block", F.spark_partition_id())
     cut.write.partitionBy("block").parquet(folder)
     cut = queries.sparkSession.read.parquet(folder)
     for number in range(n_blocks):
-        yield cut.filter(F.col("block") == number).drop("block").collect()
+        yield cut.filter(F.col("block") == number).select(queries.columns).collect()
+
+
+def _nearest_cell(cells: Cells) -> Column:
+    @F.pandas_udf(T.IntegerType())
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series((np.stack(vectors.to_numpy()) @ cells.centroids.T).argmax(axis=1), dtype="int32")
+
+    return nearest(F.col(EMBEDDING))
 
 
 def _union_of_blocks(spark: SparkSession, parts: Iterator[DataFrame], empty: T.StructType) -> DataFrame:
@@ -151,43 +165,101 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return top_k(hits, [QUERY], order, k, slice_of=hash_slices(F.col(PK), slices=64))
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Where the rows of a clustered index can be. At most as many as the index was cut into."""
+
+    numbers: np.ndarray
+    centroids: np.ndarray
+    radii: np.ndarray
+    n_rows: np.ndarray
+
+    @staticmethod
+    def of(cells: DataFrame) -> Cells:
+        rows = cells.orderBy("cell").collect()
+        centroids = np.array([r["centroid"] for r in rows])
+        lengths = np.linalg.norm(centroids, axis=1, keepdims=True)
+        return Cells(
+            np.array([r["cell"] for r in rows]),
+            centroids / np.where(lengths > 0, lengths, 1),
+            np.array([r["radius"] for r in rows]),
+            np.array([r["n_rows"] for r in rows]),
+        )
+
+    def highest(self, units: np.ndarray) -> np.ndarray:
+        """The highest cosine that a row of a cell can have, queries by cells."""
+        angles = np.arccos(np.clip(units @ self.centroids.T, -1, 1))
+        return np.cos(np.maximum(angles - self.radii, 0))
+
+    def first(self, units: np.ndarray, k: int) -> np.ndarray:
+        """Which cells to read first: for every query the nearest ones that hold ``k`` rows."""
+        order = np.argsort(-(units @ self.centroids.T), axis=1)
+        before = np.cumsum(self.n_rows[order], axis=1) - self.n_rows[order]
+        chosen = np.zeros(len(self.numbers), dtype=bool)
+        chosen[order[before < k]] = True
+        return chosen
+
+
+def _units(block: list) -> tuple[list, np.ndarray]:
+    """Ids and unit vectors of the queries that have a direction."""
+    vectors = np.array([row[EMBEDDING] for row in block], dtype=np.float64)
+    lengths = np.sqrt((vectors * vectors).sum(axis=1))
+    known = lengths > 0
+    ids = [row[QUERY] for row, ok in zip(block, known) if ok]
+    return ids, vectors[known] / lengths[known, None]
+
+
 def search_vector(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """(query_id, pk, score, rank) of the ``k`` rows with the highest cosine, exactly.
 
     ``queries`` holds query_id and embedding. Rows and queries without direction have no cosine and
-    are left out.
+    are left out. In an index with cells, the cells nearest to a query are read first; of the others
+    only those are read whose rows can, by their largest angle, still be among the best.
     """
+    spark = queries.sparkSession
     schema = _hit_schema(queries, index)
-    candidates = index.docs.filter(F.col("norm") > 0).select(PK, EMBEDDING, "norm")
-
-    def scan(block: list) -> DataFrame:
-        ids = [row[QUERY] for row in block]
-        wanted = np.array([row[EMBEDDING] for row in block], dtype=np.float64)
-        length = np.sqrt((wanted * wanted).sum(axis=1))
-        has_direction = length > 0
-        ids = [i for i, ok in zip(ids, has_direction) if ok]
-        wanted = wanted[has_direction] / length[has_direction, None]
+    columns = [PK, EMBEDDING, "norm"]
+    rows = index.docs.filter(F.col("norm") > 0)
+    cells = Cells.of(index.cells) if index.cells is not None else None
 
+    def scan(candidates: DataFrame, ids: list, units: np.ndarray) -> DataFrame:
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = BestRows(len(ids), k)
             for whole in batches:
                 for start in range(0, whole.num_rows, SCORED_ROWS):
                     batch = whole.slice(start, SCORED_ROWS)
                     flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                    rows = flat.reshape(batch.num_rows, -1).astype(np.float64)
+                    vectors = flat.reshape(batch.num_rows, -1).astype(np.float64)
                     norms = batch.column(2).to_numpy(zero_copy_only=False)
-                    cosine = (rows @ wanted.T) / norms[:, None]
+                    cosine = (vectors @ units.T) / norms[:, None]
                     keys = batch.column(0).to_pandas().to_numpy()
                     best.add(keys, np.round(cosine, DECIMALS) + 0.0)
             yield _as_hits(best, ids, schema)
 
+        return candidates.select(columns).mapInArrow(nearest, schema)
+
+    def answer(block: list) -> DataFrame:
+        ids, units = _units(block)
         if not ids:
-            return candidates.sparkSession.createDataFrame([], schema)
-        return candidates.mapInArrow(nearest, schema)
+            return spark.createDataFrame([], schema)
+        if cells is None:
+            return scan(rows, ids, units)
+        chosen = cells.first(units, k)
+        in_first = F.col("cell").isin(cells.numbers[chosen].tolist())
+        found = stored(_ranked(scan(rows.filter(in_first | F.col("cell").isNull()), ids, units), k), "near")
+        # At most k rows per query of the block.
+        worst = {r[QUERY]: r["score"] for r in found.filter(F.col("rank") == k).collect()}
+        reached = np.array([worst.get(i, -np.inf) for i in ids])
+        possible = (cells.highest(units) >= reached[:, None] - 10.0**-DECIMALS).any(axis=0) & ~chosen
+        found = found.drop("rank")
+        if not possible.any():
+            return found
+        others = rows.filter(F.col("cell").isin(cells.numbers[possible].tolist()))
+        return found.unionByName(scan(others, ids, units))
 
     valid = queries.filter(F.col(EMBEDDING).isNotNull()).select(QUERY, EMBEDDING)
-    parts = (scan(block) for block in _blocks(valid, F.size(EMBEDDING), BLOCK_VALUES) if block)
-    return _ranked(_union_of_blocks(queries.sparkSession, parts, schema), k)
+    parts = (answer(block) for block in _blocks(valid, F.size(EMBEDDING), BLOCK_VALUES, cells) if block)
+    return _ranked(_union_of_blocks(spark, parts, schema), k)
 
 
 def search_keyword(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:

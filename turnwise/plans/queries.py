@@ -27,6 +27,7 @@ from turnwise.operators.index import (
     Index,
     build_index,
     check_dimension,
+    compact,
     create_or_sync,
     open_index,
     term_counts,
@@ -891,13 +892,14 @@ def hybrid_hits_sql(docs: str, doc_id: str, asked: str, query_id: str, k: int) -
     """
 
 
-@query(
-    vector_hits_sql(
-        "SELECT vec_id AS id, unnest(range(len(embedding))) AS bucket, unnest(embedding)::DOUBLE AS v FROM embeddings",
-        hashed_vectors("benchmark", "item_id"),
-        K,
-    )
+KNN_SQL = vector_hits_sql(
+    "SELECT vec_id AS id, unnest(range(len(embedding))) AS bucket, unnest(embedding)::DOUBLE AS v FROM embeddings",
+    hashed_vectors("benchmark", "item_id"),
+    K,
 )
+
+
+@query(KNN_SQL)
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The given vectors nearest to each benchmark text's vector."""
     rows = table(spark, sf_dir, "embeddings").select(
@@ -907,6 +909,17 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_vector(asked, Index(rows, None), K)
 
 
+@query(KNN_SQL)
+def knn_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index laid out by direction, of which only the needed cells are read."""
+    folder = work_folder(spark, "index")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
+    create_or_sync(rows, folder, "vec_id", "label", DIM, vector="embedding")
+    compact(spark, folder, n_cells=32)
+    asked = search.embed_queries(_questions(spark, sf_dir), EMBEDDER)
+    return search.search_vector(asked, open_index(spark, folder), K)
+
+
 @query(keyword_hits_sql("documents", "doc_id", "benchmark", "item_id", K))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_keyword(
