@@ -30,7 +30,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written to the shared folder and read back, where it would be computed more than once."""
     folder = work_folder(df.sparkSession, purpose)
     df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def hash_slices(*columns: Column, slices: int = 1024) -> Column:

@@ -10,6 +10,7 @@ each file, so a search for a few terms skips most pages without any shuffle at b
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,10 +63,8 @@ def vector_norm(vector: Column) -> Column:
     return F.sqrt(squares)
 
 
-def term_counts(df: DataFrame, pk: str, text: str) -> DataFrame:
-    """(term, pk, tf, dl) per document and token. Each document is counted where it is read."""
-    pk_type = df.schema[pk].dataType
-    schema = T.StructType(
+def _posting_schema(pk_type: T.DataType) -> T.StructType:
+    return T.StructType(
         [
             T.StructField("term", T.StringType()),
             T.StructField(PK, pk_type),
@@ -74,6 +73,11 @@ def term_counts(df: DataFrame, pk: str, text: str) -> DataFrame:
         ]
     )
 
+
+def term_counts(df: DataFrame, pk: str, text: str) -> DataFrame:
+    """(term, pk, tf, dl) per document and token. Each document is counted where it is read."""
+    schema = _posting_schema(df.schema[pk].dataType)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, TEXTS_PER_COUNT):
@@ -106,9 +110,9 @@ def _document_rows(df: DataFrame) -> DataFrame:
 
 
 def _write_segment(docs: DataFrame, folder: str, segment: int) -> None:
-    spark = docs.sparkSession
-    docs.write.mode("overwrite").parquet(f"{folder}/docs/segment={segment}")
-    written = spark.read.parquet(f"{folder}/docs/segment={segment}")
+    target = f"{folder}/docs/segment={segment}"
+    docs.write.mode("overwrite").parquet(target)
+    written = docs.sparkSession.read.schema(docs.schema).parquet(target)
     (
         term_counts(use_all_cores(written.select(PK, CONTENT)), PK, CONTENT)
         .sortWithinPartitions("term", PK)
@@ -117,18 +121,26 @@ def _write_segment(docs: DataFrame, folder: str, segment: int) -> None:
     )
 
 
-def _commit(spark: SparkSession, folder: str, segment: int, base: bool = False) -> None:
-    marker = spark.range(1).select(F.lit(base).alias("base"))
+def _commit(docs: DataFrame, folder: str, segment: int, base: bool = False) -> None:
+    """Note a finished segment, with the schema of its documents: opening reads no file footers."""
+    marker = docs.sparkSession.range(1).select(
+        F.lit(base).alias("base"), F.lit(docs.schema.json()).alias("schema")
+    )
     marker.write.mode("overwrite").parquet(f"{folder}/commits/segment={segment}")
 
 
-def _committed(spark: SparkSession, folder: str) -> list[int]:
+def _committed(spark: SparkSession, folder: str) -> dict[int, T.StructType]:
     """The segments to read, oldest first: the last base and all that follow it."""
     if not path_exists(spark, f"{folder}/commits"):
-        return []
-    commits = spark.read.parquet(f"{folder}/commits").select("segment", "base").collect()
-    base = max((r["segment"] for r in commits if r["base"]), default=None)
-    return sorted(r["segment"] for r in commits if base is not None and r["segment"] >= base)
+        return {}
+    commits = spark.read.schema("base boolean, schema string, segment int").parquet(f"{folder}/commits")
+    rows = sorted(commits.collect(), key=lambda r: r["segment"])
+    base = max((r["segment"] for r in rows if r["base"]), default=None)
+    return {
+        r["segment"]: T.StructType.fromJson(json.loads(r["schema"]))
+        for r in rows
+        if base is not None and r["segment"] >= base
+    }
 
 
 def _source_rows(df: DataFrame, pk: str, content: str, vector: str | None) -> DataFrame:
@@ -176,22 +188,24 @@ def create_or_sync(
     rows = _source_rows(use_all_cores(df), pk, content, vector)
     segments = _committed(spark, folder)
     if not segments:
-        _write_segment(_with_vectors(rows, model, dim, request_size), folder, 0)
-        _commit(spark, folder, 0, base=True)
+        docs = _with_vectors(rows, model, dim, request_size)
+        _write_segment(docs, folder, 0)
+        _commit(docs, folder, 0, base=True)
         return
-    number = segments[-1] + 1
+    number = max(segments) + 1
     present = open_index(spark, folder).docs.select(PK, F.col("content_hash").alias("old_hash"))
     changed = change_kinds(present, rows.select(PK, F.col("content_hash").alias("new_hash")), [PK])
     changes = f"{folder}/changes/segment={number}"
     changed.write.mode("overwrite").parquet(changes)
-    changed = spark.read.parquet(changes)
+    changed = spark.read.schema(changed.schema).parquet(changes)
     if changed.isEmpty():
         return
     fresh = rows.join(changed.filter("change <> 'delete'").select(PK), PK, "left_semi")
-    _write_segment(_with_vectors(fresh, model, dim, request_size), folder, number)
+    docs = _with_vectors(fresh, model, dim, request_size)
+    _write_segment(docs, folder, number)
     gone = changed.filter("change <> 'insert'").select(PK)
     gone.write.mode("overwrite").parquet(f"{folder}/gone/segment={number}")
-    _commit(spark, folder, number)
+    _commit(docs, folder, number)
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
@@ -199,18 +213,21 @@ def open_index(spark: SparkSession, folder: str) -> Index:
     segments = _committed(spark, folder)
     if not segments:
         raise FileNotFoundError(f"no index in {folder}")
+    fields = {f.name: f for schema in segments.values() for f in schema.fields}
+    key = fields[PK]
+    numbered = T.StructField("segment", T.IntegerType())
 
-    def read(part: str) -> DataFrame:
-        return (
-            spark.read.option("mergeSchema", "true")
-            .parquet(f"{folder}/{part}")
-            .filter(F.col("segment").isin(segments))
-        )
+    def read(part: str, columns: list[T.StructField]) -> DataFrame:
+        rows = spark.read.schema(T.StructType([*columns, numbered])).parquet(f"{folder}/{part}")
+        return rows.filter(F.col("segment").isin(list(segments)))
 
-    docs, postings = read("docs"), read("postings")
+    docs = read("docs", list(fields.values()))
+    postings = read("postings", _posting_schema(key.dataType).fields)
     if len(segments) > 1:
         gone = (
-            read("gone").groupBy(F.col(PK).alias("gone_pk")).agg(F.max("segment").alias("gone_segment"))
+            read("gone", [key])
+            .groupBy(F.col(PK).alias("gone_pk"))
+            .agg(F.max("segment").alias("gone_segment"))
         )
 
         def alive(rows: DataFrame) -> DataFrame:
@@ -218,7 +235,7 @@ def open_index(spark: SparkSession, folder: str) -> Index:
             return rows.join(gone, dead, "left_anti")
 
         docs, postings = alive(docs), alive(postings)
-    cells = f"{folder}/cells/segment={segments[0]}"
+    cells = f"{folder}/cells/segment={min(segments)}"
     return Index(
         docs.drop("segment"),
         postings.drop("segment"),
@@ -233,21 +250,21 @@ def compact(spark: SparkSession, folder: str, n_cells: int | None = None) -> Non
     files and pages it need not read. Calls no model. Old segments stay on disk for searches that
     have them open.
     """
-    index, number = open_index(spark, folder), _committed(spark, folder)[-1] + 1
+    index, number = open_index(spark, folder), max(_committed(spark, folder)) + 1
     docs, target = index.docs.drop("cell", "angle"), f"{folder}/docs/segment={number}"
     centroids = _centroids(docs, n_cells) if n_cells is not None else None
     if centroids is None:
         docs.write.mode("overwrite").parquet(target)
     else:
-        placed = docs.select("*", *_placed(centroids))
-        placed = placed.repartitionByRange("cell", PK).sortWithinPartitions("cell", PK)
-        placed.write.mode("overwrite").parquet(target)
-        described = _describe_cells(spark.read.parquet(target), centroids)
+        docs = docs.select("*", *_placed(centroids))
+        docs = docs.repartitionByRange("cell", PK).sortWithinPartitions("cell", PK)
+        docs.write.mode("overwrite").parquet(target)
+        described = _describe_cells(spark.read.schema(docs.schema).parquet(target), centroids)
         described.write.mode("overwrite").parquet(f"{folder}/cells/segment={number}")
     index.postings.sortWithinPartitions("term", PK).write.mode("overwrite").parquet(
         f"{folder}/postings/segment={number}"
     )
-    _commit(spark, folder, number, base=True)
+    _commit(docs, folder, number, base=True)
 
 
 def _centroids(docs: DataFrame, n_cells: int) -> np.ndarray | None:

@@ -114,7 +114,7 @@ def _blocks(
         cut = queries.withColumn("cell", _nearest_cell(cells)).repartitionByRange(n_blocks, "cell", QUERY)
     cut = cut.withColumn("block", F.spark_partition_id())
     cut.write.partitionBy("block").parquet(folder)
-    cut = queries.sparkSession.read.parquet(folder)
+    cut = queries.sparkSession.read.schema(cut.schema).parquet(folder)
     for number in range(n_blocks):
         yield cut.filter(F.col("block") == number).select(queries.columns).collect()
 
@@ -355,10 +355,9 @@ def embed_queries(
 ) -> DataFrame:
     """Questions get their vector from the model that embedded the rows.
 
-    The result is stored, so that measuring and cutting it into blocks calls no model.
+    A search stores its queries before it uses them, so each question is sent once per search.
     """
-    vectors = embed(F.col("text"), model, request_size)
-    return stored(use_all_cores(queries).withColumn(EMBEDDING, vectors), "embedded")
+    return use_all_cores(queries).withColumn(EMBEDDING, embed(F.col("text"), model, request_size))
 
 
 def with_columns(hits: DataFrame, index: Index, columns: list[str]) -> DataFrame:
