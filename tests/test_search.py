@@ -78,7 +78,7 @@ def best_cosines(rows, queries, k, key):
 @pytest.mark.parametrize("as_text", [False, True])
 def test_vector_search_equals_brute_force(spark, vectors, monkeypatch, block_queries, as_text):
     monkeypatch.setattr(search, "BLOCK_QUERIES", block_queries)
-    monkeypatch.setattr(search, "SCORED_ROWS", 64)
+    monkeypatch.setattr(search, "SCORED_CELLS", 640)
     queries = vectors[:10].copy()
     rows = vector_table(spark, vectors, "pk", as_text).withColumn("norm", vector_norm(F.col("embedding")))
     hits = search.search_vector(vector_table(spark, queries, "query_id"), Index(rows.repartition(5), None), 9)
@@ -177,7 +177,7 @@ def index(spark, documents, tmp_path_factory):
 @pytest.mark.parametrize("block_queries", [4096, 2])
 def test_keyword_search_equals_brute_force(spark, index, documents, monkeypatch, block_queries):
     monkeypatch.setattr(search, "BLOCK_QUERIES", block_queries)
-    monkeypatch.setattr(search, "SCORED_ROWS", 50)
+    monkeypatch.setattr(search, "SCORED_CELLS", 500)
     queries = dict(enumerate([*texts_of(6, 3), "Alpha ALPHA, kappa!", "unknown words", "", "..."]))
     asked = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
     hits = search.search_keyword(asked, index, 7)

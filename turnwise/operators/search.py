@@ -42,7 +42,7 @@ DECIMALS = 6
 BLOCK_QUERIES = 4096
 BLOCK_VALUES = 4_000_000
 BLOCK_TERMS = 200_000
-SCORED_ROWS = 1024
+SCORED_CELLS = 1 << 22  # a task scores so many (row, query) pairs at a time
 PUSHED_TERMS = 1000  # up to this many terms also reach the parquet reader as an IN filter
 
 QUERY = "query_id"
@@ -225,9 +225,10 @@ def search_vector(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     def scan(candidates: DataFrame, ids: list, units: np.ndarray) -> DataFrame:
         def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = BestRows(len(ids), k)
+            step = max(64, SCORED_CELLS // len(ids))
             for whole in batches:
-                for start in range(0, whole.num_rows, SCORED_ROWS):
-                    batch = whole.slice(start, SCORED_ROWS)
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
                     flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
                     vectors = flat.reshape(batch.num_rows, -1).astype(np.float64)
                     norms = batch.column(2).to_numpy(zero_copy_only=False)
@@ -298,9 +299,10 @@ def search_keyword(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = BestRows(len(ids), k)
+            step = max(64, SCORED_CELLS // len(ids))
             for whole in batches:
-                for start in range(0, whole.num_rows, SCORED_ROWS):
-                    batch = whole.slice(start, SCORED_ROWS)
+                for start in range(0, whole.num_rows, step):
+                    batch = whole.slice(start, step)
                     lists = batch.column(1)
                     parts = lists.flatten()
                     doc = np.asarray(lists.value_parent_indices())
