@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from turnwise.functions.nested import append_frames
 from turnwise.functions.text import mask_pii, stand_in, tag_role, tokens
 from turnwise.operators.changes import change_rows
-from turnwise.operators.distribution import hash_slices, order_slices, spread_join, stored, top_k
+from turnwise.operators.distribution import hash_slices, spread_join, stored, top_k
 
 
 def hot_rows(spark):
@@ -20,14 +20,21 @@ def test_spread_join_equals_join(spark):
     rows = hot_rows(spark)
     facts = rows.filter("key <> 'none'").groupBy("key").agg(F.max("n").alias("top"))
     for how in ("inner", "left"):
-        for spread in (order_slices(F.col("n"), 100), hash_slices(F.col("n"), slices=16)):
-            found = spread_join(rows, facts, ["key"], spread, how)
+        for hot in (100, 4000, 1_000_000):
+            found = spread_join(rows, facts, ["key"], [F.col("n")], how, hot_rows=hot)
             expected = rows.join(facts, ["key"], how)
             assert found.columns == expected.columns
             assert found.exceptAll(expected).count() == 0
             assert expected.exceptAll(found).count() == 0
 
 
+def test_spread_join_keeps_null_keys(spark):
+    rows = spark.createDataFrame([(None, 1), ("a", 2), ("a", 3)], "key string, n bigint")
+    facts = spark.createDataFrame([("a", 5), (None, 6)], "key string, top bigint")
+    found = spread_join(rows, facts, ["key"], [F.col("n")], "left", hot_rows=1)
+    assert sorted((r["n"], r["top"]) for r in found.collect()) == [(1, None), (2, 5), (3, 5)]
+
+
 def test_spread_join_spreads_a_hot_key(spark):
     """Without broadcasts, no task of the final join holds the hot key as a whole."""
     settings = {
@@ -41,7 +48,7 @@ def test_spread_join_spreads_a_hot_key(spark):
     try:
         rows = hot_rows(spark)
         facts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-        joined = spread_join(rows, facts, ["key"], order_slices(F.col("n"), 100))
+        joined = spread_join(rows, facts, ["key"], [F.col("n")], hot_rows=100)
         sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == 10_000
         assert max(sizes) < 2500

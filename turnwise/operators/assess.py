@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.config import path_exists
 from turnwise.functions.models import ModelFactory, infer
 from turnwise.functions.text import content_key
-from turnwise.operators.distribution import hash_slices, spread_join
+from turnwise.operators.distribution import spread_join
 from turnwise.schemas import (
     ASSESSMENT,
     PARTICIPANT_INTEGERS,
@@ -44,8 +44,8 @@ def infer_once(
         )
     )
     rest = [c for c in prompts.columns if c != prompt_col]
-    slices = hash_slices(*[F.col(c) for c in rest]) if rest else F.lit(0)
-    return spread_join(keyed, answers, ["prompt_key"], slices)
+    spread = [F.col(c) for c in rest] or [F.lit(0)]
+    return spread_join(keyed, answers, ["prompt_key"], spread)
 
 
 def parse_assessment(df: DataFrame, response: str = "response") -> DataFrame:

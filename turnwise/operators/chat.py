@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.models import ModelFactory, infer
 from turnwise.functions.nested import all_but_last, fill_template, last_or_null
-from turnwise.operators.distribution import hash_slices, order_slices, spread_join, stored
+from turnwise.operators.distribution import spread_join, stored
 from turnwise.operators.index import CONTENT, PK, Index
 from turnwise.operators.search import (
     QUERY,
@@ -95,20 +95,28 @@ def prompt_of(messages: Column, context: Column, template: str = ANSWER_TEMPLATE
 
 
 def check_messages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split off messages without role or text and messages that share conversation and turn."""
+    """Split off messages without role or text and messages that share conversation and turn.
+
+    Copies are counted before anything is joined, so no task sees a message as often as it occurs.
+    """
+    in_turn = rows.groupBy("conv_id", "turn").agg(
+        F.count(F.lit(1)).alias("in_turn"), F.first("role").alias("role"), F.first("text").alias("text")
+    )
+    alone = (F.col("in_turn") == 1) & F.col("role").isNotNull() & F.col("text").isNotNull()
+    good = in_turn.filter(alone).select("conv_id", "turn", "role", "text")
+
     copies = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-    per_turn = copies.groupBy("conv_id", "turn").agg(F.sum("copies").alias("in_turn"))
+    per_turn = rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("in_turn"))
+    per_turn = per_turn.filter(F.col("in_turn") > 1)
     joined = spread_join(
-        copies, per_turn, ["conv_id", "turn"], hash_slices(F.col("role"), F.col("text"))
+        copies, per_turn, ["conv_id", "turn"], [F.col("role"), F.col("text")], how="left"
     )
     problem = (
         F.when(F.col("role").isNull(), "no role")
         .when(F.col("text").isNull(), "no text")
-        .when(F.col("in_turn") > 1, "turn is not unique")
+        .when(F.col("in_turn").isNotNull(), "turn is not unique")
     )
-    checked = joined.withColumn("problem", problem)
-    good = checked.filter(F.col("problem").isNull()).select("conv_id", "turn", "role", "text")
-    bad = checked.filter(F.col("problem").isNotNull())
+    bad = joined.withColumn("problem", problem).filter(F.col("problem").isNotNull())
     return good, bad.select("conv_id", "turn", "role", "text", "copies", "problem")
 
 
@@ -152,12 +160,11 @@ def newest_turns(rows: DataFrame, n: int) -> DataFrame:
 def pack_messages(rows: DataFrame, max_turns: int) -> DataFrame:
     """(conv_id, messages) for conversations of at most ``max_turns`` rows.
 
-    Longer ones are taken out before anything is gathered. The join that does so is spread over
-    slices of a conversation.
+    Longer ones are taken out before anything is gathered.
     """
     sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_rows"))
     fitting = sizes.filter(F.col("n_rows") <= max_turns).select("conv_id")
-    kept = spread_join(rows, fitting, ["conv_id"], order_slices(F.col("turn")))
+    kept = spread_join(rows, fitting, ["conv_id"], [F.col("turn")])
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
     return (
         kept.groupBy("conv_id")

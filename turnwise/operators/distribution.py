@@ -7,23 +7,41 @@ from pyspark.sql import functions as F
 
 from turnwise.config import work_folder
 
-SPREAD = "_spread"
+SPREAD, SLICES = "_spread", "_slices"
+HOT_ROWS = 1_000_000
+MOST_HOT_KEYS = 100_000
 
 
 def spread_join(
-    rows: DataFrame, facts: DataFrame, on: list[str], spread: Column, how: str = "inner"
+    rows: DataFrame,
+    facts: DataFrame,
+    on: list[str],
+    spread: list[Column],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join many ``rows`` per key with one ``facts`` row per key, also where one key is very frequent.
 
-    ``spread`` cuts the rows of a key into slices. Facts are first joined with the distinct
-    (key, slice) pairs, of which even a hot key has few, and the rows then join on key and slice, so
-    their tasks hold a slice and not a key. No row is left out and no key is copied to a slice it
-    does not have. Where ``facts`` turns out small, adaptive execution broadcasts it instead.
-    ``rows`` is read twice: pass a table or a cheap plan over one, or ``stored`` rows.
+    A key with more than ``hot_rows`` rows is hot. Its rows are cut by a hash of ``spread`` into
+    slices of about that size, its facts are copied to these slices, and the join is on key and
+    slice. Other keys are one slice. Only the keys are read to find the hot ones. A key also has to
+    own more than the ``MOST_HOT_KEYS``-th part of all rows to be hot, so there are fewer hot keys
+    than that and as many copies at most, however large the data: the list is safe to broadcast.
     """
-    sliced = rows.withColumn(SPREAD, spread)
-    pairs = sliced.select(*on, SPREAD).distinct()
-    return sliced.join(pairs.join(facts, on), [*on, SPREAD], how).drop(SPREAD)
+    total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    least = F.greatest(F.lit(hot_rows), F.ceil(total / F.lit(MOST_HOT_KEYS)))
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.max(least).alias("_least"))
+    hot = F.broadcast(
+        sizes.filter(F.col("_n") > F.col("_least")).select(
+            *on, F.ceil(F.col("_n") / F.col("_least")).alias(SLICES)
+        )
+    )
+    slices = F.coalesce(F.col(SLICES), F.lit(1).cast("long"))
+    cut = rows.join(hot, on, "left").withColumn(SPREAD, F.pmod(F.xxhash64(*spread), slices))
+    copied = facts.join(hot, on, "left").withColumn(
+        SPREAD, F.explode(F.sequence(F.lit(0).cast("long"), slices - 1))
+    )
+    return cut.drop(SLICES).join(copied.drop(SLICES), [*on, SPREAD], how).drop(SPREAD)
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

@@ -365,5 +365,5 @@ def embed_queries(
 def with_columns(hits: DataFrame, index: Index, columns: list[str]) -> DataFrame:
     """Hits with the caller's choice of index columns. A row may be a hit of very many queries."""
     payload = index.docs.select(PK, *[c for c in columns if c != PK])
-    joined = spread_join(stored(hits, "hits"), payload, [PK], hash_slices(F.col(QUERY), slices=64))
+    joined = spread_join(stored(hits, "hits"), payload, [PK], [F.col(QUERY)])
     return joined.select(QUERY, PK, "rank", "score", *[c for c in columns if c != PK])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.nested import fill_template, first_or_null, quoted
-from turnwise.operators.distribution import hash_slices, order_slices, spread_join
+from turnwise.operators.distribution import order_slices, spread_join
 
 # Fixed value: what stands between a speaker and the spoken text.
 SPEAKER_SEPARATOR = " : "
@@ -71,7 +71,7 @@ def label_speakers_rows(sentences: DataFrame, attendees: DataFrame) -> DataFrame
         sentences,
         labels,
         ["conversation_id", "recording_attendee_id"],
-        order_slices(F.col("order_number")),
+        [F.col("order_number")],
         how="left",
     )
     line = speaker_line(F.col("label"), F.col("recording_attendee_id"), F.col("text"))
@@ -140,7 +140,7 @@ def talk_time(sentences: DataFrame) -> DataFrame:
     )
     totals = sentences.groupBy("conversation_id").agg(spoken.alias("call_seconds"))
     joined = spread_join(
-        speakers, totals, ["conversation_id"], hash_slices(F.col("recording_attendee_id"))
+        speakers, totals, ["conversation_id"], [F.col("recording_attendee_id")]
     )
     share = F.when(F.col("call_seconds") != 0, 100 * F.col("seconds") / F.col("call_seconds"))
     return joined.select(
