@@ -3,9 +3,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnwise.functions.nested import append_frames
+from turnwise.operators import chat, distribution, transcript
 from turnwise.functions.text import mask_pii, stand_in, tag_role, tokens
 from turnwise.operators.changes import change_rows
 from turnwise.operators.distribution import hash_slices, spread_join, stored, top_k
+from turnwise.plans import derived
 
 
 def hot_rows(spark):
@@ -57,6 +59,31 @@ def test_spread_join_spreads_a_hot_key(spark):
             spark.conf.set(k, v)
 
 
+def test_operators_with_a_hot_conversation(spark, monkeypatch):
+    """The same results with every key of more than 20 rows cut into slices."""
+    n = F.col("id")
+    turns = spark.range(3000).select(
+        F.when(n < 1000, 0).otherwise((n / 5).cast("long")).cast("long").alias("conv_id"),
+        F.when(n < 1000, n).otherwise(n % 5).alias("turn"),
+        F.when(n % 3 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("text "), n.cast("string")).alias("text"),
+    )
+    sentences, attendees = derived.turns_as_sentences(turns), derived.roles_as_attendees(turns)
+
+    def results():
+        lines = transcript.label_speakers_rows(sentences, attendees)
+        packed = chat.pack_messages(turns, 500).select("conv_id", F.to_json("messages").alias("m"))
+        return [
+            sorted(map(tuple, df.collect()))
+            for df in (lines, transcript.talk_time(sentences), packed)
+        ]
+
+    plain = results()
+    monkeypatch.setattr(distribution, "HOT_ROWS", 20)
+    assert results() == plain
+    assert [len(rows) for rows in plain] == [3000, 802, 400]
+
+
 def test_top_k_by_slices_equals_top_k(spark):
     rows = hot_rows(spark).withColumn("score", F.pmod(F.col("n") * 7, F.lit(50)))
     order = [F.col("score").desc(), F.col("n").asc()]

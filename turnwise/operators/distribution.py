@@ -18,18 +18,18 @@ def spread_join(
     on: list[str],
     spread: list[Column],
     how: str = "inner",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Join many ``rows`` per key with one ``facts`` row per key, also where one key is very frequent.
 
-    A key with more than ``hot_rows`` rows is hot. Its rows are cut by a hash of ``spread`` into
+    A key with more than ``hot_rows`` rows, a million by default, is hot. Its rows are cut by a hash of ``spread`` into
     slices of about that size, its facts are copied to these slices, and the join is on key and
     slice. Other keys are one slice. Only the keys are read to find the hot ones. A key also has to
     own more than the ``MOST_HOT_KEYS``-th part of all rows to be hot, so there are fewer hot keys
     than that and as many copies at most, however large the data: the list is safe to broadcast.
     """
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    least = F.greatest(F.lit(hot_rows), F.ceil(total / F.lit(MOST_HOT_KEYS)))
+    least = F.greatest(F.lit(hot_rows or HOT_ROWS), F.ceil(total / F.lit(MOST_HOT_KEYS)))
     sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.max(least).alias("_least"))
     hot = F.broadcast(
         sizes.filter(F.col("_n") > F.col("_least")).select(
