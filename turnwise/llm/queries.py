@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from turnwise.config import ship_package
 from turnwise.llm import oracles
 from turnwise.llm.secrets import find_secrets
+from turnwise.llm.simhash import simhash_groups
 from turnwise.llm.tokens import count_tokens
+from turnwise.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +39,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model trained on the labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query()
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every document over four-word shingles, and groups linked at four bits or fewer."""
+    return simhash_groups(_table(spark, sf_dir, "documents"))
+
+
 @_query(oracles.SECRETS)
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document, by one automaton for all rules."""
