@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from turnwise.llm.licenses import COVERAGE, FUNCTION_WORDS, SHORT_GRAMS, SLACK, STRETCH, TEMPLATES
+from turnwise.llm.quality import STOP_WORDS
+
 # Kind, pattern, number of the group that has to be long enough, least length.
 _SECRET_KINDS = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -53,3 +56,106 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN joined USING (row_id)
 """
+
+
+_STOP_WORDS = ", ".join(_quoted(w) for w in sorted(set(STOP_WORDS)))
+_CAPITAL, _LETTER = r"'[^\p{Lu}]+', '', 'g'", r"'[^\p{L}]+', '', 'g'"
+QUALITY = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS list
+  FROM documents),
+words AS (
+  SELECT row_id, unnest(list) AS word, unnest(generate_series(1, len(list))) AS place FROM docs),
+windows AS (
+  SELECT row_id, place, word AS a, lead(word) OVER w AS b, lead(word, 2) OVER w AS c
+  FROM words WINDOW w AS (PARTITION BY row_id ORDER BY place)),
+twice AS (
+  SELECT row_id, place FROM windows WHERE c IS NOT NULL
+  QUALIFY count(*) OVER (PARTITION BY row_id, a, b, c) > 1),
+repeats AS (
+  SELECT row_id, count(DISTINCT spot) AS n FROM (SELECT row_id, unnest([place, place + 1, place + 2]) AS spot FROM twice)
+  GROUP BY row_id),
+lines AS (
+  SELECT row_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+  FROM (SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY row_id),
+stops AS (SELECT row_id, count(*) AS n FROM words WHERE lower(word) IN ({_STOP_WORDS}) GROUP BY row_id),
+counts AS (
+  SELECT doc_id, len(list)::BIGINT AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(lines.n, 0) AS n_lines, coalesce(stops.n, 0) AS n_stop_words,
+    length(regexp_replace(text, {_CAPITAL})) AS n_capitals, length(regexp_replace(text, {_LETTER})) AS n_letters
+  FROM docs LEFT JOIN lines USING (row_id) LEFT JOIN repeats USING (row_id) LEFT JOIN stops USING (row_id)),
+ratios AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0::DOUBLE END AS mean_word_chars,
+    CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0.0::DOUBLE END AS symbol_ratio,
+    CASE WHEN n_words > 0 THEN n_stop_words / n_words ELSE 0.0::DOUBLE END AS stop_word_ratio,
+    CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0.0::DOUBLE END AS dup_line_ratio,
+    CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0::DOUBLE END AS repeat_word_ratio,
+    CASE WHEN n_letters > 0 THEN n_capitals / n_letters ELSE 0.0::DOUBLE END AS capital_ratio
+  FROM counts)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_words BETWEEN 50 AND 100000 AND mean_word_chars BETWEEN 2.0 AND 15.0 AND symbol_ratio <= 0.1
+    AND stop_word_ratio >= 0.02 AND dup_line_ratio <= 0.5 AND repeat_word_ratio <= 0.5 AND capital_ratio <= 0.5 AS kept,
+  mean_word_chars, symbol_ratio, stop_word_ratio, dup_line_ratio, repeat_word_ratio, capital_ratio
+FROM ratios
+"""
+
+_TEMPLATES = ",\n".join(
+    f"({_quoted(t.label)}, {number}, {_quoted(t.text)}, {str(t.base).lower()})" for number, t in enumerate(TEMPLATES)
+)
+_FUNCTION_WORDS = ", ".join(_quoted(w) for w in FUNCTION_WORDS)
+_WORDS = (
+    r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    r" '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+LICENSES = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, {_WORDS.format("coalesce(text, '')")} AS list FROM documents),
+templates AS (
+  SELECT label, number, base, {_WORDS.format("text")} AS list FROM (VALUES {_TEMPLATES}) AS t(label, number, text, base)),
+template_grams AS (
+  SELECT * FROM (
+    SELECT number, label, base, len(list) AS size, unnest(list[1:len(list) - 1]) AS a, unnest(list[2:]) AS b,
+      unnest(generate_series(0, len(list) - 2)) AS place
+    FROM templates)
+  WHERE NOT (a IN ({_FUNCTION_WORDS}) AND b IN ({_FUNCTION_WORDS}))),
+shapes AS (
+  SELECT number, label, base, size, count(*) AS n_grams,
+    CASE WHEN count(*) <= {SHORT_GRAMS} THEN 1.0 ELSE {COVERAGE} END AS share,
+    CASE WHEN count(*) <= {SHORT_GRAMS} THEN 0 ELSE {SLACK} END AS slack
+  FROM template_grams GROUP BY ALL),
+grams AS (
+  SELECT row_id, unnest(list[1:len(list) - 1]) AS a, unnest(list[2:]) AS b, unnest(generate_series(0, len(list) - 2)) AS place
+  FROM docs WHERE len(list) > 1),
+votes AS (
+  SELECT g.row_id, t.number, g.place - t.place AS diagonal, t.place AS t_place
+  FROM grams g JOIN template_grams t USING (a, b)),
+banded AS (
+  SELECT *, sum(CASE WHEN diagonal - before > slack OR before IS NULL THEN 1 ELSE 0 END)
+    OVER (PARTITION BY row_id, number ORDER BY diagonal RANGE UNBOUNDED PRECEDING) AS band
+  FROM (
+    SELECT v.*, s.slack, lag(diagonal) OVER (PARTITION BY row_id, v.number ORDER BY diagonal) AS before
+    FROM votes v JOIN shapes s USING (number))),
+spans AS (
+  SELECT row_id, label, base, covered / n_grams AS coverage, start
+  FROM (
+    SELECT row_id, number, band, count(DISTINCT t_place) AS covered, min(diagonal + t_place) AS start,
+      max(diagonal + t_place) + 2 AS stop
+    FROM banded GROUP BY ALL) JOIN shapes USING (number)
+  WHERE covered >= share * n_grams AND stop - start <= {STRETCH} * size),
+found AS (
+  SELECT row_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+    max(start) FILTER (base) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM spans GROUP BY row_id)
+SELECT doc_id, len(list)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0)::DOUBLE AS score
+FROM docs LEFT JOIN found USING (row_id)
+"""

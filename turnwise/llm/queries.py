@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.config import ship_package
 from turnwise.llm import oracles
+from turnwise.llm.language import fit_language, identify_language
+from turnwise.llm.licenses import scan_licenses
+from turnwise.llm.quality import score_quality
 from turnwise.llm.secrets import find_secrets
 from turnwise.llm.simhash import simhash_groups
 from turnwise.llm.tokens import count_tokens
@@ -33,6 +36,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query(oracles.LICENSES)
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 @_query()
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document by the byte-level tokenizer with 50,257 ids."""
@@ -52,6 +61,19 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+@_query(oracles.QUALITY)
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, ratios and verdict of every document."""
+    return score_quality(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model of the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return identify_language(docs, fit_language(docs))
+
+
 @_query(oracles.SECRETS)
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document, by one automaton for all rules."""
