@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnwise.config import ship_package
 from turnwise.llm import oracles
+from turnwise.llm.decontaminate import find_contaminated
 from turnwise.llm.language import fit_language, identify_language
 from turnwise.llm.licenses import scan_licenses
+from turnwise.llm.mixing import mix_sources
 from turnwise.llm.quality import score_quality
 from turnwise.llm.secrets import find_secrets
 from turnwise.llm.simhash import simhash_groups
@@ -74,6 +76,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, fit_language(docs))
 
 
+@_query()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, as they are or with other values."""
+    return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_query()
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in an order mixed by the square roots of the source sizes."""
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 @_query(oracles.SECRETS)
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document, by one automaton for all rules."""
