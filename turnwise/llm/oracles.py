@@ -159,3 +159,86 @@ SELECT doc_id, len(list)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_ba
   coalesce(score, 0.0)::DOUBLE AS score
 FROM docs LEFT JOIN found USING (row_id)
 """
+
+
+PII_KEY = "example key"
+_TOKEN = _quoted(
+    r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}"
+    r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
+    r"|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{1,19}(?:-[0-9]{1,19})+|[0-9]{1,19}(?:\.[0-9]{1,19})+"
+    r"|[0-9]{1,19}(?:/[0-9]{1,19})+|[0-9]{13,}"
+)
+
+
+def _round(number: int) -> str:
+    """One round of the permutation: the halves take turns."""
+    changed, other = ("a", "b") if number % 2 else ("b", "a")
+    digest = f"('0x' || substr(sha256(concat_ws('|', {_quoted(PII_KEY)}, kind, size_a, size_b, {number}, {other})), 1, 12))::BIGINT"
+    return f"SELECT * REPLACE (({changed} + {digest}) % size_{changed} AS {changed}) FROM round{number - 1}"
+
+
+def _check_digit(digits: str) -> str:
+    digit = f"substr({digits}, i, 1)::INT"
+    weighed = f"CASE WHEN (length({digits}) - i) % 2 <> 0 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END"
+    return f"(10 - list_sum([{weighed} FOR i IN generate_series(1, length({digits}))]) % 10) % 10"
+
+
+PERSONAL_DATA = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, text, regexp_extract_all(text, {_TOKEN}) AS found,
+    regexp_split_to_array(text, {_TOKEN}) AS pieces
+  FROM documents),
+tokens AS (SELECT row_id, unnest(found) AS m, unnest(generate_series(1, len(found))) AS n FROM docs),
+dated AS (
+  SELECT *, CASE WHEN regexp_full_match(m, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_cast(m AS DATE)
+    WHEN regexp_full_match(m, '[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}') THEN try_cast(m[7:10] || '-' || m[4:5] || '-' || m[1:2] AS DATE) END AS day
+  FROM tokens),
+kinds AS (
+  SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits, CASE
+    WHEN m LIKE '%@%' THEN 'email'
+    WHEN m[1] IN ('+', '(') OR regexp_full_match(m, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}') THEN 'phone'
+    WHEN regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') THEN 'ssn'
+    WHEN regexp_full_match(m, '((25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])[.]){{3}}(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])') THEN 'ip'
+    WHEN year(day) BETWEEN 1700 AND 2099 THEN 'date'
+    WHEN regexp_full_match(m, '[0-9]{{13,19}}|[0-9]{{4}}( [0-9]{{4}}){{3}}|[0-9]{{4}}(-[0-9]{{4}}){{3}}') THEN 'card' END AS kind
+  FROM dated),
+bodies AS (
+  SELECT *, CASE WHEN m LIKE '+%' THEN regexp_extract(m, '[0-9]+') ELSE '' END AS fixed,
+    CASE WHEN kind = 'card' THEN digits[:-2] WHEN kind = 'phone' AND m LIKE '+%' THEN digits[length(regexp_extract(m, '[0-9]+')) + 1:]
+      WHEN kind IN ('phone', 'ssn') THEN digits END AS body,
+    string_split(m, '.') AS octets, date_diff('day', DATE '1700-01-01', day) AS since
+  FROM kinds),
+round0 AS (
+  SELECT *, length(body) // 2 AS half,
+    CASE kind WHEN 'ip' THEN octets[1]::BIGINT * 256 + octets[2]::BIGINT WHEN 'date' THEN since // 5411
+      ELSE try_cast(body[1:length(body) // 2] AS BIGINT) END AS a,
+    CASE kind WHEN 'ip' THEN octets[3]::BIGINT * 256 + octets[4]::BIGINT WHEN 'date' THEN since % 5411
+      ELSE try_cast(body[length(body) // 2 + 1:] AS BIGINT) END AS b,
+    CASE kind WHEN 'ip' THEN 65536 WHEN 'date' THEN 27 ELSE (10 ** (length(body) // 2))::BIGINT END AS size_a,
+    CASE kind WHEN 'ip' THEN 65536 WHEN 'date' THEN 5411 ELSE (10 ** (length(body) - length(body) // 2))::BIGINT END AS size_b
+  FROM bodies),
+{", ".join(f"round{r} AS ({_round(r)})" for r in range(1, 9))},
+permuted AS (
+  SELECT *, lpad(a::VARCHAR, half::INT, '0') || lpad(b::VARCHAR, (length(body) - half)::INT, '0') AS new_body FROM round8),
+numbers AS (
+  SELECT *, fixed || new_body || CASE WHEN kind = 'card'
+    THEN ((digits[-1]::INT - {_check_digit("body")} + 10 + {_check_digit("new_body")}) % 10)::BIGINT::VARCHAR ELSE '' END AS new_digits
+  FROM permuted),
+renewed AS (
+  SELECT row_id, n, kind, CASE
+    WHEN kind = 'email' THEN 'u' || substr(sha256(concat_ws('|', {_quoted(PII_KEY)}, 'email', lower(m))), 1, 12) || '@mail.invalid'
+    WHEN kind = 'ip' THEN concat_ws('.', a // 256, a % 256, b // 256, b % 256)
+    WHEN kind = 'date' THEN CASE WHEN m LIKE '%-%' THEN strftime(DATE '1700-01-01' + (a * 5411 + b)::INT, '%Y-%m-%d')
+      ELSE strftime(DATE '1700-01-01' + (a * 5411 + b)::INT, '%d/%m/%Y') END
+    WHEN kind IS NULL THEN m
+    ELSE array_to_string([CASE WHEN m[i] BETWEEN '0' AND '9' THEN new_digits[length(regexp_replace(m[1:i], '[^0-9]', '', 'g'))]
+      ELSE m[i] END FOR i IN generate_series(1, length(m))], '') END AS new
+  FROM numbers),
+joined AS (
+  SELECT row_id, string_agg(new || pieces[n + 1], '' ORDER BY n) AS rest, count(kind) AS n_replaced,
+    {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("email", "phone", "card", "ssn", "ip", "date"))}
+  FROM renewed JOIN docs USING (row_id) GROUP BY row_id)
+SELECT doc_id, CASE WHEN rest IS NULL THEN text ELSE pieces[1] || rest END AS text,
+  {", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in ("n_replaced", "n_email", "n_phone", "n_card", "n_ssn", "n_ip", "n_date"))}
+FROM docs LEFT JOIN joined USING (row_id)
+"""

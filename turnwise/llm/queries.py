@@ -7,18 +7,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from turnwise.config import ship_package
 from turnwise.llm import oracles
 from turnwise.llm.decontaminate import find_contaminated
 from turnwise.llm.language import fit_language, identify_language
 from turnwise.llm.licenses import scan_licenses
 from turnwise.llm.mixing import mix_sources
+from turnwise.llm.pii import pseudonymise
 from turnwise.llm.quality import score_quality
 from turnwise.llm.secrets import find_secrets
 from turnwise.llm.simhash import simhash_groups
 from turnwise.llm.tokens import count_tokens
 from turnwise.llm.toxicity import fit_toxicity, score_toxicity
 
+# The key of the registered query only; a deployment passes its own secret.
+PII_KEY = oracles.PII_KEY
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -63,6 +67,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+@_query(oracles.PERSONAL_DATA)
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms of the same format."""
+    return pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 @_query(oracles.QUALITY)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, ratios and verdict of every document."""
@@ -92,3 +102,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All secrets of every document, by one automaton for all rules."""
     return find_secrets(_table(spark, sf_dir, "documents"))
+
+
+@_query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of the corpus pipeline, one after the other."""
+    return corpus_pipeline.run(spark, sf_dir)
