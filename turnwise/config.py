@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -60,10 +61,16 @@ def build_session(app: str = "turnwise", cores: str = "*", **conf: str) -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves a session in local mode, whose executors are on this
+    machine; on a cluster they could not read it, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (folder or _own_folder(spark.sparkContext.applicationId)).rstrip("/")
 
 
@@ -73,8 +80,18 @@ def _own_folder(application: str) -> str:
 
 
 def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A new, unused folder name below the shared folder."""
-    return f"{shared_folder(spark)}/turnwise/{purpose}-{uuid.uuid4().hex}"
+    """A new, unused folder name below the shared folder, in a part of this application's own."""
+    return f"{_work_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def _work_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/turnwise/{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all work folders of this application. Results that still read them can't be used after that."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @cache

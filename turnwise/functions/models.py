@@ -16,9 +16,11 @@ from hashlib import md5
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 ModelFactory = Callable[[], Callable[[list[Any]], list[Any]]]
 
@@ -54,6 +56,72 @@ def embed(text: Column, model: ModelFactory, request_size: int = EMBEDDING_REQUE
     return vectors.asNondeterministic()(text)
 
 
+def answers_of(
+    call: Callable[[list[Any]], list[Any]], request: list[Any], request_size: int, attempts: int, pause_seconds: float
+) -> list[tuple[str | None, str | None]]:
+    """(answer, error) per input. A request that fails is repeated input by input, each up to ``attempts`` times."""
+    try:
+        return [(text, None) for text in _in_requests(call, request, request_size)]
+    except Exception:
+        return [_retried(call, value, attempts, pause_seconds) for value in request]
+
+
+def _retried(call: Callable, value: Any, attempts: int, pause_seconds: float) -> tuple[str | None, str | None]:
+    for attempt in range(attempts):
+        try:
+            return _in_requests(call, [value], 1)[0], None
+        except Exception as problem:
+            error = f"{type(problem).__name__}: {problem}"
+        if attempt + 1 < attempts:
+            time.sleep(pause_seconds * 2**attempt)
+    return None, error
+
+
+def infer_conversations(
+    rows: DataFrame,
+    model: ModelFactory,
+    tasks: int,
+    key: str = "conv_id",
+    order: str = "turn",
+    request_size: int = 16,
+    attempts: int = 3,
+    pause_seconds: float = 1.0,
+) -> DataFrame:
+    """(key, response, error): one model answer per conversation, from rows (key, order, role, content).
+
+    Rows are dealt to ``tasks`` tasks by key and sorted there, and a conversation is put together while
+    it is read, so only one request of conversations is in memory. What is too long for a model is
+    its own error and ends in the error column.
+    """
+    schema = T.StructType(
+        [rows.schema[key], T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        call = model()
+
+        def answered(chats: list[tuple[Any, list[dict]]]) -> pa.RecordBatch:
+            answers = answers_of(call, [messages for _, messages in chats], request_size, attempts, pause_seconds)
+            columns = [[k for k, _ in chats], [a for a, _ in answers], [e for _, e in answers]]
+            types = [to_arrow_type(f.dataType) for f in schema.fields]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
+
+        chats: list[tuple[Any, list[dict]]] = []
+        for batch in batches:
+            for k, role, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if not chats or chats[-1][0] != k:
+                    if len(chats) == request_size:
+                        yield answered(chats)
+                        chats = []
+                    chats.append((k, []))
+                chats[-1][1].append({"role": role, "content": content})
+        if chats:
+            yield answered(chats)
+
+    dealt = rows.repartition(tasks, key).sortWithinPartitions(key, order)
+    return dealt.select(key, "role", "content").mapInArrow(run, schema)
+
+
 def infer(
     df: DataFrame,
     input_col: str,
@@ -80,27 +148,8 @@ def infer(
     def length(value: Any) -> int:
         return len(value) if input_is_text else sum(len(m["content"] or "") for m in value)
 
-    def retried(call: Callable, request: list[Any]) -> list[Any]:
-        for attempt in range(attempts):
-            try:
-                return _in_requests(call, request, request_size)
-            except Exception:
-                if attempt + 1 == attempts:
-                    raise
-                time.sleep(pause_seconds * 2**attempt)
-        raise AssertionError("attempts must be at least 1")
-
     def answer(call: Callable, request: list[Any]) -> list[tuple[str | None, str | None]]:
-        try:
-            return [(text, None) for text in _in_requests(call, request, request_size)]
-        except Exception:
-            answers: list[tuple[str | None, str | None]] = []
-            for value in request:
-                try:
-                    answers.append((retried(call, [value])[0], None))
-                except Exception as problem:
-                    answers.append((None, f"{type(problem).__name__}: {problem}"))
-            return answers
+        return answers_of(call, request, request_size, attempts, pause_seconds)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = model()
@@ -162,7 +211,8 @@ class ExtractiveAssessor:
     """Fills an assessment from the transcript in the prompt. A stand-in, not a language model.
 
     Per speaker: the score is 1 + 9 * lines / all lines in whole numbers, the two summaries are the
-    speaker's first and last line, the role depends on the company marker.
+    speaker's first and last line, the role depends on the company marker, and the impact is a digest
+    of the whole prompt.
     """
 
     def __init__(self, marker: str, transcript_mark: str, transcript_end: str):
@@ -192,7 +242,7 @@ class ExtractiveAssessor:
                         "role": "sales rep" if inside else "customer",
                         "performance_score": 1 + 9 * len(said) // len(lines),
                         "engagement_level": "high" if 2 * len(said) >= len(lines) else "low",
-                        "sales_impact": "",
+                        "sales_impact": md5(prompt.encode("utf-8")).hexdigest(),
                         "meeting_summary_from_my_perspective": said[0],
                         "meeting_summary_from_their_perspective": said[-1],
                     }
@@ -202,6 +252,20 @@ class ExtractiveAssessor:
         return lambda prompts: [assess(p) for p in prompts]
 
 
+class DigestModel:
+    """Answers with a digest of its whole input: any change of a prompt changes the answer. A stand-in.
+
+    Messages count as role, colon, content and line end each.
+    """
+
+    def __call__(self) -> Callable[[list[Any]], list[str]]:
+        def answer(value: Any) -> str:
+            text = value if isinstance(value, str) else "".join(f"{m['role']}:{m['content']}\n" for m in value)
+            return md5(text.encode("utf-8")).hexdigest()
+
+        return lambda values: [answer(v) for v in values]
+
+
 class LastMessageModel:
     """Answers with the text after the last mark of a prompt, or the last message. A stand-in."""
 
@@ -215,3 +279,14 @@ class LastMessageModel:
             return value[-1]["content"]
 
         return lambda values: [answer(v) for v in values]
+
+
+class RewriteOrDigest:
+    """One stand-in for texts (rewrite prompts) and one for message lists (answer prompts)."""
+
+    def __init__(self, texts: ModelFactory, messages: ModelFactory):
+        self.texts, self.messages = texts, messages
+
+    def __call__(self) -> Callable[[list[Any]], list[str]]:
+        texts, messages = self.texts(), self.messages()
+        return lambda values: [(texts if isinstance(v, str) else messages)([v])[0] for v in values]

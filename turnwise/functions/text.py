@@ -11,6 +11,7 @@ TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 EMAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE_PATTERN = r"\+?[0-9][0-9 ()-]{6,}[0-9]"
 DIGITS_PATTERN = r"[0-9]{4,}"
+STAND_IN_DIGITS = 24  # 96 bits: no two names of a corpus share a stand-in
 
 
 def tokens(text: Column) -> Column:
@@ -18,8 +19,13 @@ def tokens(text: Column) -> Column:
 
 
 def content_key(*columns: Column) -> Column:
-    """A key that depends on the content alone, so that a rerun gives the same one."""
-    return F.sha2(F.concat_ws("\u0001", *[c.cast("string") for c in columns]), 256)
+    """A key that depends on the content alone, so that a rerun gives the same one.
+
+    Every value goes in with its length and a null as a dash, so different rows have different keys.
+    """
+    texts = [c.cast("string") for c in columns]
+    parts = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    return F.sha2(F.concat_ws(",", *parts), 256)
 
 
 def tag_role(label: Column, marker: str, inside: str = "sales rep", outside: str = "customer") -> Column:
@@ -30,7 +36,7 @@ def tag_role(label: Column, marker: str, inside: str = "sales rep", outside: str
 def stand_in(value: Column, salt: str, prefix: str) -> Column:
     """The same value always gets the same stand-in, and no mapping is kept."""
     digest = F.sha2(F.concat_ws("\u0001", F.lit(salt), value), 256)
-    return F.concat(F.lit(prefix), F.substring(digest, 1, 8))
+    return F.concat(F.lit(prefix), F.substring(digest, 1, STAND_IN_DIGITS))
 
 
 def mask_patterns(text: Column) -> Column:
@@ -44,7 +50,7 @@ def mask_patterns(text: Column) -> Column:
 def mask_pii(text: Column, names: Column, salt: str, prefix: str = "person-") -> Column:
     """Replace every name of the array by its stand-in, then blank out the patterns.
 
-    Names are first swapped for marks made of private-use characters, so that neither the
+    A name counts only where no letter or digit goes on before or after it. Names are first swapped for marks made of private-use characters, so that neither the
     patterns nor a shorter name can touch a stand-in. Longer names go first.
     """
     wanted = F.array_sort(
@@ -59,7 +65,7 @@ def mask_pii(text: Column, names: Column, salt: str, prefix: str = "person-") ->
         F.coalesce(wanted, F.array().cast("array<string>")),
         lambda n, i: F.struct(n.alias("name"), _mark(i).alias("mark")),
     )
-    marked = F.aggregate(known, text, lambda acc, k: F.replace(acc, k["name"], k["mark"]))
+    marked = F.aggregate(known, text, lambda acc, k: F.regexp_replace(acc, _whole(k["name"]), k["mark"]))
     return F.aggregate(
         known,
         mask_patterns(marked),
@@ -67,6 +73,12 @@ def mask_pii(text: Column, names: Column, salt: str, prefix: str = "person-") ->
     )
 
 
+def _whole(name: Column) -> Column:
+    """A pattern for the name as it is, between word edges."""
+    quoted = F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), quoted, F.lit(r"\E(?![\p{L}\p{N}])"))
+
+
 def _mark(index: Column) -> Column:
     private_digits = "".join(chr(0xE000 + d) for d in range(10))
     number = F.translate(index.cast("string"), "0123456789", private_digits)

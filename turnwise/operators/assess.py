@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.config import path_exists
@@ -17,35 +17,53 @@ from turnwise.schemas import (
 )
 
 
-def infer_once(
-    prompts: DataFrame, prompt_col: str, model: ModelFactory, store: str, **options
-) -> DataFrame:
-    """Answers for all prompts, calling the model only for prompts not answered before.
+def store_answers(answered: DataFrame, store: str) -> None:
+    """Append (prompt_key, response, error) to a store, in folders by the key's first digit."""
+    kept = answered.select("prompt_key", "response", "error", F.substring("prompt_key", 1, 1).alias("prefix"))
+    kept.write.mode("append").partitionBy("prefix").parquet(store)
 
-    Answers live in the ``store`` folder under a key made from the prompt. Equal prompts are sent
-    once. Failed calls are not stored and are tried again in the next run; in this run they come
-    back with their error. The answers are written before they are used, so later filters and
-    repeated reads never repeat a call.
-    """
-    spark = prompts.sparkSession
-    keyed = prompts.withColumn("prompt_key", content_key(F.col(prompt_col)))
-    wanted = keyed.groupBy("prompt_key").agg(F.first(prompt_col).alias(prompt_col))
-    if path_exists(spark, store):
-        done = spark.read.parquet(store).filter(F.col("error").isNull())
-        wanted = wanted.join(done.select("prompt_key"), "prompt_key", "left_anti")
-    answered = infer(wanted, prompt_col, model, **options)
-    answered.select("prompt_key", "response", "error").write.mode("append").parquet(store)
-    answers = (
-        spark.read.parquet(store)
+
+def stored_answers(keys: DataFrame, store: str) -> DataFrame:
+    """One (prompt_key, response, error) per wanted key; an answer wins over errors of earlier runs."""
+    schema = "prompt_key string, response string, error string, prefix string"
+    found = keys.sparkSession.read.schema(schema).parquet(store)
+    wanted = keys.select("prompt_key", F.substring("prompt_key", 1, 1).alias("prefix")).distinct()
+    return (
+        found.join(wanted, ["prefix", "prompt_key"], "left_semi")
         .groupBy("prompt_key")
         .agg(
             F.max("response").alias("response"),
             F.when(F.max("response").isNull(), F.max("error")).alias("error"),
         )
     )
+
+
+def unanswered(keys: DataFrame, store: str) -> DataFrame:
+    """The wanted keys that the store has no answer for."""
+    spark = keys.sparkSession
+    if not path_exists(spark, store):
+        return keys
+    done = stored_answers(keys, store).filter(F.col("response").isNotNull())
+    return keys.join(done.select("prompt_key"), "prompt_key", "left_anti")
+
+
+def infer_once(
+    prompts: DataFrame, prompt_col: str, model: ModelFactory, store: str, tasks: int | None = None, **options
+) -> DataFrame:
+    """Answers for all prompts, calling the model only for prompts not answered before.
+
+    Answers live in the ``store`` folder under a key made from the prompt. Equal prompts are sent
+    once, in ``tasks`` tasks (the cluster's default parallelism if not given). Failed calls are tried
+    again in the next run; in this run they come back with their error. The answers are written before
+    they are used, so later filters and repeated reads never repeat a call.
+    """
+    keyed = prompts.withColumn("prompt_key", content_key(F.col(prompt_col)))
+    wanted = unanswered(keyed.groupBy("prompt_key").agg(F.first(prompt_col).alias(prompt_col)), store)
+    wanted = wanted.repartition(tasks or prompts.sparkSession.sparkContext.defaultParallelism, "prompt_key")
+    store_answers(infer(wanted, prompt_col, model, **options), store)
     rest = [c for c in prompts.columns if c != prompt_col]
     spread = [F.col(c) for c in rest] or [F.lit(0)]
-    return spread_join(keyed, answers, ["prompt_key"], spread)
+    return spread_join(keyed, stored_answers(keyed, store), ["prompt_key"], spread)
 
 
 def parse_assessment(df: DataFrame, response: str = "response") -> DataFrame:
@@ -138,13 +156,37 @@ def consistency(df: DataFrame, score: Column) -> DataFrame:
     )
 
 
-def assess_parts(
-    spark: SparkSession, prompts: DataFrame, model: ModelFactory, store: str, **options
+def assess_prompts(
+    prompts: DataFrame, model: ModelFactory, store: str, tasks: int | None = None, **options
 ) -> tuple[DataFrame, DataFrame]:
     """Prompts to checked assessments and a quarantine of failed calls and bad answers."""
-    answered = infer_once(prompts, "prompt", model, store, **options)
+    answered = infer_once(prompts, "prompt", model, store, tasks, **options)
     good, bad = validate_assessment(answered.filter(F.col("error").isNull()))
     failed = answered.filter(F.col("error").isNotNull()).withColumn(
         "problems", F.array(F.concat(F.lit("call failed: "), F.col("error")))
     )
     return good, bad.unionByName(failed)
+
+
+def merged_participants(participants: DataFrame, keep: list[str], part: str = "part") -> DataFrame:
+    """One row per ``keep`` and name, from rows per part of a long conversation.
+
+    Lists hold the entries of all parts, each once, in their order; the score is the mean, rounded;
+    other texts are those of the first part, but the other side's summary is that of the last.
+    Entries are aggregated per name, so a conversation of many parts stays spread over its people.
+    """
+    field = lambda key: F.col(f"participant.{key}")
+
+    def merged(key: str) -> Column:
+        if key in PARTICIPANT_TEXT_LISTS:
+            lists = F.sort_array(F.collect_list(F.struct(F.col(part).alias("part"), field(key).alias("texts"))))
+            return F.array_distinct(F.flatten(F.transform(lists, lambda x: x["texts"])))
+        if key in PARTICIPANT_INTEGERS:
+            return F.round(F.avg(field(key))).cast("long")
+        if key == "meeting_summary_from_their_perspective":
+            return F.max_by(field(key), part)
+        return F.min_by(field(key), part)
+
+    one = participants.groupBy(*keep, "name").agg(*[merged(k).alias(k) for k in PARTICIPANT_KEYS if k != "name"])
+    struct = F.struct(*[F.col(k) for k in PARTICIPANT_KEYS])
+    return one.select(*keep, "name", struct.alias("participant"))

@@ -3,22 +3,30 @@
 Conversations come as rows (conv_id, turn, role, text), turn being a whole number unique in its
 conversation, or as one ``messages`` array per request. Everything up to the finished prompt works
 on rows, so a conversation of any length is spread over tasks. Only the call of a model needs a
-conversation in one piece; one with more than ``max_turns`` turns, which no model context holds, is
-reported in the error column instead.
+conversation in one piece; it is put together from sorted rows by the task that calls.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from turnwise.functions.models import ModelFactory, infer
+from turnwise.config import work_folder
+from turnwise.functions.models import ModelFactory, infer_conversations
 from turnwise.functions.nested import all_but_last, fill_template, last_or_null
+from turnwise.operators.assess import infer_once, store_answers, stored_answers, unanswered
 from turnwise.operators.distribution import spread_join, stored
 from turnwise.operators.index import CONTENT, PK, Index
 from turnwise.operators.search import (
+    FUSION_DEPTH,
     QUERY,
     embed_queries,
     search_hybrid,
@@ -95,24 +103,26 @@ def prompt_of(messages: Column, context: Column, template: str = ANSWER_TEMPLATE
 
 
 def check_messages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split off messages without role or text and messages that share conversation and turn.
+    """Split off messages without conversation, turn, role or text, and those that share a turn.
 
-    Copies are counted before anything is joined, so no task sees a message as often as it occurs.
+    Good rows and the copies of bad rows add up to the rows given. Copies are counted before anything
+    is joined, so no task sees a message as often as it occurs.
     """
     in_turn = rows.groupBy("conv_id", "turn").agg(
         F.count(F.lit(1)).alias("in_turn"), F.first("role").alias("role"), F.first("text").alias("text")
     )
-    alone = (F.col("in_turn") == 1) & F.col("role").isNotNull() & F.col("text").isNotNull()
+    alone = F.col("in_turn") == 1
+    for column in ("conv_id", "turn", "role", "text"):
+        alone = alone & F.col(column).isNotNull()
     good = in_turn.filter(alone).select("conv_id", "turn", "role", "text")
 
     copies = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
-    per_turn = rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("in_turn"))
-    per_turn = per_turn.filter(F.col("in_turn") > 1)
-    joined = spread_join(
-        copies, per_turn, ["conv_id", "turn"], [F.col("role"), F.col("text")], how="left"
-    )
+    shared = in_turn.filter(F.col("in_turn") > 1).select("conv_id", "turn", "in_turn")
+    joined = spread_join(copies, shared, ["conv_id", "turn"], [F.col("role"), F.col("text")], how="left")
     problem = (
-        F.when(F.col("role").isNull(), "no role")
+        F.when(F.col("conv_id").isNull(), "no conversation")
+        .when(F.col("turn").isNull(), "no turn")
+        .when(F.col("role").isNull(), "no role")
         .when(F.col("text").isNull(), "no text")
         .when(F.col("in_turn").isNotNull(), "turn is not unique")
     )
@@ -157,50 +167,62 @@ def newest_turns(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_age", F.row_number().over(window)).filter(F.col("_age") <= n).drop("_age")
 
 
-def pack_messages(rows: DataFrame, max_turns: int) -> DataFrame:
-    """(conv_id, messages) for conversations of at most ``max_turns`` rows.
+def rewrite_prompts(rows: DataFrame, template: str = REWRITE_TEMPLATE, tasks: int | None = None) -> DataFrame:
+    """(conv_id, prompt) for conversations that have a history.
 
-    Longer ones are taken out before anything is gathered.
+    Rows are dealt to ``tasks`` tasks by conversation and sorted there; a prompt is built while its rows
+    are read, so a task holds one prompt and no conversation is left out for its length.
     """
-    sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    fitting = sizes.filter(F.col("n_rows") <= max_turns).select("conv_id")
-    kept = spread_join(rows, fitting, ["conv_id"], [F.col("turn")])
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    return (
-        kept.groupBy("conv_id")
-        .agg(ordered.alias("ordered"))
-        .select(
-            "conv_id",
-            F.transform("ordered", lambda m: F.struct(m["role"], m["content"])).alias("messages"),
-        )
-    )
-
-
-def rewrite_prompts(
-    rows: DataFrame, template: str = REWRITE_TEMPLATE, max_turns: int = 4096
-) -> DataFrame:
-    """(conv_id, prompt) for conversations that have a history."""
-    packed = pack_messages(rows, max_turns).filter(needs_rewrite(F.col("messages")))
-    history = F.to_json(history_of(F.col("messages")))
-    prompt = fill_template(template, chat_history=history, question=question_of(F.col("messages")))
-    return packed.select("conv_id", prompt.alias("prompt"))
+    schema = T.StructType([rows.schema["conv_id"], T.StructField("prompt", T.StringType())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def built(conv_id: object, messages: list[str], question: str | None) -> pa.RecordBatch:
+            filled = None
+            if question is not None:
+                values = {"{chat_history}": "[" + ",".join(messages) + "]", "{question}": question}
+                pieces = re.split(r"(\{chat_history\}|\{question\})", template)
+                filled = "".join(values.get(p, p) for p in pieces)
+            types = [to_arrow_type(f.dataType) for f in schema.fields]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((conv_id, filled), types)], names=schema.names)
+
+        now, messages, last = None, [], None
+        for batch in batches:
+            for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not None and conv_id != now:
+                    if messages:
+                        yield built(now, messages, last["content"])
+                    messages, last = [], None
+                if last is not None:
+                    known = {k: v for k, v in last.items() if v is not None}
+                    messages.append(json.dumps(known, ensure_ascii=False, separators=(",", ":")))
+                now, last = conv_id, {"role": role, "content": text}
+        if messages:
+            yield built(now, messages, last["content"])
+
+    tasks = tasks or rows.sparkSession.sparkContext.defaultParallelism
+    dealt = rows.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "turn")
+    return dealt.select("conv_id", "role", "text").mapInArrow(build, schema)
 
 
 def search_queries(
-    rows: DataFrame, model: ModelFactory | None, max_turns: int = 4096, **options
+    rows: DataFrame, model: ModelFactory | None, store: str | None = None, tasks: int | None = None, **options
 ) -> DataFrame:
-    """(conv_id, text) to search with: rewritten by the model where there is a history.
+    """(conv_id, text, problem) to search with: rewritten by the model where there is a history.
 
-    Without a model, and where a rewrite failed or was not possible, it is the question itself.
+    Rewrites are kept in the ``store`` folder and not asked for again. Without a model, and where a
+    rewrite failed, it is the question itself; ``problem`` then says what went wrong.
     """
     asked = last_questions(rows).select("conv_id", "question")
     if model is None:
-        return asked.select("conv_id", F.col("question").alias("text"))
-    prompts = rewrite_prompts(rows, max_turns=max_turns)
-    answers = infer(prompts, "prompt", model, "rewritten", "problem", **options)
-    rewritten = stored(answers.select("conv_id", "rewritten"), "rewrites")
+        return asked.select("conv_id", F.col("question").alias("text"), F.lit(None).cast("string").alias("problem"))
+    prompts = stored(rewrite_prompts(rows, tasks=tasks), "rewrite-prompts")
+    store = store or work_folder(rows.sparkSession, "rewrites")
+    answers = infer_once(prompts, "prompt", model, store, tasks, **options)
+    rewritten = answers.select(
+        "conv_id", "response", F.concat(F.lit("rewrite failed: "), F.col("error")).alias("problem")
+    )
     return asked.join(rewritten, "conv_id", "left").select(
-        "conv_id", F.coalesce("rewritten", "question").alias("text")
+        "conv_id", F.coalesce("response", "question").alias("text"), "problem"
     )
 
 
@@ -210,15 +232,19 @@ def retrieve(
     embedder: ModelFactory | None,
     k: int = RETRIEVAL_DEPTH,
     query_type: str = "hybrid",
+    depth: int = FUSION_DEPTH,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Hits (query_id, pk, score, rank) for (conv_id, text) rows."""
+    """Hits (query_id, pk, score, rank) for (conv_id, text) rows; ``depth`` is that of the fusion."""
     asked = queries.select(F.col("conv_id").alias(QUERY), "text")
     if query_type == "keyword":
-        return search_keyword(asked, index, k)
+        return search_keyword(asked, index, k, tasks)
     if embedder is None:
         raise ValueError(f"a {query_type} search needs an embedder")
-    asked = embed_queries(asked, embedder)
-    return (search_hybrid if query_type == "hybrid" else search_vector)(asked, index, k)
+    asked = embed_queries(asked, embedder, tasks=tasks)
+    if query_type == "hybrid":
+        return search_hybrid(asked, index, k, depth, tasks)
+    return search_vector(asked, index, k, tasks)
 
 
 def contexts(
@@ -227,19 +253,23 @@ def contexts(
     columns: RetrieverColumns | None = None,
     chunk_template: str = CHUNK_TEMPLATE,
 ) -> DataFrame:
-    """(conv_id, context, sources): the passages of a conversation's hits in rank order."""
+    """(conv_id, context, sources): the passages of a conversation's hits in rank order.
+
+    Sources carry key, uri and name where the index has such columns, else null.
+    """
     columns = columns or RetrieverColumns()
-    wanted = [columns.chunk_text, *({columns.document_uri} & set(index.docs.columns))]
-    joined = with_columns(hits, index, wanted)
-    uri = (
-        F.col(columns.document_uri).cast("string")
-        if columns.document_uri in wanted
-        else F.lit(None).cast("string")
-    )
+    optional = {columns.document_uri, columns.name, columns.primary_key} & set(index.docs.columns) - {PK}
+    joined = with_columns(hits, index, [columns.chunk_text, *sorted(optional - {columns.chunk_text})])
+
+    def text_of(name: str) -> Column:
+        return (F.col(name) if name in joined.columns else F.lit(None)).cast("string")
+
+    key = F.col(columns.primary_key if columns.primary_key in joined.columns else PK)
     passage = F.struct(
         "rank",
-        F.col(PK).alias("pk"),
-        uri.alias("uri"),
+        key.alias("pk"),
+        text_of(columns.document_uri).alias("uri"),
+        text_of(columns.name).alias("name"),
         F.col(columns.chunk_text).alias("text"),
     )
     chunk = lambda p: fill_template(chunk_template, chunk_text=p["text"], document_uri=p["uri"])
@@ -249,7 +279,7 @@ def contexts(
         .select(
             "conv_id",
             F.array_join(F.transform("passages", chunk), "").alias("context"),
-            F.transform("passages", lambda p: F.struct(p["pk"], p["uri"], p["rank"])).alias("sources"),
+            F.transform("passages", lambda p: F.struct(p["pk"], p["uri"], p["name"], p["rank"])).alias("sources"),
         )
     )
 
@@ -287,20 +317,42 @@ def prompt_rows(
     return ends.unionByName(history)
 
 
+def prompt_sizes(prompts: DataFrame) -> DataFrame:
+    """(conv_id, n_messages, prompt_chars, prompt_key) per prompt, by one partial aggregation.
+
+    The key is a hash over all messages and their order; equal prompts have equal keys. Nothing is
+    shortened to fit a model: a caller who wants that uses ``newest_turns``, or looks at the size.
+    """
+    message = F.sha2(F.to_json(F.array(F.col("turn").cast("string"), F.col("role"), F.col("content"))), 256)
+    halves = [F.conv(F.substring(message, at, 15), 16, 10).cast("long") for at in (1, 16, 31, 46)]
+    mixed = [F.bit_xor(h).cast("string") for h in halves]
+    return prompts.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_messages"),
+        F.sum(F.length("content")).alias("prompt_chars"),
+        F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *mixed), 256).alias("prompt_key"),
+    )
+
+
 def generate(
-    prompts: DataFrame, model: ModelFactory, max_turns: int = 4096, **options
+    prompts: DataFrame, model: ModelFactory, store: str | None = None, tasks: int | None = None, **options
 ) -> DataFrame:
-    """(conv_id, answer, error) from prompt rows; every conversation gets a row."""
-    rows = prompts.withColumnRenamed("content", "text")
-    packed = pack_messages(rows, max_turns)
-    answered = infer(packed, "messages", model, "answer", "error", **options)
-    sizes = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    too_long = sizes.filter(F.col("n_rows") > max_turns).select(
-        "conv_id",
-        F.lit(None).cast("string").alias("answer"),
-        F.concat(F.lit("prompt has "), F.col("n_rows").cast("string"), F.lit(" messages")).alias("error"),
-    )
-    return answered.select("conv_id", "answer", "error").unionByName(too_long)
+    """(conv_id, answer, error, n_messages, prompt_chars) from prompt rows; every conversation gets a row.
+
+    Answers are kept in the ``store`` folder before they are used: equal prompts are sent once, repeated
+    reads call nothing, and a failed call is tried again in the next run.
+    """
+    spark = prompts.sparkSession
+    store = store or work_folder(spark, "answers")
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    sizes = stored(prompt_sizes(prompts), "prompt-sizes")
+    wanted = unanswered(sizes.groupBy("prompt_key").agg(F.min("conv_id").alias("conv_id")), store)
+    wanted = stored(wanted, "wanted-answers")
+    sent = spread_join(prompts, wanted, ["conv_id"], [F.col("turn")])
+    answered = infer_conversations(sent.drop("prompt_key"), model, tasks, **options)
+    store_answers(answered.join(wanted, "conv_id"), store)
+    answers = stored_answers(sizes, store)
+    joined = spread_join(sizes, answers, ["prompt_key"], [F.col("conv_id")], how="left")
+    return joined.select("conv_id", F.col("response").alias("answer"), "error", "n_messages", "prompt_chars")
 
 
 def answer_chats(
@@ -311,12 +363,40 @@ def answer_chats(
     k: int = RETRIEVAL_DEPTH,
     query_type: str = "hybrid",
     columns: RetrieverColumns | None = None,
-    max_turns: int = 4096,
+    depth: int = FUSION_DEPTH,
+    store: str | None = None,
+    tasks: int | None = None,
     **options,
 ) -> DataFrame:
-    """(conv_id, answer, error, sources) for every conversation of the table."""
-    queries = search_queries(rows, chat_model, max_turns, **options)
-    hits = retrieve(queries, index, embedder, k, query_type)
+    """(conv_id, answer, error, problem, n_messages, prompt_chars, sources) for every conversation.
+
+    Only messages that pass ``check_messages`` are used; a conversation none of whose messages do has
+    an error instead of an answer. ``problem`` tells of messages left out and of a failed rewrite.
+    Rewrites and answers are kept below ``store``.
+    """
+    good, bad = check_messages(rows)
+    good = stored(good, "messages")
+    store = store or work_folder(rows.sparkSession, "chat-answers")
+    queries = stored(search_queries(good, chat_model, f"{store}/rewrites", tasks, **options), "search-queries")
+    hits = retrieve(queries, index, embedder, k, query_type, depth, tasks)
     found = stored(contexts(hits, index, columns), "contexts")
-    answers = generate(prompt_rows(rows, found), chat_model, max_turns, **options)
-    return answers.join(found.select("conv_id", "sources"), "conv_id", "left")
+    prompts = stored(prompt_rows(good, found), "prompts")
+    answers = generate(prompts, chat_model, f"{store}/answers", tasks, **options)
+    left_out = bad.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sum("copies").alias("n_bad"))
+    told = F.concat(F.lit("messages left out: "), F.col("n_bad").cast("string"))
+    whole = (
+        answers.join(queries.select("conv_id", "problem"), "conv_id", "left")
+        .join(found.select("conv_id", "sources"), "conv_id", "left")
+        .join(left_out, "conv_id", "full_outer")
+    )
+    unusable = F.when(F.col("n_messages").isNull(), F.lit("no usable message"))
+    problems = F.concat_ws("; ", told, F.col("problem"))
+    return whole.select(
+        "conv_id",
+        "answer",
+        F.coalesce("error", unusable).alias("error"),
+        F.when(problems != "", problems).alias("problem"),
+        "n_messages",
+        "prompt_chars",
+        "sources",
+    )

@@ -1,25 +1,18 @@
-"""A search index as plain tables in one folder: documents with vectors, and postings.
-
-Every write adds a numbered segment: ``docs/segment=N`` (pk, payload columns, vector, its length,
-token count, content hash), ``postings/segment=N`` (term, pk, tf, dl) and ``gone/segment=N`` (pk of
-rows deleted or replaced by that segment). ``commits/segment=N`` is written last; a segment without
-it is not read, so an interrupted write leaves nothing behind. A commit marked as base makes all
-earlier segments obsolete. Postings are sorted by term inside
-each file, so a search for a few terms skips most pages without any shuffle at build time.
+"""A search index as ordinary tables in one folder, partitioned by a hash of the key.
+
+``docs`` holds pk, content, payload columns, vector, its length, token count and content hash;
+``postings`` holds term, pk, tf, dl; both have a ``bucket`` folder level, and a document's postings are in
+its own bucket, so no term gathers in one place. ``terms`` (term, df) and ``totals`` (n, sum_dl) are the
+statistics that keyword scores need.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,26 +21,24 @@ from turnwise.config import path_exists
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
 from turnwise.functions.text import tokens
 from turnwise.operators.changes import change_kinds, content_hash
-from turnwise.operators.distribution import use_all_cores
+from turnwise.operators.distribution import stored
 
 PK = "pk"
 CONTENT = "content"
 EMBEDDING = "embedding"
+BUCKET = "bucket"
+BUCKETS = 16
 TEXTS_PER_COUNT = 256
-CLUSTER_SAMPLE = 200_000
 
 
 @dataclass(frozen=True)
 class Index:
-    """The readable state of an index.
-
-    ``docs`` holds pk, content, embedding, norm, dl and payload. With ``cells`` (cell, centroid,
-    radius, n_rows) it also holds the cell of each row, null for rows added since the clustering.
-    """
+    """The readable state of an index; only ``docs`` is needed for a search by vector."""
 
     docs: DataFrame
-    postings: DataFrame | None
-    cells: DataFrame | None = None
+    postings: DataFrame | None = None
+    terms: DataFrame | None = None
+    totals: DataFrame | None = None
 
 
 def check_dimension(df: DataFrame, dim: int, vector_col: str = EMBEDDING) -> tuple[DataFrame, DataFrame]:
@@ -103,44 +94,8 @@ def term_counts(df: DataFrame, pk: str, text: str) -> DataFrame:
     return df.select(F.col(pk), tokens(F.col(text)).alias("tokens")).mapInArrow(count, schema)
 
 
-def _document_rows(df: DataFrame) -> DataFrame:
-    return df.withColumn("norm", vector_norm(F.col(EMBEDDING))).withColumn(
-        "dl", F.coalesce(F.size(tokens(F.col(CONTENT))), F.lit(0))
-    )
-
-
-def _write_segment(docs: DataFrame, folder: str, segment: int) -> None:
-    target = f"{folder}/docs/segment={segment}"
-    docs.write.mode("overwrite").parquet(target)
-    written = docs.sparkSession.read.schema(docs.schema).parquet(target)
-    (
-        term_counts(use_all_cores(written.select(PK, CONTENT)), PK, CONTENT)
-        .sortWithinPartitions("term", PK)
-        .write.mode("overwrite")
-        .parquet(f"{folder}/postings/segment={segment}")
-    )
-
-
-def _commit(docs: DataFrame, folder: str, segment: int, base: bool = False) -> None:
-    """Note a finished segment, with the schema of its documents: opening reads no file footers."""
-    marker = docs.sparkSession.range(1).select(
-        F.lit(base).alias("base"), F.lit(docs.schema.json()).alias("schema")
-    )
-    marker.write.mode("overwrite").parquet(f"{folder}/commits/segment={segment}")
-
-
-def _committed(spark: SparkSession, folder: str) -> dict[int, T.StructType]:
-    """The segments to read, oldest first: the last base and all that follow it."""
-    if not path_exists(spark, f"{folder}/commits"):
-        return {}
-    commits = spark.read.schema("base boolean, schema string, segment int").parquet(f"{folder}/commits")
-    rows = sorted(commits.collect(), key=lambda r: r["segment"])
-    base = max((r["segment"] for r in rows if r["base"]), default=None)
-    return {
-        r["segment"]: T.StructType.fromJson(json.loads(r["schema"]))
-        for r in rows
-        if base is not None and r["segment"] >= base
-    }
+def _bucket(pk: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(pk), F.lit(buckets)).cast("int")
 
 
 def _source_rows(df: DataFrame, pk: str, content: str, vector: str | None) -> DataFrame:
@@ -151,18 +106,33 @@ def _source_rows(df: DataFrame, pk: str, content: str, vector: str | None) -> Da
     return renamed.withColumn("content_hash", content_hash(renamed, [PK]))
 
 
-def _with_vectors(
-    rows: DataFrame, model: ModelFactory | None, dim: int, request_size: int
-) -> DataFrame:
+def _with_vectors(rows: DataFrame, model: ModelFactory | None, dim: int, request_size: int) -> DataFrame:
     if model is not None:
         rows = rows.withColumn(EMBEDDING, embed(F.col(CONTENT), model, request_size))
     wrong = F.raise_error(F.concat(F.lit(f"vector is not {dim} wide, pk: "), F.col(PK).cast("string")))
     size = F.size(EMBEDDING)
-    return _document_rows(
-        rows.withColumn(
-            EMBEDDING, F.when(F.col(EMBEDDING).isNull() | (size == dim), F.col(EMBEDDING)).otherwise(wrong)
-        )
+    checked = F.when(F.col(EMBEDDING).isNull() | (size == dim), F.col(EMBEDDING)).otherwise(wrong)
+    return (
+        rows.withColumn(EMBEDDING, checked)
+        .withColumn("norm", vector_norm(F.col(EMBEDDING)))
+        .withColumn("dl", F.coalesce(F.size(tokens(F.col(CONTENT))), F.lit(0)))
+    )
+
+
+def _write_buckets(rows: DataFrame, folder: str) -> None:
+    """Replace the buckets that ``rows`` has rows of; the others stay as they are."""
+    writer = rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(BUCKET).parquet(folder)
+
+
+def _write_statistics(spark: SparkSession, folder: str) -> None:
+    postings = spark.read.parquet(f"{folder}/postings")
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms.write.mode("overwrite").parquet(f"{folder}/terms")
+    totals = spark.read.parquet(f"{folder}/docs").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("dl").cast("long").alias("sum_dl")
     )
+    totals.write.mode("overwrite").parquet(f"{folder}/totals")
 
 
 def create_or_sync(
@@ -174,138 +144,84 @@ def create_or_sync(
     vector: str | None = None,
     model: ModelFactory | None = None,
     request_size: int = EMBEDDING_REQUEST_LIMIT,
+    buckets: int = BUCKETS,
+    tasks: int | None = None,
 ) -> None:
     """Create the index of a table, or bring an existing one to the table's present state.
 
-    Vectors come from the ``vector`` column or from ``model`` applied to ``content``. A sync embeds
-    and writes only inserted and updated rows; it runs when called and never by itself. A row with a
-    vector of another width than ``dim`` stops the write; put such rows aside with
-    ``check_dimension`` first.
+    Vectors come from the ``vector`` column or from ``model`` applied to ``content``, in ``tasks`` tasks
+    (the cluster's default parallelism if not given). A sync finds what changed by a diff of keys and
+    hashes, embeds only inserted and updated rows, and rewrites the buckets they and the deleted rows
+    are in; it runs when called and never by itself. A row with a vector of another width than ``dim``
+    stops the write; put such rows aside with ``check_dimension`` first. The columns of the table have to
+    stay the same. Choose ``buckets`` at creation so that a bucket is some gigabytes.
     """
     if (vector is None) == (model is None):
         raise ValueError("give either a vector column or a model")
     spark = df.sparkSession
-    rows = _source_rows(use_all_cores(df), pk, content, vector)
-    segments = _committed(spark, folder)
-    if not segments:
-        docs = _with_vectors(rows, model, dim, request_size)
-        _write_segment(docs, folder, 0)
-        _commit(docs, folder, 0, base=True)
+    tasks = tasks or spark.sparkContext.defaultParallelism
+    rows = _source_rows(df, pk, content, vector)
+    if not path_exists(spark, f"{folder}/totals"):
+        docs = _with_vectors(rows.repartition(tasks), model, dim, request_size)
+        docs = stored(docs.withColumn(BUCKET, _bucket(F.col(PK), buckets)), "index-docs")
+        _write_buckets(docs, f"{folder}/docs")
+        counts = term_counts(docs, PK, CONTENT)
+        _write_buckets(counts.withColumn(BUCKET, _bucket(F.col(PK), buckets)), f"{folder}/postings")
+        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/settings")
+        _write_statistics(spark, folder)
         return
-    number = max(segments) + 1
-    present = open_index(spark, folder).docs.select(PK, F.col("content_hash").alias("old_hash"))
-    changed = change_kinds(present, rows.select(PK, F.col("content_hash").alias("new_hash")), [PK])
-    changes = f"{folder}/changes/segment={number}"
-    changed.write.mode("overwrite").parquet(changes)
-    changed = spark.read.schema(changed.schema).parquet(changes)
-    if changed.isEmpty():
+    buckets = spark.read.parquet(f"{folder}/settings").first()["buckets"]
+    present = open_index(spark, folder)
+    old = present.docs
+    changed = stored(
+        change_kinds(
+            old.select(PK, F.col("content_hash").alias("old_hash")),
+            rows.select(PK, F.col("content_hash").alias("new_hash")),
+            [PK],
+        ).withColumn(BUCKET, _bucket(F.col(PK), buckets)),
+        "index-changes",
+    )
+    # At most as many numbers as there are buckets.
+    touched = [r[BUCKET] for r in changed.select(BUCKET).distinct().collect()]
+    if not touched:
         return
-    fresh = rows.join(changed.filter("change <> 'delete'").select(PK), PK, "left_semi")
-    docs = _with_vectors(fresh, model, dim, request_size)
-    _write_segment(docs, folder, number)
-    gone = changed.filter("change <> 'insert'").select(PK)
-    gone.write.mode("overwrite").parquet(f"{folder}/gone/segment={number}")
-    _commit(docs, folder, number)
+    fresh = rows.join(changed.filter("change <> 'delete'").select(PK), PK, "left_semi").repartition(tasks)
+    fresh = _with_vectors(fresh, model, dim, request_size).withColumn(BUCKET, _bucket(F.col(PK), buckets))
+    fresh = stored(fresh, "index-fresh")
+    gone = changed.select(PK)
 
+    def kept(part: DataFrame) -> DataFrame:
+        return part.filter(F.col(BUCKET).isin(touched)).join(gone, PK, "left_anti")
 
-def open_index(spark: SparkSession, folder: str) -> Index:
-    """The rows of all committed segments that no later segment deleted or replaced."""
-    segments = _committed(spark, folder)
-    if not segments:
-        raise FileNotFoundError(f"no index in {folder}")
-    fields = {f.name: f for schema in segments.values() for f in schema.fields}
-    key = fields[PK]
-    numbered = T.StructField("segment", T.IntegerType())
-
-    def read(part: str, columns: list[T.StructField]) -> DataFrame:
-        rows = spark.read.schema(T.StructType([*columns, numbered])).parquet(f"{folder}/{part}")
-        return rows.filter(F.col("segment").isin(list(segments)))
-
-    docs = read("docs", list(fields.values()))
-    postings = read("postings", _posting_schema(key.dataType).fields)
-    if len(segments) > 1:
-        gone = (
-            read("gone", [key])
-            .groupBy(F.col(PK).alias("gone_pk"))
-            .agg(F.max("segment").alias("gone_segment"))
-        )
-
-        def alive(rows: DataFrame) -> DataFrame:
-            dead = (F.col(PK) == F.col("gone_pk")) & (F.col("segment") < F.col("gone_segment"))
-            return rows.join(gone, dead, "left_anti")
-
-        docs, postings = alive(docs), alive(postings)
-    cells = f"{folder}/cells/segment={min(segments)}"
-    return Index(
-        docs.drop("segment"),
-        postings.drop("segment"),
-        spark.read.parquet(cells) if path_exists(spark, cells) else None,
-    )
+    bucketed = spark.read.parquet(f"{folder}/docs")
+    docs = stored(kept(bucketed).unionByName(fresh.select(bucketed.columns)), "index-docs")
+    counts = term_counts(fresh, PK, CONTENT).withColumn(BUCKET, _bucket(F.col(PK), buckets))
+    bucketed = spark.read.parquet(f"{folder}/postings")
+    postings = stored(kept(bucketed).unionByName(counts.select(bucketed.columns)), "index-postings")
+    for part, name in ((docs, "docs"), (postings, "postings")):
+        left = {r[BUCKET] for r in part.select(BUCKET).distinct().collect()}
+        _write_buckets(part, f"{folder}/{name}")
+        for empty in set(touched) - left:
+            _clear(spark, f"{folder}/{name}/{BUCKET}={empty}")
+    _write_statistics(spark, folder)
 
 
-def compact(spark: SparkSession, folder: str, n_cells: int | None = None) -> None:
-    """Write the present rows as one segment, so that searches need no look at deleted rows.
+def _clear(spark: SparkSession, folder: str) -> None:
+    """Remove a bucket that has no rows any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    With ``n_cells`` the rows are also laid out by direction, so that a vector search can leave out
-    files and pages it need not read. Calls no model. Old segments stay on disk for searches that
-    have them open.
-    """
-    index, number = open_index(spark, folder), max(_committed(spark, folder)) + 1
-    docs, target = index.docs.drop("cell", "angle"), f"{folder}/docs/segment={number}"
-    centroids = _centroids(docs, n_cells) if n_cells is not None else None
-    if centroids is None:
-        docs.write.mode("overwrite").parquet(target)
-    else:
-        docs = docs.select("*", *_placed(centroids))
-        docs = docs.repartitionByRange("cell", PK).sortWithinPartitions("cell", PK)
-        docs.write.mode("overwrite").parquet(target)
-        described = _describe_cells(spark.read.schema(docs.schema).parquet(target), centroids)
-        described.write.mode("overwrite").parquet(f"{folder}/cells/segment={number}")
-    index.postings.sortWithinPartitions("term", PK).write.mode("overwrite").parquet(
-        f"{folder}/postings/segment={number}"
-    )
-    _commit(docs, folder, number, base=True)
-
-
-def _centroids(docs: DataFrame, n_cells: int) -> np.ndarray | None:
-    """Directions from k-means over a sample. A poor choice makes searches slower, not wrong."""
-    directed = docs.filter(F.col("norm") > 0).select(array_to_vector(EMBEDDING).alias("features"))
-    n_rows = directed.count()
-    if n_rows == 0:
-        return None
-    sampled = directed.sample(min(1.0, CLUSTER_SAMPLE / n_rows), seed=1)
-    means = KMeans(k=n_cells, distanceMeasure="cosine", seed=1, maxIter=10).fit(sampled)
-    centers = np.array(means.clusterCenters())
-    lengths = np.linalg.norm(centers, axis=1, keepdims=True)
-    return (centers / np.where(lengths > 0, lengths, 1))[lengths[:, 0] > 0]
-
-
-def _placed(centroids: np.ndarray) -> list[Column]:
-    """The number of the nearest centroid and the angle to it; null for a zero vector."""
-
-    @F.pandas_udf("cell int, angle double")
-    def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            vectors = np.stack(batch.to_numpy()).astype(np.float64)
-            lengths = np.linalg.norm(vectors, axis=1)
-            cosine = (vectors @ centroids.T) / np.where(lengths > 0, lengths, 1)[:, None]
-            angle = np.arccos(np.clip(cosine.max(axis=1), -1, 1))
-            yield pd.DataFrame({"cell": cosine.argmax(axis=1).astype("int32"), "angle": angle})
-
-    place = F.when(F.col("norm") > 0, nearest(F.col(EMBEDDING)))
-    return [place["cell"].alias("cell"), place["angle"].alias("angle")]
-
-
-def _describe_cells(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """(cell, centroid, radius, n_rows), the radius being the largest angle of a row, rounded up."""
-    spark = docs.sparkSession
-    directions = spark.createDataFrame(
-        [(n, c.tolist()) for n, c in enumerate(centroids)], "cell int, centroid array<double>"
-    )
-    sizes = docs.groupBy("cell").agg(
-        (F.max("angle") + F.lit(1e-6)).alias("radius"), F.count(F.lit(1)).alias("n_rows")
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    if not path_exists(spark, f"{folder}/totals"):
+        raise FileNotFoundError(f"no index in {folder}")
+    read = spark.read.parquet
+    return Index(
+        read(f"{folder}/docs").drop(BUCKET),
+        read(f"{folder}/postings").drop(BUCKET),
+        read(f"{folder}/terms"),
+        read(f"{folder}/totals"),
     )
-    return directions.join(sizes, "cell")
 
 
 def build_index(
@@ -320,3 +236,15 @@ def build_index(
 ) -> Index:
     create_or_sync(df, folder, pk, content, dim, vector, model, request_size)
     return open_index(df.sparkSession, folder)
+
+
+def keyword_index(df: DataFrame, pk: str, content: str) -> Index:
+    """Postings and statistics of a table without vectors and without a folder of its own."""
+    source = stored(df.select(F.col(pk).alias(PK), F.col(content).alias(CONTENT)), "keyword-docs")
+    postings = stored(term_counts(source.repartition(df.sparkSession.sparkContext.defaultParallelism), PK, CONTENT), "postings")
+    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    lengths = postings.groupBy(PK).agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("sum_dl")).first()
+    totals = source.agg(
+        F.count(F.lit(1)).alias("n"), F.lit(lengths["sum_dl"] or 0).cast("long").alias("sum_dl")
+    )
+    return Index(source, postings, stored(terms, "terms"), totals)

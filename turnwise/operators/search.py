@@ -1,146 +1,50 @@
 """Top-k retrieval for a table of queries: by vector, by keyword, or both.
 
-Queries are taken in blocks of bounded size. Each block travels to the tasks that read the index;
-a task keeps the best ``k`` rows per query while it reads and gives out only those, so (query, row)
-pairs are never laid out. The number of passes over the index is the number of blocks.
+Queries and index meet in one distributed job, however many queries there are: the index is cut into
+slices by a hash of the key, the queries are copied to the slices, and both meet by an equi-join on the
+slice number. Each slice gives out its best ``k`` rows per query, and the best of these are the result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from turnwise.config import work_folder
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
 from turnwise.functions.text import tokens
-from turnwise.operators.distribution import (
-    hash_slices,
-    spread_join,
-    stored,
-    top_k,
-    use_all_cores,
-)
-from turnwise.operators.index import CONTENT, EMBEDDING, PK, Index
-
-# Our choices: BM25 constants, the fusion constant, how many rows each side gives to the fusion,
-# and the number of decimals that count in a ranking.
+from turnwise.operators.distribution import SPREAD, spread_join, stored, top_k
+from turnwise.operators.index import EMBEDDING, PK, Index
+
+# Our choices: BM25 constants, the fusion constant, how many rows each side gives to the fusion
+# (part of the fusion's definition; callers set another), and the decimals that count in a ranking.
 K1, B = 1.2, 0.75
 FUSION_CONSTANT = 60
 FUSION_DEPTH = 50
 DECIMALS = 6
 
-# A block of queries: at most so many queries, and so many vector values or terms in all.
-BLOCK_QUERIES = 4096
-BLOCK_VALUES = 4_000_000
-BLOCK_TERMS = 200_000
-SCORED_CELLS = 1 << 22  # a task scores so many (row, query) pairs at a time
-PUSHED_TERMS = 1000  # up to this many terms also reach the parquet reader as an IN filter
+CHUNK_ROWS = 1024  # vectors that are packed into one row
+BLOCK_QUERIES = 512  # query vectors that are packed into one row
 
 QUERY = "query_id"
 
 
-@dataclass
-class BestRows:
-    """The best ``k`` (score, pk) per query of the rows seen so far. Ties go to the smaller pk."""
-
-    n_queries: int
-    k: int
-    held: list[pd.DataFrame] = field(default_factory=list)
-    n_held: int = 0
-
-    def __post_init__(self):
-        self.floor = np.full(self.n_queries, -np.inf)
-
-    def add(self, keys: np.ndarray, scores: np.ndarray) -> None:
-        """``scores`` is rows by queries; -inf where a row is no candidate."""
-        floor = self.floor
-        if len(keys) > self.k:
-            at = len(keys) - self.k
-            floor = np.maximum(floor, np.partition(scores, at, axis=0)[at])
-        rows, queries = np.nonzero((scores >= floor) & (scores > -np.inf))
-        if not len(rows):
-            return
-        found = pd.DataFrame({"q": queries, "score": scores[rows, queries], PK: keys[rows]})
-        self.held.append(found)
-        self.n_held += len(found)
-        if self.n_held > 4 * self.k * self.n_queries + 10_000:
-            self._shrink()
-
-    def _shrink(self) -> None:
-        best = pd.concat(self.held, ignore_index=True)
-        best = best.sort_values(["q", "score", PK], ascending=[True, False, True])
-        best = best[best.groupby("q").cumcount() < self.k]
-        full = best.groupby("q")["score"].agg(["size", "min"])
-        full = full[full["size"] == self.k]
-        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
-        self.held, self.n_held = [best], len(best)
-
-    def result(self) -> pd.DataFrame:
-        if self.held:
-            self._shrink()
-            return self.held[0]
-        return pd.DataFrame({"q": [], "score": [], PK: []})
-
-
-def _blocks(
-    queries: DataFrame, size_of: Column, max_size: int, cells: Cells | None = None
-) -> Iterator[list]:
-    """Bounded lists of query rows. ``size_of`` is the number of values a row holds.
-
-    Queries are stored once, cut into one folder per block, so a block is read without the others.
-    With ``cells`` a block holds queries of like direction, so that they read the same cells.
-    """
-    queries = stored(queries, "queries")
-    measured = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(size_of).alias("size")).first()
-    n_blocks = max(
-        math.ceil(measured["n"] / BLOCK_QUERIES), math.ceil((measured["size"] or 0) / max_size)
-    )
-    if n_blocks <= 1:
-        yield queries.collect()
-        return
-    folder = work_folder(queries.sparkSession, "blocks")
-    if cells is None:
-        cut = queries.repartition(n_blocks, QUERY)
-    else:
-        cut = queries.withColumn("cell", _nearest_cell(cells)).repartitionByRange(n_blocks, "cell", QUERY)
-    cut = cut.withColumn("block", F.spark_partition_id())
-    cut.write.partitionBy("block").parquet(folder)
-    cut = queries.sparkSession.read.schema(cut.schema).parquet(folder)
-    for number in range(n_blocks):
-        yield cut.filter(F.col("block") == number).select(queries.columns).collect()
-
-
-def _nearest_cell(cells: Cells) -> Column:
-    @F.pandas_udf(T.IntegerType())
-    def nearest(vectors: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(vectors.to_numpy()) @ cells.centroids.T).argmax(axis=1), dtype="int32")
-
-    return nearest(F.col(EMBEDDING))
-
-
-def _union_of_blocks(spark: SparkSession, parts: Iterator[DataFrame], empty: T.StructType) -> DataFrame:
-    """One block stays lazy; several are written one after the other and read back together."""
-    first = next(parts, None)
-    if first is None:
-        return spark.createDataFrame([], empty)
-    second = next(parts, None)
-    if second is None:
-        return first
-    folder = work_folder(spark, "search")
-    for part in (first, second):
-        part.write.mode("append").parquet(folder)
-    for part in parts:
-        part.write.mode("append").parquet(folder)
-    return spark.read.schema(empty).parquet(folder)
+def _slices(df: DataFrame, tasks: int | None) -> int:
+    return tasks or df.sparkSession.sparkContext.defaultParallelism
+
+
+def _slice(key: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")
+
+
+def _copied(df: DataFrame, slices: int) -> DataFrame:
+    return df.withColumn(SPREAD, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
 
 def _hit_schema(queries: DataFrame, index: Index) -> T.StructType:
@@ -153,184 +57,100 @@ def _hit_schema(queries: DataFrame, index: Index) -> T.StructType:
     )
 
 
-def _as_hits(best: BestRows, ids: list, schema: T.StructType) -> pa.RecordBatch:
-    result = best.result()
-    values = [[ids[int(q)] for q in result["q"]], result[PK].tolist(), result["score"].tolist()]
-    arrays = [pa.array(v, type=to_arrow_type(f.dataType)) for v, f in zip(values, schema.fields)]
-    return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+def _packed(df: DataFrame, key: str, columns: list[str], rows: int, slices: int, names: tuple[str, str]) -> DataFrame:
+    """Rows gathered into lists of about ``rows``, each list within one slice."""
+    total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    parts = max(1, -(-total // (rows * slices)))
+    part = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(parts))
+    return df.groupBy(_slice(F.col(key), slices).alias(names[0]), part.alias("part")).agg(
+        F.collect_list(F.struct(*columns)).alias(names[1])
+    )
 
 
-def _ranked(hits: DataFrame, k: int) -> DataFrame:
-    order = [F.col("score").desc(), F.col(PK).asc()]
-    return top_k(hits, [QUERY], order, k, slice_of=hash_slices(F.col(PK), slices=64))
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Where the rows of a clustered index can be. At most as many as the index was cut into."""
-
-    numbers: np.ndarray
-    centroids: np.ndarray
-    radii: np.ndarray
-    n_rows: np.ndarray
-
-    @staticmethod
-    def of(cells: DataFrame) -> Cells:
-        rows = cells.orderBy("cell").collect()
-        centroids = np.array([r["centroid"] for r in rows])
-        lengths = np.linalg.norm(centroids, axis=1, keepdims=True)
-        return Cells(
-            np.array([r["cell"] for r in rows]),
-            centroids / np.where(lengths > 0, lengths, 1),
-            np.array([r["radius"] for r in rows]),
-            np.array([r["n_rows"] for r in rows]),
-        )
-
-    def highest(self, units: np.ndarray) -> np.ndarray:
-        """The highest cosine that a row of a cell can have, queries by cells."""
-        angles = np.arccos(np.clip(units @ self.centroids.T, -1, 1))
-        return np.cos(np.maximum(angles - self.radii, 0))
-
-    def first(self, units: np.ndarray, k: int) -> np.ndarray:
-        """Which cells to read first: for every query the nearest ones that hold ``k`` rows."""
-        order = np.argsort(-(units @ self.centroids.T), axis=1)
-        before = np.cumsum(self.n_rows[order], axis=1) - self.n_rows[order]
-        chosen = np.zeros(len(self.numbers), dtype=bool)
-        chosen[order[before < k]] = True
-        return chosen
-
-
-def _units(block: list) -> tuple[list, np.ndarray]:
-    """Ids and unit vectors of the queries that have a direction."""
-    vectors = np.array([row[EMBEDDING] for row in block], dtype=np.float64)
-    lengths = np.sqrt((vectors * vectors).sum(axis=1))
-    known = lengths > 0
-    ids = [row[QUERY] for row, ok in zip(block, known) if ok]
-    return ids, vectors[known] / lengths[known, None]
-
-
-def search_vector(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
+def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, query) of the ``k`` highest scores of each column; ties go to the smaller key."""
+    if len(keys) > k:
+        floor = np.partition(scores, len(keys) - k, axis=0)[len(keys) - k]
+        rows, queries = np.nonzero(scores >= floor)
+    else:
+        rows, queries = np.nonzero(np.ones_like(scores, dtype=bool))
+    found = pd.DataFrame({"row": rows, "query": queries, "score": scores[rows, queries], "key": keys[rows]})
+    found = found.sort_values(["query", "score", "key"], ascending=[True, False, True])
+    found = found[found.groupby("query").cumcount() < k]
+    return found["row"].to_numpy(), found["query"].to_numpy()
+
+
+def search_vector(queries: DataFrame, index: Index, k: int = 10, tasks: int | None = None) -> DataFrame:
     """(query_id, pk, score, rank) of the ``k`` rows with the highest cosine, exactly.
 
     ``queries`` holds query_id and embedding. Rows and queries without direction have no cosine and
-    are left out. In an index with cells, the cells nearest to a query are read first; of the others
-    only those are read whose rows can, by their largest angle, still be among the best.
+    are left out. Vectors are packed into lists of about a thousand and compared list by list; the
+    number of ``tasks`` (the cluster's default parallelism if not given) is the number of slices.
     """
-    spark = queries.sparkSession
     schema = _hit_schema(queries, index)
-    columns = [PK, EMBEDDING, "norm"]
+    slices = _slices(queries, tasks)
+    asked = stored(queries.filter(F.col(EMBEDDING).isNotNull()).select(QUERY, EMBEDDING), "queries")
+    blocks = _packed(asked, QUERY, [QUERY, EMBEDDING], BLOCK_QUERIES, 1, ("one", "asked"))
     rows = index.docs.filter(F.col("norm") > 0)
-    cells = Cells.of(index.cells) if index.cells is not None else None
-
-    def scan(candidates: DataFrame, ids: list, units: np.ndarray) -> DataFrame:
-        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = BestRows(len(ids), k)
-            step = max(64, SCORED_CELLS // len(ids))
-            for whole in batches:
-                for start in range(0, whole.num_rows, step):
-                    batch = whole.slice(start, step)
-                    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-                    vectors = flat.reshape(batch.num_rows, -1).astype(np.float64)
-                    norms = batch.column(2).to_numpy(zero_copy_only=False)
-                    cosine = (vectors @ units.T) / norms[:, None]
-                    keys = batch.column(0).to_pandas().to_numpy()
-                    best.add(keys, np.round(cosine, DECIMALS) + 0.0)
-            yield _as_hits(best, ids, schema)
-
-        return candidates.select(columns).mapInArrow(nearest, schema)
-
-    def answer(block: list) -> DataFrame:
-        ids, units = _units(block)
-        if not ids:
-            return spark.createDataFrame([], schema)
-        if cells is None:
-            return scan(rows, ids, units)
-        chosen = cells.first(units, k)
-        in_first = F.col("cell").isin(cells.numbers[chosen].tolist())
-        found = stored(_ranked(scan(rows.filter(in_first | F.col("cell").isNull()), ids, units), k), "near")
-        # At most k rows per query of the block.
-        worst = {r[QUERY]: r["score"] for r in found.filter(F.col("rank") == k).collect()}
-        reached = np.array([worst.get(i, -np.inf) for i in ids])
-        possible = (cells.highest(units) >= reached[:, None] - 10.0**-DECIMALS).any(axis=0) & ~chosen
-        found = found.drop("rank")
-        if not possible.any():
-            return found
-        others = rows.filter(F.col("cell").isin(cells.numbers[possible].tolist()))
-        return found.unionByName(scan(others, ids, units))
-
-    valid = queries.filter(F.col(EMBEDDING).isNotNull()).select(QUERY, EMBEDDING)
-    parts = (answer(block) for block in _blocks(valid, F.size(EMBEDDING), BLOCK_VALUES, cells) if block)
-    return _ranked(_union_of_blocks(spark, parts, schema), k)
-
-
-def search_keyword(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
+    chunks = _packed(rows, PK, [PK, EMBEDDING, "norm"], CHUNK_ROWS, slices, (SPREAD, "rows"))
+    pairs = chunks.join(_copied(blocks.select("asked"), slices), SPREAD).select("rows", "asked")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                held, asked = (batch.column(c)[at].values for c in (0, 1))
+
+                def matrix(part: pa.StructArray) -> np.ndarray:
+                    flat = part.field(EMBEDDING).flatten().to_numpy(zero_copy_only=False)
+                    return flat.reshape(len(part), -1).astype(np.float64)
+
+                wanted = matrix(asked)
+                lengths = np.sqrt((wanted * wanted).sum(axis=1))
+                known = np.flatnonzero(lengths > 0)
+                if not len(known):
+                    continue
+                norms = held.field("norm").to_numpy(zero_copy_only=False)
+                cosine = matrix(held) @ (wanted[known] / lengths[known, None]).T / norms[:, None]
+                scores = np.round(cosine, DECIMALS) + 0.0
+                row, query = _best(scores, held.field(PK).to_pandas().to_numpy(), k)
+                arrays = [
+                    asked.field(QUERY).take(pa.array(known[query])),
+                    held.field(PK).take(pa.array(row)),
+                    pa.array(scores[row, query], pa.float64()),
+                ]
+                typed = [a.cast(to_arrow_type(f.dataType)) for a, f in zip(arrays, schema.fields)]
+                yield pa.RecordBatch.from_arrays(typed, names=schema.names)
+
+    return top_k(pairs.mapInArrow(nearest, schema), [QUERY], [F.col("score").desc(), F.col(PK).asc()], k)
+
+
+def search_keyword(queries: DataFrame, index: Index, k: int = 10, tasks: int | None = None) -> DataFrame:
     """(query_id, pk, score, rank) of the ``k`` rows with the highest BM25 score, exactly.
 
     ``queries`` holds query_id and text. A query counts each of its terms once; a row without any
-    of them is no hit.
+    of them is no hit. Postings are dealt out by document, so all terms of a document are summed where
+    they are and a frequent term is spread over all slices; only sums that are not zero exist, and only
+    the best ``k`` rows of each query and slice are shuffled again.
     """
-    spark = queries.sparkSession
-    schema = _hit_schema(queries, index)
-    stats = index.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl")).first()
-    n_docs, avg_dl = stats["n"], stats["avg_dl"] or 1.0
-
-    def scan(block: list) -> DataFrame:
-        ids = [row[QUERY] for row in block]
-        asked: dict[str, list[int]] = {}
-        for q, row in enumerate(block):
-            for term in row["terms"]:
-                asked.setdefault(term, []).append(q)
-        terms = sorted(asked)
-        if not terms:
-            return spark.createDataFrame([], schema)
-        queries_of = [np.array(asked[t]) for t in terms]
-        # At most about BLOCK_TERMS terms, or those of a single query: small enough to broadcast.
-        numbered = spark.createDataFrame(
-            pd.DataFrame({"term": terms, "term_no": np.arange(len(terms), dtype=np.int32)})
-        )
-        postings = index.postings.filter(F.col("term").between(terms[0], terms[-1]))
-        if len(terms) <= PUSHED_TERMS:
-            postings = postings.filter(F.col("term").isin(terms))
-        matching = postings.join(F.broadcast(numbered), "term")
-        found = matching.groupBy("term_no").agg(F.count(F.lit(1)).alias("df")).collect()
-        idf = np.zeros(len(terms))
-        for row in found:
-            idf[row["term_no"]] = math.log(1 + (n_docs - row["df"] + 0.5) / (row["df"] + 0.5))
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = BestRows(len(ids), k)
-            step = max(64, SCORED_CELLS // len(ids))
-            for whole in batches:
-                for start in range(0, whole.num_rows, step):
-                    batch = whole.slice(start, step)
-                    lists = batch.column(1)
-                    parts = lists.flatten()
-                    doc = np.asarray(lists.value_parent_indices())
-                    term = parts.field("term_no").to_numpy(zero_copy_only=False)
-                    tf = parts.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
-                    dl = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)[doc]
-                    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))
-                    scores = np.zeros((batch.num_rows, len(ids)))
-                    order = np.argsort(term, kind="stable")
-                    edges = np.flatnonzero(np.diff(term[order])) + 1
-                    for rows in np.split(order, edges):
-                        if len(rows):
-                            cells = np.ix_(doc[rows], queries_of[term[rows[0]]])
-                            scores[cells] += weight[rows, None]
-                    rounded = np.round(scores, DECIMALS)
-                    rounded[scores <= 0] = -np.inf
-                    best.add(batch.column(0).to_pandas().to_numpy(), rounded)
-            yield _as_hits(best, ids, schema)
-
-        per_row = matching.groupBy(PK).agg(
-            F.collect_list(F.struct("term_no", "tf")).alias("parts"), F.first("dl").alias("dl")
-        )
-        return per_row.select(PK, "parts", "dl").mapInArrow(score, schema)
-
-    asked = queries.select(QUERY, F.array_distinct(tokens(F.col("text"))).alias("terms"))
-    asked = asked.filter(F.size("terms") > 0)
-    parts = (scan(block) for block in _blocks(asked, F.size("terms"), BLOCK_TERMS) if block)
-    return _ranked(_union_of_blocks(spark, parts, schema), k)
+    slices = _slices(queries, tasks)
+    asked = queries.select(QUERY, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    totals = index.totals.first()  # the one row of the statistics
+    average = totals["sum_dl"] / totals["n"] if totals["sum_dl"] else 1.0
+    df = F.col("df").cast("double")
+    idf = F.log(1 + (F.lit(float(totals["n"])) - df + 0.5) / (df + 0.5))
+    weighed = asked.join(index.terms, "term").select(QUERY, "term", idf.alias("idf"))
+    dealt = _copied(stored(weighed, "asked-terms"), slices).repartition(slices, SPREAD)
+    postings = index.postings.withColumn(SPREAD, _slice(F.col(PK), slices)).repartition(slices, SPREAD)
+    tf = F.col("tf").cast("double")
+    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
+    sums = (
+        postings.join(dealt, [SPREAD, "term"])
+        .groupBy(SPREAD, QUERY, PK)
+        .agg(F.round(F.sum(part), DECIMALS).alias("score"))
+    )
+    order = [F.col("score").desc(), F.col(PK).asc()]
+    best = top_k(sums, [SPREAD, QUERY], order, k).select(QUERY, PK, "score")
+    return top_k(best, [QUERY], order, k)
 
 
 def fuse(hits_a: DataFrame, hits_b: DataFrame, k: int) -> DataFrame:
@@ -344,22 +164,19 @@ def fuse(hits_a: DataFrame, hits_b: DataFrame, k: int) -> DataFrame:
 
 
 def search_hybrid(
-    queries: DataFrame, index: Index, k: int = 10, depth: int = FUSION_DEPTH
+    queries: DataFrame, index: Index, k: int = 10, depth: int = FUSION_DEPTH, tasks: int | None = None
 ) -> DataFrame:
-    """Vector and keyword search fused. ``queries`` holds query_id, text and embedding."""
-    return fuse(
-        search_vector(queries, index, max(k, depth)), search_keyword(queries, index, max(k, depth)), k
-    )
+    """Vector and keyword search fused over the best ``depth`` of each. ``queries`` holds query_id, text, embedding."""
+    depth = max(k, depth)
+    return fuse(search_vector(queries, index, depth, tasks), search_keyword(queries, index, depth, tasks), k)
 
 
 def embed_queries(
-    queries: DataFrame, model: ModelFactory, request_size: int = EMBEDDING_REQUEST_LIMIT
+    queries: DataFrame, model: ModelFactory, request_size: int = EMBEDDING_REQUEST_LIMIT, tasks: int | None = None
 ) -> DataFrame:
-    """Questions get their vector from the model that embedded the rows.
-
-    A search stores its queries before it uses them, so each question is sent once per search.
-    """
-    return use_all_cores(queries).withColumn(EMBEDDING, embed(F.col("text"), model, request_size))
+    """Questions with a vector from the model that embedded the rows; written, so each is sent once."""
+    dealt = queries.repartition(_slices(queries, tasks))
+    return stored(dealt.withColumn(EMBEDDING, embed(F.col("text"), model, request_size)), "question-vectors")
 
 
 def with_columns(hits: DataFrame, index: Index, columns: list[str]) -> DataFrame:

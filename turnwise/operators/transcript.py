@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions.nested import fill_template, first_or_null, quoted
-from turnwise.operators.distribution import order_slices, spread_join
+from turnwise.operators.distribution import order_slices, spread_join, stored
 
 # Fixed value: what stands between a speaker and the spoken text.
 SPEAKER_SEPARATOR = " : "
 
-# Columns kept of a flattened call, besides the labelled sentences.
+# Columns kept of a flattened call, besides the labelled sentences.
 KEPT_COLUMNS = [
     "conversation.id",
     "conversation.duration",
@@ -75,7 +75,30 @@ def label_speakers_rows(sentences: DataFrame, attendees: DataFrame) -> DataFrame
         how="left",
     )
     line = speaker_line(F.col("label"), F.col("recording_attendee_id"), F.col("text"))
-    return joined.select("conversation_id", "order_number", line.alias("line"))
+    speaker = F.coalesce("label", "recording_attendee_id")
+    return joined.select("conversation_id", "order_number", speaker.alias("speaker"), line.alias("line"))
+
+
+def positions(lines: DataFrame, key: str, order: str, width: int) -> DataFrame:
+    """``lines`` with ``position``, their place in the conversation from 0, in order of ``order``.
+
+    Lines are numbered within slices of ``width`` order numbers and shifted by the sizes of the slices
+    before, so a long conversation is not one task's work. Lines without an order number come first, in
+    slices by a hash.
+    """
+    by_order = order_slices(F.col(order), width)
+    slot = F.when(F.col(order).isNull(), -1 - F.pmod(F.xxhash64("line"), F.lit(width))).otherwise(by_order)
+    cut = stored(lines.withColumn("_slice", slot), "lines")
+    before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        cut.groupBy(key, "_slice")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(F.col(key).alias("_key"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    )
+    within = Window.partitionBy(key, "_slice").orderBy(order, "line")
+    numbered = cut.withColumn("_row", F.row_number().over(within) - 1)
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_of"))
+    return numbered.join(shifts, same).select(*lines.columns, (F.col("_row") + F.col("_shift")).alias("position"))
 
 
 def transcript_parts(
@@ -87,15 +110,16 @@ def transcript_parts(
 ) -> DataFrame:
     """Transcripts as JSON arrays of lines in their order.
 
-    A conversation is one row as long as its order numbers stay below ``width``. Longer ones go on
-    in rows with ``part`` 1, 2, ...: every line is kept, and no task gathers more than a part.
+    A conversation of at most ``width`` lines is one row, whatever its order numbers. Longer ones go on
+    in rows with ``part`` 1, 2, ... of ``width`` lines each, so that no task gathers more; assessments of
+    parts are put together again by ``merged_participants``.
     """
-    part = order_slices(F.col(order), width)
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(line))))
+    placed = positions(lines.select(key, order, F.col(line).alias("line")), key, order, width)
+    ordered = F.sort_array(F.collect_list(F.struct("position", "line")))
     return (
-        lines.groupBy(key, part.alias("part"))
+        placed.groupBy(key, F.floor(F.col("position") / width).alias("part"))
         .agg(ordered.alias("ordered"))
-        .select(key, "part", F.transform("ordered", lambda o: o[line]).alias("sentences_updated"))
+        .select(key, "part", F.transform("ordered", lambda o: o["line"]).alias("sentences_updated"))
     )
 
 
@@ -154,15 +178,10 @@ def talk_time(sentences: DataFrame) -> DataFrame:
 
 def talk_time_beside_stored(sentences: DataFrame, attendees: DataFrame) -> DataFrame:
     """Talk time from the sentences beside the one stored in the call; the two may differ."""
-    first = Window.partitionBy("conversation_id", "attendee_id").orderBy("position")
-    stored = (
-        attendees.withColumn("place", F.row_number().over(first))
-        .filter("place = 1")
-        .select(
-            "conversation_id",
-            F.col("attendee_id").alias("recording_attendee_id"),
-            "stored_talk_time",
-            "stored_percent",
-        )
+    claimed = F.struct("stored_talk_time", "stored_percent")
+    claims = (
+        attendees.groupBy("conversation_id", F.col("attendee_id").alias("recording_attendee_id"))
+        .agg(F.min_by(claimed, "position").alias("claimed"))
+        .select("conversation_id", "recording_attendee_id", "claimed.*")
     )
-    return talk_time(sentences).join(stored, ["conversation_id", "recording_attendee_id"], "left")
+    return talk_time(sentences).join(claims, ["conversation_id", "recording_attendee_id"], "left")

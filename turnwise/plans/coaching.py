@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from turnwise.config import Names
 from turnwise.functions.models import ModelFactory
 from turnwise.functions.nested import flatten
-from turnwise.operators.assess import assess_parts, explode_participants
+from turnwise.operators.assess import assess_prompts, explode_participants
 from turnwise.operators.changes import with_content_key
 from turnwise.operators.chat import answer_chats
 from turnwise.operators.index import Index, create_or_sync, open_index
@@ -47,7 +47,7 @@ def assess_calls(
     spark = calls.sparkSession
     replace_table(label_speakers(flatten(calls)), names.table("labelled_calls"))
     prompts = prompts_of_calls(spark.table(names.table("labelled_calls")), marker)
-    good, bad = assess_parts(spark, prompts, model, answers, **options)
+    good, bad = assess_prompts(prompts, model, answers, **options)
     replace_table(
         good.select(*CALL_COLUMNS, "participant_analysis"), names.table("call_assessments")
     )

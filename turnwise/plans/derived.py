@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.operators.distribution import order_slices
-
 MARKER = "acme"
 
 # The same texts are valid in Spark SQL and in the checking engine.
@@ -68,11 +66,8 @@ def roles_as_attendees(turns: DataFrame) -> DataFrame:
     )
 
 
-def turns_as_calls(turns: DataFrame, width: int = 1024) -> DataFrame:
-    """Call documents, each with at most ``width`` turns; a longer conversation becomes several.
-
-    A document's id is the conversation's, followed by ``/part`` from the second part on.
-    """
+def turns_as_calls(turns: DataFrame) -> DataFrame:
+    """A call document per conversation. A document is one value, as it is in a file of calls."""
     sentence = F.struct(
         F.col("turn").alias("order_number"),
         F.lit("transcription").alias("id"),
@@ -87,7 +82,7 @@ def turns_as_calls(turns: DataFrame, width: int = 1024) -> DataFrame:
         F.expr(NAME_SQL).alias("full_name"),
         F.expr(SECOND_NAME_SQL).alias("second_name"),
     )
-    grouped = turns.groupBy("conv_id", order_slices(F.col("turn"), width).alias("part")).agg(
+    grouped = turns.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(sentence)).alias("sentences"),
         F.sort_array(F.collect_set(F.when(F.expr(HAS_ATTENDEE_SQL), attendee))).alias("people"),
         F.sum(F.length("text") * 100).alias("duration"),
@@ -102,11 +97,8 @@ def turns_as_calls(turns: DataFrame, width: int = 1024) -> DataFrame:
         ),
     )
     conv = F.col("conv_id").cast("string")
-    call_id = F.when(F.col("part") == 0, conv).otherwise(
-        F.concat(conv, F.lit("/"), F.col("part").cast("string"))
-    )
     head = [
-        call_id.alias("id"),
+        conv.alias("id"),
         F.col("duration"),
         F.concat(F.lit("Conversation "), conv).alias("title"),
         F.lit("en-US").alias("language_code"),

@@ -8,27 +8,35 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.config import ship_package, work_folder
+from turnwise.config import Names, ship_package, use_database, work_folder
 from turnwise.functions import text
-from turnwise.functions.models import ExtractiveAssessor, HashEmbedder, LastMessageModel, embed
+from turnwise.functions.models import (
+    DigestModel,
+    ExtractiveAssessor,
+    HashEmbedder,
+    LastMessageModel,
+    RewriteOrDigest,
+    embed,
+)
 from turnwise.functions.nested import (
     all_but_last,
     append_frames,
     fill_template,
     first_or_null,
     flatten,
+    json_schema_of,
     last_or_null,
 )
 from turnwise.operators import assess, changes, chat, search, transcript
-from turnwise.operators.distribution import stored, use_all_cores
+from turnwise.operators.distribution import spread_join, stored, use_all_cores
 from turnwise.operators.index import (
     EMBEDDING,
     PK,
     Index,
     build_index,
     check_dimension,
-    compact,
     create_or_sync,
+    keyword_index,
     open_index,
     term_counts,
     vector_norm,
@@ -39,6 +47,7 @@ from turnwise.schemas import PARTICIPANT_KEYS, PARTICIPANT_TEXT_LISTS
 from turnwise.sources.calls import parse_calls, read_calls, sentence_rows
 from turnwise.sources.tables import (
     append_batch,
+    create_table,
     preview,
     read_batches,
     replace_table,
@@ -168,7 +177,8 @@ def hashed_vectors(name: str, id_col: str, text: str = "text") -> str:
 
 @query(
     f"""
-    WITH texts AS (SELECT text, sha256(source || chr(1) || text) AS id FROM documents),
+    WITH texts AS (SELECT text, sha256(length(source) || ':' || source || ',' || length(text) || ':' || text) AS id
+                   FROM documents),
     vec AS ({hashed_vectors("(SELECT DISTINCT id, text FROM texts)", "id")})
     SELECT id, bucket, round(v, 6) AS weight FROM vec
     """
@@ -224,20 +234,22 @@ def change_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.change_rows(before, after.select(columns), ["o_orderkey"])
 
 
-@query("SELECT doc_id, sha256(concat_ws(chr(1), source, lang, text)) AS id FROM documents")
+def content_key_sql(*columns: str) -> str:
+    parts = ", ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in columns)
+    return f"sha256(concat_ws(',', {parts}))"
+
+
+@query(f"SELECT doc_id, {content_key_sql('source', 'lang', 'text')} AS id "
+       "FROM (SELECT doc_id, source, text, nullif(lang, 'en') AS lang FROM documents)")
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
+    """Keys of rows of which many have a null."""
+    documents = table(spark, sf_dir, "documents").withColumn("lang", F.nullif(F.col("lang"), F.lit("en")))
     return changes.with_content_key(documents, ["source", "lang", "text"]).select("doc_id", "id")
 
 
 # --- nested data and functions ----------------------------------------------------------------
 
-CALL_ROWS_SQL = """
-    SELECT conv_id, turn // 1024 AS part,
-           CASE WHEN turn // 1024 = 0 THEN CAST(conv_id AS VARCHAR)
-                ELSE CAST(conv_id AS VARCHAR) || '/' || CAST(turn // 1024 AS VARCHAR) END AS call_id,
-           turn, role, text FROM conversations
-"""
+CALL_ROWS_SQL = "SELECT conv_id, CAST(conv_id AS VARCHAR) AS call_id, turn, role, text FROM conversations"
 
 
 @query(
@@ -286,9 +298,9 @@ def read_call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH packed AS (
-        SELECT conv_id, turn // 1024 AS part, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts
-        FROM conversations GROUP BY 1, 2)
-    SELECT conv_id, part, array_to_string(roles, ',') AS roles,
+        SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS texts
+        FROM conversations GROUP BY 1)
+    SELECT conv_id, array_to_string(roles, ',') AS roles,
            array_to_string(roles[1:len(roles) - 1], ',') AS roles_but_last,
            texts[1] AS first_text, texts[len(texts)] AS last_text,
            list_filter(list_zip(roles, texts), lambda x: x[1] = 'system')[1][2] AS first_system_text,
@@ -300,15 +312,13 @@ def read_call_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def array_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lambdas over arrays, guarded element access, slices and joins of array elements."""
     turns = table(spark, sf_dir, "conversations")
-    part = F.floor(F.col("turn") / 1024).alias("part")
     message = F.struct("turn", "role", "text")
-    packed = turns.groupBy("conv_id", part).agg(F.sort_array(F.collect_list(message)).alias("m"))
+    packed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))
     roles = F.transform("m", lambda m: m["role"])
     system = F.filter("m", lambda m: m["role"] == "system")
     lengths = F.transform("m", lambda m: F.length(m["text"]))
     return packed.select(
         "conv_id",
-        "part",
         F.array_join(roles, ",").alias("roles"),
         F.array_join(all_but_last(roles), ",").alias("roles_but_last"),
         first_or_null(F.col("m"))["text"].alias("first_text"),
@@ -382,14 +392,13 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT conv_id AS conversation_id, turn AS order_number, line FROM ({LINES_SQL})")
 def label_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir)
+    return _lines(spark, sf_dir).drop("speaker")
 
 
 @query(
     f"""
-    SELECT CASE WHEN turn // 1024 = 0 THEN CAST(conv_id AS VARCHAR)
-                ELSE CAST(conv_id AS VARCHAR) || '/' || CAST(turn // 1024 AS VARCHAR) END AS conversation_id,
-           row_number() OVER (PARTITION BY conv_id, turn // 1024 ORDER BY turn) - 1 AS place, line
+    SELECT CAST(conv_id AS VARCHAR) AS conversation_id,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, line
     FROM ({LINES_SQL})
     """
 )
@@ -402,10 +411,12 @@ def label_speakers_in_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("place", F.col("place").cast("long"))
 
 
+# A part holds so many lines, counted from the first one of the conversation.
 TRANSCRIPTS_SQL = f"""
-    SELECT conv_id AS conversation_id, turn // 1024 AS part,
+    SELECT conv_id AS conversation_id, place // 1024 AS part,
            CAST(to_json(list(line ORDER BY turn)) AS VARCHAR) AS transcript
-    FROM ({LINES_SQL}) GROUP BY 1, 2
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM ({LINES_SQL}))
+    GROUP BY 1, 2
 """
 
 
@@ -448,10 +459,8 @@ def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def role_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    speakers = _lines(spark, sf_dir).select(
-        "conversation_id", F.split_part("line", F.lit(" : "), F.lit(1)).alias("speaker")
-    )
-    return speakers.distinct().withColumn("role", text.tag_role(F.col("speaker"), derived.MARKER))
+    speakers = _lines(spark, sf_dir).select("conversation_id", "speaker").distinct()
+    return speakers.withColumn("role", text.tag_role(F.col("speaker"), derived.MARKER))
 
 
 MASK_SALT = "turnwise"
@@ -472,21 +481,33 @@ def mask_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", masked.alias("text"))
 
 
+STAND_IN_SQL = f"'person-' || substr(sha256('{MASK_SALT}' || chr(1) || {{}}), 1, 24)"
+
+
 @query(
     f"""
+    WITH named AS (SELECT *, min(speaker) OVER (PARTITION BY conv_id) AS other FROM ({LINES_SQL}))
     SELECT conv_id AS conversation_id, turn AS order_number,
-           'person-' || substr(sha256('{MASK_SALT}' || chr(1) || speaker), 1, 8) || ' : ' || regexp_replace(
+           {STAND_IN_SQL.format("speaker")} || ' : ' || regexp_replace(
                regexp_replace(regexp_replace(text,
                '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}', '[email]', 'g'),
                '\\+?[0-9][0-9 ()-]{{6,}}[0-9]', '[phone]', 'g'),
-               '[0-9]{{4,}}', '[number]', 'g') AS line
-    FROM ({LINES_SQL})
+               '[0-9]{{4,}}', '[number]', 'g') || ' ; ' || {STAND_IN_SQL.format("other")} AS line
+    FROM named
     """
 )
 def mask_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    speaker = F.split_part("line", F.lit(" : "), F.lit(1))
-    masked = text.mask_pii(F.col("line"), F.array(speaker), MASK_SALT)
-    return _lines(spark, sf_dir).select("conversation_id", "order_number", masked.alias("line"))
+    """Lines that also name another person of the call; all names of a call are masked in all its lines.
+
+    A call has as many names as attendees, so these are gathered per call; lines are not.
+    """
+    lines = stored(_lines(spark, sf_dir), "lines")
+    names = lines.groupBy("conversation_id").agg(
+        F.collect_set("speaker").alias("names"), F.min("speaker").alias("other")
+    )
+    joined = spread_join(lines, names, ["conversation_id"], [F.col("order_number")])
+    masked = text.mask_pii(F.concat("line", F.lit(" ; "), "other"), F.col("names"), MASK_SALT)
+    return joined.select("conversation_id", "order_number", masked.alias("line"))
 
 
 @query(
@@ -521,7 +542,7 @@ def _participant_sql(key: str) -> str:
         items = "'[\"turns: ' || CAST(n_turns AS STRING) || '\"]'" if key in FILLED_LISTS else "'[]'"
         value = items
     elif key == "meeting_summary_from_my_perspective":
-        value = "first_text"
+        value = "said"
     elif key == "name":
         value = "'\"' || speaker || '\"'"
     else:
@@ -551,15 +572,16 @@ RESPONSE_SQL = """
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    first_text = F.min_by("text", "turn")
-    quoted_text = F.regexp_extract(F.to_json(F.array("first_text")), r"(?s)^\[(.*)\]$", 1)
+    spoken = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    said = F.array_join(F.transform(spoken, lambda t: t["text"]), " ")
+    quoted_text = F.regexp_extract(F.to_json(F.array("said")), r"(?s)^\[(.*)\]$", 1)
     people = (
         turns.groupBy("conv_id", "role")
-        .agg(F.count(F.lit(1)).alias("n_turns"), first_text.alias("first_text"))
-        .withColumn("first_text", quoted_text)
+        .agg(F.count(F.lit(1)).alias("n_turns"), said.alias("said"))
+        .withColumn("said", quoted_text)
         .withColumn("speaker", F.expr(derived.SPEAKER_ID_SQL))
     )
-    # One entry per role: the given data has three, and the gathered text is their first turns.
+    # One entry per role: the given data has three. An answer is one value with all that they said.
     listed = people.groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("role", F.expr(PARTICIPANT_SQL).alias("p")))).alias("all")
     )
@@ -571,7 +593,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PEOPLE_SQL = f"""
     SELECT conv_id, role, count(*) AS n_turns, {derived.SPEAKER_ID_SQL} AS speaker,
-           CAST(to_json(arg_min(text, turn)) AS VARCHAR) AS first_text
+           CAST(to_json(string_agg(text, ' ' ORDER BY turn)) AS VARCHAR) AS said
     FROM conversations GROUP BY conv_id, role
 """
 RESPONSES_SQL = _sql(
@@ -687,32 +709,35 @@ def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-    WITH parts AS (SELECT conv_id, turn // 1024 AS part, turn, speaker, text,
-                          count(*) OVER (PARTITION BY conv_id, turn // 1024) AS n_lines FROM ({LINES_SQL}))
-    SELECT conv_id AS conversation_id, part, speaker AS name,
+    WITH lines AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n_lines FROM ({LINES_SQL})),
+    prompts AS (
+        SELECT conversation_id, md5({_quoted(PROMPT_START)} || transcript || {_quoted(PROMPT_END)}) AS digest
+        FROM ({TRANSCRIPTS_SQL}))
+    SELECT conv_id AS conversation_id, speaker AS name,
            CASE WHEN contains(lower(speaker), 'acme') THEN 'sales rep' ELSE 'customer' END AS role,
            1 + 9 * count(*) // max(n_lines) AS performance_score,
            CASE WHEN 2 * count(*) >= max(n_lines) THEN 'high' ELSE 'low' END AS engagement_level,
-           arg_min(text, turn) AS first_text, arg_max(text, turn) AS last_text
-    FROM parts GROUP BY conv_id, part, speaker
+           arg_min(text, turn) AS first_text, arg_max(text, turn) AS last_text, any_value(digest) AS digest
+    FROM lines JOIN prompts ON conversation_id = conv_id GROUP BY conv_id, speaker
     """
 )
 def assess_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model run over all prompts, its answers checked, and one row per participant."""
+    """A model run over all prompts, its answers checked, and one row per conversation and participant."""
     model = ExtractiveAssessor(
         derived.MARKER, transcript.TRANSCRIPT_MARK, transcript.TRANSCRIPT_END
     )
     prompts = stored(prompt_build(spark, sf_dir), "prompts")
-    good, _ = assess.assess_parts(spark, prompts, model, work_folder(spark, "answers"))
-    return assess.explode_participants(good, ["conversation_id", "part"]).select(
+    good, _ = assess.assess_prompts(prompts, model, work_folder(spark, "answers"))
+    exploded = assess.explode_participants(good, ["conversation_id", "part"])
+    return assess.merged_participants(exploded, ["conversation_id"]).select(
         "conversation_id",
-        "part",
         "name",
         "participant.role",
         "participant.performance_score",
         "participant.engagement_level",
         F.col("participant.meeting_summary_from_my_perspective").alias("first_text"),
         F.col("participant.meeting_summary_from_their_perspective").alias("last_text"),
+        F.col("participant.sales_impact").alias("digest"),
     )
 
 
@@ -831,7 +856,7 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> Index:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     folder = work_folder(spark, "index")
     return build_index(documents, folder, "doc_id", "text", DIM, model=EMBEDDER)
 
@@ -906,25 +931,13 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias(PK), EMBEDDING, vector_norm(F.col(EMBEDDING)).alias("norm")
     )
     asked = search.embed_queries(_questions(spark, sf_dir), EMBEDDER)
-    return search.search_vector(asked, Index(rows, None), K)
-
-
-@query(KNN_SQL)
-def knn_in_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from an index laid out by direction, of which only the needed cells are read."""
-    folder = work_folder(spark, "index")
-    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
-    create_or_sync(rows, folder, "vec_id", "label", DIM, vector="embedding")
-    compact(spark, folder, n_cells=32)
-    asked = search.embed_queries(_questions(spark, sf_dir), EMBEDDER)
-    return search.search_vector(asked, open_index(spark, folder), K)
+    return search.search_vector(asked, Index(rows), K)
 
 
 @query(keyword_hits_sql("documents", "doc_id", "benchmark", "item_id", K))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search_keyword(
-        _questions(spark, sf_dir), document_index(spark, sf_dir), K
-    )
+    documents = keyword_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return search.search_keyword(_questions(spark, sf_dir), documents, K)
 
 
 HYBRID_SQL = hybrid_hits_sql("documents", "doc_id", "benchmark", "item_id", K)
@@ -1015,20 +1028,27 @@ def rewrite_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT conv_id, turn, role, text, count(*) AS copies,
-           CASE WHEN role IS NULL THEN 'no role' WHEN text IS NULL THEN 'no text'
+           CASE WHEN conv_id IS NULL THEN 'no conversation' WHEN turn IS NULL THEN 'no turn'
+                WHEN role IS NULL THEN 'no role' WHEN text IS NULL THEN 'no text'
                 WHEN sum(count(*)) OVER (PARTITION BY conv_id, turn) > 1 THEN 'turn is not unique'
                 ELSE 'good' END AS problem
     FROM (SELECT conv_id, turn, nullif(role, 'system') AS role, text FROM conversations
-          UNION ALL SELECT conv_id, 0, role, text FROM conversations WHERE role = 'assistant')
+          UNION ALL SELECT conv_id, 0, role, text FROM conversations WHERE role = 'assistant'
+          UNION ALL SELECT nullif(conv_id, conv_id), turn, 'user', 'x' FROM conversations WHERE role = 'user'
+          UNION ALL SELECT conv_id, NULL, role, text FROM conversations WHERE role = 'user')
     GROUP BY conv_id, turn, role, text
     """
 )
 def message_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The given messages with damage: no role for system messages, answers repeated as turn 0."""
+    """The given messages with damage: no role for system messages, answers repeated as turn 0, and
+    user messages repeated without a conversation and without a turn."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     damaged = turns.withColumn("role", F.nullif(F.col("role"), F.lit("system"))).unionByName(
         turns.filter("role = 'assistant'").withColumn("turn", F.lit(0).cast("long"))
     )
+    users = turns.filter("role = 'user'")
+    lost = users.withColumn("conv_id", F.lit(None).cast("long")).withColumn("text", F.lit("x"))
+    damaged = damaged.unionByName(lost).unionByName(users.withColumn("turn", F.lit(None).cast("long")))
     good, bad = chat.check_messages(damaged)
     good = good.withColumn("copies", F.lit(1).cast("long")).withColumn("problem", F.lit("good"))
     return bad.unionByName(good)
@@ -1048,7 +1068,7 @@ def _contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     index = document_index(spark, sf_dir)
     hits = chat.retrieve(chat.search_queries(turns, None), index, EMBEDDER, K)
-    return chat.contexts(hits, index, chat.RetrieverColumns(document_uri="source"))
+    return chat.contexts(hits, index, chat.RetrieverColumns(document_uri="source", name="lang"))
 
 
 @query(CONTEXTS_SQL)
@@ -1061,8 +1081,7 @@ def rag_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 ANSWER_PIECES = chat.ANSWER_TEMPLATE.replace("{question}", "{context}").split("{context}")
 
 
-@query(
-    f"""
+PROMPT_MESSAGES_SQL = f"""
     WITH last AS ({LAST_SQL}), found AS ({CONTEXTS_SQL})
     SELECT conv_id, -1 AS turn, 'system' AS role,
            {_quoted(ANSWER_PIECES[0])} || coalesce(context, '') || {_quoted(ANSWER_PIECES[1])} || question
@@ -1070,30 +1089,154 @@ ANSWER_PIECES = chat.ANSWER_TEMPLATE.replace("{question}", "{context}").split("{
     FROM last LEFT JOIN found USING (conv_id)
     UNION ALL SELECT conv_id, last_turn, 'user', question FROM last
     UNION ALL SELECT conv_id, turn, role, text FROM ({HISTORY_SQL}) WHERE role IN ('user', 'assistant')
-    """
-)
+"""
+
+
+@query(PROMPT_MESSAGES_SQL)
 def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.prompt_rows(table(spark, sf_dir, "conversations"), _contexts(spark, sf_dir))
 
 
+
+
+@query(
+    f"""
+    SELECT conv_id, count(*) AS n_messages, CAST(sum(length(content)) AS BIGINT) AS prompt_chars
+    FROM ({PROMPT_MESSAGES_SQL}) GROUP BY conv_id
+    """
+)
+def prompt_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long each finished prompt is; nothing is cut to fit a model."""
+    prompts = chat.prompt_rows(table(spark, sf_dir, "conversations"), _contexts(spark, sf_dir))
+    return chat.prompt_sizes(prompts).drop("prompt_key")
+
+
+@query(
+    f"""
+    SELECT query_id AS conv_id, rank, pk, source AS uri, lang AS name
+    FROM ({CHAT_HITS_SQL}) JOIN documents ON doc_id = pk
+    """
+)
+def rag_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages behind each context, with the columns that the mapping names."""
+    sources = _contexts(spark, sf_dir).select("conv_id", F.explode("sources").alias("s"))
+    return sources.select("conv_id", F.col("s.rank").cast("long").alias("rank"), "s.pk", "s.uri", "s.name")
+
+
 @query(
     f"""
-    SELECT conv_id, question AS answer, CAST(NULL AS VARCHAR) AS error, source_keys
-    FROM ({LAST_SQL}) LEFT JOIN ({CONTEXTS_SQL}) USING (conv_id)
+    SELECT conv_id, md5(string_agg(role || ':' || content || chr(10), '' ORDER BY turn)) AS answer,
+           CAST(NULL AS VARCHAR) AS error, any_value(source_keys) AS source_keys
+    FROM ({PROMPT_MESSAGES_SQL}) LEFT JOIN ({CONTEXTS_SQL}) USING (conv_id) GROUP BY conv_id
     """
 )
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewrite, retrieval, prompt and answer for every conversation.
 
-    The stand-in for the model gives back the question it finds in its prompt.
+    The stand-in gives the question back where a rewrite is asked for, and a digest of all messages
+    where an answer is.
     """
     answers = chat.answer_chats(
         table(spark, sf_dir, "conversations"),
         document_index(spark, sf_dir),
         EMBEDDER,
-        LastMessageModel(),
+        RewriteOrDigest(LastMessageModel(), DigestModel()),
         K,
-        columns=chat.RetrieverColumns(document_uri="source"),
+        columns=chat.RetrieverColumns(document_uri="source", name="lang"),
     )
     sources = F.array_join(F.transform("sources", lambda s: s["pk"].cast("string")), ",")
     return answers.select("conv_id", "answer", "error", sources.alias("source_keys"))
+
+
+# --- the rest of sources, sinks and functions -------------------------------------------------
+
+
+@query(
+    f"""
+    SELECT call_id AS conversation_id, turn AS order_number, text FROM ({CALL_ROWS_SQL})
+    """
+)
+def read_pretty_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pretty-printed document per file, in a folder that also holds files that are not JSON."""
+    folder = work_folder(spark, "pretty-calls")
+    calls = derived.turns_as_calls(table(spark, sf_dir, "conversations"))
+    calls.write.option("maxRecordsPerFile", 1).option("pretty", True).json(folder)
+    calls.select(F.to_json("sentences").alias("note")).write.mode("append").text(folder)
+    return sentence_rows(read_calls(spark, folder)).select("conversation_id", "order_number", "text")
+
+
+@query("SELECT event_id, event_type FROM events")
+def created_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table created where it is absent; creating it again leaves its rows."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
+    name = "turnwise_" + work_folder(spark, "created").rsplit("-", 1)[1]
+    create_table(spark, name, events.schema)
+    events.write.insertInto(name)
+    create_table(spark, name, events.schema)
+    return scan(spark, name)
+
+
+@query("SELECT label_id, quality FROM (SELECT doc_id AS label_id, quality FROM labels)")
+def configured_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in the place that the settings name."""
+    names = Names(database="turnwise_" + work_folder(spark, "names").rsplit("-", 1)[1])
+    before = spark.catalog.currentDatabase()
+    use_database(spark, names)
+    spark.catalog.setCurrentDatabase(before)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "quality")
+    replace_table(labels, names.table("labelled_calls"))
+    return scan(spark, names.table("labelled_calls"))
+
+
+@query(
+    """
+    SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'STRUCT<k: BIGINT>' AS found_schema
+    FROM events
+    """
+)
+def json_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema of a sample, and the column parsed by it."""
+    found = json_schema_of('{"k": 1}')
+    events = table(spark, sf_dir, "events")
+    parsed = events.select("event_id", F.from_json("props", found).alias("p"), found.alias("found_schema"))
+    return parsed.select("event_id", "p.k", "found_schema")
+
+
+@query("SELECT item_id AS query_id, 0::BIGINT AS n_hits, '' AS context FROM benchmark")
+def empty_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of words that no document has: no hits, and an empty context."""
+    documents = keyword_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    asked = _questions(spark, sf_dir)
+    unknown = asked.withColumn("text", F.concat(F.lit("unheardofword"), F.sha2("text", 256)))
+    hits = search.search_keyword(unknown, documents, K)
+    counted = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    texts = chat.contexts(hits, documents).select(F.col("conv_id").alias("query_id"), "context")
+    return asked.join(counted, "query_id", "left").join(texts, "query_id", "left").select(
+        "query_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), F.coalesce("context", F.lit("")).alias("context")
+    )
+
+
+@query(
+    _sql(
+        f"""
+        SELECT conv_id AS conversation_id, {derived.SPEAKER_ID_SQL} AS recording_attendee_id,
+               CAST(sum(length(text)) * 100 AS BIGINT) AS talk_time,
+               CASE WHEN role <> 'system' THEN CAST(count(*) * 1000 AS BIGINT) END AS stored_talk_time
+        FROM conversations GROUP BY conv_id, role
+        """
+    )
+)
+def talk_beside_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Talk time from the sentences beside what the attendee entries say, here a second per turn."""
+    turns = table(spark, sf_dir, "conversations")
+    said = turns.groupBy("conv_id", "role").agg((F.count(F.lit(1)) * 1000).alias("stored_talk_time"))
+    claims = said.select(
+        F.col("conv_id").alias("conversation_id"),
+        F.expr(derived.SPEAKER_ID_SQL).alias("attendee_id"),
+        "stored_talk_time",
+        F.lit(None).cast("double").alias("stored_percent"),
+    )
+    attendees = derived.roles_as_attendees(turns).join(claims, ["conversation_id", "attendee_id"])
+    return transcript.talk_time_beside_stored(derived.turns_as_sentences(turns), attendees).select(
+        "conversation_id", "recording_attendee_id", "talk_time", "stored_talk_time"
+    )
