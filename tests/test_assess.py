@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.models import embed, infer
 from turnwise.operators.assess import (
-    assess_parts,
+    assess_prompts,
     consistency,
     explode_participants,
     infer_once,
     meetings_per_participant,
+    merged_participants,
     parse_assessment,
     validate_assessment,
 )
@@ -159,6 +160,28 @@ def test_infer_once_repeats_no_call(spark, folder):
     assert [r["error"] for r in third.collect()] == [None] * 5
 
 
+def test_calls_are_dealt_to_the_tasks_asked_for(spark, folder):
+    def factory():
+        from pyspark import TaskContext
+
+        return lambda texts: [str(TaskContext.get().partitionId()) for _ in texts]
+
+    rows = spark.range(2000).select(F.concat(F.lit("prompt "), F.col("id").cast("string")).alias("prompt"))
+    found = infer_once(rows, "prompt", factory, f"{folder}/store", tasks=6)
+    assert {r["response"] for r in found.collect()} == {str(n) for n in range(6)}
+
+
+def test_parts_of_a_conversation_become_one_row_per_person(spark):
+    prompts = [("c", 1, response(participant(strengths=["b", "a"], performance_score=5), participant(name="Bob"))),
+               ("c", 0, response(participant(strengths=["a"], performance_score=8, role="first")))]
+    df = spark.createDataFrame(prompts, "conversation_id string, part bigint, response string")
+    rows = explode_participants(parse_assessment(df), ["conversation_id", "part"])
+    ann, bob = merged_participants(rows, ["conversation_id"]).orderBy("name").collect()
+    assert (ann["participant"]["strengths"], ann["participant"]["performance_score"]) == (["a", "b"], 7)
+    assert (ann["participant"]["role"], bob["participant"]["role"]) == ("first", "text")
+    assert set(ann["participant"].asDict()) == set(PARTICIPANT_KEYS)
+
+
 def test_quarantine_holds_failed_calls_and_bad_answers(spark, folder):
     prompts = spark.createDataFrame(
         [("c1", "fine"), ("c2", "nonsense"), ("c3", "down")], "conversation_id string, prompt string"
@@ -172,7 +195,7 @@ def test_quarantine_holds_failed_calls_and_bad_answers(spark, folder):
 
         return call
 
-    good, bad = assess_parts(spark, prompts, factory, f"{folder}/store", pause_seconds=0)
+    good, bad = assess_prompts(prompts, factory, f"{folder}/store", pause_seconds=0)
     assert [r["conversation_id"] for r in good.collect()] == ["c1"]
     assert {r["conversation_id"]: r["problems"] for r in bad.collect()} == {
         "c2": ["not a JSON object"],

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.functions.models import HashEmbedder
+from turnwise.functions.models import HashEmbedder, LastMessageModel
 from turnwise.functions.nested import fill_template, json_schema_of
 from turnwise.operators import chat
 from turnwise.operators.index import build_index
@@ -120,20 +120,23 @@ def test_prompt_has_the_question_twice_and_filled_text_stays(rows, index):
 def test_array_prompt_equals_row_prompt(rows, arrays, index):
     hits = chat.retrieve(chat.search_queries(rows, None), index, HashEmbedder(DIM), 4)
     found = chat.contexts(hits, index)
-    packed = chat.pack_messages(chat.prompt_rows(rows, found).withColumnRenamed("content", "text"), 100)
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
+    packed = chat.prompt_rows(rows, found).groupBy("conv_id").agg(ordered.alias("messages"))
     joined = arrays.filter("size(messages) > 0").join(found, "conv_id", "left").select(
         "conv_id", chat.prompt_of(F.col("messages"), F.coalesce("context", F.lit(""))).alias("messages")
     )
-    assert {r["conv_id"]: r["messages"] for r in packed.collect()} == {
-        r["conv_id"]: r["messages"] for r in joined.collect()
-    }
+
+    def texts(frame):
+        return {r["conv_id"]: [(m["role"], m["content"]) for m in r["messages"]] for r in frame.collect()}
+
+    assert texts(packed) == texts(joined)
 
 
 def test_sources_follow_the_column_mapping(rows, index):
     hits = chat.retrieve(chat.search_queries(rows, None), index, None, 2, "keyword")
     found = {r["conv_id"]: r["sources"] for r in chat.contexts(hits, index).collect()}
-    assert [(s["pk"], s["uri"], s["rank"]) for s in found["single"]] == [
-        (0, "conversation 0", 1), (3, "conversation 3", 2)
+    assert [(s["pk"], s["uri"], s["name"], s["rank"]) for s in found["single"]] == [
+        (0, "conversation 0", "name 0", 1), (3, "conversation 3", "name 3", 2)
     ]
     assert "no hit" not in found
     other = chat.contexts(hits, index, chat.RetrieverColumns(document_uri="name"), "{document_uri};")
@@ -161,20 +164,69 @@ def test_all_chats_are_answered(rows, index):
     assert by_name["assistant last"]["sources"][0]["pk"] in (2, 3, 5)
     assert by_name["no hit"]["sources"] is None
     assert by_name["usual"]["answer"].startswith("4:")
+    assert by_name["assistant last"]["problem"] == "rewrite failed: RuntimeError: refused"
+    assert by_name["usual"]["problem"] is None
+    assert (by_name["usual"]["n_messages"], by_name["single"]["n_messages"]) == (4, 2)
+
+
+def test_damaged_messages_are_told_of(spark, index):
+    values = [("a", 0, "user", "alpha?"), ("a", 1, None, "x"), ("b", None, "user", "beta?")]
+    df = spark.createDataFrame(values, "conv_id string, turn bigint, role string, text string")
+    answers = chat.answer_chats(df, index, HashEmbedder(DIM), LastMessageModel(), 1)
+    by_name = {r["conv_id"]: (r["answer"], r["error"], r["problem"]) for r in answers.collect()}
+    assert by_name == {
+        "a": ("alpha?", None, "messages left out: 1"),
+        "b": (None, "no usable message", "messages left out: 1"),
+    }
 
 
-def test_overlong_conversations_are_reported(spark, rows):
-    long = spark.range(3000).select(
+def long_chat(spark, n):
+    return spark.range(n).select(
         F.lit("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),
         F.col("id").cast("string").alias("text"),
-    )
-    prompts = rows.unionByName(long).withColumnRenamed("text", "content")
-    answers = chat.generate(prompts, lambda: lambda v: [str(len(m)) for m in v], max_turns=2000)
-    by_name = {r["conv_id"]: (r["answer"], r["error"]) for r in answers.collect()}
-    assert by_name.pop("long") == (None, "prompt has 3000 messages")
-    assert by_name == {name: (str(len(messages)), None) for name, messages in CHATS.items()}
-    # Its history itself is whole.
-    assert chat.chat_history(rows.unionByName(long)).filter("conv_id = 'long'").count() == 2999
+    )
+
+
+def test_conversations_of_any_length_are_sent(spark, rows, folder):
+    log = f"{folder}/log"
+
+    def factory():
+        def call(values):
+            with open(log, "a") as file:
+                file.writelines("x\n" for _ in values)
+            if any(len(m) > 9_000 for m in values):
+                raise RuntimeError("context is too short")
+            return [str(len(m)) for m in values]
+
+        return call
+
+    both = rows.unionByName(long_chat(spark, 10_000))
+    prompts = both.withColumnRenamed("text", "content")
+    answers = chat.generate(prompts, factory, f"{folder}/store", attempts=1)
+    by_name = {r["conv_id"]: (r["answer"], r["error"], r["n_messages"]) for r in answers.collect()}
+    assert by_name.pop("long") == (None, "RuntimeError: context is too short", 10_000)
+    assert by_name == {name: (str(len(messages)), None, len(messages)) for name, messages in CHATS.items()}
+    with open(log) as file:
+        sent = len(file.readlines())
+    assert answers.count() == len(CHATS) + 1
+    chat.generate(rows.withColumnRenamed("text", "content"), factory, f"{folder}/store").collect()
+    with open(log) as file:
+        assert len(file.readlines()) == sent
+
+
+def test_equal_prompts_are_sent_once(spark, folder):
+    values = [(c, t, "user", f"text {t}") for c in ("a", "b", "c") for t in range(3)] + [("d", 0, "user", "text 1"), ("d", 1, "user", "text 0")]
+    prompts = spark.createDataFrame(values, "conv_id string, turn bigint, role string, content string")
+    counted = chat.generate(prompts, lambda: lambda v: [f"{len(v)} {m[0]['content']}" for m in v], f"{folder}/s", tasks=1)
+    assert sorted((r["conv_id"], r["answer"]) for r in counted.collect()) == [
+        ("a", "2 text 0"), ("b", "2 text 0"), ("c", "2 text 0"), ("d", "2 text 1")
+    ]
+
+
+def test_a_long_history_is_rewritten_whole(spark):
+    prompt = chat.rewrite_prompts(long_chat(spark, 10_000), "{chat_history}|{question}").first()["prompt"]
+    history, question = prompt.rsplit("|", 1)
+    assert [m["content"] for m in json.loads(history)] == [str(n) for n in range(9_999)] and question == "9999"
 
 
 def test_newest_turns(rows):
@@ -186,18 +238,24 @@ def test_message_check(spark):
     values = [
         ("a", 0, "user", "x"), ("a", 1, None, "x"), ("a", 2, "user", None),
         ("b", 0, "user", "x"), ("b", 0, "user", "x"), ("b", 1, "user", "x"), ("b", 1, "user", "y"),
-        ("b", 2, "user", ""),
+        ("b", 2, "user", ""), ("b", None, "user", "x"), ("b", None, "user", "x"), (None, 3, "user", "x"),
     ]
     df = spark.createDataFrame(values, "conv_id string, turn bigint, role string, text string")
     good, bad = chat.check_messages(df)
     assert sorted((r["conv_id"], r["turn"]) for r in good.collect()) == [("a", 0), ("b", 2)]
-    assert sorted((r["conv_id"], r["turn"], r["copies"], r["problem"]) for r in bad.collect()) == [
+    lost = bad.filter("conv_id IS NULL OR turn IS NULL").collect()
+    rest = bad.filter("conv_id IS NOT NULL AND turn IS NOT NULL").collect()
+    assert sorted((r["conv_id"], r["turn"], r["copies"], r["problem"]) for r in rest) == [
         ("a", 1, 1, "no role"),
         ("a", 2, 1, "no text"),
         ("b", 0, 2, "turn is not unique"),
         ("b", 1, 1, "turn is not unique"),
         ("b", 1, 1, "turn is not unique"),
     ]
+    assert sorted((r["conv_id"] or "", r["copies"], r["problem"]) for r in lost) == [
+        ("", 1, "no conversation"), ("b", 2, "no turn")
+    ]
+    assert good.count() + sum(r["copies"] for r in bad.collect()) == len(values)
 
 
 def test_templates(spark):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,8 +15,8 @@ from turnwise.operators.index import (
     Index,
     build_index,
     check_dimension,
-    compact,
     create_or_sync,
+    keyword_index,
     open_index,
     vector_norm,
 )
@@ -78,62 +79,19 @@ def best_cosines(rows, queries, k, key):
 @pytest.mark.parametrize("as_text", [False, True])
 def test_vector_search_equals_brute_force(spark, vectors, monkeypatch, block_queries, as_text):
     monkeypatch.setattr(search, "BLOCK_QUERIES", block_queries)
-    monkeypatch.setattr(search, "SCORED_CELLS", 640)
+    monkeypatch.setattr(search, "CHUNK_ROWS", 20)
     queries = vectors[:10].copy()
     rows = vector_table(spark, vectors, "pk", as_text).withColumn("norm", vector_norm(F.col("embedding")))
-    hits = search.search_vector(vector_table(spark, queries, "query_id"), Index(rows.repartition(5), None), 9)
+    hits = search.search_vector(vector_table(spark, queries, "query_id"), Index(rows.repartition(5)), 9, tasks=3)
     key = (lambda n: f"k{n:04d}") if as_text else (lambda n: n)
     assert rows_of(hits) == best_cosines(vectors, queries.astype(float), 9, key)
 
 
-def clustered(n, seed):
-    generator = np.random.default_rng(seed)
-    directions = generator.normal(size=(12, DIM))
-    # A third of all rows point one way.
-    which = np.where(generator.random(n) < 1 / 3, 0, generator.integers(0, 12, size=n))
-    return (directions[which] + 0.05 * generator.normal(size=(n, DIM))).astype(np.float32)
-
-
-@pytest.mark.parametrize("block_queries", [4096, 5])
-@pytest.mark.parametrize("kind", ["clustered", "scattered"])
-def test_search_in_cells_equals_brute_force(spark, folder, monkeypatch, kind, block_queries):
-    monkeypatch.setattr(search, "BLOCK_QUERIES", block_queries)
-    if kind == "clustered":
-        matrix = clustered(600, 5)
-    else:
-        matrix = np.random.default_rng(6).normal(size=(600, DIM)).astype(np.float32)
-    matrix[3] = 0
-    rows = vector_table(spark, matrix, "id").withColumn("body", F.lit(""))
-    create_or_sync(rows.filter("id < 550"), folder, "id", "body", DIM, vector="embedding")
-    compact(spark, folder, n_cells=12)
-    # Rows added later have no cell.
-    create_or_sync(rows, folder, "id", "body", DIM, vector="embedding")
-    index = open_index(spark, folder)
-    assert index.docs.filter("cell IS NULL AND norm > 0").count() == 50
-    queries = matrix[[0, 10, 20, 30, 40, 50, 60, 70, 599]].astype(float)
-    hits = search.search_vector(vector_table(spark, queries, "query_id"), index, 5)
-    assert rows_of(hits) == best_cosines(matrix, queries, 5, int)
-
-
-def test_a_question_reads_few_cells(spark, folder):
-    matrix = clustered(600, 7)
-    rows = vector_table(spark, matrix, "id").withColumn("body", F.lit(""))
-    create_or_sync(rows, folder, "id", "body", DIM, vector="embedding")
-    compact(spark, folder, n_cells=12)
-    cells = search.Cells.of(open_index(spark, folder).cells)
-    assert cells.n_rows.sum() == 600
-    unit = matrix[:1].astype(float) / np.linalg.norm(matrix[0].astype(float))
-    chosen = cells.first(unit, 5)
-    reached = np.sort((matrix @ unit[0]) / np.linalg.norm(matrix, axis=1))[-5]
-    possible = (cells.highest(unit)[0] >= reached - 1e-6) | chosen
-    assert possible.sum() <= len(cells.numbers) / 3
-
-
 def test_many_equal_scores(spark):
     rows = vector_table(spark, np.ones((3000, 2), dtype=np.float32), "pk")
     rows = rows.withColumn("norm", vector_norm(F.col("embedding"))).repartition(6)
     query = vector_table(spark, np.ones((1, 2)), "query_id")
-    hits = search.search_vector(query, Index(rows, None), 4)
+    hits = search.search_vector(query, Index(rows), 4)
     assert [r[1] for r in rows_of(hits)] == [0, 1, 2, 3]
 
 
@@ -174,22 +132,48 @@ def index(spark, documents, tmp_path_factory):
     return build_index(df, folder, "id", "body", DIM, model=HashEmbedder(DIM))
 
 
-@pytest.mark.parametrize("block_queries", [4096, 2])
-def test_keyword_search_equals_brute_force(spark, index, documents, monkeypatch, block_queries):
-    monkeypatch.setattr(search, "BLOCK_QUERIES", block_queries)
-    monkeypatch.setattr(search, "SCORED_CELLS", 500)
+@pytest.mark.parametrize("tasks", [None, 1, 7])
+def test_keyword_search_equals_brute_force(spark, index, documents, tasks):
     queries = dict(enumerate([*texts_of(6, 3), "Alpha ALPHA, kappa!", "unknown words", "", "..."]))
     asked = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
-    hits = search.search_keyword(asked, index, 7)
+    hits = search.search_keyword(asked, index, 7, tasks)
     assert rows_of(hits) == best_bm25(documents, queries, 7)
 
 
-def test_many_terms_in_a_block(spark, index, documents, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK_TERMS", 4)
-    monkeypatch.setattr(search, "PUSHED_TERMS", 2)
+def jobs_of(spark, action):
+    """How many jobs an action starts, adaptive execution aside."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.sparkContext.setJobGroup("counted", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    try:
+        action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_many_queries_take_no_more_jobs_than_few(spark, index, documents, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 5)
+    found = []
+    for n in (2, 40):
+        queries = dict(enumerate(texts_of(n, 8)))
+        asked = spark.createDataFrame(list(queries.items()), "query_id bigint, text string").coalesce(1)
+        asked = search.embed_queries(asked, HashEmbedder(DIM)).coalesce(1)
+        vector = jobs_of(spark, lambda: search.search_vector(asked, index, 3, 2).collect())
+        keyword = jobs_of(spark, lambda: search.search_keyword(asked, index, 3, 2).collect())
+        found.append((vector, keyword))
+    assert found[0] == found[1]
+
+
+def test_index_of_keywords_alone(spark, documents):
+    df = spark.createDataFrame(list(documents.items()), "id bigint, body string")
     queries = dict(enumerate(texts_of(8, 5)))
     asked = spark.createDataFrame(list(queries.items()), "query_id bigint, text string")
-    assert rows_of(search.search_keyword(asked, index, 3)) == best_bm25(documents, queries, 3)
+    hits = search.search_keyword(asked, keyword_index(df, "id", "body"), 3)
+    assert rows_of(hits) == best_bm25(documents, queries, 3)
+    nothing = search.search_keyword(asked, keyword_index(df.limit(0), "id", "body"), 3)
+    assert nothing.count() == 0
 
 
 def test_no_hits_keep_the_schema(spark, index):
@@ -275,21 +259,23 @@ def test_sync_follows_the_table(spark, folder):
             create_or_sync(df, f"{folder}/index", "id", "body", DIM, model=model)
         fresh = build_index(df, f"{folder}/fresh{number}", "id", "body", DIM, model=HashEmbedder(DIM))
         assert state_of(open_index(spark, f"{folder}/index")) == state_of(fresh)
-        if number == 1:
-            compact(spark, f"{folder}/index")
-            assert state_of(open_index(spark, f"{folder}/index")) == state_of(fresh)
+        index = open_index(spark, f"{folder}/index")
+        terms = sorted(map(tuple, index.terms.collect()))
+        assert terms == sorted(map(tuple, open_index(spark, f"{folder}/fresh{number}").terms.collect()))
+        assert index.totals.first()["n"] == len(rows)
     with open(f"{folder}/log") as file:
         sent = sorted(file.read().split("\n")[:-1])
     # Created: 3. Then two and four; then one (its place changed) and three; then nothing.
     assert sent == sorted(["one", "two two", "three", "two again", "four", "one", "three"])
 
 
-def test_unfinished_segment_is_not_read(spark, folder):
-    df = spark.createDataFrame([(1, "one")], "id bigint, body string")
-    create_or_sync(df, folder, "id", "body", DIM, model=HashEmbedder(DIM))
-    before = open_index(spark, folder).docs
-    before.withColumn("pk", F.lit(9).cast("long")).write.parquet(f"{folder}/docs/segment=1")
-    assert [r["pk"] for r in open_index(spark, folder).docs.collect()] == [1]
-    more = spark.createDataFrame([(1, "one"), (2, "two")], "id bigint, body string")
-    create_or_sync(more, folder, "id", "body", DIM, model=HashEmbedder(DIM))
-    assert sorted(r["pk"] for r in open_index(spark, folder).docs.collect()) == [1, 2]
+def test_untouched_buckets_are_not_rewritten(spark, folder):
+    rows = [(n, f"text {n}") for n in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, body string")
+    create_or_sync(df, folder, "id", "body", DIM, model=HashEmbedder(DIM), buckets=8)
+    before = {p: p.stat().st_mtime_ns for p in Path(folder, "docs").rglob("*.parquet")}
+    changed = df.withColumn("body", F.when(F.col("id") == 5, "another").otherwise(F.col("body")))
+    create_or_sync(changed, folder, "id", "body", DIM, model=HashEmbedder(DIM))
+    after = {p: p.stat().st_mtime_ns for p in Path(folder, "docs").rglob("*.parquet")}
+    same = {p.parent.name for p in before if after.get(p) == before[p]}
+    assert len(same) == len({p.parent.name for p in before}) - 1
