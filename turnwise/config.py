@@ -90,7 +90,11 @@ def _work_root(spark: SparkSession) -> str:
 
 def clear_work(spark: SparkSession) -> None:
     """Remove all work folders of this application. Results that still read them can't be used after that."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_work_root(spark))
+    remove_folder(spark, _work_root(spark))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

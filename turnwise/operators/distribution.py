@@ -81,17 +81,9 @@ def top_k(
     return ranked.filter(F.col("rank") <= k)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of the plan; starts no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def use_all_cores(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Deal rows to ``tasks`` tasks, the cluster's default parallelism if not given, before work that is heavy per row.
 
-
-def use_all_cores(df: DataFrame, below_bytes: int = 1 << 30) -> DataFrame:
-    """Spread a small input over the cores before work that is heavy per row.
-
-    A small file is one scan task, however much work follows. Inputs of ``below_bytes`` or more
-    have many scan tasks already and are not shuffled.
+    For sources of few files; what is read in many splits anyway needs none of this.
     """
-    if estimated_bytes(df) >= below_bytes:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.config import path_exists
+from turnwise.config import path_exists, remove_folder
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
 from turnwise.functions.text import tokens
 from turnwise.operators.changes import change_kinds, content_hash
@@ -202,16 +202,10 @@ def create_or_sync(
         left = {r[BUCKET] for r in part.select(BUCKET).distinct().collect()}
         _write_buckets(part, f"{folder}/{name}")
         for empty in set(touched) - left:
-            _clear(spark, f"{folder}/{name}/{BUCKET}={empty}")
+            remove_folder(spark, f"{folder}/{name}/{BUCKET}={empty}")
     _write_statistics(spark, folder)
 
 
-def _clear(spark: SparkSession, folder: str) -> None:
-    """Remove a bucket that has no rows any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def open_index(spark: SparkSession, folder: str) -> Index:
     if not path_exists(spark, f"{folder}/totals"):
         raise FileNotFoundError(f"no index in {folder}")

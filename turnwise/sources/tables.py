@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.config import path_exists
+from turnwise.config import path_exists, remove_folder
 
 
 def scan(spark: SparkSession, table: str) -> DataFrame:
@@ -26,32 +26,58 @@ def row_count(df: DataFrame, name: str = "n_rows") -> DataFrame:
 
 
 def stream_table(
-    spark: SparkSession, table: str, schema: T.StructType | None = None, files: str | None = None
+    spark: SparkSession,
+    table: str,
+    schema: T.StructType | None = None,
+    files: str | None = None,
+    files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """The rows appended to a table, as a stream. Paths need a schema; ``files`` is a name filter."""
+    """The rows appended to a table, as a stream. Paths need a schema; ``files`` is a name filter.
+
+    ``files_per_trigger`` bounds a batch, so that a backlog is worked off in several.
+    """
+    reader = spark.readStream
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if "/" not in table:
-        return spark.readStream.table(table)
-    reader = spark.readStream.schema(schema)
+        return reader.table(table)
+    reader = reader.schema(schema)
     return (reader.option("pathGlobFilter", files) if files else reader).parquet(table)
 
 
 def replace_table(df: DataFrame, table: str, folder: str | None = None) -> None:
     """Overwrite contents and schema of a table. ``df`` may read the table itself.
 
-    The new contents are complete in a second table before the old one is dropped. Data go to a new
-    place below ``folder``, or where the catalog keeps its tables.
+    The new contents are written to a place of their own below ``folder``, or beside the old ones. With
+    the same columns as before, the table is then pointed at them in one step, so readers see either
+    state and a crash leaves one of them. With other columns a second table takes the name of the first,
+    as the built-in catalog has no step for both. The old files are removed at the end.
     """
     spark = df.sparkSession
-    writer = df.write.format("parquet")
-    if folder is not None:
-        writer = writer.option("path", f"{folder}/{uuid.uuid4().hex}")
     if not spark.catalog.tableExists(table):
+        writer = df.write.format("parquet")
+        if folder is not None:
+            writer = writer.option("path", f"{folder}/{uuid.uuid4().hex}")
         writer.saveAsTable(table)
         return
-    fresh = f"{table}__fresh"
-    writer.mode("overwrite").saveAsTable(fresh)
-    spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    old = _location(spark, table)
+    fresh_folder = f"{folder or old.rstrip('/').rsplit('/', 1)[0]}/{table.rsplit('.', 1)[-1]}-{uuid.uuid4().hex}"
+    if [(f.name, f.dataType) for f in spark.table(table).schema] == [(f.name, f.dataType) for f in df.schema]:
+        df.write.parquet(fresh_folder)
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{fresh_folder}'")
+        spark.catalog.refreshTable(table)
+    else:
+        fresh = f"{table}__fresh"
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        df.write.format("parquet").option("path", fresh_folder).saveAsTable(fresh)
+        spark.sql(f"DROP TABLE {table}")
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    remove_folder(spark, old)
+
+
+def _location(spark: SparkSession, table: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").collect()
+    return rows[0]["data_type"]
 
 
 def create_table(spark: SparkSession, table: str, schema: T.StructType) -> None:

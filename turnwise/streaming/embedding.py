@@ -36,10 +36,12 @@ def embed_stream(
     key: list[str],
     text: str = "content",
     request_size: int = EMBEDDING_REQUEST_LIMIT,
+    tasks: int | None = None,
 ) -> None:
     """Embed the rows that are new since the last run and append them to a folder, then stop.
 
-    Rows get an ``id`` made from their ``key`` columns. An id that is in the folder already, or twice
+    A backlog is cut into batches by the ``files_per_trigger`` of the stream's source; each batch is
+    embedded in ``tasks`` tasks, the cluster's default parallelism if not given. Rows get an ``id`` made from their ``key`` columns. An id that is in the folder already, or twice
     in a batch, is embedded and kept once. A batch that is repeated after a failure replaces its
     first attempt.
     """
@@ -51,7 +53,7 @@ def embed_stream(
             stored = spark.read.schema("id string, batch bigint").parquet(folder)
             known = stored.filter(F.col("batch") < number).select("id")
             rows = rows.join(known, "id", "left_anti")
-        rows = use_all_cores(rows)
+        rows = use_all_cores(rows, tasks)
         columns = ["id", *[c for c in batch.columns if c != "id"]]
         vectors = embed(F.col(text), model, request_size).alias("embedding")
         append_batch(rows.select(*columns, vectors), folder, number)
