@@ -3,8 +3,9 @@ import re
 
 import pytest
 
-from tests.llm.helpers import ODD, docs_of, empty_docs, odd_docs
+from tests.llm.helpers import ODD, docs_of, empty_docs, odd_docs, ordered, sql_rows
 from turnwise.llm.decontaminate import canonical_words, drop_contaminated, find_contaminated, raw_words
+from turnwise.llm.oracles import CONTAMINATION
 
 ITEM = "If Peter has 12 apples and gives 5 km to Anna, how many apples does Peter keep at home today"
 
@@ -69,6 +70,41 @@ def test_planted_items_match_brute_force(spark):
     assert found(docs_of(spark, texts), items_of(spark, items)) == sorted(expected)
 
 
+def test_altered_items_match_the_sql(spark):
+    rnd = random.Random(5)
+    items = [
+        ITEM,
+        "A train of 3,5kg goes from Old Town to New York in 7 hours and back in 9 Hours; so what is it",
+        "one two three four five six",
+        "In Rome 4 men met 4 women, and Marco left with 4 euros at 5 min past noon",
+    ]
+    names = ["Peter", "Anna", "Rome", "Marco", "Lena", "York"]
+    texts = []
+    for _ in range(300):
+        text = rnd.choice(items)
+        for _ in range(rnd.randint(0, 4)):
+            words = text.split(" ")
+            kind = rnd.random()
+            if kind < 0.5:
+                text = text.replace(rnd.choice(names), rnd.choice(names))
+            elif kind < 0.8:
+                text = text.replace(rnd.choice("3457"), str(rnd.randint(1, 99)))
+            else:
+                words[rnd.randrange(len(words))] = rnd.choice(["the", "Men", "12", "\tAnna", ", Bob", "KM"])
+                text = " ".join(words)
+        texts.append(rnd.choice(["", "he said ", "so, ", "X "]) + text + rnd.choice([""," ok"]))
+    documents = [*enumerate(texts), (None, ITEM), (900, None)]
+    benchmark = [*enumerate(items), (9, None), (None, ITEM), (1, items[3])]
+    rows = find_contaminated(
+        spark.createDataFrame(documents, "doc_id long, text string"),
+        spark.createDataFrame(benchmark, "item_id long, text string"),
+    ).drop("text_key")
+    tables = {"documents": (["doc_id", "text"], documents), "benchmark": (["item_id", "text"], benchmark)}
+    expected = [tuple(None if v != v else int(v) if isinstance(v, float) and i < 2 else v for i, v in enumerate(r)) for r in sql_rows(CONTAMINATION, **tables)]
+    found = ordered(rows.collect())
+    assert found == ordered(expected) and {r[5] for r in found} == {"exact", "template"}
+
+
 def test_odd_rows(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (None, ITEM), (3, "one two"), (4, ODD[6][1]), (4, ODD[6][1])], "item_id long, text string")
     assert found(odd_docs(spark), items) == [(5, 4, "exact")]

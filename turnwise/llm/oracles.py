@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from turnwise.llm.decontaminate import LEAST_WORDS, SHARE, UNIT_WORDS
 from turnwise.llm.licenses import COVERAGE, FUNCTION_WORDS, SHORT_GRAMS, SLACK, STRETCH, TEMPLATES
 from turnwise.llm.quality import STOP_WORDS
 
@@ -242,3 +243,74 @@ SELECT doc_id, CASE WHEN rest IS NULL THEN text ELSE pieces[1] || rest END AS te
   {", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in ("n_replaced", "n_email", "n_phone", "n_card", "n_ssn", "n_ip", "n_date"))}
 FROM docs LEFT JOIN joined USING (row_id)
 """
+
+
+_UNIT_WORDS = ", ".join(_quoted(u) for u in UNIT_WORDS)
+
+
+def _spelled(table: str, id_column: str) -> str:
+    """(key, place, word, slot): each word in lower case, with its placeholder or null."""
+    word = r"([^\p{L}\p{N}]*)(\p{N}+(?:[.,]\p{N}+)*|\p{L}+)"
+    return rf"""
+    SELECT key, place, lower(word) AS word, CASE
+        WHEN regexp_matches(word, '^\p{{N}}') THEN '0'
+        WHEN regexp_full_match(word, '\p{{Lu}}\p{{Ll}}+') AND gap[-1] IN (' ', chr(9)) AND (
+          gap[-2] IN (',', ';', ':') AND length(gap) > 1
+          OR length(gap) = 1 AND (regexp_matches(before, '\p{{Ll}}$') OR regexp_matches(before, '^\p{{N}}')))
+          THEN '1'
+        WHEN lower(word) IN ({_UNIT_WORDS}) AND regexp_matches(before, '^\p{{N}}') AND gap IN ('', ' ', chr(9)) THEN '2' END AS slot
+    FROM (
+      SELECT *, lag(word) OVER (PARTITION BY key ORDER BY place) AS before FROM (
+        SELECT key, unnest(gaps) AS gap, unnest(words) AS word, unnest(generate_series(0, len(words) - 1)) AS place
+        FROM (
+          SELECT struct_pack(id := {id_column}, text := text) AS key,
+            regexp_extract_all(text, '{word}', 1) AS gaps, regexp_extract_all(text, '{word}', 2) AS words
+          FROM (SELECT DISTINCT {id_column}, coalesce(text, '') AS text FROM {table}))))"""
+
+
+CONTAMINATION = f"""
+WITH doc_words AS ({_spelled("documents", "doc_id")}),
+item_words AS ({_spelled("(SELECT * FROM benchmark WHERE item_id IS NOT NULL)", "item_id")}),
+docs AS (SELECT key, list(coalesce(slot, word) ORDER BY place) AS words FROM doc_words GROUP BY key),
+items AS (
+  SELECT key AS item, list(coalesce(slot, word) ORDER BY place) AS words, least(8, count(*)) AS size,
+    count(*) - least(8, count(*)) + 1 AS n_windows
+  FROM item_words GROUP BY key HAVING count(*) >= {LEAST_WORDS}),
+item_windows AS (
+  SELECT item, size, n_windows, item_at, list_has_any(words[item_at + 1:item_at + size], ['0', '1', '2']) AS has_slot,
+    unnest([array_to_string(words[item_at + 1:item_at + size], ' '),
+      CASE WHEN item_at = 0 THEN array_to_string(list_concat(['1'], words[2:size]), ' ') END]) AS run
+  FROM (SELECT *, unnest(generate_series(0, n_windows - 1)) AS item_at FROM items)),
+doc_windows AS (
+  SELECT key, size, doc_at, array_to_string(words[doc_at + 1:doc_at + size], ' ') AS run
+  FROM (
+    SELECT key, words, size, unnest(generate_series(0, len(words) - size)) AS doc_at
+    FROM docs CROSS JOIN (SELECT DISTINCT size FROM items))),
+votes AS (
+  SELECT key, item, size, n_windows, item_at, has_slot, min(doc_at) AS doc_at
+  FROM doc_windows JOIN item_windows USING (size, run) GROUP BY ALL),
+candidates AS (
+  SELECT key, item, n_windows, count(DISTINCT item_at) AS n_found,
+    count(DISTINCT item_at) FILTER (NOT has_slot) AS n_plain
+  FROM votes GROUP BY ALL HAVING count(DISTINCT item_at) >= {SHARE} * n_windows),
+spots AS (
+  SELECT DISTINCT key, item, doc_at - item_at AS shift, unnest(generate_series(item_at, item_at + size - 1)) AS spot
+  FROM votes SEMI JOIN candidates USING (key, item) WHERE has_slot),
+filled AS (
+  SELECT DISTINCT s.key, s.item, i.slot, i.word AS item_value, d.word AS text_value
+  FROM spots s JOIN item_words i ON i.key = s.item AND i.place = s.spot AND i.slot IS NOT NULL
+  JOIN doc_words d ON d.key = s.key AND d.place = s.spot + s.shift AND d.slot IS NOT NULL),
+verdicts AS (
+  SELECT key, item, count(*) = count(DISTINCT (slot, item_value)) AND count(*) = count(DISTINCT (slot, text_value)) AS consistent,
+    bool_or(item_value <> text_value) AS changed
+  FROM filled GROUP BY ALL),
+judged AS (
+  SELECT key, item, n_windows, CASE WHEN coalesce(consistent, true) THEN n_found ELSE n_plain END AS n_found,
+    CASE WHEN consistent AND changed THEN 'template' ELSE 'exact' END AS kind
+  FROM candidates LEFT JOIN verdicts USING (key, item)),
+ranked AS (
+  SELECT key.id AS doc_id, item.id AS item_id, n_windows, n_found, n_found / n_windows AS coverage, kind,
+    row_number() OVER (PARTITION BY key, item.id ORDER BY n_found / n_windows DESC, n_found DESC, n_windows DESC, kind DESC) AS place
+  FROM judged WHERE n_found >= {SHARE} * n_windows)
+SELECT doc_id, item_id, n_windows, n_found, coverage, kind FROM ranked WHERE place = 1
+"""

@@ -86,10 +86,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(docs, fit_language(docs))
 
 
-@_query()
+@_query(oracles.CONTAMINATION)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, as they are or with other values."""
-    return find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.drop("text_key")
 
 
 @_query()
