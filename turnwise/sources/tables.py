@@ -48,31 +48,26 @@ def stream_table(
 def replace_table(df: DataFrame, table: str, folder: str | None = None) -> None:
     """Overwrite contents and schema of a table. ``df`` may read the table itself.
 
-    The new contents are written to a place of their own below ``folder``, or beside the old ones. With
-    the same columns as before, the table is then pointed at them in one step, so readers see either
-    state and a crash leaves one of them. With other columns a second table takes the name of the first,
-    as the built-in catalog has no step for both. The old files are removed at the end.
+    The new contents are complete in a second table before the old one is dropped and the second takes
+    its name; the built-in catalog has no single step for that, so for a moment the table is not there.
+    A table without ``folder`` keeps its place, as streams that read it need. With ``folder`` data go to a
+    new place below it, and the files of the replaced table are removed.
     """
     spark = df.sparkSession
+    writer = df.write.format("parquet")
+    if folder is not None:
+        writer = writer.option("path", f"{folder}/{uuid.uuid4().hex}")
     if not spark.catalog.tableExists(table):
-        writer = df.write.format("parquet")
-        if folder is not None:
-            writer = writer.option("path", f"{folder}/{uuid.uuid4().hex}")
         writer.saveAsTable(table)
         return
     old = _location(spark, table)
-    fresh_folder = f"{folder or old.rstrip('/').rsplit('/', 1)[0]}/{table.rsplit('.', 1)[-1]}-{uuid.uuid4().hex}"
-    if [(f.name, f.dataType) for f in spark.table(table).schema] == [(f.name, f.dataType) for f in df.schema]:
-        df.write.parquet(fresh_folder)
-        spark.sql(f"ALTER TABLE {table} SET LOCATION '{fresh_folder}'")
-        spark.catalog.refreshTable(table)
-    else:
-        fresh = f"{table}__fresh"
-        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-        df.write.format("parquet").option("path", fresh_folder).saveAsTable(fresh)
-        spark.sql(f"DROP TABLE {table}")
-        spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
-    remove_folder(spark, old)
+    fresh = f"{table}__fresh"
+    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+    writer.saveAsTable(fresh)
+    spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    if folder is not None:
+        remove_folder(spark, old)
 
 
 def _location(spark: SparkSession, table: str) -> str:
