@@ -117,3 +117,35 @@ def test_stage_keeps_columns_and_odd_rows(spark):
     assert kept.columns == odd_docs(spark).columns
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, -1, 1, 4, 5, 6, 7, 8]
     assert drop_near_copies(empty_docs(spark)).count() == 0
+
+
+def similarity(a, b):
+    a, b = set(shingles(a, 5, True)), set(shingles(b, 5, True))
+    return len(a & b) / len(a | b)
+
+
+def altered(rnd, text, kind, least, most):
+    """A copy of ``text`` with a similarity in [``least``, ``most``), by one kind of edit."""
+    for _ in range(10_000):
+        words, n = text.split(), rnd.randint(1, 120)
+        if kind == "appended":
+            words += [f"more{rnd.randrange(10**6)}" for _ in range(n)]
+        elif kind == "cut":
+            words = words[: max(1, len(words) - n)]
+        else:
+            for at in rnd.sample(range(len(words)), min(n, 40)):
+                words[at] = f"other{rnd.randrange(10**6)}"
+        if least <= similarity(text, " ".join(words)) < most:
+            return " ".join(words)
+    raise AssertionError(kind)
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut", "swapped"])
+def test_near_copies_of_every_edit_are_found(spark, kind):
+    rnd = random.Random(21)
+    texts = []
+    for _ in range(40):
+        text = " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(200, 400)))
+        texts += [text, altered(rnd, text, kind, 0.8, 0.83)]
+    kept = sorted(r.doc_id for r in drop_near_copies(docs_of(spark, texts)).collect())
+    assert kept == list(range(0, 80, 2))

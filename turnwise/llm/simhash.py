@@ -288,28 +288,241 @@ def simhash_groups(docs: DataFrame, n_words: int = 4, radius: int = 4, blocks: i
     return found.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Word sets under three seeds find candidates; the fingerprint of five-word runs is the node and decides.
-STAGE_SIGHTS = [Sight(5, distinct=True), *(Sight(1, distinct=True, seed=SEED + i) for i in range(3))]
-STAGE_RADIUS, STAGE_BLOCKS, STAGE_NODE_RADIUS = 5, 7, 14
+# The stage's rule: two texts are near copies if their sets of five-word runs are at least 4/5 similar.
+STAGE_WORDS = 5
+WINDOW = 8
+COMMON_ONE_IN, COMMON_LEAST, COMMON_MOST = 16, 4, 200_000
+PARITY_BITS = 2048
+
+
+def run_hashes(text: str | None) -> np.ndarray:
+    """The set of five-word runs of ``text`` as ascending hashes."""
+    runs = shingles(text or "", STAGE_WORDS, False)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs)))
+
+
+def are_near(a: np.ndarray, b: np.ndarray) -> bool:
+    """Similarity of two sets (shared of all elements) of at least 4/5; two empty sets are equal."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 9 * shared >= 4 * (len(a) + len(b))
+
+
+def _signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.uint64).view(np.int64))
+
+
+def common_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of runs frequent in one text of sixteen, and their ranks by frequency.
+
+    They only serve the order in which runs become keys; whichever they are, no pair is missed.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, ROWS_OUT):
+                found = [run_hashes(t) for t in rows.column(0).slice(at, ROWS_OUT).to_pylist()]
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found))], names=["run"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(COMMON_ONE_IN)) == 0)
+    counts = texts.mapInArrow(work, "run long").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "run").limit(COMMON_MOST).toArrow()
+    runs = top.column("run").to_numpy().view(np.uint64)
+    order = np.argsort(runs)
+    return runs[order], (len(runs) - np.arange(len(runs)))[order]
+
+
+def near_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, node, size, keys, parity) of every row.
+
+    ``node`` stands for the set of runs, ``size`` is its size. Sets at least 4/5 similar share at least
+    4/5 of the larger one, so under one order of all runs they share one of the first
+    ``size - ceil(4/5 size) + 1`` of each: these are the keys, common runs last. ``parity`` counts the
+    runs per 2,048th of the hashes modulo 2: it differs in no more bits than the sets have different runs.
+    """
+    common, ranks = common_runs(docs)
+
+    def keys_of(runs: np.ndarray) -> np.ndarray:
+        kept = len(runs) - (4 * len(runs) + 4) // 5 + 1 if len(runs) else 0
+        if not len(common):
+            return runs[:kept]
+        at = np.minimum(np.searchsorted(common, runs), len(common) - 1)
+        often = common[at] == runs
+        last = runs[often][np.argsort(ranks[at[often]], kind="stable")]
+        return np.concatenate([runs[~often], last])[:kept]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_OUT):
+                rows = whole.slice(at, ROWS_OUT)
+                sets = [run_hashes(t) for t in rows.column(2).to_pylist()]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
+                keys = [keys_of(s) for s in sets]
+                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                parity = [np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.column(0),
+                        rows.column(1),
+                        _signed(nodes),
+                        pa.array([len(s) for s in sets], pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(keys))),
+                        pa.array(parity, pa.binary()),
+                    ],
+                    names=["doc_id", "text_key", "node", "size", "keys", "parity"],
+                )
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text")
+    )
+    return rows.mapInArrow(work, "doc_id long, text_key long, node long, size int, keys array<long>, parity binary")
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut so that no value of the first column is divided."""
+    rest = None
+    for rows in batches:
+        new = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in rows.columns]
+        columns = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
+        if not len(columns[0]):
+            continue
+        cut = int(np.searchsorted(columns[0], columns[0][-1]))
+        rest = [c[cut:] for c in columns]
+        if cut:
+            yield [c[:cut] for c in columns]
+    if rest is not None:
+        yield rest
+
+
+def near_candidates(rows: DataFrame) -> DataFrame:
+    """(key, a, b, size): pairs that share a key and are within ``WINDOW`` places by size, with a null key.
+
+    Buckets that hold more nodes than that also give their rows: key, node as ``a``, and size.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, size, node in _whole_buckets(batches):
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            key, size, node = key[new], size[new], node[new]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            lengths = np.diff(np.append(starts, len(key)))
+            firsts, seconds = [], []
+            left = np.flatnonzero(np.repeat(lengths > 1, lengths))
+            for offset in range(1, WINDOW + 1):
+                left = left[left + offset < len(key)]
+                left = left[key[left] == key[left + offset]]
+                near = left[5 * size[left].astype(np.int64) >= 4 * size[left + offset].astype(np.int64)]
+                firsts.append(node[near])
+                seconds.append(node[near + offset])
+            a, b = np.concatenate(firsts), np.concatenate(seconds)
+            large = np.repeat(lengths > WINDOW + 1, lengths)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            n_pairs, n_large = pairs.shape[1], int(large.sum())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.nulls(n_pairs, pa.int64()), pa.array(key[large])]),
+                    pa.array(np.concatenate([pairs[0], node[large]])),
+                    pa.concat_arrays([pa.array(pairs[1]), pa.nulls(n_large, pa.int64())]),
+                    pa.concat_arrays([pa.nulls(n_pairs, pa.int32()), pa.array(size[large])]),
+                ],
+                names=["key", "a", "b", "size"],
+            )
+
+    dealt = rows.select(F.explode("keys").alias("key"), "size", "node").repartition("key")
+    return dealt.sortWithinPartitions("key", "size", "node").mapInArrow(work, "key long, a long, b long, size int")
+
+
+def _far_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``members`` (key, size, node, root, parity) beyond ``WINDOW``, of different roots, that can be near."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, size, node, root, parity in _whole_buckets(batches):
+            size = size.astype(np.int64)
+            bits = np.frombuffer(b"".join(parity), np.uint64).reshape(len(key), -1)
+            left, offset = np.arange(len(key)), WINDOW
+            while len(left):
+                offset += 1
+                left = left[left + offset < len(key)]
+                left = left[(key[left] == key[left + offset]) & (5 * size[left] >= 4 * size[left + offset])]
+                a = left[root[left] != root[left + offset]]
+                for words in (4, bits.shape[1]):
+                    apart = np.bitwise_count(bits[a, :words] ^ bits[a + offset, :words]).sum(axis=1, dtype=np.int64)
+                    a = a[9 * apart <= size[a] + size[a + offset]]
+                if len(a):
+                    x, y = node[a], node[a + offset]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
+                    )
+
+    dealt = members.select("key", "size", "node", "root", "parity").repartition("key")
+    return dealt.sortWithinPartitions("key", "size", "node").mapInArrow(work, "a long, b long").distinct()
+
+
+def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets of runs, made again from the texts, are near."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_OUT):
+                part = whole.slice(at, ROWS_OUT)
+                found = pa.array([run_hashes(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["node", "runs"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            both = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+            near = [are_near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both]
+            yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    own = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    one = own.join(texts, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+    runs = stored(one.mapInArrow(sets, "node long, runs binary"), "candidate-runs")
+    beside = pairs.join(runs.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a")
+    beside = beside.join(runs.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b")
+    return beside.select("a", "b", "runs_a", "runs_b").mapInArrow(compare, "a long, b long")
+
+
+def near_copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``near_rows`` and (node, component_id), the smallest doc_id reachable over near pairs."""
+    rows = stored(near_rows(docs), "near-rows")
+    candidates = stored(near_candidates(rows), "candidates")
+    pairs = stored(candidates.filter(F.col("key").isNull()).select("a", "b").distinct(), "pairs")
+    links = stored(verified(pairs, rows, docs), "near-links")
+    roots = components(links)
+    members = candidates.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "size")
+    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    members = stored(members.join(mixed.select("key"), "key", "left_semi"), "large-buckets")
+    if not members.isEmpty():
+        parity = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
+        more = stored(_far_pairs(members.join(parity, "node")), "pairs")
+        roots = components(links.unionByName(verified(more, rows, docs)))
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(roots, "node", "left")
+    firsts = stored(firsts.withColumn("root", F.coalesce("root", "node")), "components")
+    ids = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows, firsts.join(ids, "root").select("node", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies of ``docs``: that with the smallest doc_id.
 
-    Texts are near copies if their fingerprints over distinct runs of five words differ in at most 14
-    bits. At a similarity of 0.8 of the sets of runs 10 bits differ on average, with a deviation of 3, so
-    nearly all such pairs are in. Candidates are texts whose sets of single words, which edits disturb far
-    less, have fingerprints at most 5 bits apart under one of three seeds. All columns are returned as they
-    are. Null and empty texts are one group. A doc_id names a document: of several rows with it one
-    stays, that with the smallest text. Rows without a doc_id cannot be named and always stay. An empty
-    table gives an empty result.
+    Texts are near copies if they share at least 0.8 of the five-word runs that either of them holds;
+    groups are the texts connected by such pairs. The search misses none: candidates share one of the
+    keys of ``near_rows``, and every link is checked on the whole sets of runs. All columns are returned
+    as they are. Null and empty texts are one group. A doc_id names a document: of several rows with it
+    one stays, that with the smallest text. Rows without a doc_id cannot be named and always stay. An
+    empty table gives an empty result.
     """
     names = docs.columns
-    print_rows = fingerprints(docs, STAGE_SIGHTS).select(
-        "doc_id", F.col("prints")[0].alias("node"), F.slice("prints", 2, len(STAGE_SIGHTS) - 1).alias("search")
-    )
-    rows = stored(print_rows, "fingerprints")
-    found = grouped(rows, F.col("search"), STAGE_RADIUS, STAGE_BLOCKS, STAGE_NODE_RADIUS)
+    rows, groups = near_copy_groups(docs)
+    found = rows.select("doc_id", "node").join(groups, "node")
     gone = stored(
         found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(),
         "near-copies",
