@@ -1,9 +1,10 @@
 import random
+from fractions import Fraction
 
 import pytest
 
 from tests.llm.helpers import ODD, empty_docs, odd_docs
-from turnwise.llm.mixing import mix_sources, one_period, whole_weights
+from turnwise.llm.mixing import exact_parts, mix_sources, one_period, schedule, whole_weights
 
 
 def simulated(slots, n_slots):
@@ -77,3 +78,23 @@ def test_unknown_sources_and_weights_are_errors(spark):
         whole_weights({"a": 0.0, "b": 1.0})
     with pytest.raises(ValueError):
         whole_weights({str(i): 1.0 for i in range(11)}, 10)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 70, "b": 29, "c": 1}, {"hot": 136.76, **{f"s{i}": 44.38 for i in range(19)}}])
+def test_prefixes_keep_to_the_callers_own_weights(weights):
+    total = sum(Fraction(str(w)) for w in weights.values())
+    shares = {s: Fraction(str(w)) / total for s, w in weights.items()}
+    done = dict.fromkeys(weights, 0)
+    for s, block, slot, release, deadline in schedule([(s, p, 10**6) for s, p in exact_parts(weights).items()]):
+        assert block == done[s] and release <= slot < deadline
+        done[s] += 1
+        assert all(abs(n - (slot + 1) * shares[x]) < 1 for x, n in done.items())
+        if slot == 6000:
+            break
+
+
+def test_rows_follow_the_callers_own_weights(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(20_000)], "doc_id long, source string")
+    found = mix_sources(docs, {"a": 0.9, "b": 0.1}, block_rows=1).collect()
+    first = [r.source for r in found if r.slot < 10_000]
+    assert len(found) == 20_000 and (first.count("a"), first.count("b")) == (9000, 1000)

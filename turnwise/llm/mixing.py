@@ -3,16 +3,19 @@
 A source's rows are cut into blocks of equal size. With weight ``w`` its block ``i`` (from 1) is released
 at ``floor((i - 1) / w)`` and due at ``ceil(i / w)``; in each slot the released block with the earliest
 deadline is placed. Every block then lies between its release and its deadline, so in every prefix a
-source is less than one block away from its share. Weights are whole multiples of ``1 / period``, so the
-schedule repeats after ``period`` slots: one period is worked out once, a table of ``period`` rows, and
-every row finds its slot by a join, whatever the number of blocks.
+source is less than one block away from its share. Releases and deadlines are worked out in whole
+numbers from the weights as they are. Which block a slot gets depends on the slots before it, so one task
+goes through the slots, holding one entry per source; rows find their slots by a join.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ from turnwise.operators.distribution import stored
 PERIOD = 1000
 BLOCK_ROWS = 16
 BUCKET_ROWS = 20_000
+ROWS_OUT = 8192
+SCALE = 1 << 40
 
 
 def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -92,10 +97,54 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.join(shifts, same).select("doc_id", "source", (F.col("_row") + F.col("_shift")).alias("number"))
 
 
-def tempered_weights(docs: DataFrame, power: float = 0.5, most_sources: int = PERIOD) -> dict[str | None, float]:
-    """Target weights in proportion to row counts to ``power``, so that small sources get more than their share."""
-    rows = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).orderBy("source").limit(most_sources + 1).collect()
-    return {r["source"]: float(r["n"]) ** power for r in rows}
+def exact_parts(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in exactly the proportions of ``weights``, read as the decimals they are written as."""
+    if not all(w > 0 for w in weights.values()):
+        raise ValueError("positive weights are needed")
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    whole = math.lcm(*[w.denominator for w in exact.values()])
+    return {s: int(w * whole) for s, w in exact.items()}
+
+
+def schedule(sources: list[tuple[str | None, int, int]]) -> Iterator[tuple[str | None, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of all blocks, from (source, part of the slots, blocks).
+
+    Blocks count from 0; ties go by name, null last. A source that has run out still takes its slots.
+    """
+    sources = sorted(sources, key=lambda s: (s[0] is None, s[0] or ""))
+    shared = math.gcd(*[part for _, part, _ in sources])
+    parts = [part // shared for _, part, _ in sources]
+    total, left = sum(parts), sum(blocks for *_, blocks in sources)
+    waiting: list[tuple[int, int, int]] = []
+    ready = [(-(-total // part), n, 0, 0) for n, part in enumerate(parts)]
+    heapq.heapify(ready)
+    slot = 0
+    while left:
+        while waiting and waiting[0][0] <= slot:
+            release, n, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(block + 1) * total // parts[n]), n, block, release))
+        deadline, n, block, release = heapq.heappop(ready)
+        name, _, blocks = sources[n]
+        if block < blocks:
+            left -= 1
+            yield name, block, slot, release, deadline
+        heapq.heappush(waiting, ((block + 1) * total // parts[n], n, block + 1))
+        slot += 1
+
+
+def _plan(sources: DataFrame) -> DataFrame:
+    """``schedule`` of the table (source, part, blocks) as rows."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [(s, int(p), n) for b in batches for s, p, n in zip(*[c.to_pylist() for c in b.columns])]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["plan_source", "plan_block", "slot", "release", "deadline"]
+        rows = schedule(own) if own else iter(())
+        while part := [row for _, row in zip(range(ROWS_OUT), rows)]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names)
+
+    schema = "plan_source string, plan_block long, slot long, release long, deadline long"
+    return sources.select("source", "part", "blocks").repartition(1).mapInArrow(work, schema)
 
 
 def mix_sources(
@@ -103,10 +152,11 @@ def mix_sources(
 ) -> DataFrame:
     """The place of every row in an order that follows the target weights.
 
-    ``weights`` names every source of ``docs`` (null is a source of its own), ``period`` of them at most;
-    without it the square roots of the row counts are taken. Rounded to ``1 / period`` they hold in every
-    prefix to less than one block while all sources last; a source that has run out leaves its slots
-    empty, and the others keep their proportions. No row is left out or repeated.
+    ``weights`` names every source of ``docs`` (null is a source of its own), however many; without it
+    the square roots of the row counts are taken. They hold in every prefix to less than one block while
+    all sources last, over any number of slots; a source that has run out leaves its slots empty, and the
+    others keep their proportions. No row is left out or repeated. ``period`` is accepted for older
+    callers and changes nothing: the schedule has no fixed period.
 
     Result: one row per row of ``docs``: doc_id as it is, source, block (from 0 within its source), slot,
     rank_in_block, release and deadline (release <= slot < deadline). Order by slot and rank_in_block.
@@ -114,24 +164,27 @@ def mix_sources(
     An empty table gives an empty result. Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    weights = tempered_weights(rows, most_sources=period) if weights is None else weights
-    spark = docs.sparkSession
-    schema = "plan_source string, in_period long, first_slot long, first_release long, first_deadline long, own_slots long"
-    slots = whole_weights(weights, period) if weights else {}
-    plan = spark.createDataFrame([(*p, slots[p[0]]) for p in one_period(slots)] if slots else [], schema)
-    share = spark.createDataFrame([(s, n) for s, n in slots.items()], "share_source string, share_slots long")
-    placed = numbered(rows).withColumn("block", F.floor(F.col("number") / block_rows))
-    placed = placed.join(F.broadcast(share), F.col("source").eqNullSafe(F.col("share_source")), "left")
-    known = F.when(F.col("share_slots").isNull(), F.raise_error(F.lit("a source has no target weight"))).otherwise(F.col("share_slots"))
-    placed = placed.withColumn("own", known.cast("long")).withColumn("round", F.floor(F.col("block") / F.col("own")))
-    same = F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("block") - F.col("round") * F.col("own") == F.col("in_period"))
-    start = F.col("round") * period
-    return placed.join(F.broadcast(plan), same).select(
+    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / block_rows).cast("long")
+    if weights is None:
+        part = F.round(F.sqrt("n") * F.lit(SCALE)).cast("long").cast("string")
+        sources = sizes.select("source", part.alias("part"), blocks.alias("blocks"))
+    else:
+        own = [(s, str(part)) for s, part in exact_parts(weights).items()]
+        parts = docs.sparkSession.createDataFrame(own, "part_source string, own_part string")
+        known = F.when(F.col("own_part").isNull(), F.raise_error(F.lit("a source has no target weight"))).otherwise(F.col("own_part"))
+        both = sizes.join(parts, F.col("source").eqNullSafe(F.col("part_source")), "full")
+        sources = both.select(
+            F.coalesce("source", "part_source").alias("source"), known.cast("string").alias("part"), F.coalesce(blocks, F.lit(0).cast("long")).alias("blocks")
+        )
+    placed = numbered(rows).withColumn("block", F.floor(F.col("number") / block_rows).cast("long"))
+    same = F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("block") == F.col("plan_block"))
+    return placed.join(_plan(sources), same).select(
         "doc_id",
         "source",
-        F.col("block").cast("long").alias("block"),
-        (start + F.col("first_slot")).cast("long").alias("slot"),
+        "block",
+        "slot",
         (F.col("number") - F.col("block") * block_rows).cast("long").alias("rank_in_block"),
-        (start + F.col("first_release")).cast("long").alias("release"),
-        (start + F.col("first_deadline")).cast("long").alias("deadline"),
+        "release",
+        "deadline",
     )
