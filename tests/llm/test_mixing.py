@@ -98,3 +98,10 @@ def test_rows_follow_the_callers_own_weights(spark):
     found = mix_sources(docs, {"a": 0.9, "b": 0.1}, block_rows=1).collect()
     first = [r.source for r in found if r.slot < 10_000]
     assert len(found) == 20_000 and (first.count("a"), first.count("b")) == (9000, 1000)
+
+
+def test_more_sources_than_a_thousand(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 1500}") for i in range(4000)], "doc_id long, source string")
+    found = mix_sources(docs, block_rows=1).collect()
+    assert sorted(r.doc_id for r in found) == list(range(4000))
+    assert len({r.slot for r in found}) == 4000 and all(r.release <= r.slot < r.deadline for r in found)
