@@ -149,3 +149,13 @@ def test_near_copies_of_every_edit_are_found(spark, kind):
         texts += [text, altered(rnd, text, kind, 0.8, 0.83)]
     kept = sorted(r.doc_id for r in drop_near_copies(docs_of(spark, texts)).collect())
     assert kept == list(range(0, 80, 2))
+
+
+@pytest.mark.parametrize("kind", ["appended", "cut", "swapped"])
+def test_texts_below_the_limit_stay(spark, kind):
+    rnd = random.Random(22)
+    texts = []
+    for _ in range(40):
+        text = " ".join(f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(200, 400)))
+        texts += [text, altered(rnd, text, kind, 0.7, 0.8)]
+    assert drop_near_copies(docs_of(spark, texts)).count() == 80
