@@ -463,6 +463,22 @@ def _far_pairs(members: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("key", "size", "node").mapInArrow(work, "a long, b long").distinct()
 
 
+def _can_be_near(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``pairs`` that size and parity do not rule out; they are few beside all candidates."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint64).reshape(part.num_rows, -1) for i in (3, 4))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            yield part.select(["a", "b"]).filter(pa.array(9 * apart <= part.column(2).to_numpy()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    facts = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity"))
+    beside = pairs.join(facts.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("parity").alias("p")), "a")
+    beside = beside.join(facts.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("parity").alias("q")), "b")
+    return beside.select("a", "b", (F.col("n") + F.col("m")).alias("size"), "p", "q").mapInArrow(work, "a long, b long")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose sets of runs, made again from the texts, are near."""
 
@@ -494,6 +510,7 @@ def near_copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stored(near_rows(docs), "near-rows")
     candidates = stored(near_candidates(rows), "candidates")
     pairs = stored(candidates.filter(F.col("key").isNull()).select("a", "b").distinct(), "pairs")
+    pairs = stored(_can_be_near(pairs, rows), "pairs")
     links = stored(verified(pairs, rows, docs), "near-links")
     roots = components(links)
     members = candidates.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "size")
