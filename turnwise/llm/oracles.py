@@ -5,6 +5,7 @@ from __future__ import annotations
 from turnwise.llm.decontaminate import LEAST_WORDS, SHARE, UNIT_WORDS
 from turnwise.llm.licenses import COVERAGE, FUNCTION_WORDS, SHORT_GRAMS, SLACK, STRETCH, TEMPLATES
 from turnwise.llm.quality import STOP_WORDS
+from turnwise.llm.urls import LIMIT, SOFT, SOFT_TERMS, STRICT
 
 # Kind, pattern, number of the group that has to be long enough, least length.
 _SECRET_KINDS = [
@@ -314,3 +315,152 @@ ranked AS (
   FROM judged WHERE n_found >= {SHARE} * n_windows)
 SELECT doc_id, item_id, n_windows, n_found, coverage, kind FROM ranked WHERE place = 1
 """
+
+
+def _bits(of: str) -> str:
+    """One byte more into a CRC-32, bit by bit."""
+    return f"list_reduce(list_prepend({of}, [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))"
+
+
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT)), "
+    f"lambda crc, byte: {_bits('xor(crc, byte)')}))"
+)
+
+
+def _edit(state: str, keep: dict[str, str], to: str) -> str:
+    """The least cost of the edits of one row in ``state``; ``keep`` names the state after a role's initial, ``to`` that after R."""
+    kept = ", ".join(f"CASE WHEN NOT must AND initial = '{initial}' THEN price + c{after} END" for initial, after in keep.items())
+    return f"least(4 + c{state}, {kept}, CASE WHEN NOT must THEN 3 + price + c{to} END)"
+
+
+CONVERSATIONS = rf"""
+WITH RECURSIVE named AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+fated AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS fate FROM named),
+placed AS (
+  SELECT conv_id, turn, role, text, initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM (
+    SELECT *, left(role, 1) AS initial, unnest(CASE fate WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [1, 2] ELSE [1] END)
+    FROM (
+      SELECT conv_id, turn, fate, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM fated))),
+checked AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS is_blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS is_again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS is_open,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM placed),
+rows_ AS (SELECT *, is_blank OR is_again AS must, CASE WHEN is_open THEN 3 ELSE 0 END AS price FROM checked),
+sizes AS (SELECT conv_id, max(i) AS n FROM placed GROUP BY conv_id),
+costs AS (
+  SELECT conv_id, n + 1 AS i, 0 AS c0, 6 AS c1, 3 AS c2, 0 AS c3 FROM sizes
+  UNION ALL
+  SELECT conv_id, i, least(b0, 3 + b2, 6 + b3), least(b1, 3 + b2, 6 + b3), least(b2, 3 + b3, 6 + b2), least(b3, 3 + b2, 6 + b3)
+  FROM (
+    SELECT r.conv_id, r.i, {_edit("0", {"s": "1", "u": "2"}, "2")} AS b0, {_edit("1", {"u": "2"}, "2")} AS b1,
+      {_edit("2", {"a": "3"}, "3")} AS b2, {_edit("3", {"u": "2"}, "2")} AS b3
+    FROM costs c JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.i - 1)),
+walk AS (
+  SELECT conv_id, 1::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS lines FROM sizes
+  UNION ALL
+  SELECT conv_id, i + (letter <> 'I')::INTEGER,
+    CASE letter WHEN 'D' THEN q WHEN 'K' THEN CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE if(q = 2, 3, 2) END,
+    audit || letter,
+    CASE letter WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+      ELSE list_append(lines, if(q = 2, 'assistant:', 'user:') || if(letter = 'R', text, '')) END
+  FROM (
+    SELECT *, CASE WHEN now = 4 + next[q + 1] THEN 'D' WHEN now = 3 + here[if(q = 2, 4, 3)] THEN 'I'
+      WHEN NOT must AND ((initial = 's' AND q = 0 AND now = price + next[2]) OR (initial = 'u' AND q <> 2 AND now = price + next[3])
+        OR (initial = 'a' AND q = 2 AND now = price + next[4])) THEN 'K' ELSE 'R' END AS letter
+    FROM (
+      SELECT w.*, r.role, r.text, r.initial, r.must, r.price, [h.c0, h.c1, h.c2, h.c3] AS here, here[w.q + 1] AS now,
+        [n.c0, n.c1, n.c2, n.c3] AS next
+      FROM walk w JOIN costs h ON h.conv_id IS NOT DISTINCT FROM w.conv_id AND h.i = w.i
+      LEFT JOIN costs n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.i = w.i + 1
+      LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+      WHERE r.i IS NOT NULL OR w.q IN (1, 2)))),
+ended AS (
+  SELECT w.conv_id, w.audit, sha256(array_to_string(w.lines, chr(10))) AS repaired_sha256
+  FROM walk w JOIN sizes s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = s.n + 1 WHERE w.q IN (0, 3)),
+counted AS (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (is_blank) AS blank,
+    count(*) FILTER (NOT is_blank AND is_again) AS duplicate, count(*) FILTER (NOT must AND is_open) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(k.c0, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN costs k ON k.conv_id IS NOT DISTINCT FROM o.conv_id AND k.i = 1
+"""
+
+
+FILTER_AUDIT = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+marks AS (
+  SELECT doc_id, max((quality IS NOT DISTINCT FROM 1)::INTEGER) AS good, max((toxic IS NOT DISTINCT FROM 1)::INTEGER) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(words) < 200)::INTEGER + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INTEGER
+      + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INTEGER
+      + 8 * regexp_matches(text, '[#$%&*|]')::INTEGER
+      + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INTEGER AS mask
+  FROM words LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS n_good, sum(toxic) AS n_toxic FROM masks GROUP BY ALL),
+filters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM filters a, filters b, filters c, filters d, filters e
+  WHERE len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+steps AS (
+  SELECT filter_order, step::INTEGER AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS before
+  FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+found AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (before + bit) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n_good) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(n_toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0)::BIGINT AS toxic_lost
+  FROM counts, steps GROUP BY ALL)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM found
+"""
+
+
+URLS = rf"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract_all(
+      regexp_replace(translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '%[0-9a-f]{{2}}', ' ', 'g'),
+      '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS words
+  FROM cut),
+ruled AS (
+  SELECT *, CASE
+      WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN ['example.net/en/', 'allow']
+      WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN ['example.com/de/', 'block']
+      WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN ['org/fr/', 'allow']
+      WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN ['net/', 'block'] END AS fits,
+    list_filter(words, lambda w: w IN ({", ".join(map(_quoted, STRICT))})) AS strict,
+    list_filter(words, lambda w: w IN ({", ".join(map(_quoted, SOFT))})) AS soft,
+    list_sort(list_distinct(soft)) AS distinct_soft
+  FROM parsed),
+weighed AS (
+  SELECT *, coalesce(list_sum(list_transform(distinct_soft, lambda w: MAP {{{", ".join(f"{_quoted(t)}: {w}" for t, w in SOFT.items())}}}[w])), 0) AS weight
+  FROM ruled)
+SELECT page_id, host, path, fits[1] AS rule,
+  coalesce(fits[2], CASE WHEN len(strict) > 0 OR (len(distinct_soft) >= {SOFT_TERMS} AND weight >= {LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict,
+  len(strict) AS n_strict, len(soft) AS n_soft, len(distinct_soft) AS n_soft_terms, weight::BIGINT AS soft_weight,
+  array_to_string(list_sort(list_distinct(list_concat(strict, soft))), ',') AS terms
+FROM weighed
+"""

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from turnwise.config import ship_package
 from turnwise.llm import oracles
+from turnwise.llm.conversations import conversation_digests, damaged
 from turnwise.llm.decontaminate import find_contaminated
+from turnwise.llm.filter_audit import audit_filters
 from turnwise.llm.language import fit_language, identify_language
 from turnwise.llm.licenses import scan_licenses
 from turnwise.llm.mixing import mix_sources
@@ -20,6 +22,7 @@ from turnwise.llm.secrets import find_secrets
 from turnwise.llm.simhash import simhash_groups
 from turnwise.llm.tokens import count_tokens
 from turnwise.llm.toxicity import fit_toxicity, score_toxicity
+from turnwise.llm.urls import judge_urls
 
 # The key of the registered query only; a deployment passes its own secret.
 PII_KEY = oracles.PII_KEY
@@ -105,6 +108,25 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_table(spark, sf_dir, "documents"))
 
 
+@_query(oracles.CONVERSATIONS)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with every conversation, with faults planted by a hash, and its cheapest repair."""
+    rows = _table(spark, sf_dir, "conversations")
+    return conversation_digests(damaged(rows), rows)
+
+
+@_query(oracles.FILTER_AUDIT)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from the documents of each language, in every order."""
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query(oracles.URLS)
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of every page."""
+    return judge_urls(_table(spark, sf_dir, "pages"))
+
+
 @_query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of the corpus pipeline, one after the other."""
