@@ -18,16 +18,15 @@ Two fingerprints link if they differ in at most ``radius`` bits. Pairs are looke
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.operators.distribution import stored
+from turnwise.operators.distribution import spread_join, stored
 
 SEED = 42
 CHUNK = 1 << 15
@@ -64,35 +63,26 @@ def fingerprint(runs: list[bytes], seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(runs)).tobytes(), "big")
 
 
-@dataclass(frozen=True)
-class Sight:
-    """One way to fingerprint a text: runs of ``n_words`` words, with or without repeats, and the hash seed."""
+def text_key(text: Column) -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text.cast("string"))
 
-    n_words: int
-    distinct: bool = False
-    seed: int = SEED
 
-
-def fingerprints(docs: DataFrame, sights: list[Sight]) -> DataFrame:
-    """doc_id and ``prints``, one fingerprint per sight. A null text counts as empty: all its prints are 0."""
+def fingerprints(docs: DataFrame, n_words: int) -> DataFrame:
+    """doc_id, text_key and node, the fingerprint as a signed number. A null text counts as empty: its fingerprint is 0."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS_OUT):
                 rows = whole.slice(at, ROWS_OUT)
-                found = []
-                for text in rows.column(1).to_pylist():
-                    runs = {(s.n_words, s.distinct): None for s in sights}
-                    for kind in runs:
-                        runs[kind] = shingles(text or "", *kind)
-                    found.append([fingerprint(runs[s.n_words, s.distinct], s.seed) for s in sights])
-                signed = np.array(found, np.uint64).astype(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "prints"]
-                )
+                found = [fingerprint(shingles(t or "", n_words, False)) for t in rows.column(2).to_pylist()]
+                signed = pa.array(np.array(found, np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:2], signed], names=["doc_id", "text_key", "node"])
 
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    return rows.mapInArrow(work, "doc_id long, prints array<long>")
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), text_key(docs["text"]).alias("text_key"), docs["text"].cast("string").alias("text")
+    )
+    return rows.mapInArrow(work, "doc_id long, text_key long, node long")
 
 
 def _masks(bits: list[int], blocks: int, kept: int) -> list[int]:
@@ -103,10 +93,10 @@ def _masks(bits: list[int], blocks: int, kept: int) -> list[int]:
 
 
 def _keyed(nodes: DataFrame, blocks: int, radius: int) -> DataFrame:
-    """Rows (mask, key, print, node): one for each key of each print of a node."""
+    """Rows (mask, key, node): one for each key of each node."""
     masks = F.array(*[F.lit(m).cast("long") for m in _masks(list(range(64)), blocks, blocks - radius)])
-    return nodes.select("node", "place", "print", F.explode(masks).alias("mask")).select(
-        "place", "mask", F.col("mask").bitwiseAND(F.col("print")).alias("key"), "print", "node"
+    return nodes.select("node", F.explode(masks).alias("mask")).select(
+        "mask", F.col("mask").bitwiseAND(F.col("node")).alias("key"), "node"
     )
 
 
@@ -115,16 +105,13 @@ def _finer(rows: DataFrame, radius: int) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in rows.columns]
-            mask = columns[1].astype(np.int64)
+            mask, _, node = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in rows.columns)
             for m in np.unique(mask):
                 free = [b for b in range(64) if not (int(m) >> b) & 1]
-                own = [c[mask == m] for c in columns]
+                own = node[mask == m]
                 for more in _masks(free, min(radius + 1, len(free)), 1) if free else [0]:
-                    wider = np.full(len(own[0]), int(m) | more, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (own[0], wider, own[3] & wider, own[3], own[4])], schema=rows.schema
-                    )
+                    wider = np.full(len(own), int(m) | more, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wider, own & wider, own)], schema=rows.schema)
 
     return rows.mapInArrow(split, rows.schema)
 
@@ -143,10 +130,8 @@ def _joined_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarr
     return labels
 
 
-def _bucket_links(
-    bucket: np.ndarray, prints: np.ndarray, nodes: np.ndarray, radius: int, node_radius: int | None
-) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all linked nodes of each bucket; ``bucket`` is ascending."""
+def _bucket_links(bucket: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all linked prints of each bucket; ``bucket`` is ascending."""
     table = np.bitwise_count(prints[:, None] ^ PIVOTS[None, :]).astype(np.int8)
     labels = np.arange(len(prints))
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
@@ -160,23 +145,19 @@ def _bucket_links(
             near = np.abs(table[a, pivot] - table[b, pivot]) <= radius
             a, b = a[near], b[near]
         near = np.bitwise_count(prints[a] ^ prints[b]) <= radius
-        a, b = a[near], b[near]
-        if node_radius is not None:
-            near = np.bitwise_count(nodes[a] ^ nodes[b]) <= node_radius
-            a, b = a[near], b[near]
-        pairs.append((a, b))
-        n_pairs += len(a)
+        pairs.append((a[near], b[near]))
+        n_pairs += len(pairs[-1][0])
         if n_pairs > PAIRS or not len(left):
             labels = _joined_labels(labels, *map(np.concatenate, zip(*pairs)))
             pairs, n_pairs = [], 0
-    apart = np.flatnonzero((labels != np.arange(len(labels))) & (nodes != nodes[labels]))
-    return nodes[apart], nodes[labels[apart]]
+    apart = np.flatnonzero((labels != np.arange(len(labels))) & (prints != prints[labels]))
+    return prints[apart], prints[labels[apart]]
 
 
-def _links_of(rows: DataFrame, radius: int, node_radius: int | None) -> DataFrame:
+def _links_of(rows: DataFrame, radius: int) -> DataFrame:
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(columns: list[np.ndarray], number: np.ndarray) -> pa.RecordBatch:
-            a, b = _bucket_links(number, columns[3].view(np.uint64), columns[4].view(np.uint64), radius, node_radius)
+            a, b = _bucket_links(number, columns[2].view(np.uint64), radius)
             return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, b)], names=["a", "b"])
 
         rest = None
@@ -186,7 +167,7 @@ def _links_of(rows: DataFrame, radius: int, node_radius: int | None) -> DataFram
             if not len(columns[0]):
                 continue
             change = np.zeros(len(columns[0]), np.int64)
-            for c in columns[:3]:
+            for c in columns[:2]:
                 change[1:] |= c[1:] != c[:-1]
             number = np.cumsum(change)
             cut = int(np.searchsorted(number, number[-1]))
@@ -196,31 +177,27 @@ def _links_of(rows: DataFrame, radius: int, node_radius: int | None) -> DataFram
         if rest is not None:
             yield found(rest, np.zeros(len(rest[0]), np.int64))
 
-    dealt = rows.repartition("place", "mask", "key").sortWithinPartitions("place", "mask", "key")
+    dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key")
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
-def near_links(
-    nodes: DataFrame, radius: int, blocks: int, node_radius: int | None = None, hot_rows: int = 8192
-) -> DataFrame:
-    """Links (a, b) between nodes that have a print in the same place at most ``radius`` bits apart.
+def near_links(nodes: DataFrame, radius: int, blocks: int, hot_rows: int = 8192) -> DataFrame:
+    """Links (a, b) between fingerprints, rows ``node`` of 64 bits, that are at most ``radius`` bits apart.
 
-    ``nodes`` has a row (node, place, print) per print, all whole numbers of 64 bits. With
-    ``node_radius`` the nodes, read as fingerprints, must also be that near. The links join exactly the
-    nodes of each bucket that belong together; they are not all pairs.
+    The links join exactly the nodes of each bucket that belong together; they are not all pairs.
     """
     rows = _keyed(nodes, blocks, radius)
     links = None
     for _ in range(3):
-        sizes = rows.groupBy("place", "mask", "key").agg(F.count(F.lit(1)).alias("n"))
+        sizes = rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"))
         hot = stored(sizes.filter(F.col("n") > hot_rows).drop("n"), "hot-buckets")
         if hot.isEmpty():
             break
-        cool = _links_of(rows.join(hot, ["place", "mask", "key"], "left_anti"), radius, node_radius)
+        cool = _links_of(rows.join(hot, ["mask", "key"], "left_anti"), radius)
         links = cool if links is None else links.unionByName(cool)
         columns = rows.columns
-        rows = stored(_finer(rows.join(hot, ["place", "mask", "key"], "left_semi").select(columns), radius), "finer-keys")
-    last = _links_of(rows, radius, node_radius)
+        rows = stored(_finer(rows.join(hot, ["mask", "key"], "left_semi").select(columns), radius), "finer-keys")
+    last = _links_of(rows, radius)
     return last if links is None else links.unionByName(last).distinct()
 
 
@@ -229,7 +206,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points the larger neighbours of a node, then the node itself, to its smallest neighbour;
     the number of rounds grows with the logarithm of the longest chain. Minima are aggregated before
-    they are shuffled, so a node with very many neighbours is no single task's work, and every round
+    they are shuffled, and joined with a node's neighbours in slices where it has very many. Every round
     is written to the shared folder.
     """
     edges = stored(links.filter(F.col("a") != F.col("b")), "links")
@@ -237,13 +214,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("root")).withColumn("root", F.least("a", "root"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
+        large = spread_join(both, least, ["a"], [F.col("b")]).filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("root").alias("b"))
         down = large.filter(F.col("a") != F.col("b")).select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
         ).distinct()
         down = stored(down, "links")
         lowest = down.groupBy("a").agg(F.min("b").alias("root"))
-        small = down.join(lowest, "a").select(F.col("b").alias("x"), "root").filter(F.col("x") != F.col("root"))
+        small = spread_join(down, lowest, ["a"], [F.col("b")]).select(F.col("b").alias("x"), "root").filter(F.col("x") != F.col("root"))
         edges = stored(
             lowest.select("a", F.col("root").alias("b")).unionByName(small.select(F.col("x").alias("a"), F.col("root").alias("b"))).distinct(),
             "links",
@@ -256,22 +233,19 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
-def grouped(rows: DataFrame, search: Column, radius: int, blocks: int, node_radius: int | None = None) -> DataFrame:
-    """``rows`` with ``component_id``: the smallest doc_id that is reachable over links, its own included.
+def grouped(rows: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``rows`` (doc_id, text_key, node) with the ``first`` row of the group that their node is linked into.
 
-    ``rows`` has doc_id and node (a fingerprint); ``search`` is the array of prints by which nodes are
-    linked. Rows of one node are one group without any comparison.
+    ``first`` has doc_id and text_key of the smallest doc_id reachable over links, the row's own included, and of
+    its smallest text_key; rows without doc_id come last. Rows of one node are one group without any comparison.
     """
-    nodes = rows.groupBy("node").agg(F.min(search).alias("prints"), F.min("doc_id").alias("first_id"))
-    nodes = stored(nodes, "nodes")
-    places = nodes.select("node", F.posexplode("prints").alias("place", "print"))
-    roots = components(near_links(places, radius, blocks, node_radius))
-    joined = nodes.select("node", "first_id").join(roots, "node", "left")
-    root = F.coalesce("root", "node")
-    firsts = joined.withColumn("root", root)
-    ids = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_node = stored(firsts.select("node", "root").join(ids, "root").select("node", "component_id"), "components")
-    return rows.join(of_node, "node")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    nodes = stored(rows.groupBy("node").agg(F.min(order).alias("first")), "nodes")
+    roots = components(near_links(nodes.select("node"), radius, blocks))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    of_node = stored(spread_join(rooted.select("node", "root"), firsts, ["root"], [F.col("node")]).select("node", "first"), "components")
+    return spread_join(rows, of_node, ["node"], [F.col("doc_id"), F.col("text_key")])
 
 
 def simhash_groups(docs: DataFrame, n_words: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
@@ -283,280 +257,31 @@ def simhash_groups(docs: DataFrame, n_words: int = 4, radius: int = 4, blocks: i
     never name them (a group of such rows alone has a null component_id). Other columns are not read; an
     empty table gives an empty result.
     """
-    rows = fingerprints(docs, [Sight(n_words)]).select("doc_id", F.col("prints")[0].alias("node"))
-    found = grouped(stored(rows, "fingerprints"), F.array("node"), radius, blocks)
-    return found.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
-
-
-# The stage's rule: two texts are near copies if their sets of five-word runs are at least 4/5 similar.
-STAGE_WORDS = 5
-WINDOW = 8
-COMMON_ONE_IN, COMMON_LEAST, COMMON_MOST = 16, 4, 200_000
-PARITY_BITS = 2048
-
-
-def run_hashes(text: str | None) -> np.ndarray:
-    """The set of five-word runs of ``text`` as ascending hashes."""
-    runs = shingles(text or "", STAGE_WORDS, False)
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs), np.uint64, len(runs)))
-
-
-def are_near(a: np.ndarray, b: np.ndarray) -> bool:
-    """Similarity of two sets (shared of all elements) of at least 4/5; two empty sets are equal."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return 9 * shared >= 4 * (len(a) + len(b))
-
-
-def _signed(values: np.ndarray) -> pa.Array:
-    return pa.array(values.astype(np.uint64).view(np.int64))
+    found = grouped(stored(fingerprints(docs, n_words), "fingerprints"), radius, blocks)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def common_runs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of runs frequent in one text of sixteen, and their ranks by frequency.
+def drop_near_copies(docs: DataFrame, n_words: int = 4, radius: int = 4, blocks: int = 6) -> DataFrame:
+    """One row of each group of ``simhash_groups``: that with the smallest doc_id.
 
-    They only serve the order in which runs become keys; whichever they are, no pair is missed.
+    All columns are returned as they are, whatever their names. If the smallest doc_id has several texts in the
+    group, that with the smallest hash stays; of rows with the same doc_id and text one stays, whichever. A
+    doc_id with texts in several groups can stay in each. Rows without doc_id stay only if no row of their
+    group has one, and then one does. Null and empty texts are one group (and group with fingerprints near
+    zero). An empty table gives an empty result.
     """
+    rows = stored(fingerprints(docs, n_words), "fingerprints")
+    found = grouped(rows, radius, blocks)
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    gone = stored(found.filter(~is_first).select("doc_id", "text_key").distinct(), "near-copies")
+    sizes = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = stored(sizes.select("doc_id", "text_key"), "repeated-rows")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for at in range(0, rows.num_rows, ROWS_OUT):
-                found = [run_hashes(t) for t in rows.column(0).slice(at, ROWS_OUT).to_pylist()]
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found))], names=["run"])
-
-    texts = docs.select(F.col("text").cast("string").alias("text"))
-    texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(COMMON_ONE_IN)) == 0)
-    counts = texts.mapInArrow(work, "run long").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.filter(F.col("n") >= COMMON_LEAST).orderBy(F.desc("n"), "run").limit(COMMON_MOST).toArrow()
-    runs = top.column("run").to_numpy().view(np.uint64)
-    order = np.argsort(runs)
-    return runs[order], (len(runs) - np.arange(len(runs)))[order]
-
-
-def near_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, node, size, keys, parity) of every row.
-
-    ``node`` stands for the set of runs, ``size`` is its size. Sets at least 4/5 similar share at least
-    4/5 of the larger one, so under one order of all runs they share one of the first
-    ``size - ceil(4/5 size) + 1`` of each: these are the keys, common runs last. ``parity`` counts the
-    runs per 2,048th of the hashes modulo 2: it differs in no more bits than the sets have different runs.
-    """
-    common, ranks = common_runs(docs)
-
-    def keys_of(runs: np.ndarray) -> np.ndarray:
-        kept = len(runs) - (4 * len(runs) + 4) // 5 + 1 if len(runs) else 0
-        if not len(common):
-            return runs[:kept]
-        at = np.minimum(np.searchsorted(common, runs), len(common) - 1)
-        often = common[at] == runs
-        last = runs[often][np.argsort(ranks[at[often]], kind="stable")]
-        return np.concatenate([runs[~often], last])[:kept]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_OUT):
-                rows = whole.slice(at, ROWS_OUT)
-                sets = [run_hashes(t) for t in rows.column(2).to_pylist()]
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64)
-                keys = [keys_of(s) for s in sets]
-                ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                parity = [np.packbits(np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=PARITY_BITS) & 1).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column(0),
-                        rows.column(1),
-                        _signed(nodes),
-                        pa.array([len(s) for s in sets], pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(keys))),
-                        pa.array(parity, pa.binary()),
-                    ],
-                    names=["doc_id", "text_key", "node", "size", "keys", "parity"],
-                )
-
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), _text_key().alias("text_key"), F.col("text").cast("string").alias("text")
-    )
-    return rows.mapInArrow(work, "doc_id long, text_key long, node long, size int, keys array<long>, parity binary")
+    def among(pairs: DataFrame) -> Column:
+        return docs["doc_id"].cast("long").eqNullSafe(pairs["doc_id"]) & (text_key(docs["text"]) == pairs["text_key"])
 
-
-def _text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
-def _whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of sorted batches, cut so that no value of the first column is divided."""
-    rest = None
-    for rows in batches:
-        new = [np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in rows.columns]
-        columns = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
-        if not len(columns[0]):
-            continue
-        cut = int(np.searchsorted(columns[0], columns[0][-1]))
-        rest = [c[cut:] for c in columns]
-        if cut:
-            yield [c[:cut] for c in columns]
-    if rest is not None:
-        yield rest
-
-
-def near_candidates(rows: DataFrame) -> DataFrame:
-    """(key, a, b, size): pairs that share a key and are within ``WINDOW`` places by size, with a null key.
-
-    Buckets that hold more nodes than that also give their rows: key, node as ``a``, and size.
-    """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, node in _whole_buckets(batches):
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, size, node = key[new], size[new], node[new]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            lengths = np.diff(np.append(starts, len(key)))
-            firsts, seconds = [], []
-            left = np.flatnonzero(np.repeat(lengths > 1, lengths))
-            for offset in range(1, WINDOW + 1):
-                left = left[left + offset < len(key)]
-                left = left[key[left] == key[left + offset]]
-                near = left[5 * size[left].astype(np.int64) >= 4 * size[left + offset].astype(np.int64)]
-                firsts.append(node[near])
-                seconds.append(node[near + offset])
-            a, b = np.concatenate(firsts), np.concatenate(seconds)
-            large = np.repeat(lengths > WINDOW + 1, lengths)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            n_pairs, n_large = pairs.shape[1], int(large.sum())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.nulls(n_pairs, pa.int64()), pa.array(key[large])]),
-                    pa.array(np.concatenate([pairs[0], node[large]])),
-                    pa.concat_arrays([pa.array(pairs[1]), pa.nulls(n_large, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(n_pairs, pa.int32()), pa.array(size[large])]),
-                ],
-                names=["key", "a", "b", "size"],
-            )
-
-    dealt = rows.select(F.explode("keys").alias("key"), "size", "node").repartition("key")
-    return dealt.sortWithinPartitions("key", "size", "node").mapInArrow(work, "key long, a long, b long, size int")
-
-
-def _far_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``members`` (key, size, node, root, parity) beyond ``WINDOW``, of different roots, that can be near."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, size, node, root, parity in _whole_buckets(batches):
-            size = size.astype(np.int64)
-            bits = np.frombuffer(b"".join(parity), np.uint64).reshape(len(key), -1)
-            left, offset = np.arange(len(key)), WINDOW
-            while len(left):
-                offset += 1
-                left = left[left + offset < len(key)]
-                left = left[(key[left] == key[left + offset]) & (5 * size[left] >= 4 * size[left + offset])]
-                a = left[root[left] != root[left + offset]]
-                for words in (4, bits.shape[1]):
-                    apart = np.bitwise_count(bits[a, :words] ^ bits[a + offset, :words]).sum(axis=1, dtype=np.int64)
-                    a = a[9 * apart <= size[a] + size[a + offset]]
-                if len(a):
-                    x, y = node[a], node[a + offset]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
-                    )
-
-    dealt = members.select("key", "size", "node", "root", "parity").repartition("key")
-    return dealt.sortWithinPartitions("key", "size", "node").mapInArrow(work, "a long, b long").distinct()
-
-
-def _can_be_near(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The ``pairs`` that size and parity do not rule out; they are few beside all candidates."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            a, b = (np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint64).reshape(part.num_rows, -1) for i in (3, 4))
-            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-            yield part.select(["a", "b"]).filter(pa.array(9 * apart <= part.column(2).to_numpy()))
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    facts = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("parity").alias("parity"))
-    beside = pairs.join(facts.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("parity").alias("p")), "a")
-    beside = beside.join(facts.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("parity").alias("q")), "b")
-    return beside.select("a", "b", (F.col("n") + F.col("m")).alias("size"), "p", "q").mapInArrow(work, "a long, b long")
-
-
-def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets of runs, made again from the texts, are near."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS_OUT):
-                part = whole.slice(at, ROWS_OUT)
-                found = pa.array([run_hashes(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), found], names=["node", "runs"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            both = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
-            near = [are_near(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in both]
-            yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    own = docs.select(_text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-    one = own.join(texts, "text_key").groupBy("node").agg(F.first("text").alias("text"))
-    runs = stored(one.mapInArrow(sets, "node long, runs binary"), "candidate-runs")
-    beside = pairs.join(runs.select(F.col("node").alias("a"), F.col("runs").alias("runs_a")), "a")
-    beside = beside.join(runs.select(F.col("node").alias("b"), F.col("runs").alias("runs_b")), "b")
-    return beside.select("a", "b", "runs_a", "runs_b").mapInArrow(compare, "a long, b long")
-
-
-def near_copy_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``near_rows`` and (node, component_id), the smallest doc_id reachable over near pairs."""
-    rows = stored(near_rows(docs), "near-rows")
-    candidates = stored(near_candidates(rows), "candidates")
-    pairs = stored(candidates.filter(F.col("key").isNull()).select("a", "b").distinct(), "pairs")
-    pairs = stored(_can_be_near(pairs, rows), "pairs")
-    links = stored(verified(pairs, rows, docs), "near-links")
-    roots = components(links)
-    members = candidates.filter(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "size")
-    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    members = stored(members.join(mixed.select("key"), "key", "left_semi"), "large-buckets")
-    if not members.isEmpty():
-        parity = rows.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parity").alias("parity"))
-        more = stored(_far_pairs(members.join(parity, "node")), "pairs")
-        roots = components(links.unionByName(verified(more, rows, docs)))
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(roots, "node", "left")
-    firsts = stored(firsts.withColumn("root", F.coalesce("root", "node")), "components")
-    ids = firsts.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows, firsts.join(ids, "root").select("node", "component_id")
-
-
-def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies of ``docs``: that with the smallest doc_id.
-
-    Texts are near copies if they share at least 0.8 of the five-word runs that either of them holds;
-    groups are the texts connected by such pairs. The search misses none: candidates share one of the
-    keys of ``near_rows``, and every link is checked on the whole sets of runs. All columns are returned
-    as they are. Null and empty texts are one group. A doc_id names a document: of several rows with it
-    one stays, that with the smallest text. Rows without a doc_id cannot be named and always stay. An
-    empty table gives an empty result.
-    """
-    names = docs.columns
-    rows, groups = near_copy_groups(docs)
-    found = rows.select("doc_id", "node").join(groups, "node")
-    gone = stored(
-        found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct(),
-        "near-copies",
-    )
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    again = stored(
-        rows.filter(F.col("doc_id").isNotNull())
-        .groupBy(F.col("doc_id").alias("_again"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > 1)
-        .select("_again"),
-        "repeated-ids",
-    )
+    left = docs.join(gone, among(gone), "left_anti")
     if again.isEmpty():
         return left
-    same = F.col("doc_id").cast("long") == F.col("_again")
-    one = Window.partitionBy(F.col("doc_id")).orderBy(F.col("text"))
-    repeated = left.join(again, same, "left_semi").withColumn("_row", F.row_number().over(one))
-    once = repeated.filter(F.col("_row") == 1).select(*[F.col(f"`{n}`") for n in names])
-    return left.join(again, same, "left_anti").unionByName(once)
+    once = left.join(again, among(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, among(again), "left_anti").unionByName(once)
