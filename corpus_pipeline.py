@@ -1,6 +1,6 @@
 """A training corpus from raw documents, in five stages.
 
-Toxic documents go, of each group of near copies one stays, documents that hold benchmark items go,
+Toxic documents go, of each group of near copies by SimHash one stays, documents that hold benchmark items go,
 secrets are blacked out, and what is left is put in an order that follows the target weights of its
 sources. Each stage gets what its predecessor kept, written as Parquet and read again.
 """
@@ -25,10 +25,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_toxic(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by SimHash (four-word shingles, four bits): that with the smallest doc_id."""
     ship_package(spark)
-    return drop_near_copies(docs)
+    return drop_near_copies(docs, n_words=4, radius=4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +44,13 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every document in the mixed order; weights are the square roots of the source sizes."""
+    ship_package(spark)
     return mix_sources(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", toxicity),
-    ("near_copies", near_copies),
+    ("simhash_near_dedup", simhash_near_dedup),
     ("decontamination", decontamination),
     ("secret_scans", secret_scans),
     ("mixing", mixing),
