@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.functions.models import HashEmbedder
+from turnwise.operators import index as index_module
 from turnwise.operators import search
 from turnwise.operators.index import (
     Index,
@@ -18,6 +19,7 @@ from turnwise.operators.index import (
     create_or_sync,
     keyword_index,
     open_index,
+    posting_rows,
     vector_norm,
 )
 
@@ -239,9 +241,10 @@ class Counting:
 
 
 def state_of(index):
-    docs = {r["pk"]: (r["content"], r["place"], r["dl"]) for r in index.docs.collect()}
-    postings = sorted((r["term"], r["pk"], r["tf"], r["dl"]) for r in index.postings.collect())
-    return docs, postings
+    docs = {r["pk"]: (r["content"], r["place"]) for r in index.docs.collect()}
+    postings = sorted((r["term"], r["pk"], r["tf"], r["dl"]) for r in posting_rows(index).collect())
+    vectors = sorted(r["pk"] for r in index.vectors.selectExpr("inline(rows)").collect())
+    return docs, postings, vectors, [tuple(r) for r in index.totals.collect()]
 
 
 def test_sync_follows_the_table(spark, folder):
@@ -279,3 +282,120 @@ def test_untouched_buckets_are_not_rewritten(spark, folder):
     after = {p: p.stat().st_mtime_ns for p in Path(folder, "docs").rglob("*.parquet")}
     same = {p.parent.name for p in before if after.get(p) == before[p]}
     assert len(same) == len({p.parent.name for p in before}) - 1
+
+
+@pytest.fixture
+def many_cells(monkeypatch):
+    monkeypatch.setattr(index_module, "VECTORS_PER_CELL", 4)
+    monkeypatch.setattr(index_module, "CHUNK_ROWS", 10)
+
+
+def stored_vectors(spark, rows, folder, as_text=False):
+    df = vector_table(spark, rows, "id", as_text).withColumn("body", F.lit("x"))
+    return build_index(df, folder, "id", "body", rows.shape[1], vector="embedding", buckets=2)
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_search_over_cells_equals_brute_force(spark, vectors, folder, many_cells, as_text):
+    index = stored_vectors(spark, vectors, folder, as_text)
+    assert index.cells.count() == 62 and index.vectors.selectExpr("inline(rows)").count() == 499
+    queries = vectors[:12].copy()
+    hits = search.search_vector(vector_table(spark, queries, "query_id"), index, 9, probes=2)
+    key = (lambda n: f"k{n:04d}") if as_text else (lambda n: n)
+    assert rows_of(hits) == best_cosines(vectors, queries.astype(float), 9, key)
+
+
+def clustered(n, dim=16, seed=3):
+    generator = np.random.default_rng(seed)
+    centres = generator.normal(size=(20, dim))
+    return (centres[generator.integers(0, 20, n)] + 0.1 * generator.normal(size=(n, dim))).astype(np.float32)
+
+
+def test_lists_that_cannot_hold_a_hit_are_not_read(spark, folder, many_cells):
+    rows = clustered(1500)
+    index = stored_vectors(spark, rows, folder)
+    asked = vector_table(spark, rows[::50], "query_id")
+    exact = best_cosines(rows, rows[::50].astype(float), 5, lambda n: n)
+    assert rows_of(search.search_vector(asked, index, 5, probes=3)) == exact
+    # The nearest cells alone find nine of ten, and leave few lists for which bounds have to be read.
+    first = search.search_vector(asked, index, 5, exact=False)
+    found = {(r["query_id"], r["pk"]) for r in first.collect()}
+    assert len(found & {r[:2] for r in exact}) >= 0.9 * len(exact)
+    near = search.cells_of_queries(asked, index.cells).filter(F.col("place") > search.PROBES)
+    n_left = search.lists_left(near, first, index, 5).count()
+    assert n_left < 0.2 * index.vectors.count() * asked.count()
+
+
+def test_blocks_that_cannot_hold_a_hit_are_not_read(spark, monkeypatch):
+    monkeypatch.setattr(index_module, "BLOCK_DOCS", 8)
+    generator = np.random.default_rng(4)
+    texts = dict(enumerate(texts_of(900, 11) + [" ".join(generator.choice(WORDS, 200)) + f" rare{n % 7}" for n in range(100)]))
+    df = spark.createDataFrame(list(texts.items()), "id bigint, body string")
+    index = keyword_index(df, "id", "body", buckets=4)
+    questions = dict(enumerate(["alpha rare3", "gamma", "rare1 rare2 beta", "nothing known", "kappa iota theta"]))
+    asked = spark.createDataFrame(list(questions.items()), "query_id bigint, text string")
+    assert rows_of(search.search_keyword(asked, index, 5)) == best_bm25(texts, questions, 5)
+    weighed, average = search.weighed_terms(asked, index)
+    bounds = search.block_bounds(weighed, index, average)
+    first = search.search_keyword(asked, index, 5)
+    read = search.blocks_left(bounds, first, 5).count() + bounds.filter(F.col("place") <= search.SEED_BLOCKS).count()
+    assert read < 0.5 * bounds.count()
+
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("at", [1, 2, 3, 4])
+def test_a_sync_that_was_stopped_is_repeated(spark, folder, monkeypatch, at):
+    """Stopped before the ``at``-th table is written, or (4) after all of them."""
+    schema, model = "id bigint, body string, place string", HashEmbedder(DIM)
+    old = spark.createDataFrame([(n, f"text {n}", "a") for n in range(20)], schema)
+    new = spark.createDataFrame([(n, f"text {n}" if n % 3 else f"other {n}", "a") for n in range(3, 24)], schema)
+    create_or_sync(old, f"{folder}/index", "id", "body", DIM, model=model, buckets=4)
+    calls, write, remove = [], index_module._write_buckets, index_module.remove_folder
+
+    def writes(*args):
+        calls.append(args)
+        if len(calls) == at:
+            raise Stopped
+        write(*args)
+
+    def removes(spark, path):
+        if path.endswith("/pending"):
+            raise Stopped
+        remove(spark, path)
+
+    with monkeypatch.context() as patch, pytest.raises(Stopped):
+        patch.setattr(index_module, "_write_buckets", writes)
+        patch.setattr(index_module, "remove_folder", removes)
+        create_or_sync(new, f"{folder}/index", "id", "body", DIM, model=model)
+    with pytest.raises(RuntimeError):
+        open_index(spark, f"{folder}/index")
+    # A bucket that was being replaced can be gone altogether.
+    remove(spark, f"{folder}/index/postings/bucket=1")
+    create_or_sync(new, f"{folder}/index", "id", "body", DIM, model=model)
+    fresh = build_index(new, f"{folder}/fresh", "id", "body", DIM, model=model, buckets=4)
+    assert state_of(open_index(spark, f"{folder}/index")) == state_of(fresh)
+
+
+def test_a_creation_that_was_stopped_is_begun_again(spark, folder, monkeypatch):
+    df = spark.createDataFrame([(1, "one", "a"), (2, "two", "b")], "id bigint, body string, place string")
+
+    def stop(*args):
+        raise Stopped
+
+    with monkeypatch.context() as patch, pytest.raises(Stopped):
+        patch.setattr(index_module, "_term_counts", stop)
+        create_or_sync(df, f"{folder}/index", "id", "body", DIM, model=HashEmbedder(DIM))
+    with pytest.raises(FileNotFoundError):
+        open_index(spark, f"{folder}/index")
+    index = build_index(df, f"{folder}/index", "id", "body", DIM, model=HashEmbedder(DIM))
+    assert index.docs.count() == 2
+
+
+def test_an_empty_index(spark, folder):
+    df = spark.createDataFrame([], "id bigint, body string, place string")
+    index = build_index(df, folder, "id", "body", DIM, model=HashEmbedder(DIM))
+    asked = spark.createDataFrame([(1, "one", [1.0] * DIM)], "query_id bigint, text string, embedding array<float>")
+    assert search.search_vector(asked, index, 3).collect() == []

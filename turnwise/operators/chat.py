@@ -23,7 +23,7 @@ from turnwise.config import work_folder
 from turnwise.functions.models import ModelFactory, infer_conversations
 from turnwise.functions.nested import all_but_last, fill_template, last_or_null
 from turnwise.operators.assess import infer_once, store_answers, stored_answers, unanswered
-from turnwise.operators.distribution import spread_join, stored
+from turnwise.operators.distribution import order_slices, spread_join, stored
 from turnwise.operators.index import CONTENT, PK, Index
 from turnwise.operators.search import (
     FUSION_DEPTH,
@@ -167,6 +167,26 @@ def newest_turns(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_age", F.row_number().over(window)).filter(F.col("_age") <= n).drop("_age")
 
 
+def turns_within(rows: DataFrame, budget: int, width: int = 1024) -> DataFrame:
+    """The newest messages of each conversation whose texts together have at most ``budget`` characters.
+
+    The column ``n_left_out`` counts the older ones; a conversation whose newest message is longer has no row.
+    Lengths are added within slices of ``width`` turns and then over the slices, so a long conversation is
+    spread over tasks. Rows without a turn count as the oldest.
+    """
+    cut = stored(rows.withColumn("_slice", order_slices(F.col("turn"), width)).withColumn("_size", F.coalesce(F.length("text"), F.lit(0))), "turns")
+    newer = Window.partitionBy("conv_id").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("conv_id", "_slice").agg(F.sum("_size").alias("_sum"))
+    after = sizes.select(F.col("conv_id").alias("_conv"), F.col("_slice").alias("_of"), F.coalesce(F.sum("_sum").over(newer), F.lit(0)).alias("_after"))
+    within = Window.partitionBy("conv_id", "_slice").orderBy(F.col("turn").desc_nulls_last(), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_slice") == F.col("_of"))
+    used = F.sum("_size").over(within) + F.col("_after")
+    summed = cut.join(after, same).withColumn("_used", used)
+    out = summed.groupBy(F.col("conv_id").alias("_key")).agg(F.count_if(F.col("_used") > budget).alias("n_left_out"))
+    kept = summed.filter(F.col("_used") <= budget).select(*rows.columns)
+    return kept.join(out, F.col("conv_id").eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def rewrite_prompts(rows: DataFrame, template: str = REWRITE_TEMPLATE, tasks: int | None = None) -> DataFrame:
     """(conv_id, prompt) for conversations that have a history.
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +91,22 @@ def use_all_cores(df: DataFrame, tasks: int | None = None) -> DataFrame:
     For sources of few files; what is read in many splits anyway needs none of this.
     """
     return df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)
+
+
+def arrow_runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The runs of rows with equal first ``n_keys`` whole-number columns, also across batches."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy() for i in range(n_keys)])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            new = tuple(keys[:, start])
+            if held and new != key:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = new
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -1,27 +1,39 @@
 """A search index as ordinary tables in one folder, partitioned by a hash of the key.
 
-``docs`` holds pk, content, payload columns, vector, its length, token count and content hash;
-``postings`` holds term, pk, tf, dl; both have a ``bucket`` folder level, and a document's postings are in
-its own bucket, so no term gathers in one place. ``terms`` (term, df) and ``totals`` (n, sum_dl) are the
-statistics that keyword scores need.
+``docs`` holds pk, content, payload columns, vector, its length and content hash. Two tables are
+made from it, bucket by bucket, in the form in which a search reads them:
+
+``postings`` has a row per term and block. A block is some hundred documents of one bucket that are alike in
+length; the row lists the block's documents with the term, and the largest count and the smallest
+length among them, from which follows the most that the term can add to a score in the block.
+
+``vectors`` has a row per list of up to about a thousand vectors of one bucket and one cell. Cells are the
+surroundings of centroids, which are fitted on a bounded sample; the row also holds the smallest cosine
+of its vectors to the centroid, from which follows the best score that a query can have in the list.
+
+``terms`` (term, df, tf) and ``totals`` (n, sum_dl) are the statistics that keyword scores need, ``cells`` the centroids.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from turnwise.config import path_exists, remove_folder
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
 from turnwise.functions.text import tokens
 from turnwise.operators.changes import change_kinds, content_hash
-from turnwise.operators.distribution import stored
+from turnwise.operators.distribution import arrow_runs, stored, use_all_cores
 
 PK = "pk"
 CONTENT = "content"
@@ -29,6 +41,11 @@ EMBEDDING = "embedding"
 BUCKET = "bucket"
 BUCKETS = 16
 TEXTS_PER_COUNT = 256
+BLOCK_DOCS = 512  # documents per block of postings
+CHUNK_ROWS = 1024  # vectors that are packed into one row
+SAMPLE_VECTORS = 8192  # vectors at most that centroids are fitted on
+VECTORS_PER_CELL, MOST_CELLS = 64, 1024  # per bucket
+FIT_ROUNDS = 8
 
 
 @dataclass(frozen=True)
@@ -39,6 +56,8 @@ class Index:
     postings: DataFrame | None = None
     terms: DataFrame | None = None
     totals: DataFrame | None = None
+    vectors: DataFrame | None = None
+    cells: DataFrame | None = None
 
 
 def check_dimension(df: DataFrame, dim: int, vector_col: str = EMBEDDING) -> tuple[DataFrame, DataFrame]:
@@ -94,6 +113,131 @@ def term_counts(df: DataFrame, pk: str, text: str) -> DataFrame:
     return df.select(F.col(pk), tokens(F.col(text)).alias("tokens")).mapInArrow(count, schema)
 
 
+def _block_schema(pk_type: T.DataType) -> T.StructType:
+    numbers = [T.StructField(name, T.IntegerType()) for name in (BUCKET, "block")]
+    lists = [T.StructField(name, T.ArrayType(kind)) for name, kind in (("pks", pk_type), ("tfs", T.IntegerType()), ("dls", T.IntegerType()))]
+    bounds = [T.StructField(name, T.IntegerType()) for name in ("n", "sum_tf", "max_tf", "min_dl")]
+    return T.StructType([*numbers, T.StructField("term", T.StringType()), *lists, *bounds])
+
+
+def posting_blocks(docs: DataFrame) -> DataFrame:
+    """(bucket, block, term, pks, tfs, dls, n, sum_tf, max_tf, min_dl) of documents (bucket, pk, content).
+
+    A bucket's documents are numbered by length and cut into blocks of ``BLOCK_DOCS``; each block is counted
+    where it is read, with no more than its own texts in memory.
+    """
+    schema = _block_schema(docs.schema[PK].dataType)
+    fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+    def counted(rows: pa.Table) -> list[pa.RecordBatch]:
+        keys, lists = rows.column(PK), rows.column("tokens").combine_chunks()
+        flat = pa.table({"row": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)})
+        one = flat.group_by(["row", "term"]).aggregate([([], "count_all")])
+        of_row = one.column("row")
+        one = pa.table(
+            {
+                "term": one.column("term"),
+                "pks": pc.take(keys, of_row),
+                "tfs": one.column("count_all").cast(pa.int32()),
+                "dls": pc.take(pc.list_value_length(lists), of_row).cast(pa.int32()),
+            }
+        )
+        lists_of = [(name, "list") for name in ("pks", "tfs", "dls")]
+        found = one.group_by("term").aggregate([*lists_of, ("pks", "count"), ("tfs", "sum"), ("tfs", "max"), ("dls", "min")])
+        place = [pa.array(np.full(found.num_rows, rows.column(i)[0].as_py()), pa.int32()) for i in (0, 1)]
+        columns = [found.column(c) for c in ("term", "pks_list", "tfs_list", "dls_list", "pks_count", "tfs_sum", "tfs_max", "dls_min")]
+        whole = pa.table([*place, *columns], names=fields.names).cast(fields)
+        return whole.combine_chunks().to_batches(max_chunksize=1 << 14)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in arrow_runs(batches, 2):
+            yield from counted(rows)
+
+    by_length = Window.partitionBy(BUCKET).orderBy(F.length(CONTENT), PK)
+    block = F.floor((F.row_number().over(by_length) - 1) / BLOCK_DOCS).cast("int")
+    # Ranges of buckets are dealt out evenly, hashes of few buckets are not.
+    dealt = docs.select(BUCKET, PK, CONTENT).repartitionByRange(BUCKET)
+    placed = dealt.select(BUCKET, block.alias("block"), PK, CONTENT)
+    return placed.select(BUCKET, "block", PK, tokens(F.col(CONTENT)).alias("tokens")).filter("size(tokens) > 0").mapInArrow(count, schema)
+
+
+def posting_rows(index: Index) -> DataFrame:
+    """(term, pk, tf, dl), one row per document and term."""
+    lists = F.inline(F.arrays_zip(F.col("pks").alias(PK), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))
+    return index.postings.select("term", lists)
+
+
+# --- cells ------------------------------------------------------------------------------------
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    lengths = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return np.divide(vectors, lengths, out=np.zeros_like(vectors), where=lengths > 0)
+
+
+def _matrix(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1).astype(np.float64)
+
+
+def fit_cells(docs: DataFrame, dim: int, buckets: int) -> np.ndarray:
+    """Centroids of unit length, one per ``VECTORS_PER_CELL`` vectors of a bucket, ``MOST_CELLS`` at most.
+
+    They are fitted (k-means by cosine) on at most ``SAMPLE_VECTORS`` vectors, drawn by a hash of the key from
+    all over the table. Every vector is indexed, whatever the sample was.
+    """
+    rows = docs.filter(F.col("norm") > 0)
+    n = rows.count()
+    share = min(1.0, 1.1 * SAMPLE_VECTORS / max(n, 1))
+    drawn = rows.filter(F.pmod(F.xxhash64(F.col(PK), F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    table = drawn.select(EMBEDDING).limit(SAMPLE_VECTORS).toArrow()
+    n_cells = max(1, min(MOST_CELLS, n // (VECTORS_PER_CELL * buckets), table.num_rows))
+    if not table.num_rows:
+        return np.zeros((1, dim))
+    sample = _unit(_matrix(table.column(0)))
+    rng = np.random.default_rng(0)
+    centroids = sample[rng.choice(len(sample), n_cells, replace=False)]
+    for _ in range(FIT_ROUNDS):
+        nearest = np.argmax(sample @ centroids.T, axis=1)
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, nearest, sample)
+        empty = ~sums.any(axis=1)
+        sums[empty] = sample[rng.choice(len(sample), int(empty.sum()))]
+        centroids = _unit(sums)
+    return centroids
+
+
+def _in_cell(centroids: np.ndarray) -> Column:
+    @F.pandas_udf("cell int, cosine double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"cell": pd.Series(dtype="int32"), "cosine": pd.Series(dtype="float64")})
+        cosines = _unit(np.stack(vectors.to_numpy()).astype(np.float64)) @ centroids.T
+        cell = cosines.argmax(axis=1)
+        return pd.DataFrame({"cell": cell.astype("int32"), "cosine": cosines[np.arange(len(cell)), cell]})
+
+    return nearest(F.col(EMBEDDING))
+
+
+def vector_chunks(docs: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(bucket, cell, chunk, least, rows): lists of vectors of one cell, and their smallest cosine to its centroid.
+
+    A cell of any size is cut into lists of about ``CHUNK_ROWS`` vectors, by a hash.
+    """
+    placed = docs.filter(F.col("norm") > 0).select(BUCKET, PK, EMBEDDING, "norm", _in_cell(centroids).alias("near"))
+    placed = placed.select(BUCKET, PK, EMBEDDING, "norm", "near.cell", "near.cosine")
+    chunks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(BUCKET, "cell")) / CHUNK_ROWS)
+    chunk = F.pmod(F.xxhash64(F.col(PK), F.lit("chunk")), chunks).cast("int")
+    return (
+        placed.withColumn("chunk", chunk)
+        .groupBy(BUCKET, "cell", "chunk")
+        .agg(F.min("cosine").alias("least"), F.collect_list(F.struct(PK, EMBEDDING, "norm")).alias("rows"))
+    )
+
+
+# --- writing ----------------------------------------------------------------------------------
+
+
 def _bucket(pk: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(pk), F.lit(buckets)).cast("int")
 
@@ -112,27 +256,66 @@ def _with_vectors(rows: DataFrame, model: ModelFactory | None, dim: int, request
     wrong = F.raise_error(F.concat(F.lit(f"vector is not {dim} wide, pk: "), F.col(PK).cast("string")))
     size = F.size(EMBEDDING)
     checked = F.when(F.col(EMBEDDING).isNull() | (size == dim), F.col(EMBEDDING)).otherwise(wrong)
-    return (
-        rows.withColumn(EMBEDDING, checked)
-        .withColumn("norm", vector_norm(F.col(EMBEDDING)))
-        .withColumn("dl", F.coalesce(F.size(tokens(F.col(CONTENT))), F.lit(0)))
-    )
+    return rows.withColumn(EMBEDDING, checked).withColumn("norm", vector_norm(F.col(EMBEDDING)))
 
 
-def _write_buckets(rows: DataFrame, folder: str) -> None:
+def _write_buckets(rows: DataFrame, folder: str, *order: str) -> None:
     """Replace the buckets that ``rows`` has rows of; the others stay as they are."""
-    writer = rows.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = rows.sortWithinPartitions(BUCKET, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(BUCKET).parquet(folder)
 
 
-def _write_statistics(spark: SparkSession, folder: str) -> None:
-    postings = spark.read.parquet(f"{folder}/postings")
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms.write.mode("overwrite").parquet(f"{folder}/terms")
-    totals = spark.read.parquet(f"{folder}/docs").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("dl").cast("long").alias("sum_dl")
-    )
-    totals.write.mode("overwrite").parquet(f"{folder}/totals")
+def _numbers(df: DataFrame) -> set[int]:
+    """The buckets of ``df``: at most as many numbers as an index has buckets."""
+    return {r[BUCKET] for r in df.select(BUCKET).distinct().collect()}
+
+
+def _term_counts(postings: DataFrame) -> DataFrame:
+    """(term, df, tf): the documents with a term, and how often it occurs in all."""
+    return postings.groupBy("term").agg(F.sum("n").alias("df"), F.sum("sum_tf").alias("tf"))
+
+
+def _totals(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row (n, sum_dl): how many documents there are, and the tokens of all of them."""
+    parts = docs.select(F.lit(1).alias("n"), F.lit(0).cast("long").alias("tf")).unionByName(terms.select(F.lit(0).alias("n"), "tf"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("sum_dl"))
+
+
+def _write_index(docs: DataFrame, folder: str, centroids: np.ndarray, touched: set[int] | None) -> dict[str, str]:
+    """Bring the buckets ``touched`` (None: all) to the state ``docs``; ``docs`` itself is written last.
+
+    Postings, vectors and statistics follow from the documents of a bucket alone. While the old ``docs`` are
+    there, a sync finds the same changes again, so one that was stopped anywhere before is repeated in full. Gives the schemas of the bucketed tables, which
+    a table without rows does not tell.
+    """
+    spark = docs.sparkSession
+    remaining = _numbers(docs)
+    postings, vectors = posting_blocks(docs), vector_chunks(docs, centroids)
+
+    def put(rows: DataFrame, name: str, *order: str) -> None:
+        _write_buckets(rows, f"{folder}/{name}", *order)
+        for empty in (touched or set()) - remaining:
+            remove_folder(spark, f"{folder}/{name}/{BUCKET}={empty}")
+
+    put(postings, "postings", "term", "block")  # every bucket is in one task
+    put(vectors.repartition(BUCKET), "vectors", "cell", "chunk")
+    _term_counts(spark.read.schema(postings.schema).parquet(f"{folder}/postings")).write.mode("overwrite").parquet(f"{folder}/terms")
+    keys = docs.select(PK)
+    if touched is not None:
+        keys = keys.unionByName(spark.read.schema(docs.schema).parquet(f"{folder}/docs").filter(~F.col(BUCKET).isin(touched)).select(PK))
+    _totals(keys, spark.read.parquet(f"{folder}/terms")).write.mode("overwrite").parquet(f"{folder}/totals")
+    put(docs.repartition(BUCKET), "docs", PK)
+    return {"docs": docs.schema.json(), "postings": postings.schema.json(), "vectors": vectors.schema.json()}
+
+
+def _cells_of(spark: SparkSession, folder: str) -> np.ndarray:
+    rows = spark.read.parquet(f"{folder}/cells").orderBy("cell").toArrow()
+    return _matrix(rows.column("centroid"))
+
+
+def _bucketed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(spark.read.parquet(f"{folder}/settings").first()[name]))
+    return spark.read.schema(schema).parquet(f"{folder}/{name}")
 
 
 def create_or_sync(
@@ -155,67 +338,58 @@ def create_or_sync(
     are in; it runs when called and never by itself. A row with a vector of another width than ``dim``
     stops the write; put such rows aside with ``check_dimension`` first. The columns of the table have to
     stay the same. Choose ``buckets`` at creation so that a bucket is some gigabytes.
+
+    A call that was stopped leaves a note of the buckets it was about to change; the next call makes these
+    anew, and until then the index cannot be opened. A creation that was stopped is begun again.
     """
     if (vector is None) == (model is None):
         raise ValueError("give either a vector column or a model")
     spark = df.sparkSession
     tasks = tasks or spark.sparkContext.defaultParallelism
     rows = _source_rows(df, pk, content, vector)
-    if not path_exists(spark, f"{folder}/totals"):
+    settings, pending = f"{folder}/settings", f"{folder}/pending"
+    if not path_exists(spark, f"{settings}/_SUCCESS"):
+        remove_folder(spark, folder)
         docs = _with_vectors(rows.repartition(tasks), model, dim, request_size)
         docs = stored(docs.withColumn(BUCKET, _bucket(F.col(PK), buckets)), "index-docs")
-        _write_buckets(docs, f"{folder}/docs")
-        counts = term_counts(docs, PK, CONTENT)
-        _write_buckets(counts.withColumn(BUCKET, _bucket(F.col(PK), buckets)), f"{folder}/postings")
-        spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{folder}/settings")
-        _write_statistics(spark, folder)
+        centroids = fit_cells(docs, dim, buckets)
+        cells = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>")
+        cells.coalesce(1).write.mode("overwrite").parquet(f"{folder}/cells")
+        schemas = _write_index(docs, folder, centroids, None)
+        spark.range(1).select(F.lit(buckets).alias("buckets"), *[F.lit(v).alias(k) for k, v in schemas.items()]).write.mode("overwrite").parquet(settings)
         return
-    buckets = spark.read.parquet(f"{folder}/settings").first()["buckets"]
-    present = open_index(spark, folder)
-    old = present.docs
+    buckets = spark.read.parquet(settings).first()["buckets"]
+    bucketed = _bucketed(spark, folder, "docs")
     changed = stored(
         change_kinds(
-            old.select(PK, F.col("content_hash").alias("old_hash")),
+            bucketed.select(PK, F.col("content_hash").alias("old_hash")),
             rows.select(PK, F.col("content_hash").alias("new_hash")),
             [PK],
         ).withColumn(BUCKET, _bucket(F.col(PK), buckets)),
         "index-changes",
     )
-    # At most as many numbers as there are buckets.
-    touched = [r[BUCKET] for r in changed.select(BUCKET).distinct().collect()]
+    touched = _numbers(changed)
+    if path_exists(spark, f"{pending}/_SUCCESS"):
+        touched |= _numbers(spark.read.parquet(pending))
     if not touched:
         return
     fresh = rows.join(changed.filter("change <> 'delete'").select(PK), PK, "left_semi").repartition(tasks)
     fresh = _with_vectors(fresh, model, dim, request_size).withColumn(BUCKET, _bucket(F.col(PK), buckets))
-    fresh = stored(fresh, "index-fresh")
-    gone = changed.select(PK)
-
-    def kept(part: DataFrame) -> DataFrame:
-        return part.filter(F.col(BUCKET).isin(touched)).join(gone, PK, "left_anti")
-
-    bucketed = spark.read.parquet(f"{folder}/docs")
-    docs = stored(kept(bucketed).unionByName(fresh.select(bucketed.columns)), "index-docs")
-    counts = term_counts(fresh, PK, CONTENT).withColumn(BUCKET, _bucket(F.col(PK), buckets))
-    bucketed = spark.read.parquet(f"{folder}/postings")
-    postings = stored(kept(bucketed).unionByName(counts.select(bucketed.columns)), "index-postings")
-    for part, name in ((docs, "docs"), (postings, "postings")):
-        left = {r[BUCKET] for r in part.select(BUCKET).distinct().collect()}
-        _write_buckets(part, f"{folder}/{name}")
-        for empty in set(touched) - left:
-            remove_folder(spark, f"{folder}/{name}/{BUCKET}={empty}")
-    _write_statistics(spark, folder)
+    kept = bucketed.filter(F.col(BUCKET).isin(touched)).join(changed.select(PK), PK, "left_anti")
+    docs = stored(kept.unionByName(fresh.select(bucketed.columns)), "index-docs")
+    spark.createDataFrame([(b,) for b in sorted(touched)], f"{BUCKET} int").write.mode("overwrite").parquet(pending)
+    _write_index(docs, folder, _cells_of(spark, folder), touched)
+    remove_folder(spark, pending)
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
-    if not path_exists(spark, f"{folder}/totals"):
+    if not path_exists(spark, f"{folder}/settings/_SUCCESS"):
         raise FileNotFoundError(f"no index in {folder}")
-    read = spark.read.parquet
-    return Index(
-        read(f"{folder}/docs").drop(BUCKET),
-        read(f"{folder}/postings").drop(BUCKET),
-        read(f"{folder}/terms"),
-        read(f"{folder}/totals"),
-    )
+    if path_exists(spark, f"{folder}/pending/_SUCCESS"):
+        raise RuntimeError(f"a sync of {folder} has not ended; call create_or_sync again")
+    plain = [spark.read.parquet(f"{folder}/{name}") for name in ("terms", "totals")]
+    docs, postings, vectors = (_bucketed(spark, folder, name) for name in ("docs", "postings", "vectors"))
+    return Index(docs.drop(BUCKET), postings, *plain, vectors, spark.read.parquet(f"{folder}/cells"))
 
 
 def build_index(
@@ -227,18 +401,16 @@ def build_index(
     vector: str | None = None,
     model: ModelFactory | None = None,
     request_size: int = EMBEDDING_REQUEST_LIMIT,
+    buckets: int = BUCKETS,
 ) -> Index:
-    create_or_sync(df, folder, pk, content, dim, vector, model, request_size)
+    create_or_sync(df, folder, pk, content, dim, vector, model, request_size, buckets)
     return open_index(df.sparkSession, folder)
 
 
-def keyword_index(df: DataFrame, pk: str, content: str) -> Index:
+def keyword_index(df: DataFrame, pk: str, content: str, buckets: int = BUCKETS) -> Index:
     """Postings and statistics of a table without vectors and without a folder of its own."""
-    source = stored(df.select(F.col(pk).alias(PK), F.col(content).alias(CONTENT)), "keyword-docs")
-    postings = stored(term_counts(source.repartition(df.sparkSession.sparkContext.defaultParallelism), PK, CONTENT), "postings")
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    lengths = postings.groupBy(PK).agg(F.first("dl").alias("dl")).agg(F.sum("dl").alias("sum_dl")).first()
-    totals = source.agg(
-        F.count(F.lit(1)).alias("n"), F.lit(lengths["sum_dl"] or 0).cast("long").alias("sum_dl")
-    )
-    return Index(source, postings, stored(terms, "terms"), totals)
+    rows = df.select(F.col(pk).alias(PK), F.col(content).alias(CONTENT))
+    docs = stored(use_all_cores(rows), "keyword-docs")
+    postings = stored(posting_blocks(docs.select(_bucket(F.col(PK), buckets).alias(BUCKET), PK, CONTENT)), "postings")
+    terms = stored(_term_counts(postings), "terms")
+    return Index(docs, postings, terms, stored(_totals(docs, terms), "totals"))

@@ -1,26 +1,29 @@
 """Top-k retrieval for a table of queries: by vector, by keyword, or both.
 
-Queries and index meet in one distributed job, however many queries there are: the index is cut into
-slices by a hash of the key, the queries are copied to the slices, and both meet by an equi-join on the
-slice number. Each slice gives out its best ``k`` rows per query, and the best of these are the result.
+Queries and index meet in few distributed jobs, however many queries there are. With a stored index only
+what can matter is read: lists of vectors in the cells near a query, and blocks of postings of the asked
+terms, first where the best hits are likely; then a bound on what the rest can score leaves out what cannot
+reach the ``k``-th hit found. Results are exact unless the caller asks for the near cells only. A plain table
+of vectors is cut into slices, to which the queries are copied.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
 from turnwise.functions.text import tokens
-from turnwise.operators.distribution import SPREAD, spread_join, stored, top_k
-from turnwise.operators.index import EMBEDDING, PK, Index
+from turnwise.operators.distribution import SPREAD, arrow_runs, spread_join, stored, top_k
+from turnwise.operators.index import BUCKET, CHUNK_ROWS, EMBEDDING, PK, Index
 
 # Our choices: BM25 constants, the fusion constant, how many rows each side gives to the fusion
 # (part of the fusion's definition; callers set another), and the decimals that count in a ranking.
@@ -29,8 +32,10 @@ FUSION_CONSTANT = 60
 FUSION_DEPTH = 50
 DECIMALS = 6
 
-CHUNK_ROWS = 1024  # vectors that are packed into one row
 BLOCK_QUERIES = 512  # query vectors that are packed into one row
+PROBES = 8  # cells that are searched first
+SEED_BLOCKS = 4  # blocks of postings that are searched first
+SLACK = 2e-6  # bounds may be wrong by rounding in the last decimal that counts
 
 QUERY = "query_id"
 
@@ -74,26 +79,16 @@ def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.
         rows, queries = np.nonzero(scores >= floor)
     else:
         rows, queries = np.nonzero(np.ones_like(scores, dtype=bool))
-    found = pd.DataFrame({"row": rows, "query": queries, "score": scores[rows, queries], "key": keys[rows]})
-    found = found.sort_values(["query", "score", "key"], ascending=[True, False, True])
-    found = found[found.groupby("query").cumcount() < k]
-    return found["row"].to_numpy(), found["query"].to_numpy()
+    places = np.unique(keys, return_inverse=True)[1]
+    order = np.lexsort((places[rows], -scores[rows, queries], queries))
+    rows, queries = rows[order], queries[order]
+    first = np.searchsorted(queries, queries)
+    kept = np.arange(len(queries)) - first < k
+    return rows[kept], queries[kept]
 
 
-def search_vector(queries: DataFrame, index: Index, k: int = 10, tasks: int | None = None) -> DataFrame:
-    """(query_id, pk, score, rank) of the ``k`` rows with the highest cosine, exactly.
-
-    ``queries`` holds query_id and embedding. Rows and queries without direction have no cosine and
-    are left out. Vectors are packed into lists of about a thousand and compared list by list; the
-    number of ``tasks`` (the cluster's default parallelism if not given) is the number of slices.
-    """
-    schema = _hit_schema(queries, index)
-    slices = _slices(queries, tasks)
-    asked = stored(queries.filter(F.col(EMBEDDING).isNotNull()).select(QUERY, EMBEDDING), "queries")
-    blocks = _packed(asked, QUERY, [QUERY, EMBEDDING], BLOCK_QUERIES, 1, ("one", "asked"))
-    rows = index.docs.filter(F.col("norm") > 0)
-    chunks = _packed(rows, PK, [PK, EMBEDDING, "norm"], CHUNK_ROWS, slices, (SPREAD, "rows"))
-    pairs = chunks.join(_copied(blocks.select("asked"), slices), SPREAD).select("rows", "asked")
+def _nearest(pairs: DataFrame, schema: T.StructType, k: int) -> DataFrame:
+    """The best ``k`` (query, pk, score) of each pair of a list ``rows`` of vectors and a list ``asked`` of queries."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +107,7 @@ def search_vector(queries: DataFrame, index: Index, k: int = 10, tasks: int | No
                 norms = held.field("norm").to_numpy(zero_copy_only=False)
                 cosine = matrix(held) @ (wanted[known] / lengths[known, None]).T / norms[:, None]
                 scores = np.round(cosine, DECIMALS) + 0.0
-                row, query = _best(scores, held.field(PK).to_pandas().to_numpy(), k)
+                row, query = _best(scores, held.field(PK).to_numpy(zero_copy_only=False), k)
                 arrays = [
                     asked.field(QUERY).take(pa.array(known[query])),
                     held.field(PK).take(pa.array(row)),
@@ -121,36 +116,223 @@ def search_vector(queries: DataFrame, index: Index, k: int = 10, tasks: int | No
                 typed = [a.cast(to_arrow_type(f.dataType)) for a, f in zip(arrays, schema.fields)]
                 yield pa.RecordBatch.from_arrays(typed, names=schema.names)
 
-    return top_k(pairs.mapInArrow(nearest, schema), [QUERY], [F.col("score").desc(), F.col(PK).asc()], k)
+    return pairs.select("rows", "asked").mapInArrow(nearest, schema)
 
 
-def search_keyword(queries: DataFrame, index: Index, k: int = 10, tasks: int | None = None) -> DataFrame:
-    """(query_id, pk, score, rank) of the ``k`` rows with the highest BM25 score, exactly.
+def _best_hits(hits: DataFrame, k: int) -> DataFrame:
+    return top_k(hits, [QUERY], [F.col("score").desc(), F.col(PK).asc()], k)
+
+
+def search_vector(
+    queries: DataFrame, index: Index, k: int = 10, tasks: int | None = None, probes: int = PROBES, exact: bool = True
+) -> DataFrame:
+    """(query_id, pk, score, rank) of the ``k`` rows with the highest cosine.
 
-    ``queries`` holds query_id and text. A query counts each of its terms once; a row without any
-    of them is no hit. Postings are dealt out by document, so all terms of a document are summed where
-    they are and a frequent term is spread over all slices; only sums that are not zero exist, and only
-    the best ``k`` rows of each query and slice are shuffled again.
+    ``queries`` holds query_id and embedding. Rows and queries without direction have no cosine and
+    are left out. With the lists of a stored index, those of the ``probes`` cells nearest to a query are
+    compared first; then, unless ``exact`` is false, every other list whose bound reaches the ``k``-th score
+    found. Without, vectors are packed into lists and compared list by list; the number of ``tasks``
+    (the cluster's default parallelism if not given) is the number of slices.
     """
+    schema = _hit_schema(queries, index)
+    asked = stored(queries.filter(F.col(EMBEDDING).isNotNull()).select(QUERY, EMBEDDING), "queries")
+    if index.vectors is not None:
+        return _search_cells(asked, index, k, probes, exact, schema)
     slices = _slices(queries, tasks)
+    blocks = _packed(asked, QUERY, [QUERY, EMBEDDING], BLOCK_QUERIES, 1, ("one", "asked"))
+    rows = index.docs.filter(F.col("norm") > 0)
+    chunks = _packed(rows, PK, [PK, EMBEDDING, "norm"], CHUNK_ROWS, slices, (SPREAD, "rows"))
+    pairs = chunks.join(_copied(blocks.select("asked"), slices), SPREAD)
+    return _best_hits(_nearest(pairs, schema, k), k)
+
+
+def cells_of_queries(asked: DataFrame, cells: DataFrame) -> DataFrame:
+    """(query_id, cell, cosine, place) of every query and centroid, the nearest at place 1.
+
+    There are ``MOST_CELLS`` centroids at most; every task holds them.
+    """
+    found = cells.orderBy("cell").toArrow()
+    centroids = found.column("centroid").combine_chunks()
+    width = len(centroids)
+    centroids = centroids.flatten().to_numpy().reshape(width, -1)
+    schema = T.StructType(
+        [
+            asked.schema[QUERY],
+            T.StructField("cell", T.IntegerType()),
+            T.StructField("cosine", T.DoubleType()),
+            T.StructField("place", T.IntegerType()),
+        ]
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_QUERIES):
+                batch = whole.slice(at, BLOCK_QUERIES)
+                wanted = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+                lengths = np.sqrt((wanted * wanted).sum(axis=1))
+                known = np.flatnonzero(lengths > 0)
+                cosine = (wanted[known] / lengths[known, None]) @ centroids.T
+                order = np.argsort(-cosine, axis=1, kind="stable")
+                n = len(known)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(np.repeat(known, width))),
+                        pa.array(order.ravel().astype(np.int32)),
+                        pa.array(np.take_along_axis(cosine, order, axis=1).ravel()),
+                        pa.array(np.tile(np.arange(1, width + 1, dtype=np.int32), n)),
+                    ],
+                    names=schema.names,
+                )
+
+    return asked.select(QUERY, EMBEDDING).mapInArrow(compare, schema)
+
+
+def _query_lists(wanted: DataFrame, asked: DataFrame, by: list[str], n_queries: int) -> DataFrame:
+    """Queries gathered into lists of some hundred per value of ``by``."""
+    part = F.pmod(F.xxhash64(F.col(QUERY)), F.lit(max(1, -(-n_queries // BLOCK_QUERIES))))
+    return (
+        wanted.join(asked, QUERY)
+        .groupBy(*by, part.alias("part"))
+        .agg(F.collect_list(F.struct(QUERY, EMBEDDING)).alias("asked"))
+        .drop("part")
+    )
+
+
+def lists_left(near: DataFrame, first: DataFrame, index: Index, k: int) -> DataFrame:
+    """(query_id, bucket, cell, chunk) of the lists not yet searched that can hold one of the best ``k``.
+
+    No vector of a list is farther from its centroid than the list's smallest cosine tells, so by the
+    triangle inequality of angles none is nearer to the query than the difference of both angles.
+    """
+    kth = first.filter(F.col("rank") == k).select(QUERY, F.col("score").alias("kth"))
+    lists = index.vectors.select(BUCKET, "cell", "chunk", "least")
+    unit = lambda c: F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0))
+    apart = F.greatest(F.acos(unit(F.col("cosine"))) - F.acos(unit(F.col("least") - SLACK)), F.lit(0.0))
+    can = F.cos(apart) + SLACK >= F.coalesce("kth", F.lit(-2.0))
+    return near.join(kth, QUERY, "left").join(lists, "cell").filter(can).select(QUERY, BUCKET, "cell", "chunk")
+
+
+def probes_for_recall(asked: DataFrame, index: Index, k: int = 10, recall: float = 0.95) -> int:
+    """How many cells a search has to visit to find this share of the true ``k`` nearest rows of ``asked``.
+
+    ``asked`` (query_id, embedding) is a sample of queries that the caller bounds. Each of their true neighbours lies
+    in some cell, the n-th nearest to its query; the answer is the quantile of n.
+    """
+    true = search_vector(asked, index, k).select(QUERY, PK)
+    homes = index.vectors.select("cell", F.inline("rows")).select("cell", PK)
+    places = true.join(homes, PK).join(cells_of_queries(asked, index.cells), [QUERY, "cell"])
+    found = places.agg(F.percentile("place", F.lit(recall)).alias("n")).first()["n"]
+    return max(1, math.ceil(found or 1))
+
+
+def _search_cells(asked: DataFrame, index: Index, k: int, probes: int, exact: bool, schema: T.StructType) -> DataFrame:
+    n_queries = asked.count()
+    near = stored(cells_of_queries(asked, index.cells), "query-cells")
+    probed = near.filter(F.col("place") <= probes).select(QUERY, "cell")
+    pairs = index.vectors.select("cell", "rows").join(_query_lists(probed, asked, ["cell"], n_queries), "cell")
+    first = _best_hits(_nearest(pairs, schema, k), k)
+    if not exact:
+        return first
+    first = stored(first, "first-hits")
+    left = lists_left(near.filter(F.col("place") > probes), first, index, k)
+    keys = [BUCKET, "cell", "chunk"]
+    pairs = index.vectors.select(*keys, "rows").join(_query_lists(left, asked, keys, n_queries), keys)
+    rest = _nearest(pairs, schema, k)
+    return _best_hits(first.select(schema.names).unionByName(rest), k)
+
+
+def _gain(idf: Column, tf: Column, dl: Column, average: float) -> Column:
+    """What a term adds to a score; it rises with ``tf`` and falls with ``dl``."""
+    tf = tf.cast("double")
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(average)))
+
+
+def _block_hits(
+    wanted: DataFrame, weighed: DataFrame, n_queries: int, index: Index, average: float, k: int, schema: T.StructType
+) -> DataFrame:
+    """The best ``k`` (query_id, pk, score) of every block in ``wanted`` (query_id, bucket, block).
+
+    A block's lists of asked terms meet some hundred queries at a time; their sums are made as one matrix of
+    documents and queries.
+    """
+    part = F.pmod(F.xxhash64(F.col(QUERY)), F.lit(max(1, -(-n_queries // BLOCK_QUERIES)))).cast("int")
+    keys = [BUCKET, "block", "term"]
+    asked = wanted.join(weighed, QUERY).groupBy(*keys, part.alias("part")).agg(F.collect_list(F.struct(QUERY, "idf")).alias("asked"))
+    asked = stored(asked, "asked-lists")  # its size is known then: if it is small, postings are filtered where they are read
+    rows = index.postings.select(*keys, "pks", "tfs", "dls").join(asked, keys)
+    dealt = rows.select(BUCKET, "block", "part", "pks", "tfs", "dls", "asked").repartition(BUCKET, "block", "part")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in arrow_runs(batches, 3):
+            pks, tfs, dls, asked = (run.column(c).combine_chunks() for c in ("pks", "tfs", "dls", "asked"))
+            tf = tfs.flatten().to_numpy().astype(np.float64)
+            gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dls.flatten().to_numpy() / average))
+            row, held = pd.factorize(pks.flatten().to_pandas(), sort=True)
+            flat = asked.flatten()
+            idf = flat.field("idf").to_numpy()
+            column, queries = pd.factorize(flat.field(QUERY).to_pandas())
+            sums = np.zeros((len(held), len(queries)))
+            ends, asked_ends = pks.offsets.to_numpy(), asked.offsets.to_numpy()
+            for i in range(run.num_rows):
+                own, of = slice(ends[i], ends[i + 1]), slice(asked_ends[i], asked_ends[i + 1])
+                sums[np.ix_(row[own], column[of])] += np.outer(gain[own], idf[of])
+            sums = np.round(sums, DECIMALS)
+            at, query = _best(np.where(sums > 0, sums, -1.0), np.asarray(held), k)
+            real = sums[at, query] > 0
+            at, query = at[real], query[real]
+            arrays = [pa.array(np.asarray(queries)[query]), pa.array(np.asarray(held)[at]), pa.array(sums[at, query])]
+            typed = [a.cast(to_arrow_type(f.dataType)) for a, f in zip(arrays, schema.fields)]
+            yield pa.RecordBatch.from_arrays(typed, names=schema.names)
+
+    return dealt.sortWithinPartitions(BUCKET, "block", "part").mapInArrow(score, schema)
+
+
+def block_bounds(weighed: DataFrame, index: Index, average: float) -> DataFrame:
+    """(query_id, bucket, block, bound, place): the most that a document of a block can score, best blocks first.
+
+    Read are the terms' bounds per block, not the postings.
+    """
+    bounds = index.postings.select(BUCKET, "block", "term", "max_tf", "min_dl")
+    gain = _gain(F.col("idf"), F.col("max_tf"), F.col("min_dl"), average)
+    blocks = bounds.join(weighed, "term").groupBy(QUERY, BUCKET, "block").agg(F.sum(gain).alias("bound"))
+    order = Window.partitionBy(QUERY).orderBy(F.desc("bound"), BUCKET, "block")
+    return blocks.withColumn("place", F.row_number().over(order))
+
+
+def blocks_left(bounds: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """The blocks not yet searched whose bound reaches the ``k``-th score found."""
+    kth = first.filter(F.col("rank") == k).select(QUERY, F.col("score").alias("kth"))
+    can = F.col("bound") + SLACK >= F.coalesce("kth", F.lit(0.0))
+    return bounds.filter(F.col("place") > SEED_BLOCKS).join(kth, QUERY, "left").filter(can)
+
+
+def weighed_terms(queries: DataFrame, index: Index) -> tuple[DataFrame, float]:
+    """(query_id, term, idf) of each query's different terms that the index has, and the mean length."""
     asked = queries.select(QUERY, F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     totals = index.totals.first()  # the one row of the statistics
     average = totals["sum_dl"] / totals["n"] if totals["sum_dl"] else 1.0
     df = F.col("df").cast("double")
     idf = F.log(1 + (F.lit(float(totals["n"])) - df + 0.5) / (df + 0.5))
-    weighed = asked.join(index.terms, "term").select(QUERY, "term", idf.alias("idf"))
-    dealt = _copied(stored(weighed, "asked-terms"), slices).repartition(slices, SPREAD)
-    postings = index.postings.withColumn(SPREAD, _slice(F.col(PK), slices)).repartition(slices, SPREAD)
-    tf = F.col("tf").cast("double")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(average)))
-    sums = (
-        postings.join(dealt, [SPREAD, "term"])
-        .groupBy(SPREAD, QUERY, PK)
-        .agg(F.round(F.sum(part), DECIMALS).alias("score"))
-    )
-    order = [F.col("score").desc(), F.col(PK).asc()]
-    best = top_k(sums, [SPREAD, QUERY], order, k).select(QUERY, PK, "score")
-    return top_k(best, [QUERY], order, k)
+    weighed = index.terms.join(asked, "term").select(QUERY, "term", idf.alias("idf"))
+    return stored(weighed, "asked-terms"), average
+
+
+def search_keyword(queries: DataFrame, index: Index, k: int = 10, tasks: int | None = None) -> DataFrame:
+    """(query_id, pk, score, rank) of the ``k`` rows with the highest BM25 score, exactly.
+
+    ``queries`` holds query_id and text. A query counts each of its terms once; a row without any of them is no
+    hit. A block's bound is the sum of what its terms can add. A query's blocks of the highest bounds are
+    summed first; of the others only those are read whose bound reaches the ``k``-th score found there, and of
+    these only the lists of asked terms. Sums exist for documents of these blocks alone.
+    """
+    weighed, average = weighed_terms(queries, index)
+    bounds = stored(block_bounds(weighed, index, average), "block-bounds")
+    seeds = bounds.filter(F.col("place") <= SEED_BLOCKS).select(QUERY, BUCKET, "block")
+    schema, n_queries = _hit_schema(queries, index), weighed.select(QUERY).distinct().count()
+    first = stored(_best_hits(_block_hits(seeds, weighed, n_queries, index, average, k, schema), k), "first-hits")
+    left = stored(blocks_left(bounds, first, k).select(QUERY, BUCKET, "block"), "blocks-left")
+    rest = _block_hits(left, weighed, n_queries, index, average, k, schema)
+    return _best_hits(first.select(schema.names).unionByName(rest), k)
 
 
 def fuse(hits_a: DataFrame, hits_b: DataFrame, k: int) -> DataFrame:

@@ -112,15 +112,24 @@ def transcript_parts(
 
     A conversation of at most ``width`` lines is one row, whatever its order numbers. Longer ones go on
     in rows with ``part`` 1, 2, ... of ``width`` lines each, so that no task gathers more; assessments of
-    parts are put together again by ``merged_participants``.
+    parts are put together again by ``merged_parts``. Positions are only made for conversations that have
+    more lines; which these are is counted first.
     """
-    placed = positions(lines.select(key, order, F.col(line).alias("line")), key, order, width)
-    ordered = F.sort_array(F.collect_list(F.struct("position", "line")))
-    return (
-        placed.groupBy(key, F.floor(F.col("position") / width).alias("part"))
-        .agg(ordered.alias("ordered"))
-        .select(key, "part", F.transform("ordered", lambda o: o["line"]).alias("sentences_updated"))
-    )
+    rows = lines.select(key, order, F.col(line).alias("line"))
+    long = stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > width).select(F.col(key).alias("_long")), "long-calls")
+
+    def gathered(held: DataFrame, by: Column, part: Column) -> DataFrame:
+        ordered = F.sort_array(F.collect_list(F.struct(by.alias("by"), "line")))
+        whole = held.groupBy(key, part.alias("part")).agg(ordered.alias("ordered"))
+        return whole.select(key, "part", F.transform("ordered", lambda o: o["line"]).alias("sentences_updated"))
+
+    first = F.lit(0).cast("long")
+    if long.isEmpty():
+        return gathered(rows, F.col(order), first)
+    is_long = F.col(key).eqNullSafe(F.col("_long"))
+    whole = gathered(rows.join(long, is_long, "left_anti"), F.col(order), first)
+    placed = positions(rows.join(long, is_long, "left_semi"), key, order, width)
+    return whole.unionByName(gathered(placed, F.col("position"), F.floor(F.col("position") / width)))
 
 
 def transcript_text(sentences_updated: Column) -> Column:
@@ -185,3 +194,98 @@ def talk_time_beside_stored(sentences: DataFrame, attendees: DataFrame) -> DataF
         .select("conversation_id", "recording_attendee_id", "claimed.*")
     )
     return talk_time(sentences).join(claims, ["conversation_id", "recording_attendee_id"], "left")
+
+
+def talk_overlaps(sentences: DataFrame, span: float = 3600.0) -> DataFrame:
+    """Talk time in milliseconds per speaker: the plain sum, the time in which they spoke at all, and crosstalk.
+
+    Sentences may overlap, also those of one speaker. A speaker's sentences are merged into stretches, and a sweep
+    over the ends of all stretches tells when more than one speaker was heard. Calls are cut into pieces of
+    ``span`` seconds, and times of the pieces are added, so a long call is not one task's work. Sentences
+    without both times count nothing; one that ends before it starts counts in the plain sum only.
+    """
+    keys = ["conversation_id", "recording_attendee_id"]
+    first, last = (F.floor(F.col(c) / span).cast("long") for c in ("start_time", "end_time"))
+    cut = sentences.filter("end_time > start_time").withColumn("piece", F.explode(F.sequence(first, last)))
+    cut = cut.select(
+        *keys,
+        "piece",
+        F.greatest("start_time", F.col("piece") * span).alias("start_time"),
+        F.least("end_time", (F.col("piece") + 1) * span).alias("end_time"),
+    ).filter("end_time > start_time")
+    before = Window.partitionBy(*keys, "piece").orderBy("start_time", "end_time").rowsBetween(Window.unboundedPreceding, -1)
+    opened = cut.withColumn("reached", F.max("end_time").over(before))
+    opens = F.when(F.col("reached").isNull() | (F.col("start_time") > F.col("reached")), 1).otherwise(0)
+    so_far = Window.partitionBy(*keys, "piece").orderBy("start_time", "end_time").rowsBetween(Window.unboundedPreceding, 0)
+    stretches = (
+        opened.withColumn("stretch", F.sum(opens).over(so_far))
+        .groupBy(*keys, "piece", "stretch")
+        .agg(F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"))
+    )
+    ends = stretches.select(
+        *keys, "piece", F.inline(F.array(F.struct(F.col("start_time").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end_time").alias("at"), F.lit(-1).alias("step"))))
+    )
+    in_time = Window.partitionBy("conversation_id", "piece").orderBy("at", "step", "recording_attendee_id")
+    heard = ends.withColumn("n", F.sum("step").over(in_time.rowsBetween(Window.unboundedPreceding, -1)))
+    waited = F.col("at") - F.lag("at").over(in_time)
+    heard = heard.withColumn("shared", F.when(F.col("n") > 1, waited).otherwise(0.0))
+    heard = heard.withColumn("shared_so_far", F.sum("shared").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
+    times = heard.groupBy(*keys).agg(
+        F.sum(-F.col("step") * F.col("at")).alias("distinct"), F.sum(-F.col("step") * F.col("shared_so_far")).alias("crosstalk")
+    )
+    plain = sentences.groupBy(*keys).agg(F.sum(F.col("end_time") - F.col("start_time")).alias("spoken"))
+    joined = plain.join(times.withColumnsRenamed({k: f"_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left")
+    parts = (("spoken", "talk_time"), ("distinct", "distinct_time"), ("crosstalk", "crosstalk"))
+    return joined.select(*keys, *[F.round(1000 * F.coalesce(a, F.lit(0.0))).cast("long").alias(b) for a, b in parts])
+
+
+def moment_rows(calls: DataFrame) -> DataFrame:
+    """Key moments of call documents, one row per mention, with the positions that lead to it.
+
+    A call without the block, an item without categories and a category without mentions give one row each, with
+    nulls below that level.
+    """
+    items = calls.select(
+        F.col("conversation.id").alias("conversation_id"),
+        F.posexplode_outer("extensiveConversation.data.key_moments.items").alias("item_at", "i"),
+    )
+    categories = items.select(
+        "conversation_id", "item_at", F.col("i.name").alias("item"), F.posexplode_outer("i.categories").alias("category_at", "c")
+    )
+    mentions = categories.select(
+        "conversation_id",
+        "item_at",
+        "item",
+        "category_at",
+        F.col("c.category").alias("category"),
+        F.posexplode_outer("c.mentions").alias("mention_at", "m"),
+    )
+    places = [F.col(c).cast("long").alias(c) for c in ("item_at", "category_at", "mention_at")]
+    return mentions.select(
+        "conversation_id", *places, "item", "category", "m.recording_attendee_id", "m.index_start", "m.index_end", "m.start_time"
+    )
+
+
+def action_item_rows(calls: DataFrame) -> DataFrame:
+    """Action items of call documents, one row each with its position; a call without any gives one row."""
+    items = calls.select(
+        F.col("conversation.id").alias("conversation_id"),
+        F.posexplode_outer("extensiveConversation.data.action_items.items").alias("item_at", "i"),
+    )
+    return items.select("conversation_id", F.col("item_at").cast("long").alias("item_at"), "i.*")
+
+
+def mentioned_sentences(mentions: DataFrame, sentences: DataFrame, width: int = 64) -> DataFrame:
+    """Each mention with every sentence whose order number lies in its span (ends included).
+
+    Order numbers are cut into bins of ``width``; a mention is copied to the bins that its span touches, a sentence
+    lies in one, and both meet by call and bin. So a long call's sentences and mentions are spread over tasks.
+    Mentions without a span, or with one that ends before it begins, meet nothing.
+    """
+    bin_of = lambda c: F.floor(c / width)
+    spans = mentions.filter("index_start <= index_end").withColumn(
+        "_bin", F.explode(F.sequence(bin_of(F.col("index_start")), bin_of(F.col("index_end"))))
+    )
+    lines = sentences.select("conversation_id", "order_number", "text", bin_of(F.col("order_number")).alias("_bin"))
+    within = F.col("order_number").between(F.col("index_start"), F.col("index_end"))
+    return spans.join(lines, ["conversation_id", "_bin"]).filter(within).drop("_bin")

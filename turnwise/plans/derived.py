@@ -116,3 +116,49 @@ def turns_as_calls(turns: DataFrame) -> DataFrame:
         ).alias("extensiveConversation"),
         "sentences",
     )
+
+
+def turns_as_moments(turns: DataFrame) -> DataFrame:
+    """Call documents with key moments and action items made of turns.
+
+    An item per role, a category for even and one for odd turns, and a mention per turn, which spans up to two more;
+    assistants' categories have no mentions, but every assistant's turn is an action item. Conversations
+    whose number ends in 7 have neither block, those in 8 key moments without items.
+    """
+    ends = F.col("turn") + F.col("conv_id") % 3
+    mention = F.struct(
+        F.expr(SPEAKER_ID_SQL).alias("recording_attendee_id"),
+        F.col("turn").alias("index_start"),
+        ends.alias("index_end"),
+        (100.0 * F.col("turn")).alias("start_time"),
+    )
+    last = F.col("conv_id") % 10
+    of_category = turns.groupBy("conv_id", "role", (F.col("turn") % 2).alias("category")).agg(
+        F.sort_array(F.collect_list(F.when(F.col("role") != "assistant", F.struct("turn", mention.alias("m"))))).alias("m"),
+    )
+    of_category = of_category.select("conv_id", "role", "category", F.transform("m", lambda x: x["m"]).alias("mentions"))
+    category = F.struct(
+        F.col("category").cast("string").alias("category"),
+        F.size("mentions").cast("long").alias("mentions_count"),
+        F.lit(None).cast("string").alias("summary"),
+        "mentions",
+    )
+    of_item = of_category.groupBy("conv_id", "role").agg(F.sort_array(F.collect_list(category)).alias("categories"))
+    item = F.struct(F.col("role").alias("name"), "categories")
+    moments = of_item.groupBy("conv_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    actions = turns.groupBy("conv_id").agg(
+        F.sort_array(
+            F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.col("turn").cast("string").alias("id"), F.col("text").alias("original_text"))))
+        ).alias("actions")
+    )
+    nothing = F.array().cast(moments.schema["items"].dataType)
+    held = moments.join(actions, "conv_id")
+    return held.select(
+        F.struct(F.col("conv_id").cast("string").alias("id")).alias("conversation"),
+        F.struct(
+            F.struct(
+                F.when(last != 7, F.struct(F.when(last == 8, nothing).otherwise(F.col("items")).alias("items"))).alias("key_moments"),
+                F.when(last != 7, F.struct(F.transform("actions", lambda a: F.struct(a["id"], a["original_text"])).alias("items"))).alias("action_items"),
+            ).alias("data")
+        ).alias("extensiveConversation"),
+    )

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.config import Names, ship_package, use_database, work_folder
+from turnwise.config import Names, path_exists, ship_package, use_database, work_folder
 from turnwise.functions import text
 from turnwise.functions.models import (
     DigestModel,
@@ -38,6 +38,7 @@ from turnwise.operators.index import (
     create_or_sync,
     keyword_index,
     open_index,
+    posting_rows,
     term_counts,
     vector_norm,
 )
@@ -525,6 +526,111 @@ def talk_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OVERLAPS_SQL = """
+    WITH said AS (
+        SELECT conv_id AS conversation_id, CAST(conv_id AS VARCHAR) || '-' || role AS speaker,
+               10 * turn AS start_time, 10 * turn + length(text) / 10.0 AS end_time FROM conversations),
+    times AS (SELECT conversation_id, start_time AS t FROM said UNION SELECT conversation_id, end_time FROM said),
+    spans AS (SELECT conversation_id, t AS a, lead(t) OVER (PARTITION BY conversation_id ORDER BY t) AS b FROM times),
+    heard AS (
+        SELECT p.conversation_id, a, b, speaker, count(*) OVER (PARTITION BY p.conversation_id, a) AS n
+        FROM spans p JOIN said s ON s.conversation_id = p.conversation_id AND start_time <= a AND end_time >= b AND a < b
+        GROUP BY p.conversation_id, a, b, speaker),
+    sums AS (SELECT conversation_id, speaker, sum(end_time - start_time) AS spoken FROM said GROUP BY 1, 2)
+    SELECT conversation_id, speaker AS recording_attendee_id, CAST(round(1000 * any_value(spoken)) AS BIGINT) AS talk_time,
+           CAST(round(1000 * coalesce(sum(b - a), 0)) AS BIGINT) AS distinct_time,
+           CAST(round(1000 * coalesce(sum(b - a) FILTER (n > 1), 0)) AS BIGINT) AS crosstalk
+    FROM sums LEFT JOIN heard USING (conversation_id, speaker) GROUP BY conversation_id, speaker
+"""
+
+
+@query(OVERLAPS_SQL)
+def talk_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Talk time where turns begin ten seconds apart, so that many overlap."""
+    turns = table(spark, sf_dir, "conversations")
+    sentences = derived.turns_as_sentences(turns)
+    length = F.col("end_time") - F.col("start_time")
+    close = sentences.withColumn("end_time", F.col("start_time") / 10 + length).withColumn("start_time", F.col("start_time") / 10)
+    return transcript.talk_overlaps(close, span=60.0)
+
+
+MOMENTS_SQL = """
+    SELECT conv_id AS conversation_id, text, role, turn,
+           CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 END AS item, turn % 2 AS category,
+           turn AS index_start, turn + conv_id % 3 AS index_end
+    FROM conversations
+"""
+# Conversations whose number ends in 7 have no block, in 8 a block without items, and assistants no mentions.
+MOMENT_ROWS_SQL = f"""
+    WITH kept AS (SELECT * FROM ({MOMENTS_SQL}) WHERE conversation_id % 10 < 7 OR conversation_id % 10 = 9),
+    every AS (SELECT DISTINCT conv_id AS conversation_id FROM conversations),
+    items AS (SELECT conversation_id, role, row_number() OVER (PARTITION BY conversation_id ORDER BY role) - 1 AS item_at
+              FROM (SELECT DISTINCT conversation_id, role FROM kept)),
+    categories AS (SELECT conversation_id, role, category, row_number() OVER (PARTITION BY conversation_id, role ORDER BY category) - 1 AS category_at
+                   FROM (SELECT DISTINCT conversation_id, role, category FROM kept)),
+    mentions AS (SELECT *, row_number() OVER (PARTITION BY conversation_id, role, category ORDER BY turn) - 1 AS mention_at
+                 FROM kept WHERE role <> 'assistant')
+    SELECT e.conversation_id, i.item_at, i.role AS item, c.category_at, CAST(c.category AS VARCHAR) AS category,
+           m.mention_at, m.index_start, m.index_end
+    FROM every e LEFT JOIN items i USING (conversation_id) LEFT JOIN categories c USING (conversation_id, role)
+    LEFT JOIN mentions m USING (conversation_id, role, category)
+"""
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcript.moment_rows(derived.turns_as_moments(table(spark, sf_dir, "conversations")))
+
+
+@query(MOMENT_ROWS_SQL)
+def key_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per mention with its path; an item, category or block without any is a row as well."""
+    return _moments(spark, sf_dir).select(
+        F.col("conversation_id").cast("long").alias("conversation_id"),
+        "item_at",
+        "item",
+        "category_at",
+        "category",
+        "mention_at",
+        "index_start",
+        "index_end",
+    )
+
+
+@query(
+    f"""
+    SELECT m.conversation_id, m.item_at, m.category_at, m.mention_at, s.turn AS order_number, s.text
+    FROM ({MOMENT_ROWS_SQL}) m JOIN conversations s ON s.conv_id = m.conversation_id
+         AND s.turn BETWEEN m.index_start AND m.index_end
+    """
+)
+def mentioned_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that each mention spans."""
+    sentences = derived.turns_as_sentences(table(spark, sf_dir, "conversations"))
+    mentions = _moments(spark, sf_dir).withColumn("conversation_id", F.col("conversation_id").cast("long"))
+    return transcript.mentioned_sentences(mentions, sentences, width=2).select(
+        "conversation_id", "item_at", "category_at", "mention_at", "order_number", "text"
+    )
+
+
+@query(
+    """
+    SELECT o.conv_id AS conversation_id, i.turn, i.item_at, i.text
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN
+         (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS item_at, text
+          FROM conversations WHERE role = 'assistant' AND conv_id % 10 <> 7) i USING (conv_id)
+    """
+)
+def action_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per action item, and one for a call without any."""
+    rows = transcript.action_item_rows(derived.turns_as_moments(table(spark, sf_dir, "conversations")))
+    return rows.select(
+        F.col("conversation_id").cast("long").alias("conversation_id"),
+        F.col("id").cast("long").alias("turn"),
+        "item_at",
+        F.col("original_text").alias("text"),
+    )
+
+
 # --- assessments ------------------------------------------------------------------------------
 
 # The answer of an imaginary model, as text, from the turns of each role. Every ninth conversation
@@ -843,22 +949,29 @@ def index_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     for state in (before, after, after):
         create_or_sync(state.drop("lang"), folder, "doc_id", "text", DIM, model=EMBEDDER)
     index = open_index(spark, folder)
-    counted = index.postings.groupBy(PK).agg(F.count(F.lit(1)).alias("n_postings"))
+    counted = posting_rows(index).groupBy(PK).agg(F.count(F.lit(1)).alias("n_postings"), F.first("dl").alias("dl"))
     total = F.aggregate(EMBEDDING, F.lit(0.0), lambda a, x: a + x.cast("double"))
     return index.docs.join(counted, PK, "left").select(
         PK,
         "source",
         F.length("content").cast("long").alias("n_chars"),
-        F.col("dl").cast("long").alias("dl"),
+        F.coalesce("dl", F.lit(0)).cast("long").alias("dl"),
         F.coalesce("n_postings", F.lit(0)).alias("n_postings"),
         F.round(total, 4).alias("sum_v"),
     )
 
 
+INDEX_FOLDERS: dict[tuple[str, str], str] = {}
+
+
 def document_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the documents, made once per application and folder of data, as long as it is there."""
+    key = spark.sparkContext.applicationId, sf_dir
+    folder = INDEX_FOLDERS.setdefault(key, work_folder(spark, "index"))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    folder = work_folder(spark, "index")
-    return build_index(documents, folder, "doc_id", "text", DIM, model=EMBEDDER)
+    if not path_exists(spark, folder):
+        build_index(documents, folder, "doc_id", "text", DIM, model=EMBEDDER, buckets=8)
+    return open_index(spark, folder)
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -934,6 +1047,50 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_vector(asked, Index(rows), K)
 
 
+EMBEDDING_VECTORS_SQL = """
+    SELECT vec_id AS id, unnest(range(len(embedding))) AS bucket, unnest(embedding)::DOUBLE AS v FROM embeddings
+"""
+FIFTIETH_SQL = f"SELECT * FROM ({EMBEDDING_VECTORS_SQL}) WHERE id % 50 = 0"
+
+
+def _embedding_index(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame]:
+    """A stored index of the given vectors, and every fiftieth of them as a query."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
+    index = build_index(rows, work_folder(spark, "vector-index"), "vec_id", "label", DIM, vector=EMBEDDING, buckets=2)
+    return index, rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), EMBEDDING)
+
+
+@query(vector_hits_sql(EMBEDDING_VECTORS_SQL, FIFTIETH_SQL, K))
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of all given vectors to every fiftieth, exactly, from the cells of a stored index."""
+    index, asked = _embedding_index(spark, sf_dir)
+    return search.search_vector(asked, index, K)
+
+
+@query(
+    f"""
+    SELECT count(*) AS n_queries, count(*) * least({K}, any_value(n)) AS n_true, true AS nine_in_ten
+    FROM embeddings, (SELECT count(*) AS n FROM embeddings) WHERE vec_id % 50 = 0
+    """
+)
+def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the nearest cells alone find nine of ten of the true neighbours of every fiftieth vector.
+
+    How many cells that takes is learnt from other vectors, 64 at most.
+    """
+    index, asked = _embedding_index(spark, sf_dir)
+    others = index.docs.filter("pk % 50 = 7").select(F.col(PK).alias("query_id"), EMBEDDING).orderBy("query_id").limit(64)
+    probes = search.probes_for_recall(others, index, K)
+    exact = search.search_vector(asked, index, K).select("query_id", PK)
+    near = search.search_vector(asked, index, K, probes=probes, exact=False)
+    near = near.select("query_id", PK, F.lit(1).alias("is_found"))
+    return exact.join(near, ["query_id", PK], "left").agg(
+        F.count_distinct("query_id").alias("n_queries"),
+        F.count(F.lit(1)).alias("n_true"),
+        (F.count("is_found") >= 0.9 * F.count(F.lit(1))).alias("nine_in_ten"),
+    )
+
+
 @query(keyword_hits_sql("documents", "doc_id", "benchmark", "item_id", K))
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = keyword_index(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -967,6 +1124,19 @@ def newest_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.newest_turns(table(spark, sf_dir, "conversations"), 3)
 
 
+@query(
+    """
+    SELECT conv_id, turn, role, text, n_left_out FROM (
+        SELECT *, count(*) FILTER (used > 300) OVER (PARTITION BY conv_id) AS n_left_out FROM (
+            SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM conversations))
+    WHERE used <= 300
+    """
+)
+def turns_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest messages of at most 300 characters together, and how many older ones were left out."""
+    return chat.turns_within(table(spark, sf_dir, "conversations"), 300).select("conv_id", "turn", "role", "text", "n_left_out")
+
+
 LAST_SQL = """
     SELECT conv_id, arg_max(text, turn) AS question, max(turn) AS last_turn, count(*) AS n_turns
     FROM conversations GROUP BY conv_id
