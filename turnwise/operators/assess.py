@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.config import path_exists
+from turnwise.config import path_exists, work_folder
 from turnwise.functions.models import ModelFactory, infer
+from turnwise.functions.nested import fill_template
 from turnwise.functions.text import content_key
-from turnwise.operators.distribution import spread_join
+from turnwise.operators.distribution import spread_join, stored
 from turnwise.schemas import (
     ASSESSMENT,
     PARTICIPANT_INTEGERS,
@@ -168,25 +169,82 @@ def assess_prompts(
     return good, bad.unionByName(failed)
 
 
-def merged_participants(participants: DataFrame, keep: list[str], part: str = "part") -> DataFrame:
-    """One row per ``keep`` and name, from rows per part of a long conversation.
+MERGE_MARK = " - ASSESSMENTS: "
+MERGE_END = "\n\nAnswer format:\n"
+MERGE_PROMPT = (
+    "Below are assessments of one person, made from parts of one call that follow each other. Make one assessment "
+    "of them. Keep everything that any of them says, in order, and say nothing else."
+    + MERGE_MARK
+    + "{assessments}"
+    + MERGE_END
+    + "A JSON object with the key participants: an array with one object that has the keys of those above."
+)
+
 
-    Lists hold the entries of all parts, each once, in their order; the score is the mean, rounded;
-    other texts are those of the first part, but the other side's summary is that of the last.
-    Entries are aggregated per name, so a conversation of many parts stays spread over its people.
+def combined(parts: Column) -> Column:
+    """One participant of several, without a model: nothing is left out.
+
+    Lists hold the entries of all parts, each once, in their order; texts are the different texts of all parts, joined;
+    the score is the mean, rounded.
     """
-    field = lambda key: F.col(f"participant.{key}")
 
-    def merged(key: str) -> Column:
+    def field(key: str) -> Column:
+        return F.filter(F.transform(parts, lambda p: p[key]), lambda v: v.isNotNull())
+
+    def of(key: str) -> Column:
+        values = field(key)
         if key in PARTICIPANT_TEXT_LISTS:
-            lists = F.sort_array(F.collect_list(F.struct(F.col(part).alias("part"), field(key).alias("texts"))))
-            return F.array_distinct(F.flatten(F.transform(lists, lambda x: x["texts"])))
+            return F.when(F.size(values) > 0, F.array_distinct(F.flatten(values)))
         if key in PARTICIPANT_INTEGERS:
-            return F.round(F.avg(field(key))).cast("long")
-        if key == "meeting_summary_from_their_perspective":
-            return F.max_by(field(key), part)
-        return F.min_by(field(key), part)
-
-    one = participants.groupBy(*keep, "name").agg(*[merged(k).alias(k) for k in PARTICIPANT_KEYS if k != "name"])
-    struct = F.struct(*[F.col(k) for k in PARTICIPANT_KEYS])
-    return one.select(*keep, "name", struct.alias("participant"))
+            total = F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+            return F.when(F.size(values) > 0, F.round(total / F.size(values)).cast("long"))
+        texts = F.array_distinct(F.filter(values, lambda v: v != ""))
+        return F.when(F.size(values) > 0, F.array_join(texts, " "))
+
+    return F.struct(*[(F.get(parts, F.lit(0))["name"] if k == "name" else of(k)).alias(k) for k in PARTICIPANT_KEYS])
+
+
+def merge_parts(
+    participants: DataFrame,
+    keep: list[str],
+    model: ModelFactory | None = None,
+    store: str | None = None,
+    tasks: int | None = None,
+    fan_in: int = 8,
+    part: str = "part",
+    **options,
+) -> DataFrame:
+    """One row (``keep``, name, participant) per person of a call, from rows per part of a long call.
+
+    In each round the answers of up to ``fan_in`` neighbouring parts become one prompt, and the model's answers are the
+    next round's parts, until each person has one; the number of rounds is the logarithm of the number of parts. So no
+    task and no prompt holds more than ``fan_in`` answers, and every part's answer has been in a prompt. Without a
+    model, and where its answer fails or is not one valid participant, ``combined`` joins the answers. Persons
+    with one part are not sent. Answers are kept in the ``store`` folder.
+    """
+    spark = participants.sparkSession
+    store = store or work_folder(spark, "merged-parts")
+    keys = [*keep, "name"]
+    level = participants.select(*keys, F.col(part).cast("long").alias("part"), "participant")
+    # Of several entries of one name in one part, all count.
+    level = stored(level, "parts")
+    while level.agg(F.max("part")).first()[0]:
+        held = F.sort_array(F.collect_list(F.struct("part", F.to_json("participant").alias("text"), "participant")))
+        groups = level.groupBy(*keys, F.floor(F.col("part") / fan_in).alias("part")).agg(held.alias("held"))
+        groups = stored(groups.withColumn("held", F.transform("held", lambda h: h["participant"])), "part-groups")
+        several = groups.filter(F.size("held") > 1)
+        joined = several.select(*keys, "part", combined(F.col("held")).alias("joined"), F.to_json("held").alias("assessments"))
+        if model is None:
+            merged = joined.select(*keys, "part", F.col("joined").alias("participant"))
+        else:
+            prompts = joined.withColumn("prompt", fill_template(MERGE_PROMPT, assessments=F.col("assessments"))).drop("assessments")
+            answered = parse_assessment(infer_once(prompts, "prompt", model, store, tasks, **options))
+            found = F.col("participant_analysis.participants")
+            is_good = (F.size(assessment_problems(F.col("response"))) == 0) & (F.size(found) == 1)
+            # The person's name stays, whatever the model calls them.
+            answer = F.get(found, F.lit(0)).withField("name", F.col("name"))
+            merged = answered.select(*keys, "part", F.when(F.coalesce(is_good, F.lit(False)), answer).otherwise(F.col("joined")).alias("participant"))
+        single = groups.filter(F.size("held") == 1).select(*keys, "part", F.get("held", F.lit(0)).alias("participant"))
+        level = stored(single.unionByName(merged), "parts")
+    one = level.groupBy(*keys).agg(F.collect_list("participant").alias("held"))
+    return one.select(*keys, F.when(F.size("held") == 1, F.get("held", F.lit(0))).otherwise(combined(F.col("held"))).alias("participant"))

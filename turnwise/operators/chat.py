@@ -305,12 +305,13 @@ def contexts(
 
 
 def prompt_rows(
-    rows: DataFrame, found: DataFrame, template: str = ANSWER_TEMPLATE
+    rows: DataFrame, found: DataFrame, template: str = ANSWER_TEMPLATE, history_chars: int | None = None
 ) -> DataFrame:
     """The finished prompts as rows (conv_id, turn, role, content), the system message at turn -1.
 
     The question is the original one, not its rewrite, and stands in the system message and at the
-    end. No hits give an empty context.
+    end. No hits give an empty context. With ``history_chars`` only the newest messages of the history go in that
+    have no more characters together.
     """
     asked = last_questions(rows).join(found.select("conv_id", "context"), "conv_id", "left")
     system = fill_template(template, context=F.col("context"), question=F.col("question"))
@@ -331,7 +332,10 @@ def prompt_rows(
             )
         ).alias("m"),
     ).select("conv_id", "m.turn", "m.role", "m.content")
-    history = formatted_history(rows).select(
+    history = formatted_history(rows)
+    if history_chars is not None:
+        history = turns_within(history, history_chars)
+    history = history.select(
         "conv_id", F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("content")
     )
     return ends.unionByName(history)
@@ -386,6 +390,7 @@ def answer_chats(
     depth: int = FUSION_DEPTH,
     store: str | None = None,
     tasks: int | None = None,
+    history_chars: int | None = None,
     **options,
 ) -> DataFrame:
     """(conv_id, answer, error, problem, n_messages, prompt_chars, sources) for every conversation.
@@ -400,7 +405,7 @@ def answer_chats(
     queries = stored(search_queries(good, chat_model, f"{store}/rewrites", tasks, **options), "search-queries")
     hits = retrieve(queries, index, embedder, k, query_type, depth, tasks)
     found = stored(contexts(hits, index, columns), "contexts")
-    prompts = stored(prompt_rows(good, found), "prompts")
+    prompts = stored(prompt_rows(good, found, history_chars=history_chars), "prompts")
     answers = generate(prompts, chat_model, f"{store}/answers", tasks, **options)
     left_out = bad.filter(F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.sum("copies").alias("n_bad"))
     told = F.concat(F.lit("messages left out: "), F.col("n_bad").cast("string"))

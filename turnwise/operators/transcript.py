@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from turnwise.functions.nested import fill_template, first_or_null, quoted
 from turnwise.operators.distribution import order_slices, spread_join, stored
 
+PART_LINES = 1024  # lines of a transcript that go into one prompt
+
 # Fixed value: what stands between a speaker and the spoken text.
 SPEAKER_SEPARATOR = " : "
 
@@ -106,7 +108,7 @@ def transcript_parts(
     key: str = "conversation_id",
     order: str = "order_number",
     line: str = "line",
-    width: int = 1024,
+    width: int = PART_LINES,
 ) -> DataFrame:
     """Transcripts as JSON arrays of lines in their order.
 

@@ -45,7 +45,7 @@ from turnwise.operators.index import (
 from turnwise.plans import derived
 from turnwise.plans.derived import table
 from turnwise.schemas import PARTICIPANT_KEYS, PARTICIPANT_TEXT_LISTS
-from turnwise.sources.calls import parse_calls, read_calls, sentence_rows
+from turnwise.sources.calls import parse_calls, read_calls, read_inferred, sentence_rows
 from turnwise.sources.tables import (
     append_batch,
     create_table,
@@ -56,7 +56,7 @@ from turnwise.sources.tables import (
     scan,
     stream_table,
 )
-from turnwise.streaming.embedding import append_stream, embed_stream, participant_content as contents_of
+from turnwise.streaming.embedding import append_stream, embed_stream, participant_content as contents_of, read_vectors, sync_vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,7 +198,29 @@ def stream_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
             ["source", "text"],
             text="text",
         )
-    return _nonzero_weights(read_batches(spark, f"{folder}/sink"), "id")
+    return _nonzero_weights(read_vectors(spark, f"{folder}/sink"), "id")
+
+
+@query(
+    f"""
+    WITH texts AS (SELECT CASE WHEN lang = 'en' THEN text || ' ' || source ELSE text END AS text,
+                          sha256(length(k) || ':' || k) AS id
+                   FROM (SELECT *, CAST(doc_id AS VARCHAR) AS k FROM documents WHERE lang <> 'de')),
+    vec AS ({hashed_vectors("(SELECT id, text FROM texts)", "id")})
+    SELECT id, bucket, round(v, 6) AS weight FROM vec
+    """
+)
+def stream_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source that is replaced between two runs: rows that left it, changed or came are so in the sink."""
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), "source", "lang", "text")
+    longer = F.when(F.col("lang") == "en", F.concat("text", F.lit(" "), "source")).otherwise(F.col("text"))
+    folder = work_folder(spark, "replaced-source")
+    for state in (documents.filter("lang <> 'fr'"), documents.filter("lang <> 'de'").withColumn("text", longer)):
+        state.select("key", "text").write.mode("overwrite").parquet(f"{folder}/source")
+        stream = stream_table(spark, f"{folder}/source", state.select("key", "text").schema)
+        embed_stream(stream, f"{folder}/sink", f"{folder}/checkpoint", EMBEDDER, ["key"], text="text")
+        sync_vectors(spark.read.parquet(f"{folder}/source"), f"{folder}/sink", EMBEDDER, ["key"], text="text")
+    return _nonzero_weights(read_vectors(spark, f"{folder}/sink"), "id")
 
 
 def _nonzero_weights(df: DataFrame, id_col: str) -> DataFrame:
@@ -835,7 +857,7 @@ def assess_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = stored(prompt_build(spark, sf_dir), "prompts")
     good, _ = assess.assess_prompts(prompts, model, work_folder(spark, "answers"))
     exploded = assess.explode_participants(good, ["conversation_id", "part"])
-    return assess.merged_participants(exploded, ["conversation_id"]).select(
+    return assess.merge_parts(exploded, ["conversation_id"], model).select(
         "conversation_id",
         "name",
         "participant.role",
@@ -1335,6 +1357,24 @@ def read_pretty_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_rows(read_calls(spark, folder)).select("conversation_id", "order_number", "text")
 
 
+@query(
+    """
+    SELECT conv_id, sum(length(text)) / 10.0 AS seconds, count(*) AS n_sentences,
+           CASE WHEN conv_id % 10 = 3 THEN 'only here ' || conv_id END AS note
+    FROM conversations GROUP BY conv_id
+    """
+)
+def inferred_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose schema is found by reading them; a field that few have comes out as a column."""
+    folder = work_folder(spark, "unknown-calls")
+    turns = table(spark, sf_dir, "conversations")
+    calls = turns.groupBy("conv_id").agg((F.sum(F.length("text")) / 10.0).alias("seconds"), F.count(F.lit(1)).alias("n_sentences"))
+    note = F.when(F.col("conv_id") % 10 == 3, F.struct(F.concat(F.lit("only here "), "conv_id").alias("note")))
+    calls.select("conv_id", F.struct("seconds", "n_sentences").alias("size"), note.alias("extra")).write.json(folder)
+    flat = flatten(read_inferred(spark, folder, one_per_file=False))
+    return flat.select("conv_id", F.col("`size.seconds`").alias("seconds"), F.col("`size.n_sentences`").alias("n_sentences"), F.col("`extra.note`").alias("note"))
+
+
 @query("SELECT event_id, event_type FROM events")
 def created_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table created where it is absent; creating it again leaves its rows."""

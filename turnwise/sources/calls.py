@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnwise.schemas import CALL
 
@@ -18,6 +21,29 @@ def read_calls(spark: SparkSession, folder: str, one_per_file: bool = True) -> D
     return reader.option("multiLine", one_per_file).json(folder)
 
 
+def read_inferred(spark: SparkSession, folder: str, one_per_file: bool = True) -> DataFrame:
+    """All ``*.json`` documents of a folder with the columns that any of them has; null where a document lacks one.
+
+    The schema is aggregated over all documents, each parsed once as a variant. Whole numbers become long, others
+    double; a field that has values of several kinds, or only nulls, becomes text. Documents that are not JSON
+    give a row of nulls.
+    """
+    reader = spark.read.option("pathGlobFilter", "*.json").option("wholetext", one_per_file)
+    texts = reader.text(folder)
+    found = texts.agg(F.schema_of_variant_agg(F.try_parse_json("value")).alias("found")).first()["found"]
+    schema = T.StructType.fromDDL(f"document {declared_type(found)}")["document"].dataType
+    if not isinstance(schema, T.StructType):
+        raise ValueError(f"documents have no common fields: {found}")
+    return texts.select(F.from_json("value", schema).alias("document")).select("document.*")
+
+
+def declared_type(variant_type: str) -> str:
+    """The column type for a variant's type."""
+    for pattern, kind in ((r"\bOBJECT<", "STRUCT<"), (r"\bDECIMAL\(\d+,\s*\d+\)", "DOUBLE"), (r"\b(VOID|VARIANT)\b(?!:)", "STRING")):
+        variant_type = re.sub(pattern, kind, variant_type)
+    return variant_type
+
+
 def parse_calls(df: DataFrame, text: Column) -> DataFrame:
     """The same documents where their JSON text is a column of a table."""
     return df.withColumn("call", F.from_json(text, CALL)).select("call.*")

@@ -11,9 +11,22 @@ from pyspark.sql import types as T
 from turnwise.config import path_exists, remove_folder
 
 
+def _fresh(table: str) -> str:
+    return f"{table}__fresh"
+
+
+def recover_table(spark: SparkSession, table: str) -> None:
+    """Finish a replacement that was stopped after the old table was dropped: the new one is complete by then."""
+    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(_fresh(table)):
+        spark.sql(f"ALTER TABLE {_fresh(table)} RENAME TO {table}")
+
+
 def scan(spark: SparkSession, table: str) -> DataFrame:
     """A table by name, or a parquet folder or file by path."""
-    return spark.read.parquet(table) if "/" in table else spark.table(table)
+    if "/" in table:
+        return spark.read.parquet(table)
+    recover_table(spark, table)
+    return spark.table(table)
 
 
 def preview(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -40,6 +53,7 @@ def stream_table(
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     if "/" not in table:
+        recover_table(spark, table)
         return reader.table(table)
     reader = reader.schema(schema)
     return (reader.option("pathGlobFilter", files) if files else reader).parquet(table)
@@ -48,28 +62,40 @@ def stream_table(
 def replace_table(df: DataFrame, table: str, folder: str | None = None) -> None:
     """Overwrite contents and schema of a table. ``df`` may read the table itself.
 
-    The new contents are complete in a second table before the old one is dropped and the second takes
-    its name; the built-in catalog has no single step for that, so for a moment the table is not there.
-    A table without ``folder`` keeps its place, as streams that read it need. With ``folder`` data go to a
-    new place below it, and the files of the replaced table are removed.
+    With ``folder`` data go to a new place below it, and the files of the replaced table are removed. If the columns
+    stay the same the table is pointed to its new place, in a single step. Otherwise, and without
+    ``folder``, where a table keeps its place as streams that read it need, the new contents are complete in a second
+    table before the old one is dropped and the second takes its name. The built-in catalog has no single step
+    for that; if the job is stopped in between, the next use of the table (``scan``, ``stream_table``,
+    ``create_table`` or this function) gives the second table its name.
     """
     spark = df.sparkSession
+    recover_table(spark, table)
+    place = f"{folder}/{uuid.uuid4().hex}" if folder is not None else None
     writer = df.write.format("parquet")
-    if folder is not None:
-        writer = writer.option("path", f"{folder}/{uuid.uuid4().hex}")
+    if place is not None:
+        writer = writer.option("path", place)
     if not spark.catalog.tableExists(table):
         writer.saveAsTable(table)
         return
     old = _location(spark, table)
-    fresh = f"{table}__fresh"
-    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
-    writer.saveAsTable(fresh)
-    spark.sql(f"DROP TABLE {table}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+    if place is not None and _columns(spark.table(table)) == _columns(df):
+        df.write.parquet(place)
+        spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
+        spark.catalog.refreshTable(table)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {_fresh(table)}")
+        writer.saveAsTable(_fresh(table))
+        spark.sql(f"DROP TABLE {table}")
+        spark.sql(f"ALTER TABLE {_fresh(table)} RENAME TO {table}")
     if folder is not None:
         remove_folder(spark, old)
 
 
+def _columns(df: DataFrame) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
+
+
 def _location(spark: SparkSession, table: str) -> str:
     rows = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").collect()
     return rows[0]["data_type"]
@@ -77,6 +103,7 @@ def _location(spark: SparkSession, table: str) -> str:
 
 def create_table(spark: SparkSession, table: str, schema: T.StructType) -> None:
     """Create an empty table unless it exists."""
+    recover_table(spark, table)
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet")
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from turnwise.config import path_exists
+from turnwise.config import path_exists, remove_folder
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
-from turnwise.operators.changes import with_content_key
-from turnwise.operators.distribution import use_all_cores
-from turnwise.sources.tables import append_batch
+from turnwise.operators.changes import DELETE, change_kinds, content_hash, with_content_key
+from turnwise.operators.distribution import stored, use_all_cores
+
+ID_BUCKET = "id_bucket"
+ID_BUCKETS = 16
 
 
 def append_stream(stream: DataFrame, table: str, checkpoint: str) -> None:
@@ -28,6 +31,51 @@ def participant_content(participants: DataFrame) -> DataFrame:
     )
 
 
+def _keyed_rows(rows: DataFrame, key: list[str], buckets: int) -> DataFrame:
+    """``rows`` with an id made from the key columns, a hash of the rest and a bucket; one row per id."""
+    named = with_content_key(rows, key)
+    hashed = named.withColumn("content_hash", content_hash(named, ["id"]))
+    one = hashed.groupBy("id").agg(F.max_by(F.struct(*hashed.columns), "content_hash").alias("row")).select("row.*")
+    return one.withColumn(ID_BUCKET, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def _numbers(df: DataFrame) -> set[int]:
+    """At most as many numbers as there are buckets."""
+    return {r[ID_BUCKET] for r in df.select(ID_BUCKET).distinct().collect()}
+
+
+def _merge(
+    rows: DataFrame, folder: str, model: ModelFactory, text: str, request_size: int, tasks: int | None, gone: DataFrame | None = None
+) -> None:
+    """Bring the ids of ``rows`` in the sink to their present state, and take out the ids in ``gone`` (id, id_bucket).
+
+    Only buckets with such ids are read. Ids that are there with the same content are not embedded again. New ids
+    are appended; a bucket that loses or changes a row is rewritten. A merge that was stopped can be repeated.
+    """
+    spark = rows.sparkSession
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    there = path_exists(spark, folder)
+    if there:
+        asked = _numbers(rows) | (_numbers(gone) if gone is not None else set())
+        old = spark.read.schema(schema).parquet(folder).filter(F.col(ID_BUCKET).isin(asked))
+        rows = rows.join(old.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
+    rows = use_all_cores(rows.select(schema.names[:-1]), tasks)
+    fresh = stored(rows.withColumn("embedding", embed(F.col(text), model, request_size)), "fresh-vectors")
+    changed: set[int] = set()
+    if there:
+        replaced = fresh.select("id") if gone is None else fresh.select("id").unionByName(gone.select("id"))
+        changed = _numbers(old.join(replaced, "id", "left_semi"))
+    if changed:
+        kept = old.filter(F.col(ID_BUCKET).isin(changed)).join(replaced, "id", "left_anti").select(schema.names)
+        whole = stored(kept.unionByName(fresh.filter(F.col(ID_BUCKET).isin(changed))), "merged-vectors")
+        writer = whole.repartition(ID_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(ID_BUCKET).parquet(folder)
+        for empty in changed - _numbers(whole):
+            remove_folder(spark, f"{folder}/{ID_BUCKET}={empty}")
+    new = fresh.filter(~F.col(ID_BUCKET).isin(changed)) if changed else fresh
+    new.repartition(ID_BUCKET).write.mode("append").partitionBy(ID_BUCKET).parquet(folder)
+
+
 def embed_stream(
     stream: DataFrame,
     folder: str,
@@ -37,26 +85,20 @@ def embed_stream(
     text: str = "content",
     request_size: int = EMBEDDING_REQUEST_LIMIT,
     tasks: int | None = None,
+    buckets: int = ID_BUCKETS,
 ) -> None:
-    """Embed the rows that are new since the last run and append them to a folder, then stop.
+    """Embed the rows that are new since the last run and merge them into a folder, then stop.
 
     A backlog is cut into batches by the ``files_per_trigger`` of the stream's source; each batch is
-    embedded in ``tasks`` tasks, the cluster's default parallelism if not given. Rows get an ``id`` made from their ``key`` columns. An id that is in the folder already, or twice
-    in a batch, is embedded and kept once. A batch that is repeated after a failure replaces its
-    first attempt.
+    embedded in ``tasks`` tasks, the cluster's default parallelism if not given. Rows get an ``id`` made from
+    their ``key`` columns and are kept in ``buckets`` folders by it; a batch reads only the buckets that its ids
+    are in. A row whose id is there with the same content is not embedded again; with other content it
+    takes the old one's place. Of several rows with one id in a batch one counts. A repeated batch changes
+    nothing. Rows that left the source are not seen by a stream: see ``sync_vectors``.
     """
-    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = with_content_key(batch, key).dropDuplicates(["id"])
-        if path_exists(spark, folder):
-            stored = spark.read.schema("id string, batch bigint").parquet(folder)
-            known = stored.filter(F.col("batch") < number).select("id")
-            rows = rows.join(known, "id", "left_anti")
-        rows = use_all_cores(rows, tasks)
-        columns = ["id", *[c for c in batch.columns if c != "id"]]
-        vectors = embed(F.col(text), model, request_size).alias("embedding")
-        append_batch(rows.select(*columns, vectors), folder, number)
+        _merge(_keyed_rows(batch, key, buckets), folder, model, text, request_size, tasks)
 
     query = (
         stream.writeStream.trigger(availableNow=True)
@@ -65,3 +107,37 @@ def embed_stream(
         .start()
     )
     query.awaitTermination()
+
+
+def sync_vectors(
+    present: DataFrame,
+    folder: str,
+    model: ModelFactory,
+    key: list[str],
+    text: str = "content",
+    request_size: int = EMBEDDING_REQUEST_LIMIT,
+    tasks: int | None = None,
+    buckets: int = ID_BUCKETS,
+) -> None:
+    """Bring the folder of ``embed_stream`` to the ids of ``present``, the source as it is now.
+
+    A source that was replaced leaves vectors of rows it no longer has: these are found by a diff of ids and
+    hashes and taken out of their buckets; rows that no batch has brought are embedded.
+    """
+    spark = present.sparkSession
+    rows = _keyed_rows(present, key, buckets)
+    if not path_exists(spark, folder):
+        _merge(rows, folder, model, text, request_size, tasks)
+        return
+    known = spark.read.schema(f"id string, content_hash string, {ID_BUCKET} int").parquet(folder)
+    changes = change_kinds(
+        known.select("id", F.col("content_hash").alias("old_hash")), rows.select("id", F.col("content_hash").alias("new_hash")), ["id"]
+    )
+    changes = stored(changes.withColumn(ID_BUCKET, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")), "vector-changes")
+    wanted = rows.join(changes.filter(F.col("change") != DELETE).select("id"), "id", "left_semi")
+    _merge(wanted, folder, model, text, request_size, tasks, changes.filter(F.col("change") == DELETE).select("id", ID_BUCKET))
+
+
+def read_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of the folder, one per id: id, the source's columns and embedding."""
+    return spark.read.parquet(folder).drop("content_hash", ID_BUCKET)
