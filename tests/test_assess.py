@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from turnwise.functions.models import embed, infer
 from turnwise.operators.assess import (
+    MERGE_END,
+    MERGE_MARK,
     assess_prompts,
     consistency,
     explode_participants,
     infer_once,
     meetings_per_participant,
-    merged_participants,
+    merge_parts,
     parse_assessment,
     validate_assessment,
 )
@@ -176,12 +178,47 @@ def test_parts_of_a_conversation_become_one_row_per_person(spark):
                ("c", 0, response(participant(strengths=["a"], performance_score=8, role="first")))]
     df = spark.createDataFrame(prompts, "conversation_id string, part bigint, response string")
     rows = explode_participants(parse_assessment(df), ["conversation_id", "part"])
-    ann, bob = merged_participants(rows, ["conversation_id"]).orderBy("name").collect()
+    ann, bob = merge_parts(rows, ["conversation_id"]).orderBy("name").collect()
     assert (ann["participant"]["strengths"], ann["participant"]["performance_score"]) == (["a", "b"], 7)
-    assert (ann["participant"]["role"], bob["participant"]["role"]) == ("first", "text")
+    assert (ann["participant"]["role"], bob["participant"]["role"]) == ("first text", "text")
     assert set(ann["participant"].asDict()) == set(PARTICIPANT_KEYS)
 
 
+class Joiner:
+    """Merges assessments by joining their summaries; refuses what mentions ``refused``."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def __call__(self):
+        def merge(prompt):
+            with open(self.log, "a") as file:
+                file.write("x\n")
+            texts = json.loads(prompt[prompt.index(MERGE_MARK) + len(MERGE_MARK) : prompt.rindex(MERGE_END)])
+            if any("refused" in t["sales_impact"] for t in texts):
+                return "no"
+            joined = {**texts[0], "name": "someone", "sales_impact": "+".join(t["sales_impact"] for t in texts)}
+            return json.dumps({"participants": [joined]})
+
+        return lambda prompts: [merge(p) for p in prompts]
+
+
+def test_parts_are_merged_in_rounds(spark, folder):
+    def rows(call, n, said):
+        return [(call, i, response(participant(sales_impact=said(i)))) for i in range(n)]
+
+    parts = rows("c", 23, lambda i: f"<{i}>") + rows("d", 1, lambda i: "alone") + rows("e", 3, lambda i: f"refused{i}")
+    df = spark.createDataFrame(parts, "conversation_id string, part bigint, response string")
+    people = explode_participants(parse_assessment(df), ["conversation_id", "part"])
+    found = merge_parts(people, ["conversation_id"], Joiner(f"{folder}/log"), f"{folder}/store", fan_in=4).collect()
+    said = {r["conversation_id"]: r["participant"]["sales_impact"] for r in found}
+    assert said == {"c": "+".join(f"<{i}>" for i in range(23)), "d": "alone", "e": "refused0 refused1 refused2"}
+    assert {r["name"] for r in found} == {r["participant"]["name"] for r in found} == {"Ann"}
+    # 23 parts give 6, then 2, then 1: nine prompts; the three of the other call one.
+    with open(f"{folder}/log") as file:
+        assert len(file.readlines()) == 6 + 2 + 1 + 1
+
+
 def test_quarantine_holds_failed_calls_and_bad_answers(spark, folder):
     prompts = spark.createDataFrame(
         [("c1", "fine"), ("c2", "nonsense"), ("c3", "down")], "conversation_id string, prompt string"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,13 +9,17 @@ from pyspark.sql import functions as F
 from turnwise.functions.nested import flatten
 from turnwise.operators.transcript import (
     KEPT_COLUMNS,
+    action_item_rows,
     label_speakers,
     label_speakers_rows,
+    mentioned_sentences,
+    moment_rows,
+    talk_overlaps,
     talk_time,
     talk_time_beside_stored,
     transcript_parts,
 )
-from turnwise.sources.calls import attendee_rows, parse_calls, read_calls, sentence_rows
+from turnwise.sources.calls import attendee_rows, parse_calls, read_calls, read_inferred, sentence_rows
 
 
 def attendee(id, email="", full_name="", talk_time=0, percent=0.0):
@@ -209,3 +214,74 @@ def test_order_number_may_be_null(spark):
         "conversation_id string, position bigint, attendee_id string, email string, full_name string",
     )
     assert label_speakers_rows(sentences, attendees).first()["line"] == "ann@x.example : x"
+
+
+def test_the_schema_is_found_by_reading(spark, folder):
+    documents = [
+        '{"id": 1, "a": {"x": 1.5, "list": [{"k": 1}]}}',
+        '{"id": 2, "a": {"x": 2, "y": null}, "only_here": {"deep": "t"}}',
+        '{"id": 3, "a": {"list": [{"j": "s"}]}}',
+        "not json",
+    ]
+    for n, text in enumerate(documents):
+        with open(f"{folder}/{n}.json", "w") as file:
+            file.write(text)
+    flat = flatten(read_inferred(spark, folder))
+    assert sorted(flat.columns) == ["a.list", "a.x", "a.y", "id", "only_here.deep"]
+    found = sorted(map(tuple, flat.select("id", "`a.x`", "`only_here.deep`", "`a.y`").collect()), key=repr)
+    assert found == [(1, 1.5, None, None), (2, 2.0, "t", None), (3, None, None, None), (None, None, None, None)]
+
+
+def intervals(seed, n):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        start = rng.randrange(0, 300) / 2
+        rows.append(("c", rng.choice(["a", "b", "d"]), i, start, start + rng.randrange(-2, 60) / 2))
+    return rows
+
+
+@pytest.mark.parametrize("span", [7.5, 3600.0])
+def test_overlapping_talk(spark, span):
+    rows = intervals(5, 60) + [("e", "a", 0, 0.0, 1.0), ("e", "a", 1, 0.5, 2.0), ("e", "b", 2, None, 3.0)]
+    df = spark.createDataFrame(rows, "conversation_id string, recording_attendee_id string, order_number int, start_time double, end_time double")
+    found = {tuple(r)[:2]: tuple(r)[2:] for r in talk_overlaps(df, span).collect()}
+    expected = {}
+    for call in ("c", "e"):
+        ticks = [{r[1] for r in rows if r[0] == call and r[3] is not None and r[3] <= t / 2 < r[4]} for t in range(400)]
+        for who in {r[1] for r in rows if r[0] == call}:
+            plain = sum(r[4] - r[3] for r in rows if r[:2] == (call, who) and r[3] is not None)
+            expected[call, who] = (1000 * plain, 500 * sum(who in t for t in ticks), 500 * sum(who in t and len(t) > 1 for t in ticks))
+    assert found == expected
+
+
+def test_sentences_of_mentions(spark):
+    mentions = spark.createDataFrame(
+        [("c", 0, 5, 7), ("c", 1, 0, 200), ("c", 2, 9, 3), ("c", 3, None, 4), ("d", 4, 5, 5), (None, 5, 0, 9)],
+        "conversation_id string, mention_at int, index_start bigint, index_end bigint",
+    )
+    lines = [("c", n, f"line {n}") for n in range(0, 300, 2)] + [("c", 6, "again")]
+    sentences = spark.createDataFrame(lines, "conversation_id string, order_number bigint, text string")
+    for width in (1, 10, 64):
+        found = [(r["mention_at"], r["order_number"], r["text"]) for r in mentioned_sentences(mentions, sentences, width).collect()]
+        expected = [(0, n, t) for _, n, t in lines if 5 <= n <= 7] + [(1, n, t) for _, n, t in lines if n <= 200]
+        assert sorted(found) == sorted(expected)
+
+
+def test_key_moments_keep_absent_levels(spark):
+    document = {
+        "conversation": {"id": "one"},
+        "extensiveConversation": {"data": {"key_moments": {"items": [
+            {"name": "m", "categories": [{"category": "c", "mentions": [{"index_start": 1, "index_end": 2}, {"index_start": 3, "index_end": 3}]}, {"category": "e"}]},
+            {"name": "n", "categories": []},
+        ]}, "action_items": {"items": [{"id": "x", "original_text": "do"}]}}},
+    }
+    texts = spark.createDataFrame([(json.dumps(document),), ('{"conversation": {"id": "two"}}',)], "t string")
+    calls = parse_calls(texts, F.col("t"))
+    found = [tuple(r)[:6] for r in moment_rows(calls).collect()]
+    assert sorted(found, key=repr) == sorted(
+        [("one", 0, 0, 0, "m", "c"), ("one", 0, 0, 1, "m", "c"), ("one", 0, 1, None, "m", "e"), ("one", 1, None, None, "n", None), ("two", None, None, None, None, None)],
+        key=repr,
+    )
+    actions = sorted((r["conversation_id"], r["item_at"], r["original_text"]) for r in action_item_rows(calls).collect() if r["id"])
+    assert actions == [("one", 0, "do")] and action_item_rows(calls).count() == 2

@@ -267,3 +267,15 @@ def test_templates(spark):
     assert row["ddl"] == "STRUCT<a: ARRAY<BIGINT>, b: STRING>"
     with pytest.raises(KeyError):
         fill_template("{unknown}", a=F.lit(1))
+
+
+@pytest.mark.parametrize("width", [1, 3, 1024])
+def test_turns_within_a_budget(spark, width):
+    rows = [("c", t, "user", "x" * (t % 4 + 1)) for t in range(20)] + [("long", 0, "user", "y" * 50), ("n", None, "user", "zz"), ("n", 1, "user", None)]
+    df = spark.createDataFrame(rows, "conv_id string, turn bigint, role string, text string")
+    found = sorted((r["conv_id"], r["turn"], r["n_left_out"]) for r in chat.turns_within(df, 12, width).collect() if r["turn"] is not None)
+    used, kept = 0, []
+    for _, t, _, text in rows[19::-1]:
+        used += len(text)
+        kept += [t] if used <= 12 else []
+    assert found == sorted([("c", t, 20 - len(kept)) for t in kept] + [("n", 1, 0)])

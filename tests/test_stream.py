@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 from test_search import Counting
 
-from turnwise.functions.models import HashEmbedder
 from turnwise.schemas import EMBEDDED
 from turnwise.sources.tables import (
     append_batch,
@@ -16,7 +15,7 @@ from turnwise.sources.tables import (
     scan,
     stream_table,
 )
-from turnwise.streaming.embedding import append_stream, embed_stream
+from turnwise.streaming.embedding import append_stream, embed_stream, read_vectors, sync_vectors
 
 SCHEMA = "conversation_id string, content string, name string"
 KEY = ["conversation_id", "name", "content"]
@@ -41,7 +40,7 @@ def test_only_new_rows_are_embedded(spark, folder):
     def run():
         stream = stream_table(spark, source, rows(spark).schema)
         embed_stream(stream, sink, checkpoint, model, KEY)
-        found = read_batches(spark, sink)
+        found = read_vectors(spark, sink)
         return sorted(r["conversation_id"] for r in found.collect())
 
     rows(spark, 1, 2, 3).write.parquet(source)
@@ -51,22 +50,54 @@ def test_only_new_rows_are_embedded(spark, folder):
     rows(spark, 2, 3, 4, 4).write.mode("append").parquet(source)
     assert run() == ["c1", "c2", "c3", "c4"]
     assert sent(f"{folder}/log") == [f"content {n}" for n in (1, 2, 3, 4)]
-    found = read_batches(spark, sink)
+    found = read_vectors(spark, sink)
     assert set(EMBEDDED.names) <= set(found.columns)
     assert found.select("id").distinct().count() == 4
 
 
-def test_a_repeated_batch_replaces_its_first_attempt(spark, folder):
-    source, sink, checkpoint = f"{folder}/source", f"{folder}/sink", f"{folder}/checkpoint"
+def test_a_repeated_batch_changes_nothing(spark, folder):
+    source, sink = f"{folder}/source", f"{folder}/sink"
+    model = Counting(f"{folder}/log")
     rows(spark, 1, 2).write.parquet(source)
-    # What an attempt left behind that was interrupted before the checkpoint noted it.
-    rows(spark, 1).withColumn("id", F.lit("half")).write.parquet(f"{sink}/batch=0")
-    embed_stream(
-        stream_table(spark, source, rows(spark).schema), sink, checkpoint, HashEmbedder(4), KEY
-    )
-    found = read_batches(spark, sink).collect()
-    assert sorted(r["conversation_id"] for r in found) == ["c1", "c2"]
-    assert "half" not in [r["id"] for r in found]
+    for attempt in (1, 2):  # a new checkpoint brings all rows again
+        embed_stream(stream_table(spark, source, rows(spark).schema), sink, f"{folder}/checkpoint{attempt}", model, KEY)
+    assert sorted(r["conversation_id"] for r in read_vectors(spark, sink).collect()) == ["c1", "c2"]
+    assert len(sent(f"{folder}/log")) == 2
+
+
+def test_a_replaced_source_leaves_no_stale_rows(spark, folder):
+    """Three rows replaced by four: one goes, one changes, one stays and two are new."""
+    source, sink, checkpoint = f"{folder}/source", f"{folder}/sink", f"{folder}/checkpoint"
+    model, key = Counting(f"{folder}/log"), ["conversation_id"]
+
+    def run(df):
+        df.write.mode("overwrite").parquet(source)
+        embed_stream(stream_table(spark, source, df.schema), sink, checkpoint, model, key, buckets=2)
+        sync_vectors(spark.read.parquet(source), sink, model, key, buckets=2)
+        return sorted((r["conversation_id"], r["content"]) for r in read_vectors(spark, sink, EMBEDDED).collect())
+
+    changed = F.when(F.col("conversation_id") == "c2", "changed").otherwise(F.col("content"))
+    assert run(rows(spark, 1, 2, 3)) == [(f"c{n}", f"content {n}") for n in (1, 2, 3)]
+    expected = [("c2", "changed"), ("c3", "content 3"), ("c4", "content 4"), ("c5", "content 5")]
+    assert run(rows(spark, 2, 3, 4, 5).withColumn("content", changed)) == expected
+    assert sent(f"{folder}/log") == sorted([f"content {n}" for n in (1, 2, 3, 4, 5)] + ["changed"])
+    assert run(rows(spark)) == []
+
+
+@pytest.mark.parametrize("with_folder", [False, True])
+def test_a_replacement_that_was_stopped_is_finished_by_the_next_use(spark, folder, with_folder):
+    spark.sql("DROP TABLE IF EXISTS stopped")
+    spark.sql("DROP TABLE IF EXISTS stopped__fresh")
+    place = folder if with_folder else None
+    replace_table(rows(spark, 1), "stopped", place)
+    replace_table(rows(spark, 1, 2), "stopped", place)
+    assert scan(spark, "stopped").count() == 2
+    # The state after the old table was dropped: only the second table is there.
+    rows(spark, 1, 2, 3).drop("name").write.format("parquet").saveAsTable("stopped__fresh")
+    spark.sql("DROP TABLE stopped")
+    assert scan(spark, "stopped").columns == ["conversation_id", "content"] and scan(spark, "stopped").count() == 3
+    replace_table(scan(spark, "stopped").limit(1), "stopped", place)
+    assert scan(spark, "stopped").count() == 1 and not spark.catalog.tableExists("stopped__fresh")
 
 
 def test_append_stream_into_a_table(spark, folder):

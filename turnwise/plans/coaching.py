@@ -85,7 +85,7 @@ def index_participants(
     key = ["conversation_id", "name", "content"]
     embed_stream(stream, vectors, checkpoint, model, key)
     sync_vectors(present, vectors, model, key)
-    current = read_vectors(spark, vectors).select(EMBEDDED.names)
+    current = read_vectors(spark, vectors, EMBEDDED)
     index_folder = f"{folder}/{names.index_folder}"
     create_or_sync(current, index_folder, "id", "content", dim, vector="embedding")
     return open_index(spark, index_folder)

@@ -138,6 +138,11 @@ def sync_vectors(
     _merge(wanted, folder, model, text, request_size, tasks, changes.filter(F.col("change") == DELETE).select("id", ID_BUCKET))
 
 
-def read_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """The rows of the folder, one per id: id, the source's columns and embedding."""
+def read_vectors(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
+    """The rows of the folder, one per id: id, the source's columns and embedding.
+
+    With ``schema`` these columns; a folder that is absent or has lost all rows then gives no rows.
+    """
+    if schema is not None:
+        return spark.read.schema(schema).parquet(folder) if path_exists(spark, folder) else spark.createDataFrame([], schema)
     return spark.read.parquet(folder).drop("content_hash", ID_BUCKET)
