@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, docs_of, empty_docs, odd_docs, ordered, sql_rows
 from turnwise.llm.decontaminate import canonical_words, drop_contaminated, find_contaminated, raw_words
@@ -24,7 +25,7 @@ def test_words_pair_up_with_placeholders(spark):
     for row in docs.select(canonical_words(docs.text).alias("a"), raw_words(docs.text).alias("b")).collect():
         assert len(row.a) == len(row.b)
     first = docs.select(canonical_words(docs.text).alias("a")).first().a
-    assert first[:10] == ["If", "1", "has", "0", "apples", "and", "gives", "0", "2", "to"]
+    assert first[:10] == ["1", "1", "has", "0", "apples", "and", "gives", "0", "2", "to"]
 
 
 @pytest.mark.parametrize(
@@ -36,6 +37,12 @@ def test_words_pair_up_with_placeholders(spark):
         (ITEM.replace("12", "70").replace("Peter keep", "Anna keep"), None),
         (ITEM.replace("Peter", "Maria").replace("Anna", "Maria"), None),
         ("How many apples does Peter keep at home", None),
+        # A variant that stands first does not hide the item itself, wherever it stands.
+        ("If Maria has 12 apples and gives 5 km to Maria, how many apples does Maria keep at home today. " + ITEM, "exact"),
+        # One word changed, left out or put in.
+        (ITEM.replace("how many", "how few"), "exact"),
+        (ITEM.replace("how many", "how very many"), "exact"),
+        (ITEM.replace("how many", "how"), "exact"),
     ],
 )
 def test_values_have_to_map_one_to_one(spark, text, kind):
@@ -43,6 +50,29 @@ def test_values_have_to_map_one_to_one(spark, text, kind):
     assert found(docs_of(spark, [text, "nothing like it at all in this text"]), items_of(spark, [ITEM])) == expected
 
 
+def test_names_at_sentence_starts(spark):
+    item = "Alice and Bob share a flat. Alice pays 12 dollars per day. Bob pays 7 dollars per day. Carol pays nothing. How much do they pay together in a week?"
+    other = item
+    for old, new in (("Alice", "Dora"), ("Bob", "Emil"), ("Carol", "Frank"), ("12", "15"), ("7", "9")):
+        other = other.replace(old, new)
+    mixed = other.replace("Emil pays", "Dora pays")
+    assert found(docs_of(spark, [other, mixed, "He said: " + other]), items_of(spark, [item])) == [(0, 0, "template"), (2, 0, "template")]
+
+
+def test_parts_of_long_items_and_short_items(spark):
+    long = " ".join(f"{a}{b}" for a in ("ka", "lo", "mi", "tu", "re", "su") for b in ("ban", "dor", "vel", "sin", "pom", "rit", "gal", "hen", "jud", "fer"))
+    words = long.split()
+    texts = [" ".join(words[20:33]), " ".join(words[20:32]), "Two words!", "two words more", "one", ""]
+    items = items_of(spark, [long, "two words", "One.", ""])
+    assert found(docs_of(spark, texts), items) == [(0, 0, "exact"), (2, 1, "exact"), (4, 2, "exact")]
+
+
+def test_clashing_names(spark):
+    docs = docs_of(spark, [ITEM, "clean"]).withColumnsRenamed({"lang": "_doc", "source": "_text"}).withColumn("text_key", F.lit(1))
+    left = drop_contaminated(docs, items_of(spark, [ITEM]))
+    assert [r.doc_id for r in left.collect()] == [1] and left.columns == docs.columns
+
+
 def test_planted_items_match_brute_force(spark):
     rnd = random.Random(6)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "tu") for b in ("ban", "dor", "vel", "sin", "pom")]
@@ -59,14 +89,34 @@ def test_planted_items_match_brute_force(spark):
         own = re.findall(r"\w+", text)
         return [tuple(own[i : i + size]) for i in range(len(own) - size + 1)]
 
+    def reach(places):
+        covered = sorted({i for p in places for i in range(p, p + 5)})
+        longest = now = 0
+        for i, c in enumerate(covered):
+            now = now + 1 if i and c == covered[i - 1] + 1 else 1
+            longest = max(longest, now)
+        return len(covered), longest
+
     expected = set()
     for number, item in enumerate(items):
-        size = min(8, len(item.split()))
-        windows = runs(item, size)
+        windows, n = runs(item, 5), len(item.split())
         for doc, text in enumerate(texts):
-            there = set(runs(text, size))
-            if size >= 5 and sum(w in there for w in windows) >= 0.5 * len(windows):
+            if n < 5 and re.findall(r"\w+", text) == item.split():
                 expected.add((doc, number, "exact"))
+            votes = {}
+            for at, there in enumerate(runs(text, 5)):
+                for item_at, w in enumerate(windows):
+                    if w == there:
+                        votes.setdefault(at - item_at, set()).add(item_at)
+            group, last = set(), None
+            for shift in [*sorted(votes), 10**9]:
+                if last is not None and shift - last > 1:
+                    covered, longest = reach(group)
+                    if covered >= 0.5 * n or longest >= 13:
+                        expected.add((doc, number, "exact"))
+                    group = set()
+                group |= votes.get(shift, set())
+                last = shift
     assert found(docs_of(spark, texts), items_of(spark, items)) == sorted(expected)
 
 
@@ -102,7 +152,7 @@ def test_altered_items_match_the_sql(spark):
     tables = {"documents": (["doc_id", "text"], documents), "benchmark": (["item_id", "text"], benchmark)}
     expected = [tuple(None if v != v else int(v) if isinstance(v, float) and i < 2 else v for i, v in enumerate(r)) for r in sql_rows(CONTAMINATION, **tables)]
     found = ordered(rows.collect())
-    assert found == ordered(expected) and {r[5] for r in found} == {"exact", "template"}
+    assert found == ordered(expected) and {r[6] for r in found} == {"exact", "template"}
 
 
 def test_odd_rows(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from turnwise.llm.decontaminate import LEAST_WORDS, SHARE, UNIT_WORDS
+from turnwise.llm.decontaminate import RUN, SHARE, UNIT_WORDS, WINDOW
 from turnwise.llm.licenses import COVERAGE, FUNCTION_WORDS, SHORT_GRAMS, SLACK, STRETCH, TEMPLATES
 from turnwise.llm.quality import STOP_WORDS
 from turnwise.llm.urls import LIMIT, SOFT, SOFT_TERMS, STRICT
@@ -255,9 +255,11 @@ def _spelled(table: str, id_column: str) -> str:
     return rf"""
     SELECT key, place, lower(word) AS word, CASE
         WHEN regexp_matches(word, '^\p{{N}}') THEN '0'
-        WHEN regexp_full_match(word, '\p{{Lu}}\p{{Ll}}+') AND gap[-1] IN (' ', chr(9)) AND (
-          gap[-2] IN (',', ';', ':') AND length(gap) > 1
-          OR length(gap) = 1 AND (regexp_matches(before, '\p{{Ll}}$') OR regexp_matches(before, '^\p{{N}}')))
+        WHEN regexp_full_match(word, '\p{{Lu}}\p{{Ll}}+') AND (
+          before IS NULL AND gap = '' OR gap[-1] IN ('.', '?', '!', chr(10), '"', '“', '(')
+          OR gap[-1] IN (' ', chr(9)) AND (
+            length(gap) > 1 AND gap[-2] IN (',', ';', ':', '.', '?', '!', chr(10), '"', '“', '(')
+            OR length(gap) = 1 AND (regexp_matches(before, '\p{{Ll}}$') OR regexp_matches(before, '^\p{{N}}'))))
           THEN '1'
         WHEN lower(word) IN ({_UNIT_WORDS}) AND regexp_matches(before, '^\p{{N}}') AND gap IN ('', ' ', chr(9)) THEN '2' END AS slot
     FROM (
@@ -273,47 +275,63 @@ CONTAMINATION = f"""
 WITH doc_words AS ({_spelled("documents", "doc_id")}),
 item_words AS ({_spelled("(SELECT * FROM benchmark WHERE item_id IS NOT NULL)", "item_id")}),
 docs AS (SELECT key, list(coalesce(slot, word) ORDER BY place) AS words FROM doc_words GROUP BY key),
-items AS (
-  SELECT key AS item, list(coalesce(slot, word) ORDER BY place) AS words, least(8, count(*)) AS size,
-    count(*) - least(8, count(*)) + 1 AS n_windows
-  FROM item_words GROUP BY key HAVING count(*) >= {LEAST_WORDS}),
+items AS (SELECT key AS item, list(coalesce(slot, word) ORDER BY place) AS words, count(*) AS n_words FROM item_words GROUP BY key),
 item_windows AS (
-  SELECT item, size, n_windows, item_at, list_has_any(words[item_at + 1:item_at + size], ['0', '1', '2']) AS has_slot,
-    unnest([array_to_string(words[item_at + 1:item_at + size], ' '),
-      CASE WHEN item_at = 0 THEN array_to_string(list_concat(['1'], words[2:size]), ' ') END]) AS run
-  FROM (SELECT *, unnest(generate_series(0, n_windows - 1)) AS item_at FROM items)),
+  SELECT item, n_words, item_at, list_has_any(words[item_at + 1:item_at + {WINDOW}], ['0', '1', '2']) AS has_slot,
+    array_to_string(words[item_at + 1:item_at + {WINDOW}], ' ') AS run
+  FROM (SELECT *, unnest(generate_series(0, n_words - {WINDOW})) AS item_at FROM items WHERE n_words >= {WINDOW})),
 doc_windows AS (
-  SELECT key, size, doc_at, array_to_string(words[doc_at + 1:doc_at + size], ' ') AS run
-  FROM (
-    SELECT key, words, size, unnest(generate_series(0, len(words) - size)) AS doc_at
-    FROM docs CROSS JOIN (SELECT DISTINCT size FROM items))),
+  SELECT key, doc_at, array_to_string(words[doc_at + 1:doc_at + {WINDOW}], ' ') AS run
+  FROM (SELECT key, words, unnest(generate_series(0, len(words) - {WINDOW})) AS doc_at FROM docs)),
 votes AS (
-  SELECT key, item, size, n_windows, item_at, has_slot, min(doc_at) AS doc_at
-  FROM doc_windows JOIN item_windows USING (size, run) GROUP BY ALL),
-candidates AS (
-  SELECT key, item, n_windows, count(DISTINCT item_at) AS n_found,
-    count(DISTINCT item_at) FILTER (NOT has_slot) AS n_plain
-  FROM votes GROUP BY ALL HAVING count(DISTINCT item_at) >= {SHARE} * n_windows),
+  SELECT DISTINCT key, item, n_words, item_at, doc_at, doc_at - item_at AS shift, has_slot FROM doc_windows JOIN item_windows USING (run)),
+shifts AS (
+  SELECT *, sum(opens) OVER (PARTITION BY key, item ORDER BY shift) AS alignment FROM (
+    SELECT *, CASE WHEN shift - lag(shift) OVER (PARTITION BY key, item ORDER BY shift) <= 1 THEN 0 ELSE 1 END AS opens
+    FROM (SELECT DISTINCT key, item, shift FROM votes))),
+aligned AS (SELECT v.*, alignment FROM votes v JOIN shifts USING (key, item, shift)),
+places AS (
+  SELECT DISTINCT key, item, alignment, n_words, item_at, false AS plain FROM aligned
+  UNION ALL SELECT DISTINCT key, item, alignment, n_words, item_at, true FROM aligned WHERE NOT has_slot),
+steps AS (
+  SELECT *, coalesce(least(item_at - lag(item_at) OVER in_order, {WINDOW}), {WINDOW}) AS new,
+    coalesce(item_at - lag(item_at) OVER in_order > {WINDOW}, false) AS breaks
+  FROM places WINDOW in_order AS (PARTITION BY key, item, alignment, plain ORDER BY item_at)),
+runs AS (
+  SELECT *, sum(breaks::INT) OVER (PARTITION BY key, item, alignment, plain ORDER BY item_at) AS run_no FROM steps),
+run_sums AS (SELECT key, item, alignment, n_words, plain, run_no, sum(new) AS run FROM runs GROUP BY ALL),
+reach AS (
+  SELECT key, item, alignment, n_words, plain, sum(run) AS covered, max(run) AS run FROM run_sums GROUP BY ALL),
+candidates AS (SELECT * FROM reach WHERE NOT plain AND (covered >= {SHARE} * n_words OR run >= {RUN})),
 spots AS (
-  SELECT DISTINCT key, item, doc_at - item_at AS shift, unnest(generate_series(item_at, item_at + size - 1)) AS spot
-  FROM votes SEMI JOIN candidates USING (key, item) WHERE has_slot),
+  SELECT key, item, alignment, spot, min(shift) AS shift FROM (
+    SELECT key, item, alignment, shift, unnest(generate_series(item_at, item_at + {WINDOW} - 1)) AS spot
+    FROM aligned SEMI JOIN candidates USING (key, item, alignment) WHERE has_slot) GROUP BY ALL),
 filled AS (
-  SELECT DISTINCT s.key, s.item, i.slot, i.word AS item_value, d.word AS text_value
+  SELECT DISTINCT s.key, s.item, s.alignment, i.slot, i.word AS item_value, d.word AS text_value
   FROM spots s JOIN item_words i ON i.key = s.item AND i.place = s.spot AND i.slot IS NOT NULL
   JOIN doc_words d ON d.key = s.key AND d.place = s.spot + s.shift AND d.slot IS NOT NULL),
 verdicts AS (
-  SELECT key, item, count(*) = count(DISTINCT (slot, item_value)) AND count(*) = count(DISTINCT (slot, text_value)) AS consistent,
+  SELECT key, item, alignment, count(*) = count(DISTINCT (slot, item_value)) AND count(*) = count(DISTINCT (slot, text_value)) AS consistent,
     bool_or(item_value <> text_value) AS changed
   FROM filled GROUP BY ALL),
 judged AS (
-  SELECT key, item, n_windows, CASE WHEN coalesce(consistent, true) THEN n_found ELSE n_plain END AS n_found,
+  SELECT c.key, c.item, c.n_words, CASE WHEN coalesce(consistent, true) THEN c.covered ELSE p.covered END AS covered,
+    CASE WHEN coalesce(consistent, true) THEN c.run ELSE p.run END AS run,
     CASE WHEN consistent AND changed THEN 'template' ELSE 'exact' END AS kind
-  FROM candidates LEFT JOIN verdicts USING (key, item)),
+  FROM candidates c LEFT JOIN verdicts USING (key, item, alignment)
+  LEFT JOIN (SELECT * FROM reach WHERE plain) p ON p.key = c.key AND p.item = c.item AND p.alignment = c.alignment),
+brief AS (SELECT key, array_to_string(list(word ORDER BY place), ' ') AS whole, count(*) AS n FROM doc_words GROUP BY key HAVING count(*) < {WINDOW}),
+brief_items AS (SELECT key AS item, array_to_string(list(word ORDER BY place), ' ') AS whole, count(*) AS n FROM item_words GROUP BY key HAVING count(*) < {WINDOW}),
+held AS (
+  SELECT * FROM judged WHERE covered >= {SHARE} * n_words OR run >= {RUN}
+  UNION ALL SELECT b.key, i.item, i.n, i.n, i.n, 'exact' FROM brief b JOIN brief_items i USING (whole)),
 ranked AS (
-  SELECT key.id AS doc_id, item.id AS item_id, n_windows, n_found, n_found / n_windows AS coverage, kind,
-    row_number() OVER (PARTITION BY key, item.id ORDER BY n_found / n_windows DESC, n_found DESC, n_windows DESC, kind DESC) AS place
-  FROM judged WHERE n_found >= {SHARE} * n_windows)
-SELECT doc_id, item_id, n_windows, n_found, coverage, kind FROM ranked WHERE place = 1
+  SELECT key.id AS doc_id, item.id AS item_id, n_words::BIGINT AS n_words, covered::BIGINT AS n_found, run::BIGINT AS longest_run,
+    covered / n_words AS coverage, kind,
+    row_number() OVER (PARTITION BY key, item.id ORDER BY covered / n_words DESC, covered DESC, n_words DESC, run DESC, kind DESC) AS place
+  FROM held)
+SELECT doc_id, item_id, n_words, n_found, longest_run, coverage, kind FROM ranked WHERE place = 1
 """
 
 
