@@ -1,3 +1,4 @@
+import time
 import hashlib
 import random
 import re
@@ -84,3 +85,17 @@ def test_redaction_keeps_rows_columns_and_clean_texts(spark):
 
 def test_overlapping_spans_are_redacted_once():
     assert redacted("xxabcdefyy", [(2, 6, "a"), (4, 8, "b"), (8, 9, "c")]) == "xx[a][c]y"
+
+
+@pytest.mark.parametrize("unit,tail", [("eyJ", " eyJ" + "a" * 20 + "." + "b" * 20 + "." + "c" * 9), ("-----BEGIN ", "-----BEGIN PRIVATE KEY-----"), ("token token=", "token=abcdef1")])
+def test_time_grows_with_the_length(unit, tail):
+    machine = scanner(RULES)
+
+    def seconds(n):
+        start = time.perf_counter()
+        assert machine.spans(unit * n + tail)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = min(seconds(10_000) for _ in range(3)), min(seconds(40_000) for _ in range(3))
+    assert large < 8 * small + 0.05

@@ -98,6 +98,17 @@ class _Parser:
         return frozenset(chars)
 
 
+def _mirrored(tree: tuple) -> tuple:
+    """The tree of all matches read from their ends."""
+    kind = tree[0]
+    if kind == "set":
+        return tree
+    if kind == "rep":
+        return ("rep", _mirrored(tree[1]), *tree[2:])
+    parts = [_mirrored(part) for part in tree[1]]
+    return (kind, parts[::-1] if kind == "cat" else parts)
+
+
 class _Nfa:
     def __init__(self) -> None:
         self.silent: list[list[int]] = []
@@ -201,12 +212,15 @@ def _minimal(moves: list[list[int]], ends: list[tuple[int, ...]]) -> list[int]:
         block = finer
 
 
-def compile_patterns(patterns: Sequence[str], anywhere: bool) -> Automaton:
+def compile_patterns(patterns: Sequence[str], anywhere: bool, backwards: bool = False) -> Automaton:
     """One automaton for all patterns, by subset construction and minimisation.
 
     With ``anywhere`` a match may begin at every byte, no state is dead, and a pattern that has just
     ended begins anew: enough to know which patterns occur, with few states. Otherwise matches begin
     at the first byte and run on as far as they can.
+
+    With ``backwards`` texts are read from their end, a match may end at every byte, and the automaton is in a
+    state that ends a pattern wherever one of its matches starts, also while others go on.
     """
     nfa = _Nfa()
     start = nfa.state()
@@ -214,7 +228,8 @@ def compile_patterns(patterns: Sequence[str], anywhere: bool) -> Automaton:
     for number, pattern in enumerate(patterns):
         inner = nfa.state()
         nfa.silent[start].append(inner)
-        end_of[nfa.add(_Parser(pattern).tree(), inner)] = number
+        tree = _Parser(pattern).tree()
+        end_of[nfa.add(_mirrored(tree) if backwards else tree, inner)] = number
         owner.update((s, number) for s in range(inner, len(nfa.silent)))
     classes, samples = _byte_classes(nfa)
     first = nfa.closed([start])
@@ -226,7 +241,9 @@ def compile_patterns(patterns: Sequence[str], anywhere: bool) -> Automaton:
         row = []
         for byte in samples:
             to = nfa.closed(t for s in states for chars, t in nfa.moves[s] if byte in chars)
-            if anywhere:
+            if backwards:
+                to = first | to
+            elif anywhere:
                 over = {end_of[s] for s in to if s in end_of}
                 to = first | {s for s in to if s in end_of or owner[s] not in over}
             if not to:

@@ -1,4 +1,4 @@
-"""Secrets in texts: all rules in one automaton, one pass over the bytes of each text."""
+"""Secrets in texts: one pass over the bytes by an automaton of all rules, then spans of the rules that occur."""
 
 from __future__ import annotations
 
@@ -54,6 +54,7 @@ class Scanner:
     combined: Automaton
     heads: tuple[Automaton | None, ...]
     wholes: tuple[Automaton, ...]
+    backwards: tuple[Automaton, ...]
 
     def present(self, data: bytes) -> set[int]:
         """The rules with a match somewhere in ``data``: one pass, one look-up per byte."""
@@ -72,7 +73,7 @@ class Scanner:
         found = []
         for number in self.present(data):
             rule = self.rules[number]
-            for start, head_end, end in matches(self.wholes[number], self.heads[number], data):
+            for start, head_end, end in matches(self.wholes[number], self.backwards[number], self.heads[number], data):
                 if end - head_end >= rule.least:
                     found.append((start, number, end))
         if len(data) == len(text):
@@ -97,18 +98,30 @@ def longest(machine: Automaton, classes: bytes, at: int) -> int:
     return end
 
 
-def matches(whole: Automaton, head: Automaton | None, data: bytes) -> Iterator[tuple[int, int, int]]:
-    """Starts, ends of heads and ends of leftmost, longest matches that don't overlap."""
+def starts(backwards: Automaton, data: bytes) -> list[int]:
+    """The places where a match starts, the last first: one pass from the end of the text."""
+    moves, state, first_end = backwards.moves, backwards.start, backwards.first_end
+    found, at = [], len(data)
+    for c in reversed(data.translate(backwards.classes)):
+        at -= 1
+        state = moves[state + c]
+        if state >= first_end:
+            found.append(at)
+    return found
+
+
+def matches(whole: Automaton, backwards: Automaton, head: Automaton | None, data: bytes) -> Iterator[tuple[int, int, int]]:
+    """Starts, ends of heads and ends of leftmost, longest matches that don't overlap.
+
+    Only places where a match is known to start are followed, and what a match covers is not looked at again.
+    """
     classes = data.translate(whole.classes)
     head_classes = data.translate(head.classes) if head else b""
-    begins = bytes(c for c in range(max(whole.classes) + 1) if whole.moves[whole.start + c] != DEAD)
-    at = 0
-    while at < len(classes):
-        if classes[at] not in begins or (end := longest(whole, classes, at)) < 0:
-            at += 1
-            continue
-        yield at, longest(head, head_classes, at) if head else at, end
-        at = end
+    end = 0
+    for at in reversed(starts(backwards, data)):
+        if at >= end:
+            end = longest(whole, classes, at)
+            yield at, longest(head, head_classes, at) if head else at, end
 
 
 @cache
@@ -120,6 +133,7 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
         compile_patterns(wholes, anywhere=True),
         tuple(compile_patterns([r.head], anywhere=False) if r.head else None for r in rules),
         tuple(compile_patterns([w], anywhere=False) for w in wholes),
+        tuple(compile_patterns([w], anywhere=True, backwards=True) for w in wholes),
     )
 
 
@@ -134,7 +148,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     kind, the SHA-256 of the joined base spans, and all spans joined (``kind:start:end``, code points,
     end exclusive). A null or empty text has none: zeros, the SHA-256 of the empty string, an empty
     string. Other columns of ``docs`` are not read; an empty table gives an empty result. Work per text
-    is one look-up per byte, and for kinds that occur one more pass; memory is that of one text.
+    is one look-up per byte for all kinds together, and for each kind that occurs a pass backwards, which marks where
+    matches start, and the reading of the matches: it grows with the length of the text, whatever stands in it.
+    Memory is that of one text.
     """
     base = [r.kind for r in BASE_RULES]
 
