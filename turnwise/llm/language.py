@@ -3,8 +3,9 @@
 A phrase is the longest stretch that occurs somewhere in a language's sample; a text is parsed into
 phrases from left to right. Every stretch of a sample is a path of its suffix automaton from the start,
 so a parse is one walk: follow the path as long as it goes on, else count a phrase and start anew. The
-automaton is stored as one table that already holds the restarts, and many blocks of text walk side
-by side in NumPy.
+transitions lie interleaved in one array per language, whose size does not depend on the alphabet. Many
+stretches of text walk side by side in NumPy; where a stretch was entered in another state than the one
+before it was left in, it is walked again, so counts are those of the whole text.
 """
 
 from __future__ import annotations
@@ -20,14 +21,19 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
 SPACE, OTHER = 0, 1
-BLOCK = 512
+BLOCK = 1024
+# Symbols before a block that are walked first: nearly always enough to come to the state of the whole parse.
+WARM_UP = 128
 LANES = 4096
+PIECE = 200
 ROWS_OUT = 512
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the sample: documents per language, characters per document, characters per language."""
+    """Bounds of the sample: documents per language, characters per document, characters per language.
+
+    A text that is longer than ``chars_per_doc`` gives pieces of ``PIECE`` characters from all over it."""
 
     docs_per_language: int = 60
     chars_per_doc: int = 4_000
@@ -80,17 +86,68 @@ def suffix_automaton(sample: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+@dataclass(frozen=True)
+class Parser:
+    """The automaton of one sample: from ``state`` the symbol ``c`` leads to ``to[base[state] + c]`` if
+    ``owner[base[state] + c]`` is the state; otherwise a new phrase begins and leads to ``first[c]``. In state 0
+    each symbol begins a phrase; symbols that the sample does not hold lead there."""
+
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    first: np.ndarray
+
+
 @dataclass(frozen=True)
 class Model:
-    """``classes`` turns code points into symbols; ``tables[l][state, symbol]`` is twice the next state, plus 1
-    where a new phrase begins."""
+    """``classes`` turns code points into symbols, which all ``parsers`` share."""
 
     languages: list[str]
     classes: np.ndarray
-    tables: list[np.ndarray]
+    parsers: list[Parser]
     weights: np.ndarray
 
 
+def compiled(moves: list[dict[int, int]], width: int) -> Parser:
+    """The transitions ``moves`` over ``width`` symbols, each state's laid into gaps of the others'."""
+    first = np.zeros(width, np.int32)
+    for symbol, to in moves[0].items():
+        first[symbol] = to
+    size = sum(map(len, moves)) * 2 + 2 * width
+    owner, to = np.full(size, -1, np.int32), np.zeros(size, np.int32)
+    base = np.zeros(len(moves), np.int64)
+    several = sorted((s for s in range(1, len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s]))
+    open_from = width
+    for state in several:
+        symbols = np.fromiter(moves[state], np.int64, len(moves[state]))
+        at, look = open_from, 256
+        while True:
+            if at + look + width > len(owner):
+                owner, to = np.r_[owner, np.full(size, -1, np.int32)], np.r_[to, np.zeros(size, np.int32)]
+            gaps = at + np.flatnonzero(owner[at : at + look] < 0)
+            bases = gaps - symbols.min()
+            fitting = np.flatnonzero((owner[bases[:, None] + symbols] < 0).all(1))
+            if len(fitting):
+                break
+            at, look = at + look, 2 * look
+        base[state] = bases[fitting[0]]
+        owner[base[state] + symbols] = state
+        to[base[state] + symbols] = np.fromiter(moves[state].values(), np.int64, len(symbols))
+        if owner[open_from : open_from + 256].min() >= 0:
+            open_from += 256
+    single = [s for s in range(1, len(moves)) if len(moves[s]) == 1]
+    gaps = width + np.flatnonzero(owner[width : len(owner) - width] < 0)
+    if len(gaps) < len(single):
+        more = len(single) - len(gaps) + width
+        owner, to = np.r_[owner, np.full(more, -1, np.int32)], np.r_[to, np.zeros(more, np.int32)]
+        gaps = width + np.flatnonzero(owner[width : len(owner) - width] < 0)
+    for state, gap in zip(single, gaps.tolist()):
+        ((symbol, target),) = moves[state].items()
+        base[state], owner[gap], to[gap] = gap - symbol, state, target
+    used = int(base.max()) + width
+    return Parser(base, owner[:used].copy(), to[:used].copy(), first)
+
+
 def train(samples: dict[str, list[str]], settings: Settings = Settings()) -> Model:
     """One automaton per language from its sample texts, joined by spaces and cut at the bound."""
     languages = sorted(samples)
@@ -100,50 +157,75 @@ def train(samples: dict[str, list[str]], settings: Settings = Settings()) -> Mod
         whole = np.concatenate([*parts, np.array([SPACE])])
         codes.append(whole[: settings.chars_per_language])
     alphabet = np.unique(np.concatenate([*codes, np.array([SPACE])]))
-    classes = np.full(0x110000, OTHER, np.uint16)
+    classes = np.full(0x110000, OTHER, np.int32)
     classes[alphabet] = np.arange(len(alphabet)) + 2
     classes[SPACE] = SPACE
-    width = len(alphabet) + 2
-    tables = []
-    for own in codes:
-        moves = suffix_automaton(classes[own].tolist())
-        # The last row is the state before a phrase: there, as after an unknown symbol, each symbol begins one.
-        before = len(moves)
-        table = np.full((before + 1, width), -1, np.int32)
-        for state, row in enumerate(moves):
-            for symbol, to in row.items():
-                table[state, symbol] = 2 * to
-        restart = np.where(table[0] >= 0, table[0] + 1, 2 * before + 1)
-        tables.append(np.where(table >= 0, table, restart[None, :]).astype(np.int32))
-    return Model(languages, classes, tables, np.log2([len(own) + 2.0 for own in codes]))
+    parsers = [compiled(suffix_automaton(classes[own].tolist()), len(alphabet) + 2) for own in codes]
+    return Model(languages, classes, parsers, np.log2([len(own) + 2.0 for own in codes]))
+
+
+def _walk(parser: Parser, grid: np.ndarray, sizes: np.ndarray, warm_up: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State after ``warm_up`` steps, state at the end and phrases in between of each lane (column) of ``grid``.
+
+    Lanes begin in state 0 and are sorted by ``sizes``, the longest first."""
+    state, found = np.zeros(grid.shape[1], np.int64), np.zeros(grid.shape[1], np.int64)
+    entry = state.copy()
+    alive = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")
+    for step, symbols in enumerate(grid):
+        if step == warm_up:
+            entry, found = state.copy(), np.zeros_like(found)
+        n = alive[step]
+        now, symbol = state[:n], symbols[:n]
+        at = parser.base[now] + symbol
+        goes_on = parser.owner[at] == now
+        goes_on &= now > 0
+        found[:n] += ~goes_on
+        state[:n] = np.where(goes_on, parser.to[at], parser.first[symbol])
+    return entry, state, found
+
+
+def _follow(parser: Parser, state: int, symbols: np.ndarray) -> tuple[int, int]:
+    """State at the end and number of phrases that begin when ``symbols`` are read from ``state`` on."""
+    base, owner, to, first, found = parser.base, parser.owner, parser.to, parser.first, 0
+    for symbol in symbols.tolist():
+        at = base[state] + symbol
+        if state and owner[at] == state:
+            state = to[at]
+        else:
+            state = first[symbol]
+            found += 1
+    return state, found
 
 
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
-    """The number of phrases of each text (rows) in each language (columns).
+    """The number of phrases of each whole text (rows) in each language (columns).
 
-    Texts are parsed in blocks of ``BLOCK`` symbols, each of which begins a phrase, so that one long text
-    is as quick as many short ones. A symbol that a sample does not hold is a phrase of its own.
+    Texts are walked in blocks, so that one long text is as quick as many short ones. A block is entered in
+    the state that the symbols just before it lead to; if the block before it ends in another one, as repetitive texts
+    can make it, it is walked again from there, so each symbol is read at most twice. A symbol that a
+    sample does not hold is a phrase of its own.
     """
-    counts = np.zeros((len(texts), len(model.tables)), np.int64)
-    pieces = [(i, t[at : at + BLOCK]) for i, t in enumerate(texts) for at in range(0, len(t), BLOCK)]
-    pieces.sort(key=lambda p: -len(p[1]))
-    for at in range(0, len(pieces), LANES):
-        lanes = pieces[at : at + LANES]
-        sizes = np.array([len(p) for _, p in lanes])
-        grid = np.zeros((sizes[0], len(lanes)), np.uint16)
-        for lane, (_, piece) in enumerate(lanes):
-            grid[: len(piece), lane] = model.classes[piece]
-        owners = np.array([i for i, _ in lanes])
-        alive = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        for number, table in enumerate(model.tables):
-            flat, width = table.ravel(), table.shape[1]
-            state, found = np.full(len(lanes), len(table) - 1, np.int64), np.zeros(len(lanes), np.int64)
-            for step in range(sizes[0]):
-                n = alive[step]
-                to = flat[state[:n] * width + grid[step, :n]]
-                found[:n] += to & 1
-                state[:n] = to >> 1
-            np.add.at(counts[:, number], owners, found)
+    counts = np.zeros((len(texts), len(model.parsers)), np.int64)
+    symbols = [model.classes[t] for t in texts]
+    blocks = [(i, at) for i, t in enumerate(symbols) for at in range(0, len(t), BLOCK)]
+    owners = np.array([i for i, _ in blocks], np.int64)
+    entry, leave, found = (np.zeros((len(blocks), len(model.parsers)), np.int64) for _ in range(3))
+    for warm_up, group in ((0, [k for k, (_, at) in enumerate(blocks) if not at]), (WARM_UP, [k for k, (_, at) in enumerate(blocks) if at])):
+        pieces = {k: symbols[blocks[k][0]][blocks[k][1] - warm_up : blocks[k][1] + BLOCK] for k in group}
+        group.sort(key=lambda k: -len(pieces[k]))
+        for start in range(0, len(group), LANES):
+            lanes = group[start : start + LANES]
+            sizes = np.array([len(pieces[k]) for k in lanes])
+            grid = np.zeros((sizes[0], len(lanes)), np.int32)
+            for lane, k in enumerate(lanes):
+                grid[: sizes[lane], lane] = pieces[k]
+            for number, parser in enumerate(model.parsers):
+                entry[lanes, number], leave[lanes, number], found[lanes, number] = _walk(parser, grid, sizes, warm_up)
+    for number, parser in enumerate(model.parsers):
+        for k, (i, at) in enumerate(blocks):
+            if at and entry[k, number] != leave[k - 1, number]:
+                leave[k, number], found[k, number] = _follow(parser, int(leave[k - 1, number]), symbols[i][at : at + BLOCK])
+        np.add.at(counts[:, number], owners, found[:, number])
     return counts
 
 
@@ -167,11 +249,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(True))
 
 
+def _pieces(text: Column, most: int) -> Column:
+    """The whole text if it has at most ``most`` characters, else pieces at even distances from its start to its end."""
+    n = max(most // PIECE, 2)
+    starts = F.sequence(F.lit(0), F.lit(n - 1))
+    room = (F.length(text) - PIECE).cast("double")
+    cut = F.transform(starts, lambda j: F.substring(text, F.floor(j * room / (n - 1)).cast("int") + 1, F.lit(PIECE)))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(cut)
+
+
 def fit_language(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """A model from a bounded sample of the documents with a language that are not held out.
 
-    Per language the ids with the smallest hashes are taken, then their texts up to the bounds of
-    ``settings``; only these texts reach the driver.
+    Per language the ids with the smallest hashes are taken, of their texts pieces from all over them up to the
+    bound per document, and of these, in the order of a hash, as many as the bound per language allows. Only
+    these pieces reach the driver.
     """
     doc_id = F.col("doc_id").cast("long")
     usable = docs.filter(F.col("lang").isNotNull() & ~held_out(doc_id) & (F.length("text") > 0))
@@ -185,12 +277,13 @@ def fit_language(docs: DataFrame, settings: Settings = Settings()) -> Model:
     texts = usable.select(
         doc_id.alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
-        F.substring("text", 1, settings.chars_per_doc).alias("text"),
+        _pieces(F.col("text").cast("string"), settings.chars_per_doc).alias("pieces"),
     )
-    rows = texts.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    rows = texts.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("pieces").alias("pieces"))
+    pieces = rows.select("lang", "doc_id", F.posexplode("pieces").alias("place", "piece")).withColumn("order", F.xxhash64("doc_id", "place"))
     samples: dict[str, list[str]] = {}
-    for row in rows.toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]).to_pylist():
-        samples.setdefault(row["lang"], []).append(row["text"])
+    for row in pieces.toArrow().sort_by([("lang", "ascending"), ("order", "ascending"), ("doc_id", "ascending"), ("place", "ascending")]).to_pylist():
+        samples.setdefault(row["lang"], []).append(row["piece"])
     return train(samples, settings)
 
 
