@@ -4,7 +4,7 @@ from fractions import Fraction
 import pytest
 
 from tests.llm.helpers import ODD, empty_docs, odd_docs
-from turnwise.llm.mixing import exact_parts, mix_sources, one_period, schedule, whole_weights
+from turnwise.llm.mixing import exact_parts, mix_sources, placed_before, schedule
 
 
 def simulated(slots, n_slots):
@@ -19,32 +19,61 @@ def simulated(slots, n_slots):
     return order
 
 
-@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2}, {"a": 1}, {"a": 70, "b": 29, None: 1}, {f"s{i}": i + 1 for i in range(13)}])
-def test_each_prefix_is_less_than_a_block_off(weights):
-    slots = whole_weights(weights, 100)
-    plan = one_period(slots)
-    assert sum(slots.values()) == len(plan) == 100
-    done = dict.fromkeys(slots, 0)
-    for s, _, slot, release, deadline in plan:
-        assert release <= slot < deadline
-        done[s] += 1
-        assert all(abs(n - (slot + 1) * slots[x] / 100) < 1 for x, n in done.items())
+WEIGHTS = [{"a": 5, "b": 3, "c": 2}, {"a": 1}, {"a": 70, "b": 29, None: 1}, {f"s{i:02d}": i + 1 for i in range(13)}]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_schedule_is_earliest_deadline_first(weights):
+    plan = list(schedule([(s, w, 200) for s, w in weights.items()]))
+    order = simulated(weights, plan[-1][2] + 1)
+    assert all(order[slot] == (s, block) for s, block, slot, *_ in plan)
+    assert sorted((s or "", block) for s, block, *_ in plan) == sorted((s or "", i) for s in weights for i in range(200))
+
+
+def random_parts(rnd):
+    kind = rnd.randrange(3)
+    n = rnd.randint(1, 12)
+    return [rnd.randint(1, 10) if kind == 0 else rnd.randint(1, 10**12) if kind == 1 else 10 ** rnd.randint(0, 3) for _ in range(n)]
 
 
-def test_periods_repeat_the_whole_schedule():
-    slots = whole_weights({"a": 3, "b": 2, "c": 2}, 20)
-    plan = [(s, i + r * slots[s]) for r in range(3) for s, i, *_ in one_period(slots)]
-    assert plan == simulated(slots, 60)
+def test_what_was_placed_before_a_slot_needs_no_pass_over_the_slots():
+    rnd = random.Random(8)
+    for _ in range(150):
+        parts = random_parts(rnd)
+        done = [0] * len(parts)
+        for slot, (n, *_) in zip(range(400), schedule([(f"{i:02d}", p, 10**6) for i, p in enumerate(parts)])):
+            assert placed_before(parts, slot) == done
+            done[int(n)] += 1
+
+
+def test_segments_are_the_whole_schedule():
+    rnd = random.Random(9)
+    for _ in range(40):
+        sources = [(f"{i:02d}", p, rnd.randint(0, 60)) for i, p in enumerate(random_parts(rnd))]
+        if sum(blocks * sum(p for _, p, _ in sources) / part for _, part, blocks in sources) > 200_000:
+            continue
+        whole = list(schedule(sources))
+        size = rnd.randint(1, 50)
+        last = whole[-1][2] if whole else 0
+        assert [row for at in range(0, last + 1, size) for row in schedule(sources, at, at + size)] == whole
+
+
+def test_tasks_make_the_same_schedule_in_segments(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{min(i % 17, 6)}" if i % 5 else None) for i in range(3000)], "doc_id long, source string")
+    whole = sorted(map(tuple, mix_sources(docs, block_rows=2).collect()))
+    monkeypatch.setattr("turnwise.llm.mixing.SEGMENT_SLOTS", 40)
+    assert sorted(map(tuple, mix_sources(docs, block_rows=2).collect())) == whole
+    monkeypatch.setattr("turnwise.llm.mixing.MOST_SLOTS_BACK", 1)
+    assert sorted(map(tuple, mix_sources(docs, block_rows=2).collect())) == whole
 
 
 def test_rows_are_placed_once_and_in_order(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice(["a"] * 6 + ["b"] * 3 + ["c"])) for i in range(900)]
     weights = {"a": 0.5, "b": 0.3, "c": 0.2}
-    found = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=4, period=10).collect()
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=4).collect()
     assert sorted((r.doc_id, r.source) for r in found) == sorted(rows)
-    slots = whole_weights(weights, 10)
-    order = simulated(slots, 2000)
+    order = simulated({"a": 5, "b": 3, "c": 2}, 2000)
     assert all(order[r.slot] == (r.source, r.block) and r.release <= r.slot < r.deadline for r in found)
     ranks = sorted((r.source, r.block, r.rank_in_block) for r in found)
     assert len(set(ranks)) == 900 and {r[2] for r in ranks} == {0, 1, 2, 3}
@@ -75,9 +104,7 @@ def test_unknown_sources_and_weights_are_errors(spark):
     with pytest.raises(Exception, match="no target weight"):
         mix_sources(docs, {"a": 1.0}).collect()
     with pytest.raises(ValueError):
-        whole_weights({"a": 0.0, "b": 1.0})
-    with pytest.raises(ValueError):
-        whole_weights({str(i): 1.0 for i in range(11)}, 10)
+        mix_sources(docs, {"a": 0.0, "b": 1.0})
 
 
 @pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.1}, {"a": 70, "b": 29, "c": 1}, {"hot": 136.76, **{f"s{i}": 44.38 for i in range(19)}}])

@@ -4,13 +4,17 @@ A source's rows are cut into blocks of equal size. With weight ``w`` its block `
 at ``floor((i - 1) / w)`` and due at ``ceil(i / w)``; in each slot the released block with the earliest
 deadline is placed. Every block then lies between its release and its deadline, so in every prefix a
 source is less than one block away from its share. Releases and deadlines are worked out in whole
-numbers from the weights as they are. Which block a slot gets depends on the slots before it, so one task
-goes through the slots, holding one entry per source; rows find their slots by a join.
+numbers from the weights as they are.
+
+The slots are cut into segments that tasks fill side by side. What earliest deadline first has placed before a
+segment follows without going through the slots before it (``placed_before``), so the segments together
+are the schedule that one pass over all slots would give. Rows find their slots by a join.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -21,50 +25,15 @@ from pyspark.sql import functions as F
 
 from turnwise.operators.distribution import stored
 
-PERIOD = 1000
 BLOCK_ROWS = 16
 BUCKET_ROWS = 20_000
 ROWS_OUT = 8192
 SCALE = 1 << 40
-
-
-def whole_weights(weights: dict[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
-    """Slots per period: weights in proportion, rounded by largest remainder, at least one slot each."""
-    positive = {s: w for s, w in weights.items() if w > 0}
-    if not positive or len(positive) != len(weights) or len(positive) > period:
-        raise ValueError(f"between 1 and {period} sources with positive weights are needed")
-    total = sum(positive.values())
-    order = sorted(positive, key=lambda s: (s is None, s or ""))
-    exact = {s: Fraction(positive[s] / total) * (period - len(order)) for s in order}
-    slots = {s: int(exact[s]) for s in order}
-    missing = period - len(order) - sum(slots.values())
-    for s in sorted(order, key=lambda s: slots[s] - exact[s])[:missing]:
-        slots[s] += 1
-    return {s: slots[s] + 1 for s in order}
-
-
-def windows(slots: int, period: int) -> list[tuple[int, int]]:
-    """(release, deadline) of the blocks of one period of a source that owns ``slots`` of its slots."""
-    return [((i - 1) * period // slots, -(-i * period // slots)) for i in range(1, slots + 1)]
-
-
-def one_period(slots: dict[str | None, int]) -> list[tuple[str | None, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of one period, earliest deadline first, ties by name."""
-    period = sum(slots.values())
-    waiting = sorted(
-        ((release, deadline, n, s, i) for n, s in enumerate(slots) for i, (release, deadline) in enumerate(windows(slots[s], period))),
-        key=lambda x: x[:3],
-    )
-    ready: list[tuple] = []
-    placed, at = [], 0
-    for slot in range(period):
-        while at < len(waiting) and waiting[at][0] <= slot:
-            release, deadline, n, s, i = waiting[at]
-            heapq.heappush(ready, (deadline, n, i, release, s))
-            at += 1
-        deadline, _, i, release, s = heapq.heappop(ready)
-        placed.append((s, i, slot, release, deadline))
-    return placed
+SEGMENT_SLOTS = 1 << 18
+# A segment's start looks back over at most as many slots as the rarest source waits for a block. Beyond this many
+# (a weight below a four millionth) all slots are one segment.
+MOST_SLOTS_BACK = 1 << 22
+MOST_TASKS = 4096
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -106,20 +75,66 @@ def exact_parts(weights: dict[str | None, float]) -> dict[str | None, int]:
     return {s: int(w * whole) for s, w in exact.items()}
 
 
-def schedule(sources: list[tuple[str | None, int, int]]) -> Iterator[tuple[str | None, int, int, int, int]]:
-    """(source, block, slot, release, deadline) of all blocks, from (source, part of the slots, blocks).
+def placed_before(parts: list[int], slot: int) -> list[int]:
+    """How many blocks of each source earliest deadline first places before ``slot``, with ``parts`` as weights.
+
+    Of the sets of blocks that can be placed before ``slot``, no block before its release, it places the one
+    with the earliest deadlines: each further slot, open to all that is released, adds the earliest block left out.
+    All that is due by ``slot`` is in this set, and of each source at most one block more. So the blocks that are due
+    take the first places open to them, and the others, the earliest deadline first, what is left.
+    """
+    total = sum(parts)
+    done = [part * slot // total for part in parts]
+    open_slots = slot - sum(done)
+    if not open_slots:
+        return done
+    later = sorted((-(-(done[n] + 1) * total // part), n, done[n] * total // part) for n, part in enumerate(parts) if part * slot % total)
+    # Slots before all these releases set no limit but that on the number of blocks: shares leave room there for as many.
+    start = min(release for _, _, release in later)
+    released = [0] * (slot - start)
+    for n, part in enumerate(parts):
+        block = done[n] - 1
+        while block >= 0 and (release := block * total // part) >= start:
+            released[release - start] += 1
+            block -= 1
+    # next_open[i]: an open slot at or after i, or a step towards it; the last entry stands for none.
+    next_open, behind = list(range(slot - start + 1)), 0
+    for at, new in enumerate(released):
+        behind += new
+        if behind:
+            behind -= 1
+            next_open[at] = at + 1
+    for _, n, release in later:
+        at = release - start
+        while next_open[at] != at:
+            next_open[at] = next_open[next_open[at]]
+            at = next_open[at]
+        if at < slot - start:
+            next_open[at] = at + 1
+            done[n] += 1
+            open_slots -= 1
+            if not open_slots:
+                break
+    return done
+
+
+def schedule(
+    sources: list[tuple[str | None, int, int]], first: int = 0, last: int | None = None
+) -> Iterator[tuple[str | None, int, int, int, int]]:
+    """(source, block, slot, release, deadline) of the blocks in slots ``first`` to before ``last``, from (source, part of the slots, blocks).
 
     Blocks count from 0; ties go by name, null last. A source that has run out still takes its slots.
     """
     sources = sorted(sources, key=lambda s: (s[0] is None, s[0] or ""))
     shared = math.gcd(*[part for _, part, _ in sources])
     parts = [part // shared for _, part, _ in sources]
-    total, left = sum(parts), sum(blocks for *_, blocks in sources)
-    waiting: list[tuple[int, int, int]] = []
-    ready = [(-(-total // part), n, 0, 0) for n, part in enumerate(parts)]
-    heapq.heapify(ready)
-    slot = 0
-    while left:
+    total, done = sum(parts), placed_before(parts, first)
+    left = sum(max(blocks - n, 0) for (*_, blocks), n in zip(sources, done))
+    waiting = [(block * total // parts[n], n, block) for n, block in enumerate(done)]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int, int]] = []
+    slot = first
+    while left and slot != last:
         while waiting and waiting[0][0] <= slot:
             release, n, block = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(block + 1) * total // parts[n]), n, block, release))
@@ -132,31 +147,46 @@ def schedule(sources: list[tuple[str | None, int, int]]) -> Iterator[tuple[str |
         slot += 1
 
 
+def _segments(sources: DataFrame) -> tuple[int, int | None]:
+    """How many segments the slots are cut into, and the slots in each (None for all)."""
+    part = F.col("part").cast("double")
+    total = sources.agg(F.sum(part)).first()[0]
+    if total is None or not math.isfinite(total):
+        return 1, None
+    end, longest = sources.agg(F.max(F.col("blocks") * (F.lit(total) / part)), F.max(F.lit(total) / part)).first()
+    if longest > MOST_SLOTS_BACK:
+        return 1, None
+    slots = max(SEGMENT_SLOTS, 2 * math.ceil(longest))
+    return math.ceil((end * (1 + 1e-9) + 2) / slots), slots
+
+
 def _plan(sources: DataFrame) -> DataFrame:
-    """``schedule`` of the table (source, part, blocks) as rows."""
+    """``schedule`` of the table (source, part, blocks) as rows, each segment made from a copy of the table."""
+    n_segments, slots = _segments(sources)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(s, int(p), n) for b in batches for s, p, n in zip(*[c.to_pylist() for c in b.columns])]
+        entries = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns]))
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         names = ["plan_source", "plan_block", "slot", "release", "deadline"]
-        rows = schedule(own) if own else iter(())
-        while part := [row for _, row in zip(range(ROWS_OUT), rows)]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names)
+        for segment, own in itertools.groupby(entries, key=lambda row: row[0]):
+            first, last = (0, None) if slots is None else (segment * slots, (segment + 1) * slots)
+            rows = schedule([(s, int(p), n) for _, s, p, n in own], first, last)
+            while part := list(itertools.islice(rows, ROWS_OUT)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names)
 
     schema = "plan_source string, plan_block long, slot long, release long, deadline long"
-    return sources.select("source", "part", "blocks").repartition(1).mapInArrow(work, schema)
+    copies = sources.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_segments - 1).cast("long"))).alias("segment"), "source", "part", "blocks")
+    return copies.repartition(min(n_segments, MOST_TASKS), "segment").sortWithinPartitions("segment").mapInArrow(work, schema)
 
 
-def mix_sources(
-    docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD
-) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The place of every row in an order that follows the target weights.
 
     ``weights`` names every source of ``docs`` (null is a source of its own), however many; without it
     the square roots of the row counts are taken. They hold in every prefix to less than one block while
     all sources last, over any number of slots; a source that has run out leaves its slots empty, and the
-    others keep their proportions. No row is left out or repeated. ``period`` is accepted for older
-    callers and changes nothing: the schedule has no fixed period.
+    others keep their proportions. No row is left out or repeated.
+    Tasks that make the schedule hold one entry per source.
 
     Result: one row per row of ``docs``: doc_id as it is, source, block (from 0 within its source), slot,
     rank_in_block, release and deadline (release <= slot < deadline). Order by slot and rank_in_block.
@@ -179,7 +209,7 @@ def mix_sources(
         )
     placed = numbered(rows).withColumn("block", F.floor(F.col("number") / block_rows).cast("long"))
     same = F.col("source").eqNullSafe(F.col("plan_source")) & (F.col("block") == F.col("plan_block"))
-    return placed.join(_plan(sources), same).select(
+    return placed.join(_plan(stored(sources, "mixing-sources")), same).select(
         "doc_id",
         "source",
         "block",
