@@ -274,13 +274,10 @@ def fit_language(docs: DataFrame, settings: Settings = Settings()) -> Model:
         .filter(F.col("n") <= settings.docs_per_language)
         .drop("n")
     )
-    texts = usable.select(
-        doc_id.alias("doc_id"),
-        F.col("lang").cast("string").alias("lang"),
-        _pieces(F.col("text").cast("string"), settings.chars_per_doc).alias("pieces"),
-    )
-    rows = texts.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("pieces").alias("pieces"))
-    pieces = rows.select("lang", "doc_id", F.posexplode("pieces").alias("place", "piece")).withColumn("order", F.xxhash64("doc_id", "place"))
+    texts = usable.select(doc_id.alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    cut = rows.select("lang", "doc_id", F.posexplode(_pieces(F.col("text"), settings.chars_per_doc)).alias("place", "piece"))
+    pieces = cut.withColumn("order", F.xxhash64("doc_id", "place"))
     samples: dict[str, list[str]] = {}
     for row in pieces.toArrow().sort_by([("lang", "ascending"), ("order", "ascending"), ("doc_id", "ascending"), ("place", "ascending")]).to_pylist():
         samples.setdefault(row["lang"], []).append(row["piece"])
