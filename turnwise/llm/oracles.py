@@ -165,7 +165,7 @@ FROM docs LEFT JOIN found USING (row_id)
 
 PII_KEY = "example key"
 _TOKEN = _quoted(
-    r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}"
+    r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}"
     r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}"
     r"|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{1,19}(?:-[0-9]{1,19})+|[0-9]{1,19}(?:\.[0-9]{1,19})+"
     r"|[0-9]{1,19}(?:/[0-9]{1,19})+|[0-9]{13,}"
@@ -199,17 +199,21 @@ kinds AS (
   SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits, CASE
     WHEN m LIKE '%@%' THEN 'email'
     WHEN m[1] IN ('+', '(') OR regexp_full_match(m, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}') THEN 'phone'
-    WHEN regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') THEN 'ssn'
+    WHEN regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}') THEN
+      CASE WHEN regexp_matches(m, '^(000|666|9)|-00-|-0000$') THEN NULL ELSE 'ssn' END
     WHEN regexp_full_match(m, '((25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])[.]){{3}}(25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])') THEN 'ip'
     WHEN year(day) BETWEEN 1700 AND 2099 THEN 'date'
     WHEN regexp_full_match(m, '[0-9]{{13,19}}|[0-9]{{4}}( [0-9]{{4}}){{3}}|[0-9]{{4}}(-[0-9]{{4}}){{3}}') THEN 'card' END AS kind
   FROM dated),
+checked AS (
+  SELECT * REPLACE (CASE WHEN kind = 'card' AND digits[-1] <> ({_check_digit("digits[:-2]")})::BIGINT::VARCHAR THEN NULL ELSE kind END AS kind)
+  FROM kinds),
 bodies AS (
   SELECT *, CASE WHEN m LIKE '+%' THEN regexp_extract(m, '[0-9]+') ELSE '' END AS fixed,
     CASE WHEN kind = 'card' THEN digits[:-2] WHEN kind = 'phone' AND m LIKE '+%' THEN digits[length(regexp_extract(m, '[0-9]+')) + 1:]
       WHEN kind IN ('phone', 'ssn') THEN digits END AS body,
     string_split(m, '.') AS octets, date_diff('day', DATE '1700-01-01', day) AS since
-  FROM kinds),
+  FROM checked),
 round0 AS (
   SELECT *, length(body) // 2 AS half,
     CASE kind WHEN 'ip' THEN octets[1]::BIGINT * 256 + octets[2]::BIGINT WHEN 'date' THEN since // 5411
@@ -224,7 +228,7 @@ permuted AS (
   SELECT *, lpad(a::VARCHAR, half::INT, '0') || lpad(b::VARCHAR, (length(body) - half)::INT, '0') AS new_body FROM round8),
 numbers AS (
   SELECT *, fixed || new_body || CASE WHEN kind = 'card'
-    THEN ((digits[-1]::INT - {_check_digit("body")} + 10 + {_check_digit("new_body")}) % 10)::BIGINT::VARCHAR ELSE '' END AS new_digits
+    THEN ({_check_digit("new_body")})::BIGINT::VARCHAR ELSE '' END AS new_digits
   FROM permuted),
 renewed AS (
   SELECT row_id, n, kind, CASE

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KINDS = ("email", "phone", "card", "ssn", "ip", "date")
-# Lengths are bounded so that no run of characters is read again from each of its places.
+# Lengths are bounded, or a run is tried from its start only, so that no run of characters is read again from
+# each of its places.
 TOKEN = "|".join(
     [
-        r"[\p{L}\p{N}._%+-]{1,64}@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}",
+        r"(?:\G|(?<![\p{L}\p{N}._%+-]))[\p{L}\p{N}._%+-]++@[A-Za-z0-9.-]{1,190}\.[A-Za-z]{2,24}",
         r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
         r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
         r"[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}",
@@ -53,14 +54,15 @@ def _is_date(year: str, month: str, day: str) -> str:
 
 
 def _kind(m: str) -> str:
-    """The kind of a token, null if it is not valid as any."""
+    """The kind of a token, null if it is not valid as any; check digits of cards are looked at later."""
     iso = _is_date(_number(m, 1, 4), _number(m, 6, 2), _number(m, 9, 2))
     slashed = _is_date(_number(m, 7, 4), _number(m, 4, 2), _number(m, 1, 2))
+    issued = f"substr({m}, 1, 3) not in ('000', '666') and substr({m}, 1, 1) != '9' and substr({m}, 5, 2) != '00' and substr({m}, 8, 4) != '0000'"
     octets = f"forall(split({m}, '[.]'), o -> cast(o as int) <= 255)"
     return f"""case
       when contains({m}, '@') then 'email'
       when {_matches(m, r"[+(].*|[0-9]{3}-[0-9]{3}-[0-9]{4}")} then 'phone'
-      when {_matches(m, r"[0-9]{3}-[0-9]{2}-[0-9]{4}")} then 'ssn'
+      when {_matches(m, r"[0-9]{3}-[0-9]{2}-[0-9]{4}")} then if({issued}, 'ssn', null)
       when {_matches(m, r"[0-9]{1,3}(?:[.][0-9]{1,3}){3}")} then if({octets}, 'ip', null)
       when {_matches(m, r"[0-9]{4}-[0-9]{2}-[0-9]{2}")} then if({iso}, 'date', null)
       when {_matches(m, r"[0-9]{2}/[0-9]{2}/[0-9]{4}")} then if({slashed}, 'date', null)
@@ -78,9 +80,11 @@ def _luhn(body: str) -> str:
 
 def _rewritten(matches: str, key: str) -> str:
     """The array of tokens and their pseudonyms, as structs (kind, new)."""
-    kinds = f"transform({matches}, m -> named_struct('m', m, 'kind', {_kind('m')}))"
-    # fixed: digits that stay in front; body: digits that are permuted; check: how far the last digit is off.
-    digits = "regexp_replace(x.m, '[^0-9]', '')"
+    read = f"transform({matches}, m -> named_struct('m', m, 'digits', regexp_replace(m, '[^0-9]', ''), 'kind', {_kind('m')}))"
+    wrong = f"y.kind = 'card' and right(y.digits, 1) != cast({_luhn('substr(y.digits, 1, length(y.digits) - 1)')} as string)"
+    kinds = f"transform({read}, y -> named_struct('m', y.m, 'digits', y.digits, 'kind', if({wrong}, null, y.kind)))"
+    # fixed: digits that stay in front; body: digits that are permuted.
+    digits = "x.digits"
     fixed = "if(startswith(x.m, '+'), regexp_extract(x.m, '[0-9]+', 0), '')"
     body = f"case x.kind when 'card' then substr({digits}, 1, length({digits}) - 1) when 'phone' then substr({digits}, length({fixed}) + 1) when 'ssn' then {digits} else '' end"
     parts = f"transform({kinds}, x -> named_struct('m', x.m, 'kind', x.kind, 'fixed', {fixed}, 'digits', {digits}, 'body', {body}))"
@@ -110,7 +114,7 @@ def _rewritten(matches: str, key: str) -> str:
         named_struct('a', h.a, 'b', h.b))"""
     done = f"transform({halves}, h -> named_struct('x', h.x, 'half', length(h.size_a) - 1, 'rest', length(h.size_b) - 1, 'n', {mixed}))"
     permuted = "concat(if(d.half > 0, lpad(cast(d.n.a as string), d.half, '0'), ''), lpad(cast(d.n.b as string), d.rest, '0'))"
-    check = f"(cast(right(d.x.digits, 1) as int) - {_luhn('d.x.body')} + 10 + {_luhn('d.body')}) % 10"
+    check = _luhn("d.body")
     bodies = f"transform({done}, d -> named_struct('x', d.x, 'n', d.n, 'body', if(d.x.kind in ('phone', 'card', 'ssn'), {permuted}, '')))"
     numbers = f"transform({bodies}, d -> named_struct('x', d.x, 'n', d.n, 'digits', concat(d.x.fixed, d.body, if(d.x.kind = 'card', cast({check} as string), ''))))"
     spot = "length(regexp_replace(substr(d.x.m, 1, i), '[^0-9]', ''))"
@@ -131,8 +135,9 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with personal data in every whole text replaced by pseudonyms under ``key``.
 
     Result: one row per row of ``docs``: doc_id as it is (also null), text (null stays null; a text without
-    valid matches is unchanged), and the number of replacements in all and per kind. Card numbers keep their
-    length, separators and whether the check digit is right; phone numbers keep country code and
+    valid matches is unchanged), and the number of replacements in all and per kind. Card numbers are those
+    with a right check digit; their pseudonyms keep length and separators and have one too. Social security numbers
+    are those that can be issued (no area 000, 666 or from 900 on, no group 00, no serial 0000). Phone numbers keep country code and
     separators; dates (1700 to 2099, ``yyyy-mm-dd`` or ``dd/mm/yyyy``) and addresses stay valid. What only looks
     like one of these (octets over 255, the 30th of February) is left alone. Other columns are not read; an
     empty table gives an empty result. Work per text: one pass of the pattern, two where it matches.
