@@ -1,4 +1,5 @@
 import random
+from dataclasses import replace
 
 import numpy as np
 
@@ -67,3 +68,10 @@ def test_held_out_rows_and_null_labels_are_not_learned(spark):
     labels = spark.createDataFrame([(i, 1, 1 if i % 2 else None) for i in range(40)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
     model = fit_toxicity(docs, labels)
     assert not model.odds.any()
+
+
+def test_null_texts_stay_and_repeated_rows_go_together(spark):
+    model = replace(train(*sample(200, 4), Settings()), bias=100.0)
+    assert Scorer(model).score("") >= 0.5
+    docs = docs_of(spark, [None, "", "baran melo", "baran melo"])
+    assert [r.doc_id for r in drop_toxic(docs, model).collect()] == [0]

@@ -92,7 +92,7 @@ class _Bags:
 
 
 def train(texts: Sequence[str], labels: Sequence[int], settings: Settings) -> Model:
-    """Vectors and softmax weights by AdaGrad on the cross entropy of each text's most toxic window."""
+    """Vectors and softmax weights by gradient descent with a falling rate on the cross entropy of each text's most toxic window."""
     bags = _Bags(texts, settings)
     label = np.array(labels, np.int64)
     rng = np.random.default_rng(settings.seed)
@@ -249,7 +249,11 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, all columns as they are; null texts stay."""
+    """The rows of ``docs`` that are not predicted toxic, all columns as they are, whatever their names.
+
+    A score of 0.5 or more is toxic. Null texts stay; an empty text has the score that the model gives to no words.
+    Rows that repeat each other stay or go together. An empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -257,6 +261,6 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         scorer = Scorer(shared.value)
         for rows in batches:
             texts = rows.column(at).to_pylist()
-            yield rows.filter(pa.array([scorer.score(t or "") < 0.5 for t in texts], pa.bool_()))
+            yield rows.filter(pa.array([t is None or scorer.score(t) < 0.5 for t in texts], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
