@@ -42,6 +42,31 @@ def test_a_notice_with_an_inserted_word_is_found(spark):
     assert (row.labels, row.base_labels, row.n_base, row.first_word) == ("mit", "", 0, None)
 
 
+def test_words_of_a_notice_out_of_order_do_not_count(spark):
+    notice = next(t.text for t in TEMPLATES if t.label == "zlib").split()
+    # Groups of three words change places two by two, so votes lie within three diagonals of the whole.
+    groups = [notice[i : i + 3] for i in range(0, len(notice), 3)]
+    turned = [w for i in range(0, len(groups) - 1, 2) for w in (*groups[i + 1], *groups[i])]
+    rows = scan_licenses(docs_of(spark, [" ".join(notice), " ".join(turned)])).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in rows] == [("zlib", 1.0), ("", 0.0)]
+
+
+def test_every_notice_is_found_whole_and_with_some_words_changed(spark):
+    texts, labels = [], []
+    for t in TEMPLATES:
+        words = t.text.split()
+        texts.append("so " + " ".join(words) + " it")
+        labels.append(t.label)
+        if len(words) > 20:
+            words[len(words) // 2] = "changed"
+            words.insert(len(words) // 4, "added")
+            texts.append(" ".join(words))
+            labels.append(t.label)
+    rows = scan_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert all(label in r.labels.split(",") for r, label in zip(rows, labels, strict=True))
+    assert len({t.label for t in TEMPLATES}) >= 20
+
+
 def test_odd_rows(spark):
     rows = scan_licenses(odd_docs(spark)).collect()
     assert ordered((r.doc_id, r.n_base, r.first_word, r.labels, r.score) for r in rows) == ordered((o[0], 0, None, "", 0.0) for o in ODD)

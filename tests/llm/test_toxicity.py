@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 from dataclasses import replace
 
 import numpy as np
@@ -30,6 +32,32 @@ def test_held_out_and_misspelt_words():
     assert scorer.score("baran melo horribble disgustingg terveltas") > scorer.score("baran melo teraned salmon terveltas")
 
 
+def test_scores_match_plain_averages_over_strings(spark):
+    settings = Settings()
+    model = train(*sample(300, 6), settings)
+    texts = [*sample(60, 7)[0], None, "", "123 !?", "Ärger_über Worthless-ness", "x" * 300 + " stupidity", "é"]
+
+    def vector(word):
+        marked = "<" + word + ">"
+        bag = {marked} | {marked[i:j] for i in range(len(marked)) for j in range(i + 3, min(i + 5, len(marked)) + 1)}
+        return sum(float(model.odds[zlib.crc32(g.encode()) % settings.buckets]) for g in bag) / len(bag)
+
+    def plain(text):
+        words, word = [], ""
+        for c in (text or "").lower() + " ":
+            if c.isalpha():
+                word += c
+            elif word:
+                words.append(word)
+                word = ""
+        windows = [words[i : i + settings.window] for i in range(0, len(words), settings.window)]
+        odds = max((sum(map(vector, w)) / len(w) for w in windows), default=0.0) + model.bias
+        return math.exp(odds) / (1 + math.exp(odds))
+
+    rows = score_toxicity(docs_of(spark, texts), model).orderBy("doc_id").collect()
+    assert np.allclose([r.score for r in rows], [plain(t) for t in texts], rtol=0, atol=1e-6)
+
+
 def test_equal_texts_get_equal_scores_and_training_repeats():
     data = sample(200, 3)
     a, b = (Scorer(train(*data, Settings())) for _ in range(2))

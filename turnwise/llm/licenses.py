@@ -4,7 +4,9 @@ Every pair of neighbouring words of every text is joined by its hash to its plac
 templates. A pair at word ``i`` of a text and word ``j`` of a template votes for the diagonal ``i - j``;
 words that stand in order vote for one diagonal, and an inserted or missing word moves the votes to a
 neighbouring one. Votes are gathered per diagonal, neighbouring diagonals are merged, and a merged
-span counts if it holds enough of the template within little more than the template's length.
+span that holds enough of the template within little more than the template's length is verified: each
+template place takes its vote nearest to the strongest diagonal, and only places that stand in the text
+after the one before them count.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ class Template:
     base: bool = False
 
 
-# Phrases that are always looked for, and notices of well-known licenses.
+# Phrases that are always looked for, and notices of well-known licenses, sentence by sentence,
+# so that a notice that was cut or continued otherwise is still found.
 TEMPLATES = (
     Template("mit", "mit license", base=True),
     Template("apache", "apache license", base=True),
@@ -44,6 +47,40 @@ TEMPLATES = (
     Template("cc-by", "creative commons attribution 4 0 international license"),
     Template("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
     Template("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    Template("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    Template("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    Template("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    Template("apache", "licensed to the apache software foundation asf under one or more contributor license agreements see the notice file distributed with this work for additional information regarding copyright ownership"),
+    Template("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    Template("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
+    Template("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    Template("lgpl", "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details"),
+    Template("agpl", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    Template("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    Template("isc", "for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    Template("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is and the author disclaims all warranties"),
+    Template("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    Template("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    Template("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    Template("wtfpl", "do what the fuck you want to public license"),
+    Template("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    Template("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    Template("cddl", "the contents of this file are subject to the terms of the common development and distribution license the license you may not use this file except in compliance with the license"),
+    Template("eupl", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl the licence"),
+    Template("artistic", "you can redistribute it and or modify it under the terms of the artistic license 2 0"),
+    Template("ofl", "this font software is licensed under the sil open font license version 1 1"),
+    Template("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    Template("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    Template("cc-by-nd", "creative commons attribution noderivatives 4 0 international license"),
+    Template("ncsa", "university of illinois ncsa open source license"),
+    Template("ms-pl", "this license governs use of the accompanying software if you use the software you accept this license if you do not accept the license do not use the software"),
 )
 # Pairs of two such words occur everywhere and do not vote.
 FUNCTION_WORDS = ("a", "and", "any", "are", "as", "by", "for", "in", "is", "it", "not", "of", "or", "that", "the", "this", "to", "with", "you")
@@ -54,6 +91,15 @@ COVERAGE = 0.75  # the share of its pairs that a longer one needs
 SLACK = 3  # diagonals at most so far apart are merged, for longer templates
 STRETCH = 1.5  # most words of a span, as a multiple of the template's
 
+# How many template places of a span stand in order. ``lines`` holds its diagonals and their template places.
+STRONGEST = "array_min(transform(lines, l -> named_struct('fewest', -size(l.places), 'diagonal', l.diagonal))).diagonal"
+NEAREST = f"""flatten(transform(array({STRONGEST}), main -> array_sort(flatten(transform(lines, l -> transform(l.places,
+    p -> named_struct('t_place', p, 'off', abs(l.diagonal - main), 'diagonal', l.diagonal)))))))"""
+IN_ORDER = f"""aggregate({NEAREST}, named_struct('t_place', -1, 'place', -1, 'n', 0),
+    (s, v) -> if(v.t_place = s.t_place, s, named_struct('t_place', v.t_place, 'place', v.diagonal + v.t_place,
+        'n', s.n + if(v.diagonal + v.t_place > s.place, 1, 0))),
+    s -> s.n)"""
+
 
 def template_pairs(templates: tuple[Template, ...]) -> list[tuple]:
     """(number, label, base, size, place, first word, second word, pairs needed, pairs, slack) for each pair that votes."""
@@ -87,11 +133,11 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     Result: one row per row of ``docs``: doc_id as it is (also null), n_words, n_base (places where a base
     phrase stands), first_word and last_word (smallest and largest start of such a place, null without
     one), base_labels, labels (also those of other templates; distinct, sorted, comma-joined) and score
-    (the best coverage of a span that counts, else 0). A null, empty or one-word text has no spans. Rows
+    (the largest share of a template's pairs that a span holds in order, else 0). A null, empty or one-word text has no spans. Rows
     that are repeated are counted each on its own. Other columns are not read; an empty table gives an
     empty result.
 
-    The library is fixed, a few hundred pairs, so it is broadcast and no word is shuffled; what is
+    The library is fixed, about a thousand pairs, so it is broadcast and no word is shuffled; what is
     shuffled are votes, and of one text no more than its words.
     """
     spark = docs.sparkSession
@@ -127,11 +173,14 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES)
     spans = (
         bands.groupBy(*key, *shape, "band")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"),
+            F.collect_list(F.struct("diagonal", "places")).alias("lines"),
+            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("voted"),
             F.min(F.col("diagonal") + F.array_min("places")).alias("start"),
             (F.max(F.col("diagonal") + F.array_max("places")) + 2).alias("stop"),
         )
-        .filter((F.col("covered") >= F.col("needed")) & (F.col("stop") - F.col("start") <= STRETCH * F.col("size")))
+        .filter((F.col("voted") >= F.col("needed")) & (F.col("stop") - F.col("start") <= STRETCH * F.col("size")))
+        .withColumn("covered", F.expr(IN_ORDER))
+        .filter(F.col("covered") >= F.col("needed"))
     )
     base = F.col("base")
     found = spans.groupBy(*key).agg(

@@ -143,12 +143,21 @@ banded AS (
   FROM (
     SELECT v.*, s.slack, lag(diagonal) OVER (PARTITION BY row_id, v.number ORDER BY diagonal) AS before
     FROM votes v JOIN shapes s USING (number))),
+wide AS (
+  SELECT row_id, number, band, min(diagonal + t_place) AS start, max(diagonal + t_place) + 2 AS stop FROM banded GROUP BY ALL),
+strongest AS (
+  SELECT row_id, number, band, arg_min(diagonal, (-n, diagonal)) AS main
+  FROM (SELECT row_id, number, band, diagonal, count(*) AS n FROM banded GROUP BY ALL) GROUP BY ALL),
+nearest AS (
+  SELECT row_id, number, band, t_place, diagonal + t_place AS place
+  FROM banded JOIN strongest USING (row_id, number, band)
+  QUALIFY row_number() OVER (PARTITION BY row_id, number, band, t_place ORDER BY abs(diagonal - main), diagonal) = 1),
+in_order AS (
+  SELECT row_id, number, band, count(*) FILTER (before IS NULL OR place > before) AS covered
+  FROM (SELECT *, lag(place) OVER (PARTITION BY row_id, number, band ORDER BY t_place) AS before FROM nearest) GROUP BY ALL),
 spans AS (
   SELECT row_id, label, base, covered / n_grams AS coverage, start
-  FROM (
-    SELECT row_id, number, band, count(DISTINCT t_place) AS covered, min(diagonal + t_place) AS start,
-      max(diagonal + t_place) + 2 AS stop
-    FROM banded GROUP BY ALL) JOIN shapes USING (number)
+  FROM in_order JOIN wide USING (row_id, number, band) JOIN shapes USING (number)
   WHERE covered >= share * n_grams AND stop - start <= {STRETCH} * size),
 found AS (
   SELECT row_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
