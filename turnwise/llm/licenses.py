@@ -11,6 +11,7 @@ after the one before them count.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -117,8 +118,9 @@ def template_pairs(templates: tuple[Template, ...]) -> list[tuple]:
 def _pair_table(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
     kinds = "number int, label string, base boolean, size int, t_place int, t_a string, t_b string, needed double, n_pairs int, slack int"
     names = [k.split()[0] for k in kinds.split(", ")]
-    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in template_pairs(templates)])
-    table = spark.range(1).select(F.inline(rows.cast(f"array<struct<{kinds.replace(' ', ':').replace(',:', ',')}>>")))
+    rows = json.dumps([dict(zip(names, row)) for row in template_pairs(templates)])
+    fields = kinds.replace(" ", ":").replace(",:", ",")
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(rows), f"array<struct<{fields}>>")))
     return table.withColumn("t_hash", F.xxhash64("t_a", "t_b"))
 
 
