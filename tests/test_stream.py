@@ -137,3 +137,12 @@ def test_create_table_is_idempotent(spark, times):
         create_table(spark, "vectors", EMBEDDED)
     assert spark.table("vectors").schema["embedding"].dataType.simpleString() == "array<float>"
     spark.sql("DROP TABLE vectors")
+
+
+def test_a_table_that_is_a_folder_of_files_is_streamed_by_its_name(spark, folder):
+    rows(spark, 1, 2, 3, 4).repartition(3).write.parquet(f"{folder}/calls.parquet")
+    rows(spark, 5).coalesce(1).write.parquet(f"{folder}/others.parquet")
+    stream = stream_table(spark, folder, rows(spark).schema, files="calls.parquet")
+    embed_stream(stream, f"{folder}/sink", f"{folder}/checkpoint", Counting(f"{folder}/log"), KEY)
+    found = read_vectors(spark, f"{folder}/sink")
+    assert sorted(r["conversation_id"] for r in found.collect()) == ["c1", "c2", "c3", "c4"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnwise.config import path_exists, remove_folder
+from turnwise.config import is_folder, path_exists, remove_folder
 
 
 def _fresh(table: str) -> str:
@@ -47,6 +47,7 @@ def stream_table(
 ) -> DataFrame:
     """The rows appended to a table, as a stream. Paths need a schema; ``files`` is a name filter.
 
+    If ``files`` is the name of a folder in the path, as a table of many files has one, that folder is read.
     ``files_per_trigger`` bounds a batch, so that a backlog is worked off in several.
     """
     reader = spark.readStream
@@ -56,6 +57,8 @@ def stream_table(
         recover_table(spark, table)
         return reader.table(table)
     reader = reader.schema(schema)
+    if files and is_folder(spark, f"{table}/{files}"):
+        return reader.parquet(f"{table}/{files}")
     return (reader.option("pathGlobFilter", files) if files else reader).parquet(table)
 
 
