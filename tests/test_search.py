@@ -399,3 +399,43 @@ def test_an_empty_index(spark, folder):
     index = build_index(df, folder, "id", "body", DIM, model=HashEmbedder(DIM))
     asked = spark.createDataFrame([(1, "one", [1.0] * DIM)], "query_id bigint, text string, embedding array<float>")
     assert search.search_vector(asked, index, 3).collect() == []
+
+
+def written_rows(monkeypatch):
+    """How many rows each call of ``stored`` wrote, by purpose."""
+    counts, write = {}, search.stored
+
+    def counted(df, purpose):
+        out = write(df, purpose)
+        counts[purpose] = max(counts.get(purpose, 0), out.count())
+        return out
+
+    monkeypatch.setattr(search, "stored", counted)
+    return counts
+
+
+@pytest.mark.parametrize("as_text", [False, True])
+def test_many_queries_meet_slices_of_the_vectors(spark, vectors, folder, many_cells, monkeypatch, as_text):
+    for name, value in (("MOST_PAIRS", 100), ("PART_QUERIES", 5), ("PASS_QUERIES", 2), ("PASS_ROWS", 7), ("HELD_HITS", 30), ("SLICE_ROWS", 90)):
+        monkeypatch.setattr(search, name, value)
+    index = stored_vectors(spark, vectors, folder, as_text)
+    queries = vectors[:12].copy()
+    counts = written_rows(monkeypatch)
+    hits = search.search_vector(vector_table(spark, queries, "query_id"), index, 9, tasks=2)
+    key = (lambda n: f"k{n:04d}") if as_text else (lambda n: n)
+    assert rows_of(hits) == best_cosines(vectors, queries.astype(float), 9, key)
+    assert max(counts.values()) <= 12  # not queries times cells
+
+
+def test_many_queries_meet_slices_of_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(index_module, "BLOCK_DOCS", 8)
+    for name, value in (("MOST_PAIRS", 1), ("PART_QUERIES", 3), ("PASS_QUERIES", 2), ("HELD_HITS", 20), ("SLICE_ROWS", 30)):
+        monkeypatch.setattr(search, name, value)
+    texts = dict(enumerate(texts_of(300, 11) + ["alpha rare1"] * 20 + ["", "gamma"]))
+    df = spark.createDataFrame(list(texts.items()), "id bigint, body string")
+    index = keyword_index(df, "id", "body", buckets=4)
+    questions = dict(enumerate(["alpha rare1", "gamma", "rare1 gamma beta", "nothing known", "kappa iota theta", "alpha alpha", ""]))
+    asked = spark.createDataFrame(list(questions.items()), "query_id bigint, text string")
+    counts = written_rows(monkeypatch)
+    assert rows_of(search.search_keyword(asked, index, 5, 2)) == best_bm25(texts, questions, 5)
+    assert "block-bounds" not in counts and "asked-lists" not in counts

@@ -3,8 +3,11 @@
 Queries and index meet in few distributed jobs, however many queries there are. With a stored index only
 what can matter is read: lists of vectors in the cells near a query, and blocks of postings of the asked
 terms, first where the best hits are likely; then a bound on what the rest can score leaves out what cannot
-reach the ``k``-th hit found. Results are exact unless the caller asks for the near cells only. A plain table
-of vectors is cut into slices, to which the queries are copied.
+reach the ``k``-th hit found. Results are exact unless the caller asks for the near cells only. Where queries are
+so many that their pairs with lists or blocks are too many to be written out, slices of the index meet parts of the
+queries instead: a pair of slice and part is one task's work and gives the best ``k`` per query, so rows that
+are shuffled are as many as queries and slices make. A plain table of vectors is cut into slices, to which
+the queries are copied.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
 from turnwise.functions.text import tokens
 from turnwise.operators.distribution import SPREAD, arrow_runs, spread_join, stored, top_k
-from turnwise.operators.index import BUCKET, CHUNK_ROWS, EMBEDDING, PK, Index
+from turnwise.operators.index import BLOCK_DOCS, BUCKET, CHUNK_ROWS, EMBEDDING, PK, Index
 
 # Our choices: BM25 constants, the fusion constant, how many rows each side gives to the fusion
 # (part of the fusion's definition; callers set another), and the decimals that count in a ranking.
@@ -35,6 +39,12 @@ DECIMALS = 6
 BLOCK_QUERIES = 512  # query vectors that are packed into one row
 PROBES = 8  # cells that are searched first
 SEED_BLOCKS = 4  # blocks of postings that are searched first
+MOST_PAIRS = 4_000_000  # pairs of query and list, or of asked term and block, that are written out
+SLICE_ROWS = 1 << 16  # indexed rows per slice
+PART_QUERIES = 1 << 15  # queries per part
+PASS_QUERIES = 1024  # queries of a part that are compared at once
+PASS_ROWS = 1024  # vectors of a slice that are compared at once
+HELD_HITS = 1 << 19  # hits that are held before all but the best are dropped
 SLACK = 2e-6  # bounds may be wrong by rounding in the last decimal that counts
 
 QUERY = "query_id"
@@ -123,6 +133,86 @@ def _best_hits(hits: DataFrame, k: int) -> DataFrame:
     return top_k(hits, [QUERY], [F.col("score").desc(), F.col(PK).asc()], k)
 
 
+class _RunningBest:
+    """The ``k`` best hits of some queries so far. ``floor`` is what a further hit has to reach."""
+
+    def __init__(self, n_queries: int, places: np.ndarray, k: int, floor: float = -np.inf):
+        self.places, self.k = places, k
+        self.floor = np.full(n_queries, floor)
+        self.hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, start: int, scores: np.ndarray) -> None:
+        """Scores of the rows from ``start`` on, one column per query."""
+        rows, queries = np.nonzero(scores >= self.floor - SLACK)
+        self.hits.append((rows + start, queries, np.round(scores[rows, queries], DECIMALS) + 0.0))
+        self.size += len(rows)
+        if self.size > HELD_HITS:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, score) of the best hits; ties go to the smaller place."""
+        if not self.hits:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows, queries, scores = (np.concatenate(parts) for parts in zip(*self.hits))
+        order = np.lexsort((self.places[rows], -scores, queries))
+        rows, queries, scores = rows[order], queries[order], scores[order]
+        place = np.arange(len(queries)) - np.searchsorted(queries, queries)
+        last = place == self.k - 1
+        self.floor[queries[last]] = scores[last]
+        kept = place < self.k
+        self.hits = [(rows[kept], queries[kept], scores[kept])]
+        self.size = int(kept.sum())
+        return self.hits[0]
+
+
+def _places(keys: pa.Array) -> np.ndarray:
+    """The place of each key in their order."""
+    return pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
+
+
+def _met(rows: DataFrame, of: list[str], asked: DataFrame, n_rows: int, n_queries: int, tasks: int | None, compare, schema: T.StructType) -> DataFrame:
+    """``compare`` (rows, asked) of every slice of ``rows``, cut by a hash of ``of``, and every part of ``asked``."""
+    slices, parts = max(2 * _slices(asked, tasks), -(-n_rows // SLICE_ROWS)), max(1, -(-n_queries // PART_QUERIES))
+    part = F.pmod(F.xxhash64(F.col(QUERY)), F.lit(parts)).cast("int")
+    cut = rows.withColumn(SPREAD, _slice(F.struct(*of), slices)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    given = _copied(asked.withColumn("part", part), slices)
+    return cut.groupBy(SPREAD, "part").cogroup(given.groupBy(SPREAD, "part")).applyInArrow(compare, schema)
+
+
+def _hits_table(found: list[tuple[pa.Array, pa.Array, np.ndarray]], schema: T.StructType) -> pa.Table:
+    fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    tables = [pa.table([q, pk, pa.array(score, pa.float64())], names=fields.names).cast(fields) for q, pk, score in found]
+    return pa.concat_tables(tables) if tables else fields.empty_table()
+
+
+def _vector_slices(asked: DataFrame, index: Index, n_queries: int, k: int, tasks: int | None, schema: T.StructType) -> DataFrame:
+    """The best ``k`` (query_id, pk, score) of every query in each slice of the index's vectors."""
+
+    def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not rows.num_rows or not asked.num_rows:
+            return _hits_table([], schema)
+        held = rows.column("rows").combine_chunks().flatten()
+        keys, norms = held.field(PK), held.field("norm").to_numpy(zero_copy_only=False)
+        values = held.field(EMBEDDING).flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+        names, wanted = asked.column(QUERY).combine_chunks(), asked.column(EMBEDDING).combine_chunks()
+        wanted = wanted.flatten().to_numpy(zero_copy_only=False).reshape(len(wanted), -1).astype(np.float64)
+        lengths = np.sqrt((wanted * wanted).sum(axis=1))
+        known, places, found = np.flatnonzero(lengths > 0), _places(keys), []
+        for at in range(0, len(known), PASS_QUERIES):
+            of = known[at : at + PASS_QUERIES]
+            unit, best = (wanted[of] / lengths[of, None]).T, _RunningBest(len(of), places, k)
+            for start in range(0, len(held), PASS_ROWS):
+                end = start + PASS_ROWS
+                best.add(start, values[start:end].astype(np.float64) @ unit / norms[start:end, None])
+            row, query, score = best.best()
+            found.append((names.take(pa.array(of[query])), keys.take(pa.array(row)), score))
+        return _hits_table(found, schema)
+
+    keys = [BUCKET, "cell", "chunk"]
+    return _met(index.vectors.select(*keys, "rows"), keys, asked, index.docs.count(), n_queries, tasks, compare, schema)
+
+
 def search_vector(
     queries: DataFrame, index: Index, k: int = 10, tasks: int | None = None, probes: int = PROBES, exact: bool = True
 ) -> DataFrame:
@@ -131,13 +221,14 @@ def search_vector(
     ``queries`` holds query_id and embedding. Rows and queries without direction have no cosine and
     are left out. With the lists of a stored index, those of the ``probes`` cells nearest to a query are
     compared first; then, unless ``exact`` is false, every other list whose bound reaches the ``k``-th score
-    found. Without, vectors are packed into lists and compared list by list; the number of ``tasks``
+    found. Of more than ``MOST_PAIRS`` pairs of query and list none is written out: slices of the
+    index then meet parts of the queries. Without, vectors are packed into lists and compared list by list; the number of ``tasks``
     (the cluster's default parallelism if not given) is the number of slices.
     """
     schema = _hit_schema(queries, index)
     asked = stored(queries.filter(F.col(EMBEDDING).isNotNull()).select(QUERY, EMBEDDING), "queries")
     if index.vectors is not None:
-        return _search_cells(asked, index, k, probes, exact, schema)
+        return _search_cells(asked, index, k, probes, exact, schema, tasks)
     slices = _slices(queries, tasks)
     blocks = _packed(asked, QUERY, [QUERY, EMBEDDING], BLOCK_QUERIES, 1, ("one", "asked"))
     rows = index.docs.filter(F.col("norm") > 0)
@@ -225,8 +316,12 @@ def probes_for_recall(asked: DataFrame, index: Index, k: int = 10, recall: float
     return max(1, math.ceil(found or 1))
 
 
-def _search_cells(asked: DataFrame, index: Index, k: int, probes: int, exact: bool, schema: T.StructType) -> DataFrame:
+def _search_cells(
+    asked: DataFrame, index: Index, k: int, probes: int, exact: bool, schema: T.StructType, tasks: int | None
+) -> DataFrame:
     n_queries = asked.count()
+    if exact and n_queries * index.vectors.count() > MOST_PAIRS:
+        return _best_hits(_vector_slices(asked, index, n_queries, k, tasks, schema), k)
     near = stored(cells_of_queries(asked, index.cells), "query-cells")
     probed = near.filter(F.col("place") <= probes).select(QUERY, "cell")
     pairs = index.vectors.select("cell", "rows").join(_query_lists(probed, asked, ["cell"], n_queries), "cell")
@@ -287,6 +382,59 @@ def _block_hits(
     return dealt.sortWithinPartitions(BUCKET, "block", "part").mapInArrow(score, schema)
 
 
+def _block_slices(
+    weighed: DataFrame, n_queries: int, index: Index, n_docs: int, average: float, k: int, tasks: int | None, schema: T.StructType
+) -> DataFrame:
+    """The best ``k`` (query_id, pk, score) of every query in each slice of the index's blocks."""
+
+    def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not rows.num_rows or not asked.num_rows:
+            return _hits_table([], schema)
+        rows = rows.sort_by([(BUCKET, "ascending"), ("block", "ascending")])
+        terms = pc.unique(asked.column("term"))
+        term = pc.fill_null(pc.index_in(rows.column("term"), value_set=terms), -1).to_numpy()
+        pks, tfs, dls = (rows.column(c).combine_chunks() for c in ("pks", "tfs", "dls"))
+        ends, flat = pks.offsets.to_numpy(), pks.flatten()
+        tf = tfs.flatten().to_numpy().astype(np.float64)
+        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dls.flatten().to_numpy() / average))
+        place, at = _places(flat), np.stack([rows.column(c).to_numpy() for c in (BUCKET, "block")])
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1), rows.num_rows]
+        # Documents are numbered block by block: ``doc`` of each posting, ``first`` posting of each document.
+        doc, first, starts = np.empty(len(flat), np.int64), [], [0]
+        for a, b in zip(cuts, cuts[1:]):
+            _, one, number = np.unique(place[ends[a] : ends[b]], return_index=True, return_inverse=True)
+            doc[ends[a] : ends[b]] = number
+            first.append(one + ends[a])
+            starts.append(starts[-1] + len(one))
+        first = np.concatenate(first)
+        names = asked.column(QUERY).combine_chunks().dictionary_encode()
+        query, asks = names.indices.to_numpy(), pc.index_in(asked.column("term"), value_set=terms).to_numpy()
+        idf, found = asked.column("idf").to_numpy(), []
+        for low in range(0, len(names.dictionary), PASS_QUERIES):
+            n = min(PASS_QUERIES, len(names.dictionary) - low)
+            own = np.flatnonzero((query >= low) & (query < low + n))
+            own = own[np.argsort(asks[own], kind="stable")]
+            column, weight = query[own] - low, idf[own]
+            of_term = np.searchsorted(asks[own], np.arange(len(terms) + 1))
+            best = _RunningBest(n, place[first], k, SLACK)
+            for block, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                sums = np.zeros((starts[block + 1] - starts[block], n))
+                for i in range(a, b):
+                    p, q = of_term[term[i]], of_term[term[i] + 1]
+                    if q > p and term[i] >= 0:
+                        part = slice(ends[i], ends[i + 1])
+                        sums[doc[part, None], column[p:q]] += gain[part, None] * weight[p:q]
+                best.add(starts[block], np.where(sums > 0, sums, -1.0))
+            row, of, score = best.best()
+            real = score > 0
+            found.append((names.dictionary.take(pa.array(of[real] + low)), flat.take(pa.array(first[row[real]])), score[real]))
+        return _hits_table(found, schema)
+
+    terms = stored(weighed.select("term").distinct(), "terms-asked")
+    rows = index.postings.select(BUCKET, "block", "term", "pks", "tfs", "dls").join(terms, "term", "left_semi")
+    return _met(rows, [BUCKET, "block"], weighed, n_docs, n_queries, tasks, compare, schema)
+
+
 def block_bounds(weighed: DataFrame, index: Index, average: float) -> DataFrame:
     """(query_id, bucket, block, bound, place): the most that a document of a block can score, best blocks first.
 
@@ -323,9 +471,14 @@ def search_keyword(queries: DataFrame, index: Index, k: int = 10, tasks: int | N
     ``queries`` holds query_id and text. A query counts each of its terms once; a row without any of them is no
     hit. A block's bound is the sum of what its terms can add. A query's blocks of the highest bounds are
     summed first; of the others only those are read whose bound reaches the ``k``-th score found there, and of
-    these only the lists of asked terms. Sums exist for documents of these blocks alone.
+    these only the lists of asked terms. Sums exist for documents of these blocks alone. Of more than ``MOST_PAIRS``
+    pairs of asked term and block none is written out: slices of the index then meet parts of the queries.
     """
     weighed, average = weighed_terms(queries, index)
+    n_docs = index.totals.first()["n"]
+    if weighed.count() * -(-n_docs // BLOCK_DOCS) > MOST_PAIRS:
+        n_queries = weighed.select(QUERY).distinct().count()
+        return _best_hits(_block_slices(weighed, n_queries, index, n_docs, average, k, tasks, _hit_schema(queries, index)), k)
     bounds = stored(block_bounds(weighed, index, average), "block-bounds")
     seeds = bounds.filter(F.col("place") <= SEED_BLOCKS).select(QUERY, BUCKET, "block")
     schema, n_queries = _hit_schema(queries, index), weighed.select(QUERY).distinct().count()
