@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from turnwise.operators.transcript import (
     talk_time_beside_stored,
     transcript_parts,
 )
+from turnwise.plans import queries
 from turnwise.sources.calls import attendee_rows, parse_calls, read_calls, read_inferred, sentence_rows
 
 
@@ -285,3 +288,14 @@ def test_key_moments_keep_absent_levels(spark):
     )
     actions = sorted((r["conversation_id"], r["item_at"], r["original_text"]) for r in action_item_rows(calls).collect() if r["id"])
     assert actions == [("one", 0, "do")] and action_item_rows(calls).count() == 2
+
+
+def test_files_of_calls_are_dealt_out_to_all_tasks(spark, folder, monkeypatch):
+    turns = [(n, turn, "user" if turn % 2 else "assistant", f"text {n} {turn}") for n in range(200) for turn in range(2)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    monkeypatch.setattr(queries, "work_folder", lambda spark, purpose: f"{folder}/{purpose}")
+    found = queries.QUERIES["read_pretty_calls"](spark, folder).collect()
+    assert sorted((r["conversation_id"], r["order_number"], r["text"]) for r in found) == sorted((str(n), t, x) for n, t, _, x in turns)
+    names = [path.name for path in Path(folder, "pretty-calls").glob("*.json")]
+    tasks = Counter(name.split("-")[1] for name in names)
+    assert len(names) == 200 and len(tasks) >= spark.sparkContext.defaultParallelism and max(tasks.values()) < 30

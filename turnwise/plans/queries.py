@@ -1352,7 +1352,11 @@ def read_pretty_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pretty-printed document per file, in a folder that also holds files that are not JSON."""
     folder = work_folder(spark, "pretty-calls")
     calls = derived.turns_as_calls(table(spark, sf_dir, "conversations"))
-    calls.write.option("maxRecordsPerFile", 1).option("pretty", True).json(folder)
+    # Making a file costs more than its bytes: files are dealt out by number, and each task puts its own in place,
+    # which otherwise the driver does, one after another.
+    dealt = use_all_cores(calls, 4 * spark.sparkContext.defaultParallelism)
+    one_each = dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+    one_each.option("pretty", True).json(folder)
     calls.select(F.to_json("sentences").alias("note")).write.mode("append").text(folder)
     return sentence_rows(read_calls(spark, folder)).select("conversation_id", "order_number", "text")
 
