@@ -132,3 +132,9 @@ def test_a_hub_of_very_many_links(spark, monkeypatch):
     pairs = [(0, i) for i in range(1, 300)] + [(500 + i, 501 + i) for i in range(9)]
     found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(300)}, **{500 + i: 500 for i in range(10)}}
+
+
+def test_the_table_is_shuffled_the_same_way_at_any_size(spark):
+    kept = drop_near_copies(docs_of(spark, near_texts(40, 5)))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

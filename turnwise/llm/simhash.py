@@ -280,7 +280,8 @@ def drop_near_copies(docs: DataFrame, n_words: int = 4, radius: int = 4, blocks:
     def among(pairs: DataFrame) -> Column:
         return docs["doc_id"].cast("long").eqNullSafe(pairs["doc_id"]) & (text_key(docs["text"]) == pairs["text_key"])
 
-    left = docs.join(gone, among(gone), "left_anti")
+    # The list grows with the table: it is broadcast at no size, so what is shuffled is the table once, at any size.
+    left = docs.join(gone.hint("merge"), among(gone), "left_anti")
     if again.isEmpty():
         return left
     once = left.join(again, among(again), "left_semi").dropDuplicates(["doc_id", "text"])
