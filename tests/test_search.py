@@ -439,3 +439,20 @@ def test_many_queries_meet_slices_of_the_blocks(spark, monkeypatch):
     counts = written_rows(monkeypatch)
     assert rows_of(search.search_keyword(asked, index, 5, 2)) == best_bm25(texts, questions, 5)
     assert "block-bounds" not in counts and "asked-lists" not in counts
+
+
+def test_a_large_bucket_is_the_work_of_several_tasks(spark, folder, monkeypatch):
+    monkeypatch.setattr(index_module, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(index_module, "PART_CHARS", 100)
+    texts = dict(enumerate(texts_of(200, 2)))
+    df = spark.createDataFrame(list(texts.items()), "id bigint, body string")
+    index = build_index(df, folder, "id", "body", DIM, model=HashEmbedder(DIM), buckets=2)
+    for name in ("docs", "postings"):
+        assert all(len(list(p.glob("*.parquet"))) > 3 for p in Path(folder, name).glob("bucket=*"))
+    docs = index.postings.select("bucket", "block", F.explode("pks").alias("pk")).distinct()
+    assert docs.count() == sum(1 for t in texts.values() if re.search(r"\w", t))
+    sizes = docs.groupBy("bucket", "block").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 8
+    questions = {0: "alpha", 1: "gamma beta"}
+    asked = spark.createDataFrame(list(questions.items()), "query_id bigint, text string")
+    assert rows_of(search.search_keyword(asked, index, 5)) == best_bm25(texts, questions, 5)

@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +34,7 @@ from turnwise.config import path_exists, remove_folder
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
 from turnwise.functions.text import tokens
 from turnwise.operators.changes import change_kinds, content_hash
-from turnwise.operators.distribution import arrow_runs, stored, use_all_cores
+from turnwise.operators.distribution import stored, use_all_cores
 
 PK = "pk"
 CONTENT = "content"
@@ -42,6 +43,7 @@ BUCKET = "bucket"
 BUCKETS = 16
 TEXTS_PER_COUNT = 256
 BLOCK_DOCS = 512  # documents per block of postings
+PART_CHARS = 1 << 26  # characters of documents that a task sorts or writes
 CHUNK_ROWS = 1024  # vectors that are packed into one row
 SAMPLE_VECTORS = 8192  # vectors at most that centroids are fitted on
 VECTORS_PER_CELL, MOST_CELLS = 64, 1024  # per bucket
@@ -123,8 +125,9 @@ def _block_schema(pk_type: T.DataType) -> T.StructType:
 def posting_blocks(docs: DataFrame) -> DataFrame:
     """(bucket, block, term, pks, tfs, dls, n, sum_tf, max_tf, min_dl) of documents (bucket, pk, content).
 
-    A bucket's documents are numbered by length and cut into blocks of ``BLOCK_DOCS``; each block is counted
-    where it is read, with no more than its own texts in memory.
+    Documents are dealt out in ranges of bucket and length and cut into blocks of at most ``BLOCK_DOCS`` there; each
+    block is counted where it is read, with no more than its own texts in memory. A block's number is unique
+    in its bucket.
     """
     schema = _block_schema(docs.schema[PK].dataType)
     fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
@@ -149,16 +152,42 @@ def posting_blocks(docs: DataFrame) -> DataFrame:
         whole = pa.table([*place, *columns], names=fields.names).cast(fields)
         return whole.combine_chunks().to_batches(max_chunksize=1 << 14)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in arrow_runs(batches, 2):
-            yield from counted(rows)
+    n, most = parts_of(docs), BLOCK_DOCS
 
-    by_length = Window.partitionBy(BUCKET).orderBy(F.length(CONTENT), PK)
-    block = F.floor((F.row_number().over(by_length) - 1) / BLOCK_DOCS).cast("int")
-    # Ranges of buckets are dealt out evenly, hashes of few buckets are not.
-    dealt = docs.select(BUCKET, PK, CONTENT).repartitionByRange(BUCKET)
-    placed = dealt.select(BUCKET, block.alias("block"), PK, CONTENT)
-    return placed.select(BUCKET, "block", PK, tokens(F.col(CONTENT)).alias("tokens")).filter("size(tokens) > 0").mapInArrow(count, schema)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, rows in enumerate(_blocks(batches, most)):
+            block = pa.array(np.full(rows.num_rows, number * n + task), pa.int32())
+            yield from counted(rows.add_column(1, "block", block))
+
+    # Ranges are alike in size, whatever the buckets are; a bucket may end in one range and go on in the next.
+    sized = docs.select(BUCKET, PK, CONTENT, F.length(CONTENT).alias("size"))
+    dealt = sized.repartitionByRange(n, BUCKET, "size", PK).sortWithinPartitions(BUCKET, "size", PK)
+    return dealt.select(BUCKET, PK, tokens(F.col(CONTENT)).alias("tokens")).filter("size(tokens) > 0").mapInArrow(count, schema)
+
+
+def parts_of(docs: DataFrame) -> int:
+    """Into how many parts a table (content) is dealt: as many as there are cores, more where these were large."""
+    chars = docs.agg(F.sum(F.length(CONTENT)).alias("n")).first()["n"] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // PART_CHARS))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Rows in their order, ``most`` at a time; rows of two buckets are never in one block."""
+    held, size, bucket = [], 0, None
+    for batch in batches:
+        buckets = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(buckets[1:] != buckets[:-1]) + 1
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            while start < end:
+                if held and (size == most or buckets[start] != bucket):
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, size = [], 0
+                taken = min(end - start, most - size)
+                held.append(batch.slice(start, taken))
+                size, bucket, start = size + taken, buckets[start], start + taken
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def posting_rows(index: Index) -> DataFrame:
@@ -297,14 +326,16 @@ def _write_index(docs: DataFrame, folder: str, centroids: np.ndarray, touched: s
         for empty in (touched or set()) - remaining:
             remove_folder(spark, f"{folder}/{name}/{BUCKET}={empty}")
 
-    put(postings, "postings", "term", "block")  # every bucket is in one task
-    put(vectors.repartition(BUCKET), "vectors", "cell", "chunk")
+    parts = parts_of(docs)
+    put(postings, "postings", "term", "block")
+    pieces = -(-parts // max(1, len(remaining)))  # a bucket is as large as the data make it: no task has to hold one
+    put(vectors.repartition(parts, BUCKET, F.pmod(F.col("cell"), F.lit(pieces))), "vectors", "cell", "chunk")
     _term_counts(spark.read.schema(postings.schema).parquet(f"{folder}/postings")).write.mode("overwrite").parquet(f"{folder}/terms")
     keys = docs.select(PK)
     if touched is not None:
         keys = keys.unionByName(spark.read.schema(docs.schema).parquet(f"{folder}/docs").filter(~F.col(BUCKET).isin(touched)).select(PK))
     _totals(keys, spark.read.parquet(f"{folder}/terms")).write.mode("overwrite").parquet(f"{folder}/totals")
-    put(docs.repartition(BUCKET), "docs", PK)
+    put(docs.repartitionByRange(parts, BUCKET, PK), "docs", PK)
     return {"docs": docs.schema.json(), "postings": postings.schema.json(), "vectors": vectors.schema.json()}
 
 
