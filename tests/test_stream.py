@@ -15,6 +15,7 @@ from turnwise.sources.tables import (
     scan,
     stream_table,
 )
+from turnwise.streaming import embedding
 from turnwise.streaming.embedding import append_stream, embed_stream, read_vectors, sync_vectors
 
 SCHEMA = "conversation_id string, content string, name string"
@@ -146,3 +147,31 @@ def test_a_table_that_is_a_folder_of_files_is_streamed_by_its_name(spark, folder
     embed_stream(stream, f"{folder}/sink", f"{folder}/checkpoint", Counting(f"{folder}/log"), KEY)
     found = read_vectors(spark, f"{folder}/sink")
     assert sorted(r["conversation_id"] for r in found.collect()) == ["c1", "c2", "c3", "c4"]
+
+
+def test_texts_are_shuffled_once_per_merge(spark, folder, monkeypatch):
+    schema, model = "key string, content string", Counting(f"{folder}/log")
+    monkeypatch.setattr(embedding, "FEW_IDS", 0)
+    written, write = [], embedding.stored
+
+    def narrow(df, purpose):
+        written.append(df.columns)
+        return write(df, purpose)
+
+    monkeypatch.setattr(embedding, "stored", narrow)
+
+    def sync(*given):
+        df = spark.createDataFrame(list(given), schema)
+        sync_vectors(df, f"{folder}/sink", model, ["key"], buckets=2)
+        found = read_vectors(spark, f"{folder}/sink")
+        assert all(len(r["embedding"]) > 0 for r in found.filter("content IS NOT NULL").collect())
+        return sorted((r["key"], r["content"]) for r in found.collect())
+
+    one = [("a", "one"), ("b", "two"), ("b", "two"), ("c", "three"), ("d", None)]
+    assert sync(*one) == [("a", "one"), ("b", "two"), ("c", "three"), ("d", None)]
+    two = [("b", "two"), ("c", "other"), ("c", "other"), ("e", "new"), ("d", None)]
+    assert sync(*two) == [("b", "two"), ("c", "other"), ("d", None), ("e", "new")]
+    assert sync(("e", "new")) == [("e", "new")]
+    assert sent(f"{folder}/log") == sorted(["one", "two", "three", "other", "new"])
+    # Only keys and hashes are written on the way.
+    assert not any("content" in columns for columns in written)

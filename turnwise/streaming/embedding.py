@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnwise.config import path_exists, remove_folder
 from turnwise.functions.models import EMBEDDING_REQUEST_LIMIT, ModelFactory, embed
-from turnwise.operators.changes import DELETE, change_kinds, content_hash, with_content_key
-from turnwise.operators.distribution import stored, use_all_cores
+from turnwise.operators.changes import content_hash, with_content_key
+from turnwise.operators.distribution import stored
 
 ID_BUCKET = "id_bucket"
 ID_BUCKETS = 16
+FEW_IDS = 50_000  # changed ids that are broadcast, so that only their texts are shuffled
+KEPT, GIVEN, MARK = 0, 1, 2
 
 
 def append_stream(stream: DataFrame, table: str, checkpoint: str) -> None:
@@ -32,11 +34,19 @@ def participant_content(participants: DataFrame) -> DataFrame:
 
 
 def _keyed_rows(rows: DataFrame, key: list[str], buckets: int) -> DataFrame:
-    """``rows`` with an id made from the key columns, a hash of the rest and a bucket; one row per id."""
+    """``rows`` with an id made from the key columns, a hash of the rest and a bucket."""
     named = with_content_key(rows, key)
     hashed = named.withColumn("content_hash", content_hash(named, ["id"]))
-    one = hashed.groupBy("id").agg(F.max_by(F.struct(*hashed.columns), "content_hash").alias("row")).select("row.*")
-    return one.withColumn(ID_BUCKET, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    return hashed.withColumn(ID_BUCKET, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+
+
+def _states(rows: DataFrame) -> DataFrame:
+    """(id, id_bucket, content_hash), one row per id: of several rows that with the largest hash counts."""
+    return rows.groupBy("id", ID_BUCKET).agg(F.max("content_hash").alias("content_hash"))
+
+
+def _known(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(f"id string, content_hash string, {ID_BUCKET} int").parquet(folder)
 
 
 def _numbers(df: DataFrame) -> set[int]:
@@ -44,36 +54,73 @@ def _numbers(df: DataFrame) -> set[int]:
     return {r[ID_BUCKET] for r in df.select(ID_BUCKET).distinct().collect()}
 
 
-def _merge(
-    rows: DataFrame, folder: str, model: ModelFactory, text: str, request_size: int, tasks: int | None, gone: DataFrame | None = None
-) -> None:
-    """Bring the ids of ``rows`` in the sink to their present state, and take out the ids in ``gone`` (id, id_bucket).
+def _changes(states: DataFrame, folder: str) -> DataFrame:
+    """(id, id_bucket, content_hash, replaced): the ids of ``states`` that the sink lacks or has with other content."""
+    known = _known(states.sparkSession, folder).filter(F.col(ID_BUCKET).isin(_numbers(states)))
+    there = known.select("id", F.col("content_hash").alias("old_hash"))
+    found = states.join(there, "id", "left").filter("old_hash IS NULL OR old_hash <> content_hash")
+    return found.select("id", ID_BUCKET, "content_hash", F.col("old_hash").isNotNull().alias("replaced"))
+
+
+def _merge(rows: DataFrame, changes: DataFrame, folder: str, model: ModelFactory, text: str, request_size: int, tasks: int | None) -> None:
+    """Bring the ids of ``changes`` (id, id_bucket, content_hash, replaced) in the sink to the state of ``rows``.
 
-    Only buckets with such ids are read. Ids that are there with the same content are not embedded again. New ids
-    are appended; a bucket that loses or changes a row is rewritten. A merge that was stopped can be repeated.
+    A null content_hash takes an id out. Rows of other ids are not embedded; new ids are appended; a bucket that loses or
+    changes a row is rewritten. Texts go through one shuffle, together with the rows that a rewritten bucket
+    keeps. A merge that was stopped can be repeated.
     """
     spark = rows.sparkSession
     schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    touched, changed = _numbers(changes), _numbers(changes.filter("replaced"))
     there = path_exists(spark, folder)
-    if there:
-        asked = _numbers(rows) | (_numbers(gone) if gone is not None else set())
-        old = spark.read.schema(schema).parquet(folder).filter(F.col(ID_BUCKET).isin(asked))
-        rows = rows.join(old.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
-    rows = use_all_cores(rows.select(schema.names[:-1]), tasks)
-    fresh = stored(rows.withColumn("embedding", embed(F.col(text), model, request_size)), "fresh-vectors")
-    changed: set[int] = set()
-    if there:
-        replaced = fresh.select("id") if gone is None else fresh.select("id").unionByName(gone.select("id"))
-        changed = _numbers(old.join(replaced, "id", "left_semi"))
+    if there and not touched:
+        return
+    wanted = changes.filter("content_hash IS NOT NULL").select("id", "content_hash")
+    if wanted.count() <= FEW_IDS:
+        rows = rows.join(F.broadcast(wanted), ["id", "content_hash"], "left_semi").select(rows.columns)
+    old = spark.read.schema(schema).parquet(folder) if there else spark.createDataFrame([], schema)
+
+    def brought(buckets: set[int]) -> DataFrame:
+        here = F.col(ID_BUCKET).isin(buckets)
+        marks = changes.filter(here).select("id", ID_BUCKET, "content_hash", F.lit(MARK).alias("_kind"))
+        parts = [old.filter(here).withColumn("_kind", F.lit(KEPT)), rows.filter(here).withColumn("_kind", F.lit(GIVEN)), marks]
+        whole = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+        dealt = whole.repartitionByRange(tasks or spark.sparkContext.defaultParallelism, ID_BUCKET, "id")
+        # An id's mark comes first, then the given rows by hash.
+        order = Window.partitionBy(ID_BUCKET, "id").orderBy(F.desc("_kind"), "content_hash")
+        seen = dealt.select(
+            "*",
+            (F.first("_kind").over(order) == MARK).alias("_marked"),
+            F.first("content_hash").over(order).alias("_wanted"),
+            F.lag("_kind").over(order).eqNullSafe(F.lit(GIVEN)).alias("_again"),
+            F.lag("content_hash").over(order).eqNullSafe(F.col("content_hash")).alias("_same"),
+        )
+        stays = (F.col("_kind") == KEPT) & ~F.col("_marked")
+        counts = (F.col("_kind") == GIVEN) & F.col("_marked") & F.col("content_hash").eqNullSafe(F.col("_wanted")) & ~(F.col("_again") & F.col("_same"))
+        kept = seen.filter(stays | counts)
+        given = F.col("_kind") == GIVEN
+        fresh = kept.withColumn("_fresh", embed(F.when(given, F.col(text)), model, request_size))
+        return fresh.withColumn("embedding", F.when(given, F.col("_fresh")).otherwise(F.col("embedding"))).select(schema.names)
+
     if changed:
-        kept = old.filter(F.col(ID_BUCKET).isin(changed)).join(replaced, "id", "left_anti").select(schema.names)
-        whole = stored(kept.unionByName(fresh.filter(F.col(ID_BUCKET).isin(changed))), "merged-vectors")
-        writer = whole.repartition(ID_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        known = _known(spark, folder).filter(F.col(ID_BUCKET).isin(changed))
+        left = _numbers(known.join(changes.select("id"), "id", "left_anti")) | _numbers(changes.filter("content_hash IS NOT NULL"))
+        writer = brought(changed).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(ID_BUCKET).parquet(folder)
-        for empty in changed - _numbers(whole):
+        for empty in changed - left:
             remove_folder(spark, f"{folder}/{ID_BUCKET}={empty}")
-    new = fresh.filter(~F.col(ID_BUCKET).isin(changed)) if changed else fresh
-    new.repartition(ID_BUCKET).write.mode("append").partitionBy(ID_BUCKET).parquet(folder)
+    if touched - changed or not there:
+        old = old.limit(0)
+        brought(touched - changed).write.mode("append").partitionBy(ID_BUCKET).parquet(folder)
+
+
+def _bring(rows: DataFrame, folder: str, model: ModelFactory, text: str, request_size: int, tasks: int | None) -> None:
+    states = stored(_states(rows), "vector-states")
+    if path_exists(rows.sparkSession, folder):
+        changes = stored(_changes(states, folder), "vector-changes")
+    else:
+        changes = states.withColumn("replaced", F.lit(False))
+    _merge(rows, changes, folder, model, text, request_size, tasks)
 
 
 def embed_stream(
@@ -98,7 +145,7 @@ def embed_stream(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        _merge(_keyed_rows(batch, key, buckets), folder, model, text, request_size, tasks)
+        _bring(_keyed_rows(batch, key, buckets), folder, model, text, request_size, tasks)
 
     query = (
         stream.writeStream.trigger(availableNow=True)
@@ -127,15 +174,13 @@ def sync_vectors(
     spark = present.sparkSession
     rows = _keyed_rows(present, key, buckets)
     if not path_exists(spark, folder):
-        _merge(rows, folder, model, text, request_size, tasks)
+        _bring(rows, folder, model, text, request_size, tasks)
         return
-    known = spark.read.schema(f"id string, content_hash string, {ID_BUCKET} int").parquet(folder)
-    changes = change_kinds(
-        known.select("id", F.col("content_hash").alias("old_hash")), rows.select("id", F.col("content_hash").alias("new_hash")), ["id"]
-    )
-    changes = stored(changes.withColumn(ID_BUCKET, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")), "vector-changes")
-    wanted = rows.join(changes.filter(F.col("change") != DELETE).select("id"), "id", "left_semi")
-    _merge(wanted, folder, model, text, request_size, tasks, changes.filter(F.col("change") == DELETE).select("id", ID_BUCKET))
+    states = stored(_states(rows), "vector-states")
+    gone = _known(spark, folder).join(states.select("id"), "id", "left_anti").select("id", ID_BUCKET)
+    gone = gone.select("id", ID_BUCKET, F.lit(None).cast("string").alias("content_hash"), F.lit(True).alias("replaced"))
+    changes = stored(_changes(states, folder).unionByName(gone), "vector-changes")
+    _merge(rows, changes, folder, model, text, request_size, tasks)
 
 
 def read_vectors(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
