@@ -435,7 +435,7 @@ def test_many_queries_meet_slices_of_the_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "id bigint, body string")
     index = keyword_index(df, "id", "body", buckets=4)
     questions = dict(enumerate(["alpha rare1", "gamma", "rare1 gamma beta", "nothing known", "kappa iota theta", "alpha alpha", ""]))
-    asked = spark.createDataFrame(list(questions.items()), "query_id bigint, text string")
+    asked = spark.createDataFrame([*questions.items(), (None, "gamma")], "query_id bigint, text string")
     counts = written_rows(monkeypatch)
     assert rows_of(search.search_keyword(asked, index, 5, 2)) == best_bm25(texts, questions, 5)
     assert "block-bounds" not in counts and "asked-lists" not in counts

@@ -321,6 +321,7 @@ def _search_cells(
 ) -> DataFrame:
     n_queries = asked.count()
     if exact and n_queries * index.vectors.count() > MOST_PAIRS:
+        asked = asked.select(QUERY).join(asked, QUERY)  # rows of one id count as they do over cells, and none without
         return _best_hits(_vector_slices(asked, index, n_queries, k, tasks, schema), k)
     near = stored(cells_of_queries(asked, index.cells), "query-cells")
     probed = near.filter(F.col("place") <= probes).select(QUERY, "cell")
@@ -477,6 +478,7 @@ def search_keyword(queries: DataFrame, index: Index, k: int = 10, tasks: int | N
     weighed, average = weighed_terms(queries, index)
     n_docs = index.totals.first()["n"]
     if weighed.count() * -(-n_docs // BLOCK_DOCS) > MOST_PAIRS:
+        weighed = weighed.filter(F.col(QUERY).isNotNull())
         n_queries = weighed.select(QUERY).distinct().count()
         return _best_hits(_block_slices(weighed, n_queries, index, n_docs, average, k, tasks, _hit_schema(queries, index)), k)
     bounds = stored(block_bounds(weighed, index, average), "block-bounds")
