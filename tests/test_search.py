@@ -456,3 +456,72 @@ def test_a_large_bucket_is_the_work_of_several_tasks(spark, folder, monkeypatch)
     questions = {0: "alpha", 1: "gamma beta"}
     asked = spark.createDataFrame(list(questions.items()), "query_id bigint, text string")
     assert rows_of(search.search_keyword(asked, index, 5)) == best_bm25(texts, questions, 5)
+
+
+ODD_TEXTS = [(n, text) for n, text in enumerate(texts_of(200, 21))]
+ODD_TEXTS += [(7, "alpha rare1 rare1"), (7, "alpha rare1 gamma"), (8, ODD_TEXTS[8][1]), (300, None), (301, "...")]
+
+
+@pytest.mark.parametrize("common", [0, 2, 256])
+def test_slices_give_what_blocks_give(spark, monkeypatch, common):
+    """Also where keys of documents and queries repeat, and whether terms stand in a matrix or in lists."""
+    monkeypatch.setattr(index_module, "BLOCK_DOCS", 8)
+    index = keyword_index(spark.createDataFrame(ODD_TEXTS, "id bigint, body string"), "id", "body", buckets=4)
+    questions = [*enumerate(texts_of(9, 22)), (3, "rare1 alpha"), (20, "rare1"), (21, None), (22, "unknown")]
+    asked = spark.createDataFrame(questions, "query_id bigint, text string")
+    by_block = rows_with_nulls(search.search_keyword(asked, index, 12, 2))
+    for name, value in (("MOST_PAIRS", 1), ("PART_QUERIES", 3), ("PASS_QUERIES", 2), ("SLICE_ROWS", 30), ("MOST_COMMON", common), ("COMMON_SHARE", 0.01), ("GROUPED", 2)):
+        monkeypatch.setattr(search, name, value)
+    assert rows_with_nulls(search.search_keyword(asked, index, 12, 2)) == by_block and len(by_block) > 50
+
+
+def rows_with_nulls(hits):
+    return sorted(tuple(map(str, r)) for r in hits.select("query_id", "pk", "score", "rank").collect())
+
+
+def test_hits_of_a_slice_are_one_row_per_query(spark, monkeypatch):
+    monkeypatch.setattr(index_module, "BLOCK_DOCS", 8)
+    index = keyword_index(spark.createDataFrame(list(enumerate(texts_of(300, 11))), "id bigint, body string"), "id", "body", buckets=4)
+    asked = spark.createDataFrame([(0, "alpha gamma"), (1, "kappa"), (2, "beta delta")], "query_id bigint, text string")
+    weighed, average = search.weighed_terms(asked, index)
+    schema = search._hit_schema(asked, index)
+    assert search._block_slices(weighed, 3, index, 300, average, 20, 1, schema).count() <= 3 * 2  # queries times slices
+    generator = np.random.default_rng(3)
+    vectors = generator.normal(size=(300, DIM)).astype(np.float32)
+    held = vector_table(spark, vectors, "pk").select(F.lit(0).alias("bucket"), (F.col("pk") % 7).cast("int").alias("cell"), F.lit(0).alias("chunk"), "pk", "embedding", vector_norm(F.col("embedding")).alias("norm"))
+    lists = held.groupBy("bucket", "cell", "chunk").agg(F.collect_list(F.struct("pk", "embedding", "norm")).alias("rows"))
+    found = search._vector_slices(vector_table(spark, vectors[:3], "query_id"), Index(held, vectors=lists), 3, 20, 1, schema)
+    assert found.count() <= 3 * 2
+    assert rows_of(search._best_of_lists(found, 20)) == best_cosines(vectors, vectors[:3].astype(float), 20, int)
+
+
+def test_vectors_that_are_no_numbers_hide_no_others(spark, folder, monkeypatch):
+    rows = np.random.default_rng(5).normal(size=(60, DIM)).astype(np.float32)
+    asked = vector_table(spark, rows[:4], "query_id")
+    rows[50], rows[51, 0] = np.nan, np.inf
+    index = stored_vectors(spark, rows, folder)
+    monkeypatch.setattr(search, "MOST_PAIRS", 1)
+    good = {n: v for n, v in enumerate(rows) if np.isfinite(v).all()}
+    assert rows_of(search.search_vector(asked, index, 5, 2)) == best_cosines(np.stack(list(good.values())), rows[:4].astype(float), 5, list(good).__getitem__)
+
+
+def test_slices_go_to_tasks_of_their_own(spark):
+    keys = search.keys_apart(spark, 13)
+    placed = spark.createDataFrame([(k,) for k in keys], "k int").repartition(13, "k").select(F.spark_partition_id().alias("at"))
+    assert placed.distinct().count() == 13
+
+
+def test_texts_are_cut_into_tokens_once(spark, documents):
+    rows = spark.createDataFrame(list(documents.items()), "pk bigint, content string").withColumn("bucket", F.lit(0))
+    plan = index_module.posting_blocks(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_stand_in_vectors_of_any_text():
+    generator, find = np.random.default_rng(6), __import__("regex").compile(r"[\p{L}\p{N}]+").findall
+    texts = ["", "...", "\u00c4rger a_b 3\u00bd \u00b5", "\u0130stanbul \u212a \u03a3\u03b1\u03c2", "\u65e5\u672c 12 x"]
+    texts += ["".join(chr(c) if c > 40 else " " for c in generator.integers(1, high, 80)) for high in (256, 3000) for _ in range(40)]
+    for text, vector in zip(texts, HashEmbedder(DIM)()(texts)):
+        counts = Counter(int(__import__("hashlib").md5(t.encode()).hexdigest()[:8], 16) % DIM for t in find(text.lower()))
+        length = math.sqrt(sum(c * c for c in counts.values()))
+        assert vector == [counts[b] / length if length else 0.0 for b in range(DIM)]

@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -42,9 +42,15 @@ SEED_BLOCKS = 4  # blocks of postings that are searched first
 MOST_PAIRS = 4_000_000  # pairs of query and list, or of asked term and block, that are written out
 SLICE_ROWS = 1 << 16  # indexed rows per slice
 PART_QUERIES = 1 << 15  # queries per part
-PASS_QUERIES = 1024  # queries of a part that are compared at once
-PASS_ROWS = 1024  # vectors of a slice that are compared at once
+PASS_QUERIES = 128  # queries of a part that are compared at once
+PASS_ROWS = 1 << 15  # vectors of a slice that are compared at once
+PASS_PAIRS = 1 << 16  # pairs of query and vector that are compared in full at once
 HELD_HITS = 1 << 19  # hits that are held before all but the best are dropped
+SLICE_POSTINGS = 1 << 23  # postings of asked terms per slice
+GROUPED = 32  # numbers of which only the highest counts for a bound
+MOST_COMMON = 256  # terms whose sums a product gives
+COMMON_SHARE = 0.005  # the share of all pairs of query and document that such a term is in
+HALF_UNIT = 2.0**-24  # what rounding to single precision can add to a number, as a share of it
 SLACK = 2e-6  # bounds may be wrong by rounding in the last decimal that counts
 
 QUERY = "query_id"
@@ -133,35 +139,48 @@ def _best_hits(hits: DataFrame, k: int) -> DataFrame:
     return top_k(hits, [QUERY], [F.col("score").desc(), F.col(PK).asc()], k)
 
 
+def _reach(near: np.ndarray, k: int) -> np.ndarray:
+    """For each line a value that ``k`` of its numbers reach or exceed, hardly below the ``k``-th highest.
+
+    Of every ``GROUPED`` numbers only the highest counts, so few have to be put in order.
+    """
+    width = near.shape[1] // GROUPED
+    if width >= 4 * k:
+        near = near[:, : width * GROUPED].reshape(len(near), GROUPED, width).max(axis=1)
+    n = near.shape[1]
+    return np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf, near.dtype)
+
+
 class _RunningBest:
-    """The ``k`` best hits of some queries so far. ``floor`` is what a further hit has to reach."""
+    """The ``k`` best hits of some queries so far; rows are numbered as their keys are ordered.
+
+    ``floor`` is what a further hit has to reach.
+    """
 
-    def __init__(self, n_queries: int, places: np.ndarray, k: int, floor: float = -np.inf):
-        self.places, self.k = places, k
-        self.floor = np.full(n_queries, floor)
+    def __init__(self, n_queries: int, k: int):
+        self.k = k
+        self.floor = np.full(n_queries, -np.inf)
         self.hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, start: int, scores: np.ndarray) -> None:
-        """Scores of the rows from ``start`` on, one column per query."""
-        rows, queries = np.nonzero(scores >= self.floor - SLACK)
-        self.hits.append((rows + start, queries, np.round(scores[rows, queries], DECIMALS) + 0.0))
+    def add(self, queries: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
+        self.hits.append((queries, rows, np.round(scores, DECIMALS) + 0.0))
         self.size += len(rows)
         if self.size > HELD_HITS:
             self.best()
 
     def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, query, score) of the best hits; ties go to the smaller place."""
+        """(query, row, score) of the best hits; ties go to the smaller key."""
         if not self.hits:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        rows, queries, scores = (np.concatenate(parts) for parts in zip(*self.hits))
-        order = np.lexsort((self.places[rows], -scores, queries))
-        rows, queries, scores = rows[order], queries[order], scores[order]
+        queries, rows, scores = (np.concatenate(parts) for parts in zip(*self.hits))
+        order = np.lexsort((rows, -scores, queries))
+        queries, rows, scores = queries[order], rows[order], scores[order]
         place = np.arange(len(queries)) - np.searchsorted(queries, queries)
         last = place == self.k - 1
         self.floor[queries[last]] = scores[last]
         kept = place < self.k
-        self.hits = [(rows[kept], queries[kept], scores[kept])]
+        self.hits = [(queries[kept], rows[kept], scores[kept])]
         self.size = int(kept.sum())
         return self.hits[0]
 
@@ -171,46 +190,98 @@ def _places(keys: pa.Array) -> np.ndarray:
     return pc.rank(keys, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
 
 
-def _met(rows: DataFrame, of: list[str], asked: DataFrame, n_rows: int, n_queries: int, tasks: int | None, compare, schema: T.StructType) -> DataFrame:
+def keys_apart(spark: SparkSession, n: int) -> list[int]:
+    """``n`` different numbers that, as keys of a shuffle, go to ``n`` different partitions, so no task gets two."""
+    number = F.col("id").cast("int")
+    place = F.pmod(F.hash(number), F.lit(n))
+    first = {r["place"]: r["key"] for r in spark.range(32 * n).groupBy(place.alias("place")).agg(F.min(number).alias("key")).collect()}
+    return [first.get(i, 32 * n + i) for i in range(n)]
+
+
+def _met(rows: DataFrame, of: list[str], asked: DataFrame, slices: int, n_queries: int, compare, schema: T.StructType) -> DataFrame:
     """``compare`` (rows, asked) of every slice of ``rows``, cut by a hash of ``of``, and every part of ``asked``."""
-    slices, parts = max(2 * _slices(asked, tasks), -(-n_rows // SLICE_ROWS)), max(1, -(-n_queries // PART_QUERIES))
+    parts = max(1, -(-n_queries // PART_QUERIES))
+    n = slices * parts
+    keys = F.lit(keys_apart(rows.sparkSession, n))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    def dealt(df: DataFrame, slice_of: Column, part_of: Column) -> DataFrame:
+        placed = df.select("*", slice_of.alias(SPREAD)).select("*", part_of.alias("part"))
+        pair = F.element_at(keys, F.col(SPREAD) * F.lit(parts) + F.col("part") + 1)
+        return placed.withColumn("pair", pair).drop(SPREAD, "part").repartition(n, "pair").groupBy("pair")
+
     part = F.pmod(F.xxhash64(F.col(QUERY)), F.lit(parts)).cast("int")
-    cut = rows.withColumn(SPREAD, _slice(F.struct(*of), slices)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    given = _copied(asked.withColumn("part", part), slices)
-    return cut.groupBy(SPREAD, "part").cogroup(given.groupBy(SPREAD, "part")).applyInArrow(compare, schema)
+    return dealt(rows, _slice(F.struct(*of), slices), every(parts)).cogroup(dealt(asked, every(slices), part)).applyInArrow(compare, schema)
+
+
+def _list_schema(schema: T.StructType) -> T.StructType:
+    """(query_id, hits): a query's hits in one row, in an order in which the best come first."""
+    hit = T.StructType([T.StructField("minus", T.DoubleType()), schema[PK]])
+    return T.StructType([schema[QUERY], T.StructField("hits", T.ArrayType(hit))])
 
 
-def _hits_table(found: list[tuple[pa.Array, pa.Array, np.ndarray]], schema: T.StructType) -> pa.Table:
+def _hit_lists(names: pa.Array, keys: pa.Array, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], schema: T.StructType) -> pa.Table:
+    """The table of ``_list_schema`` from (query, row, score), places in ``names`` and ``keys``, in the order of queries."""
     fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-    tables = [pa.table([q, pk, pa.array(score, pa.float64())], names=fields.names).cast(fields) for q, pk, score in found]
-    return pa.concat_tables(tables) if tables else fields.empty_table()
+    queries, rows, scores = (np.concatenate(parts) for parts in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    if not len(queries):
+        return fields.empty_table()
+    starts = np.flatnonzero(np.diff(queries, prepend=-1))
+    kind = fields.field("hits").type.value_type
+    hits = [pa.array(0.0 - scores, pa.float64()), keys.take(pa.array(rows)).cast(kind.field(PK).type)]
+    lists = pa.ListArray.from_arrays(pa.array([*starts, len(queries)], pa.int32()), pa.StructArray.from_arrays(hits, fields=[*kind]))
+    return pa.table([names.take(pa.array(queries[starts])), lists], names=fields.names).cast(fields)
+
+
+def _best_of_lists(lists: DataFrame, k: int) -> DataFrame:
+    """(query_id, pk, score, rank) of the best ``k`` in all lists of a query."""
+    whole = lists.groupBy(QUERY).agg(F.slice(F.sort_array(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
+    ranked = whole.select(QUERY, F.posexplode("hits").alias("place", "hit"))
+    return ranked.select(QUERY, f"hit.{PK}", (F.lit(0.0) - F.col("hit.minus")).alias("score"), (F.col("place") + 1).cast("long").alias("rank"))
 
 
 def _vector_slices(asked: DataFrame, index: Index, n_queries: int, k: int, tasks: int | None, schema: T.StructType) -> DataFrame:
-    """The best ``k`` (query_id, pk, score) of every query in each slice of the index's vectors."""
+    """The best ``k`` hits of every query in each slice of the index's vectors, as ``_list_schema`` has it.
+
+    Products of single precision, and how wrong they can be, tell which pairs have to be compared in full.
+    """
 
     def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:
-            return _hits_table([], schema)
+            return _hit_lists(None, None, [], schema)
         held = rows.column("rows").combine_chunks().flatten()
+        order = np.argsort(_places(held.field(PK)), kind="stable")
+        finite = np.isfinite(held.field(EMBEDDING).flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)).all(axis=1)
+        held = held.take(pa.array(order[finite[order]]))
+        if not len(held):
+            return _hit_lists(None, None, [], schema)
         keys, norms = held.field(PK), held.field("norm").to_numpy(zero_copy_only=False)
         values = held.field(EMBEDDING).flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
         names, wanted = asked.column(QUERY).combine_chunks(), asked.column(EMBEDDING).combine_chunks()
         wanted = wanted.flatten().to_numpy(zero_copy_only=False).reshape(len(wanted), -1).astype(np.float64)
         lengths = np.sqrt((wanted * wanted).sum(axis=1))
-        known, places, found = np.flatnonzero(lengths > 0), _places(keys), []
+        short = (values / norms[:, None]).astype(np.float32)
+        slack = SLACK + 2 * (values.shape[1] + 8) * HALF_UNIT
+        known, found = np.flatnonzero(lengths > 0), []
         for at in range(0, len(known), PASS_QUERIES):
             of = known[at : at + PASS_QUERIES]
-            unit, best = (wanted[of] / lengths[of, None]).T, _RunningBest(len(of), places, k)
+            unit = wanted[of] / lengths[of, None]
+            best, short_unit = _RunningBest(len(of), k), unit.astype(np.float32)
             for start in range(0, len(held), PASS_ROWS):
-                end = start + PASS_ROWS
-                best.add(start, values[start:end].astype(np.float64) @ unit / norms[start:end, None])
-            row, query, score = best.best()
-            found.append((names.take(pa.array(of[query])), keys.take(pa.array(row)), score))
-        return _hits_table(found, schema)
-
-    keys = [BUCKET, "cell", "chunk"]
-    return _met(index.vectors.select(*keys, "rows"), keys, asked, index.docs.count(), n_queries, tasks, compare, schema)
+                near = short_unit @ short[start : start + PASS_ROWS].T
+                floor = np.maximum(_reach(near, k), best.floor) - slack
+                places = np.flatnonzero(near >= floor[:, None].astype(np.float32))
+                for some in range(0, len(places), PASS_PAIRS):
+                    query, row = np.divmod(places[some : some + PASS_PAIRS], near.shape[1])
+                    row += start
+                    best.add(query, row, np.einsum("ij,ij->i", values[row].astype(np.float64), unit[query]) / norms[row])
+            query, row, score = best.best()
+            found.append((of[query], row, score))
+        return _hit_lists(names, keys, found, schema)
+
+    keys, schema = [BUCKET, "cell", "chunk"], _list_schema(schema)
+    slices = max(2 * _slices(asked, tasks), -(-index.docs.count() // SLICE_ROWS))
+    return _met(index.vectors.select(*keys, "rows"), keys, asked, slices, n_queries, compare, schema)
 
 
 def search_vector(
@@ -322,7 +393,7 @@ def _search_cells(
     n_queries = asked.count()
     if exact and n_queries * index.vectors.count() > MOST_PAIRS:
         asked = asked.select(QUERY).join(asked, QUERY)  # rows of one id count as they do over cells, and none without
-        return _best_hits(_vector_slices(asked, index, n_queries, k, tasks, schema), k)
+        return _best_of_lists(_vector_slices(asked, index, n_queries, k, tasks, schema), k)
     near = stored(cells_of_queries(asked, index.cells), "query-cells")
     probed = near.filter(F.col("place") <= probes).select(QUERY, "cell")
     pairs = index.vectors.select("cell", "rows").join(_query_lists(probed, asked, ["cell"], n_queries), "cell")
@@ -383,57 +454,106 @@ def _block_hits(
     return dealt.sortWithinPartitions(BUCKET, "block", "part").mapInArrow(score, schema)
 
 
+def _postings_of(rows: pa.Table, average: float) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, doc, added, ends) of lists of postings ordered by term.
+
+    ``doc`` numbers the documents, those of two blocks apart, in the order of their ``keys``; a posting adds ``added`` to its
+    document's score. List ``i`` goes from ``ends[i]`` to ``ends[i + 1]``. Of a document's postings in one list the last counts.
+    """
+    lists = rows.column("pks").combine_chunks()
+    sizes = pc.list_value_length(lists).to_numpy()
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    tfs, dls = (rows.column(c).combine_chunks().flatten().to_numpy() for c in ("tfs", "dls"))
+    added = tfs.astype(np.float64)
+    added = np.repeat(rows.column("idf").to_numpy(), sizes) * (added * (K1 + 1) / (added + K1 * (1 - B + B * dls / average)))
+    del tfs, dls
+    known = lists.flatten().dictionary_encode(null_encoding="encode")
+    blocks = (rows.column(BUCKET).to_numpy().astype(np.int64) << 32) + rows.column("block").to_numpy()
+    block = np.unique(blocks, return_inverse=True)[1].astype(np.int64)
+    one = pa.array(np.repeat(block * len(known.dictionary), sizes) + known.indices.to_numpy()).dictionary_encode()
+    keys = known.dictionary.take(pa.array(one.dictionary.to_numpy() % len(known.dictionary)))
+    order = np.argsort(_places(keys), kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    doc = number[one.indices.to_numpy()]
+    pair = np.repeat(np.arange(len(sizes)) * len(order), sizes) + doc
+    ordered = np.sort(pair)
+    if (ordered[1:] == ordered[:-1]).any():
+        by = np.argsort(pair, kind="stable")
+        kept = np.ones(len(pair), bool)
+        kept[by[:-1][pair[by[1:]] == pair[by[:-1]]]] = False
+        ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+        doc, added = doc[kept], added[kept]
+    return keys.take(pa.array(order)), doc, added, ends
+
+
 def _block_slices(
     weighed: DataFrame, n_queries: int, index: Index, n_docs: int, average: float, k: int, tasks: int | None, schema: T.StructType
 ) -> DataFrame:
-    """The best ``k`` (query_id, pk, score) of every query in each slice of the index's blocks."""
+    """The best ``k`` hits of every query in each slice of the index's blocks, as ``_list_schema`` has it.
+
+    What a term adds to a document's score is the same for every query. Of terms that are frequent on both sides it stands
+    in a matrix, and a product of single precision gives the sums over them; the lists of the other terms are added to
+    it query by query. Documents that can be among the best, by how wrong the product can be, are summed in full.
+    """
 
     def compare(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:
-            return _hits_table([], schema)
-        rows = rows.sort_by([(BUCKET, "ascending"), ("block", "ascending")])
-        terms = pc.unique(asked.column("term"))
-        term = pc.fill_null(pc.index_in(rows.column("term"), value_set=terms), -1).to_numpy()
-        pks, tfs, dls = (rows.column(c).combine_chunks() for c in ("pks", "tfs", "dls"))
-        ends, flat = pks.offsets.to_numpy(), pks.flatten()
-        tf = tfs.flatten().to_numpy().astype(np.float64)
-        gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dls.flatten().to_numpy() / average))
-        place, at = _places(flat), np.stack([rows.column(c).to_numpy() for c in (BUCKET, "block")])
-        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1), rows.num_rows]
-        # Documents are numbered block by block: ``doc`` of each posting, ``first`` posting of each document.
-        doc, first, starts = np.empty(len(flat), np.int64), [], [0]
-        for a, b in zip(cuts, cuts[1:]):
-            _, one, number = np.unique(place[ends[a] : ends[b]], return_index=True, return_inverse=True)
-            doc[ends[a] : ends[b]] = number
-            first.append(one + ends[a])
-            starts.append(starts[-1] + len(one))
-        first = np.concatenate(first)
-        names = asked.column(QUERY).combine_chunks().dictionary_encode()
-        query, asks = names.indices.to_numpy(), pc.index_in(asked.column("term"), value_set=terms).to_numpy()
-        idf, found = asked.column("idf").to_numpy(), []
-        for low in range(0, len(names.dictionary), PASS_QUERIES):
-            n = min(PASS_QUERIES, len(names.dictionary) - low)
-            own = np.flatnonzero((query >= low) & (query < low + n))
-            own = own[np.argsort(asks[own], kind="stable")]
-            column, weight = query[own] - low, idf[own]
-            of_term = np.searchsorted(asks[own], np.arange(len(terms) + 1))
-            best = _RunningBest(n, place[first], k, SLACK)
-            for block, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                sums = np.zeros((starts[block + 1] - starts[block], n))
-                for i in range(a, b):
-                    p, q = of_term[term[i]], of_term[term[i] + 1]
-                    if q > p and term[i] >= 0:
-                        part = slice(ends[i], ends[i + 1])
-                        sums[doc[part, None], column[p:q]] += gain[part, None] * weight[p:q]
-                best.add(starts[block], np.where(sums > 0, sums, -1.0))
-            row, of, score = best.best()
-            real = score > 0
-            found.append((names.dictionary.take(pa.array(of[real] + low)), flat.take(pa.array(first[row[real]])), score[real]))
-        return _hits_table(found, schema)
-
-    terms = stored(weighed.select("term").distinct(), "terms-asked")
-    rows = index.postings.select(BUCKET, "block", "term", "pks", "tfs", "dls").join(terms, "term", "left_semi")
-    return _met(rows, [BUCKET, "block"], weighed, n_docs, n_queries, tasks, compare, schema)
+            return _hit_lists(None, None, [], schema)
+        rows = rows.sort_by([("id", "ascending"), (BUCKET, "ascending"), ("block", "ascending")])
+        keys, doc, added, ends = _postings_of(rows, average)
+        ids, first = np.unique(rows.column("id").to_numpy(), return_index=True)
+        ends, n = ends[[*first, rows.num_rows]], len(keys)
+        del rows
+        names, lists = asked.column(QUERY).combine_chunks(), asked.column("ids").combine_chunks()
+        of_query = np.repeat(np.arange(len(names)), pc.list_value_length(lists).to_numpy())
+        of_term = lists.flatten().to_numpy()
+        term = np.minimum(np.searchsorted(ids, of_term), len(ids) - 1)
+        here = ids[term] == of_term
+        of_query, term = of_query[here], term[here]
+
+        shares = np.bincount(term, minlength=len(ids)) * np.diff(ends)
+        common = np.argsort(-shares, kind="stable")[:MOST_COMMON]
+        common = common[shares[common] > COMMON_SHARE * len(names) * n]
+        column = np.full(len(ids), -1)
+        column[common] = np.arange(len(common))
+        whole = np.zeros((n, len(common)))
+        for i, t in enumerate(common):
+            whole[doc[ends[t] : ends[t + 1]], i] = added[ends[t] : ends[t + 1]]
+        short = whole.astype(np.float32)
+        wrong = 2 * (len(common) + 8) * HALF_UNIT
+        cuts, found = np.searchsorted(of_query, np.arange(len(names) + 1)), []
+        for low in range(0, len(names), PASS_QUERIES):
+            high = min(low + PASS_QUERIES, len(names))
+            near, own = np.zeros((high - low, len(common)), np.float32), slice(cuts[low], cuts[high])
+            wanted = column[term[own]]
+            near[of_query[own][wanted >= 0] - low, wanted[wanted >= 0]] = 1
+            near = near @ short.T
+            for query, sums in enumerate(near, low):
+                terms = term[cuts[query] : cuts[query + 1]]
+                wanted = column[terms]
+                parts = [slice(ends[t], ends[t + 1]) for t in terms[wanted < 0]]
+                rest = np.zeros(n)
+                if parts:
+                    rest = np.bincount(np.concatenate([doc[p] for p in parts]), np.concatenate([added[p] for p in parts]), n)
+                    sums += rest
+                reach = float(_reach(sums[None], k)[0])
+                row = np.flatnonzero(sums >= reach * (1 - wrong) - SLACK) if reach > 0 else np.flatnonzero(sums > 0)
+                row = row[sums[row] > 0]
+                score = np.round(rest[row] + whole[np.ix_(row, wanted[wanted >= 0])].sum(axis=1), DECIMALS)
+                order = np.argsort(-score, kind="stable")[:k]
+                order = order[score[order] > 0]
+                found.append((np.full(len(order), query), row[order], score[order]))
+        return _hit_lists(names, keys, found, schema)
+
+    schema = _list_schema(schema)
+    terms = weighed.select("term", "idf").distinct().withColumn("id", F.monotonically_increasing_id())
+    terms = stored(terms, "terms-asked")
+    n_postings = index.terms.join(terms, "term", "left_semi").agg(F.sum("df").alias("n")).first()["n"] or 0
+    asked = weighed.join(terms.select("term", "id"), "term").groupBy(QUERY).agg(F.collect_set("id").alias("ids"))
+    rows = index.postings.select(BUCKET, "block", "term", "pks", "tfs", "dls").join(terms, "term").drop("term")
+    slices = max(2 * _slices(weighed, tasks), -(-n_docs // SLICE_ROWS), -(-n_postings // SLICE_POSTINGS))
+    return _met(rows, [BUCKET, "block"], asked, slices, n_queries, compare, schema)
 
 
 def block_bounds(weighed: DataFrame, index: Index, average: float) -> DataFrame:
@@ -480,7 +600,7 @@ def search_keyword(queries: DataFrame, index: Index, k: int = 10, tasks: int | N
     if weighed.count() * -(-n_docs // BLOCK_DOCS) > MOST_PAIRS:
         weighed = weighed.filter(F.col(QUERY).isNotNull())
         n_queries = weighed.select(QUERY).distinct().count()
-        return _best_hits(_block_slices(weighed, n_queries, index, n_docs, average, k, tasks, _hit_schema(queries, index)), k)
+        return _best_of_lists(_block_slices(weighed, n_queries, index, n_docs, average, k, tasks, _hit_schema(queries, index)), k)
     bounds = stored(block_bounds(weighed, index, average), "block-bounds")
     seeds = bounds.filter(F.col("place") <= SEED_BLOCKS).select(QUERY, BUCKET, "block")
     schema, n_queries = _hit_schema(queries, index), weighed.select(QUERY).distinct().count()
