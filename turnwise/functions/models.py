@@ -11,10 +11,10 @@ import json
 import math
 import time
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from hashlib import md5
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -175,9 +175,20 @@ def infer(
     return df.mapInPandas(run, schema)
 
 
-@lru_cache(maxsize=1 << 18)
-def _bucket(token: str, dim: int) -> int:
-    return int(md5(token.encode("utf-8")).hexdigest()[:8], 16) % dim
+class _Buckets(dict):
+    """The bucket of each token, worked out once as long as there are few. Tokens are texts, or bytes in Latin-1."""
+
+    MOST = 1 << 18
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str | bytes) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        text = token if isinstance(token, str) else token.decode("latin-1")
+        bucket = self[token] = int.from_bytes(md5(text.encode("utf-8")).digest()[:4]) % self.dim
+        return bucket
 
 
 class HashEmbedder:
@@ -192,16 +203,24 @@ class HashEmbedder:
         from turnwise.functions.text import TOKEN_PATTERN
 
         find = regex.compile(TOKEN_PATTERN).findall
-        dim = self.dim
+        dim, bucket_of = self.dim, _Buckets(self.dim).__getitem__
+        # Texts in Latin-1 are cut as bytes: what is no part of a token becomes a space.
+        spaced = bytes(c if find(chr(c)) else ord(" ") for c in range(256))
+
+        def tokens_of(lowered: str) -> list[str] | list[bytes]:
+            try:
+                return lowered.encode("latin-1").translate(spaced).split()
+            except UnicodeEncodeError:
+                return find(lowered)
 
         def vectors(texts: list[str]) -> list[list[float]]:
             result = []
             for text in texts:
-                counts = [0.0] * dim
-                for token in find(text.lower()):
-                    counts[_bucket(token, dim)] += 1.0
-                norm = math.sqrt(sum(c * c for c in counts))
-                result.append([c / norm for c in counts] if norm else counts)
+                found = tokens_of(text.lower())
+                buckets = np.fromiter(map(bucket_of, found), np.intp, len(found))
+                counts = np.bincount(buckets, minlength=dim).astype(float)
+                norm = math.sqrt(counts @ counts)
+                result.append((counts / norm if norm else counts).tolist())
             return result
 
         return vectors

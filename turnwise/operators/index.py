@@ -133,37 +133,37 @@ def posting_blocks(docs: DataFrame) -> DataFrame:
     fields = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
 
     def counted(rows: pa.Table) -> list[pa.RecordBatch]:
-        keys, lists = rows.column(PK), rows.column("tokens").combine_chunks()
-        flat = pa.table({"row": pc.list_parent_indices(lists), "term": pc.list_flatten(lists)})
-        one = flat.group_by(["row", "term"]).aggregate([([], "count_all")])
-        of_row = one.column("row")
-        one = pa.table(
-            {
-                "term": one.column("term"),
-                "pks": pc.take(keys, of_row),
-                "tfs": one.column("count_all").cast(pa.int32()),
-                "dls": pc.take(pc.list_value_length(lists), of_row).cast(pa.int32()),
-            }
-        )
-        lists_of = [(name, "list") for name in ("pks", "tfs", "dls")]
-        found = one.group_by("term").aggregate([*lists_of, ("pks", "count"), ("tfs", "sum"), ("tfs", "max"), ("dls", "min")])
-        place = [pa.array(np.full(found.num_rows, rows.column(i)[0].as_py()), pa.int32()) for i in (0, 1)]
-        columns = [found.column(c) for c in ("term", "pks_list", "tfs_list", "dls_list", "pks_count", "tfs_sum", "tfs_max", "dls_min")]
-        whole = pa.table([*place, *columns], names=fields.names).cast(fields)
+        keys, lists = rows.column(PK).combine_chunks(), rows.column("tokens").combine_chunks()
+        lengths = pc.list_value_length(lists).to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        numbers = coded.indices.to_numpy().astype(np.int64) * len(keys) + np.repeat(np.arange(len(keys)), lengths)
+        pair, tf = np.unique(numbers, return_counts=True)
+        term, row = np.divmod(pair, len(keys))
+        starts = np.flatnonzero(np.diff(term, prepend=-1))
+        ends, dl = np.append(starts, len(pair)), lengths[row]
+        place = [np.full(len(starts), rows.column(i)[0].as_py()) for i in (0, 1)]
+        values = [keys.take(pa.array(row)), pa.array(tf), pa.array(dl)]
+        bounds = [np.diff(ends), np.add.reduceat(tf, starts), np.maximum.reduceat(tf, starts), np.minimum.reduceat(dl, starts)]
+        lists_of = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in values]
+        whole = pa.table([*place, coded.dictionary, *lists_of, *bounds], names=fields.names).cast(fields)
         return whole.combine_chunks().to_batches(max_chunksize=1 << 14)
 
     n, most = parts_of(docs), BLOCK_DOCS
 
+    def with_tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pc.greater(pc.list_value_length(batch.column(2)), 0))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, rows in enumerate(_blocks(batches, most)):
+        for number, rows in enumerate(_blocks(map(with_tokens, batches), most)):
             block = pa.array(np.full(rows.num_rows, number * n + task), pa.int32())
             yield from counted(rows.add_column(1, "block", block))
 
-    # Ranges are alike in size, whatever the buckets are; a bucket may end in one range and go on in the next.
+    # Ranges are alike in size, whatever the buckets are; a bucket may end in one range and go on in the next. Rows
+    # without tokens go in the tasks that count: a filter here would be moved before the ranges, where texts are cut in vain.
     sized = docs.select(BUCKET, PK, CONTENT, F.length(CONTENT).alias("size"))
     dealt = sized.repartitionByRange(n, BUCKET, "size", PK).sortWithinPartitions(BUCKET, "size", PK)
-    return dealt.select(BUCKET, PK, tokens(F.col(CONTENT)).alias("tokens")).filter("size(tokens) > 0").mapInArrow(count, schema)
+    return dealt.select(BUCKET, PK, tokens(F.col(CONTENT)).alias("tokens")).mapInArrow(count, schema)
 
 
 def parts_of(docs: DataFrame) -> int:
