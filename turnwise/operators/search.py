@@ -49,7 +49,7 @@ HELD_HITS = 1 << 19  # hits that are held before all but the best are dropped
 SLICE_POSTINGS = 1 << 23  # postings of asked terms per slice
 GROUPED = 32  # numbers of which only the highest counts for a bound
 MOST_COMMON = 256  # terms whose sums a product gives
-COMMON_SHARE = 0.005  # the share of all pairs of query and document that such a term is in
+COMMON_SHARE = 0.015  # the share of all pairs of query and document that such a term is in
 HALF_UNIT = 2.0**-24  # what rounding to single precision can add to a number, as a share of it
 SLACK = 2e-6  # bounds may be wrong by rounding in the last decimal that counts
 
@@ -473,12 +473,17 @@ def _postings_of(rows: pa.Table, average: float) -> tuple[pa.Array, np.ndarray,
     one = pa.array(np.repeat(block * len(known.dictionary), sizes) + known.indices.to_numpy()).dictionary_encode()
     keys = known.dictionary.take(pa.array(one.dictionary.to_numpy() % len(known.dictionary)))
     order = np.argsort(_places(keys), kind="stable")
-    number = np.empty(len(order), np.int64)
+    number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order))
     doc = number[one.indices.to_numpy()]
-    pair = np.repeat(np.arange(len(sizes)) * len(order), sizes) + doc
-    ordered = np.sort(pair)
+    del known, one
+
+    def pairs() -> np.ndarray:
+        return np.repeat(np.arange(len(sizes)) * len(order), sizes) + doc
+
+    (ordered := pairs()).sort()
     if (ordered[1:] == ordered[:-1]).any():
+        pair = pairs()
         by = np.argsort(pair, kind="stable")
         kept = np.ones(len(pair), bool)
         kept[by[:-1][pair[by[1:]] == pair[by[:-1]]]] = False
@@ -512,7 +517,8 @@ def _block_slices(
         here = ids[term] == of_term
         of_query, term = of_query[here], term[here]
 
-        shares = np.bincount(term, minlength=len(ids)) * np.diff(ends)
+        sizes = np.diff(ends)
+        shares = np.bincount(term, minlength=len(ids)) * sizes
         common = np.argsort(-shares, kind="stable")[:MOST_COMMON]
         common = common[shares[common] > COMMON_SHARE * len(names) * n]
         column = np.full(len(ids), -1)
@@ -522,6 +528,9 @@ def _block_slices(
             whole[doc[ends[t] : ends[t + 1]], i] = added[ends[t] : ends[t + 1]]
         short = whole.astype(np.float32)
         wrong = 2 * (len(common) + 8) * HALF_UNIT
+        docs_of, added_of = np.split(doc, ends[1:-1]), np.split(added, ends[1:-1])
+        longest = int(np.bincount(of_query, np.where(column[term] < 0, sizes[term], 0), 1).max())
+        held, plus = np.empty(longest, np.int64), np.empty(longest)  # new room for each query would cost as much as the sums
         cuts, found = np.searchsorted(of_query, np.arange(len(names) + 1)), []
         for low in range(0, len(names), PASS_QUERIES):
             high = min(low + PASS_QUERIES, len(names))
@@ -532,10 +541,12 @@ def _block_slices(
             for query, sums in enumerate(near, low):
                 terms = term[cuts[query] : cuts[query + 1]]
                 wanted = column[terms]
-                parts = [slice(ends[t], ends[t + 1]) for t in terms[wanted < 0]]
-                rest = np.zeros(n)
-                if parts:
-                    rest = np.bincount(np.concatenate([doc[p] for p in parts]), np.concatenate([added[p] for p in parts]), n)
+                rest, rare = np.zeros(n), terms[wanted < 0]
+                if len(rare):
+                    size, rare = sizes[rare].sum(), rare.tolist()
+                    np.concatenate([docs_of[t] for t in rare], out=held[:size])
+                    np.concatenate([added_of[t] for t in rare], out=plus[:size])
+                    rest = np.bincount(held[:size], plus[:size], n)
                     sums += rest
                 reach = float(_reach(sums[None], k)[0])
                 row = np.flatnonzero(sums >= reach * (1 - wrong) - SLACK) if reach > 0 else np.flatnonzero(sums > 0)
